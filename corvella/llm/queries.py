@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvella.llm import exact_dedup, packing, vocabularies
+from corvella.llm import exact_dedup, packing, token_files, vocabularies
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,12 +17,18 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"), vocabularies.path("byte_bpe_50k.json"))
 
 
+def op3_token_range_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = token_files.write_token_files(_read(spark, sf_dir, "documents"), vocabularies.path("word_bpe_49k.json"), alphabet=49_408)
+    return token_files.read_token_files(manifest)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_read(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_token_range_coder": op3_token_range_coder,
     "op5_exact_dedup": op5_exact_dedup,
 }
 

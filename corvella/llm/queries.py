@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvella.llm import byte_bpe, exact_dedup, packing, token_files, vocabularies
+from corvella.llm import byte_bpe, exact_dedup, labelled, packing, quality, token_files, toxicity, vocabularies
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -26,6 +26,18 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_read(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = _read(spark, sf_dir, "documents"), labelled.fold("doc_id", 3) == 1
+    model = quality.fit_on(docs, _read(spark, sf_dir, "labels"), ~held)
+    return quality.score(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = _read(spark, sf_dir, "documents"), labelled.fold("doc_id", 5) == 0
+    model = toxicity.fit_on(docs, _read(spark, sf_dir, "labels"), ~held)
+    return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(_read(spark, sf_dir, "documents"), vocabularies.path("byte_bpe_multi_50k.tiktoken"))
 
@@ -34,6 +46,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_token_range_coder": op3_token_range_coder,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_quality": op6_quality,
+    "op10_toxicity": op10_toxicity,
     "op8_byte_bpe": op8_byte_bpe,
 }
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvella.llm import byte_bpe, exact_dedup, labelled, near_dedup, packing, quality, token_files, toxicity, vocabularies
+from corvella.llm import byte_bpe, exact_dedup, html_text, labelled, near_dedup, packing, quality, token_files, toxicity, vocabularies
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -46,12 +46,17 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_read(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_token_range_coder": op3_token_range_coder,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_quality": op6_quality,
     "op10_toxicity": op10_toxicity,
+    "op7_html_text": op7_html_text,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_near_dedup": op9_near_dedup,
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvella.llm import byte_bpe, exact_dedup, html_text, labelled, near_dedup, packing, quality, token_files, toxicity, vocabularies
+from corvella.llm import byte_bpe, exact_dedup, graph_ann, html_text, labelled, near_dedup, packing, quality, token_files, toxicity, vocabularies
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -50,7 +50,14 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_read(spark, sf_dir, "pages"))
 
 
+def op1_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings")
+    index, shards = graph_ann.build_index(vectors)
+    return graph_ann.search(vectors.filter("vec_id % 20 = 0"), index, shards)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_graph_ann": op1_graph_ann,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_token_range_coder": op3_token_range_coder,
     "op5_exact_dedup": op5_exact_dedup,

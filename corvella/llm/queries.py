@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvella.llm import byte_bpe, exact_dedup, graph_ann, html_text, labelled, near_dedup, packing, quality, token_files, toxicity, vocabularies
+from corvella.llm import byte_bpe, exact_dedup, graph_ann, html_text, labelled, near_dedup, packing, quality, token_files, toxicity, vocabularies, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -56,10 +56,17 @@ def op1_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph_ann.search(vectors.filter("vec_id % 20 = 0"), index, shards)
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _read(spark, sf_dir, "pages")
+    index = warc.write_index(warc.write_archives(pages))
+    return warc.lookup(warc.page_keys(pages), index)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_graph_ann": op1_graph_ann,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_token_range_coder": op3_token_range_coder,
+    "op4_warc": op4_warc,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_quality": op6_quality,
     "op10_toxicity": op10_toxicity,
@@ -69,6 +76,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+        q AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS d, min(page_id) OVER (PARTITION BY h) AS first_id FROM p)
+        SELECT page_id, payload_bytes,
+               list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   1 + (((('0x' || substr(d, (i // 4) * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31))::INT, 1)), 'string_agg', '') AS payload_digest,
+               CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
+        FROM q
+    """,
     "op5_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,

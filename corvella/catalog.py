@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corvella.plans import q_indices
+
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES: list = []
+MODULES: list = [q_indices]
 
 
 def queries() -> dict[str, Query]:

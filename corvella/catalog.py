@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvella.plans import q_indices
+from corvella.plans import q_aggregates, q_indices
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES: list = [q_indices]
+MODULES: list = [q_indices, q_aggregates]
 
 
 def queries() -> dict[str, Query]:

@@ -10,10 +10,11 @@ coordinate with the probability of the weighted Jaccard similarity. The expected
 document depends on ``COORDINATES`` only; the limit is doubled where a coordinate stayed empty.
 
 Documents of one shingle multiset are one vertex. Vertices meet in buckets of ``ROWS`` coordinates.
-Small buckets give all their pairs; a large one links every member to its smallest member, and the
-members which that does not place in its component meet again in the next round, until none are left
-over. No bucket is capped. Pairs are verified on the sets of shingles, and classes are the connected
-components of the verified pairs.
+Small buckets give all their pairs; in a large one every member is compared with a few members that meet
+most others, and members which that does not place in the first one's component are then compared with
+the whole bucket, block against block, of which only links that connect something are returned. No
+bucket is capped. Pairs are verified on the sets of shingles, and classes are the connected components
+of the verified pairs.
 
 Defined results: a null or wordless text has no shingles and is a class of its own; equal texts share
 a class; a null doc_id is a document, never smaller than another; the class id is the smallest doc_id
@@ -41,6 +42,8 @@ BANDS, ROWS = 25, 5
 COORDINATES = BANDS * ROWS
 DARTS = COORDINATES * (np.log(COORDINATES) + 2)
 SMALL_BUCKET = 16
+LEADERS = 3
+BLOCK_ROWS = 256
 
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -206,34 +209,82 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return two.filter(fits).select("a", "b", "x", "y").mapInPandas(run, "a binary, b binary")
 
 
+def _spanning_links(f: pd.DataFrame, similarity: float) -> pd.DataFrame:
+    """Links between the two blocks of one group (side 0 and 1) that connect what all their links connect."""
+    one, two = f[f["side"] == 0], f[f["side"] == 1]
+    sets = [[np.frombuffer(x, "<u4") for x in side["elements"]] for side in (one, two)]
+    common = np.intersect1d(np.concatenate(sets[0]), np.concatenate(sets[1])) if len(one) and len(two) else np.zeros(0, "<u4")
+    both = np.zeros((len(one), len(two)), dtype=np.float32)
+    for lo in range(0, len(common), 4096):  # exact counts of shared elements, some elements at a time
+        part = common[lo : lo + 4096]
+        grids = []
+        for side in sets:
+            grid = np.zeros((len(side), len(part)), dtype=np.float32)
+            for i, x in enumerate(side):
+                at = np.searchsorted(part, x)
+                at[at == len(part)] = 0
+                grid[i, at[part[at] == x]] = 1
+            grids.append(grid)
+        both += grids[0] @ grids[1].T
+    n1, n2 = (np.array([len(x) for x in side], dtype=np.float64) for side in sets)
+    near = np.argwhere(both >= similarity * (n1[:, None] + n2[None, :] - both) - 1e-9) if both.size else np.zeros((0, 2), int)
+    names = [one["vertex"].tolist(), two["vertex"].tolist()]
+    up: dict[bytes, bytes] = {}
+
+    def top(v: bytes) -> bytes:
+        while up.get(v, v) != v:
+            up[v] = up.get(up[v], up[v])
+            v = up[v]
+        return v
+
+    out = []
+    for i, j in near.tolist():
+        x, y = top(names[0][i]), top(names[1][j])
+        if x != y:
+            up[x] = y
+            out.append((names[0][i], names[1][j]))
+    return pd.DataFrame(out, columns=["a", "b"])
+
+
+def _left_over_links(many: DataFrame, apart: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links of the rows ``apart`` (bucket, vertex) with any member of their buckets, block against block."""
+    left = apart.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_left"))
+    sized = many.join(left, "bucket").select("bucket", "vertex", F.ceil(F.col("n_left") / BLOCK_ROWS).cast("int").alias("blocks_1"), F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks_2"))
+    spread = lambda side, n: F.pmod(F.xxhash64(F.lit(side), "vertex"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    two = sized.withColumn("block_2", spread(2, "blocks_2")).withColumn("block_1", every("blocks_1")).select("bucket", "block_1", "block_2", F.lit(1).alias("side"), "vertex")
+    one = sized.join(apart, ["bucket", "vertex"], "left_semi").withColumn("block_1", spread(1, "blocks_1")).withColumn("block_2", every("blocks_2")).select("bucket", "block_1", "block_2", F.lit(0).alias("side"), "vertex")
+    rows = one.union(two).join(sets, "vertex")
+    return rows.groupBy("bucket", "block_1", "block_2").applyInPandas(lambda f: _spanning_links(f, similarity), "a binary, b binary")
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, small: int = SMALL_BUCKET) -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id, class_size, kept (true for one row per class)."""
     rows = materialise(sketch(docs), "sketches")
     named = rows.filter("vertex IS NOT NULL")
     vertices = named.groupBy("vertex").agg(F.min("doc_id").alias("doc_id"), F.min("keys").alias("keys"))
     buckets = vertices.select("vertex", F.explode("keys").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("vertex").alias("lead")).filter("n > 1")
-    left = materialise(buckets.join(shared, "bucket"), "buckets")
-    wanted = left.select("vertex").distinct().join(named.groupBy("vertex").agg(F.min("doc_id").alias("doc_id")), "vertex")
+    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    met = materialise(buckets.join(shared, "bucket"), "buckets")
+    wanted = met.select("vertex").distinct().join(named.groupBy("vertex").agg(F.min("doc_id").alias("doc_id")), "vertex")
     sets = materialise(_shingle_sets(docs, wanted), "shingle-sets")
-    links = None
-    while True:
-        few, many = left.filter(F.col("n") <= small), left.filter(F.col("n") > small)
-        close = few.select("bucket", F.col("vertex").alias("a")).join(few.select("bucket", F.col("vertex").alias("b")), "bucket").filter("a < b").select("a", "b")
-        starred = many.filter("vertex <> lead").select(F.col("lead").alias("a"), F.col("vertex").alias("b"))
-        found = materialise(_verified(close.union(starred).distinct(), sets, similarity), "links")
-        links = found if links is None else links.union(found)
-        classes = components(links, "a", "b")
-        if many.isEmpty():
-            break
+    few, many = met.filter(F.col("n") <= small), met.filter(F.col("n") > small)
+    close = few.select("bucket", F.col("vertex").alias("a")).join(few.select("bucket", F.col("vertex").alias("b")), "bucket").filter("a < b").select("a", "b")
+    # the member that meets most others is likeliest to be what the rest are copies of
+    busy = many.groupBy("vertex").agg(F.sum("n").alias("meets"))
+    best = Window.partitionBy("bucket").orderBy(F.desc("meets"), "vertex")
+    leads = materialise(many.join(busy, "vertex").withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= LEADERS).select("bucket", F.col("vertex").alias("lead"), "nth"), "leaders")
+    starred = many.join(leads, "bucket").filter("vertex <> lead").select(F.least("lead", "vertex").alias("a"), F.greatest("lead", "vertex").alias("b"))
+    links = materialise(_verified(close.union(starred).distinct(), sets, similarity), "links")
+    classes = components(links, "a", "b")
+    if not leads.isEmpty():
         of = classes.select(F.col("id").alias("v"), F.col("component").alias("c"))
-        lead_of = classes.select(F.col("id").alias("l"), F.col("component").alias("lc"))
-        placed = many.join(of, many.vertex == of.v, "left").join(lead_of, many.lead == lead_of.l, "left")
-        apart = placed.filter("vertex <> lead AND NOT coalesce(c = lc, false)").select("bucket", "vertex")
-        again = apart.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("vertex").alias("lead")).filter("n > 1")
-        left = materialise(apart.join(again, "bucket"), "buckets")
-        if left.isEmpty():
-            break
+        lead_of = leads.filter("nth = 1").join(classes, F.col("lead") == F.col("id"), "left").select("bucket", "lead", F.col("component").alias("lc"))
+        placed = many.join(lead_of, "bucket").join(of, F.col("vertex") == F.col("v"), "left")
+        apart = materialise(placed.filter("vertex <> lead AND NOT coalesce(c = lc, false)").select("bucket", "vertex"), "left-over")
+        if not apart.isEmpty():
+            more = materialise(_left_over_links(many, apart, sets, similarity), "more-links")
+            classes = components(links.union(more), "a", "b")
     member = classes.select(F.col("id").alias("vertex"), "component")
     of_row = rows.select("doc_id", "vertex").join(member, "vertex", "left")
     own = of_row.filter("vertex IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvella.plans import q_aggregates, q_indices, q_networks
+from corvella.plans import q_aggregates, q_evidence, q_indices, q_networks
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES: list = [q_indices, q_aggregates, q_networks]
+MODULES: list = [q_indices, q_aggregates, q_networks, q_evidence]
 
 
 def queries() -> dict[str, Query]:

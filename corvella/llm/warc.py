@@ -228,7 +228,7 @@ def lookup(keys: DataFrame, index_files: DataFrame) -> DataFrame:
     firsts = [(k, p) for k, p, _ in files]
     schema = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("payload_bytes", T.LongType()), T.StructField("payload_digest", T.StringType()), T.StructField("record_type", T.StringType()), T.StructField("refers_to", T.LongType())])
 
-    @F.pandas_udf("int")
+    @F.pandas_udf(T.IntegerType())
     def file_of(key: pd.Series, page: pd.Series) -> pd.Series:
         return pd.Series([max(bisect.bisect_right(firsts, k) - 1, 0) for k in zip(key, page, strict=True)], dtype="int32")
 

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvella.plans import q_aggregates, q_evidence, q_indices, q_merging, q_networks, q_scalars
+from corvella.plans import q_aggregates, q_evidence, q_indices, q_merging, q_networks, q_scalars, q_windows
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES: list = [q_indices, q_aggregates, q_networks, q_evidence, q_scalars, q_merging]
+MODULES: list = [q_indices, q_aggregates, q_networks, q_evidence, q_scalars, q_merging, q_windows]
 
 
 def queries() -> dict[str, Query]:

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvella.plans import q_aggregates, q_evidence, q_graph, q_indices, q_merging, q_networks, q_scalars, q_windows
+from corvella.plans import q_aggregates, q_evidence, q_graph, q_indices, q_merging, q_networks, q_scalars, q_trends, q_windows
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES: list = [q_indices, q_aggregates, q_networks, q_evidence, q_scalars, q_merging, q_windows, q_graph]
+MODULES: list = [q_indices, q_aggregates, q_networks, q_evidence, q_scalars, q_merging, q_windows, q_graph, q_trends]
 
 
 def queries() -> dict[str, Query]:

@@ -15,6 +15,7 @@ from corvella.plans.components import components
 from corvella.plans.storage import materialise
 
 CUT_EVERY = 3
+CLASSES = 4
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -209,10 +210,10 @@ def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
     return lab
 
 
-def louvain(edges: DataFrame, gamma: float = 1.0, levels: int = 4, rounds: int = 6) -> DataFrame:
+def louvain(edges: DataFrame, gamma: float = 1.0, levels: int = 4, rounds: int = 12) -> DataFrame:
     """(id, label): synchronous local moves towards higher modularity, then contraction, level by level.
 
-    In odd rounds only nodes of odd hash may move, in even rounds the others, so that two neighbours do not swap.
+    In each round only one of ``CLASSES`` hash classes of nodes may move, so that few neighbours move at once.
     """
     now = materialise(edges.select("src", "dst", F.col("weight").cast("double").alias("weight")), "lv-edges")
     member = materialise(vertices(edges).withColumn("label", F.col("id")), "lv-member")
@@ -222,20 +223,28 @@ def louvain(edges: DataFrame, gamma: float = 1.0, levels: int = 4, rounds: int =
         loops = now.filter("src = dst")
         deg = materialise(e.select("src", "weight").union(loops.select("src", 2 * F.col("weight"))).groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("k")), "lv-deg")
         lab = materialise(deg.select("id", "k", F.col("id").alias("label")), "lv-lab")
-        moved = False
+        moved = busy = False
         for r in range(rounds):
             tot = lab.groupBy("label").agg(F.sum("k").alias("tot"))
             to = e.join(lab.select(F.col("id").alias("dst"), F.col("label").alias("to")), "dst").groupBy(F.col("src").alias("id"), "to").agg(F.sum("weight").alias("w"))
             x = to.join(lab, "id").join(tot.select(F.col("label").alias("to"), "tot"), "to")
             own = F.col("to") == F.col("label")
             gain = F.col("w") - gamma * F.col("k") * (F.col("tot") - F.when(own, F.col("k")).otherwise(0.0)) / (2 * total)
-            best = x.withColumn("gain", gain).groupBy("id").agg(F.max_by("to", F.struct("gain", -F.col("to"))).alias("best"), F.max("gain").alias("g"), F.coalesce(F.max(F.when(own, F.col("gain"))), F.lit(0.0)).alias("stay"))
-            may = F.pmod(F.xxhash64("id"), F.lit(2)) == r % 2
-            new = lab.join(best, "id", "left").select("id", "k", F.when(may & (F.col("g") > F.col("stay") + 1e-12), F.col("best")).otherwise(F.col("label")).alias("label"), F.col("label").alias("was"))
+            best = x.withColumn("gain", gain).filter(~own).groupBy("id").agg(F.max_by("to", F.struct("gain", -F.col("to"))).alias("best"), F.max("gain").alias("g"))
+            kept = x.filter(own).select(F.col("id").alias("i2"), F.col("w").alias("w_own"))
+            at = lab.join(tot, "label").join(best, "id", "left").join(kept, F.col("id") == F.col("i2"), "left")
+            stay = F.coalesce("w_own", F.lit(0.0)) - gamma * F.col("k") * (F.col("tot") - F.col("k")) / (2 * total)
+            may = F.pmod(F.xxhash64("id", F.lit(r // CLASSES)), F.lit(CLASSES)) == r % CLASSES
+            new = at.select("id", "k", F.when(may & (F.col("g") > stay + 1e-12), F.col("best")).otherwise(F.col("label")).alias("label"), F.col("label").alias("was"))
             new = materialise(new, "lv-lab")
             changed = not new.filter("label <> was").isEmpty()
             moved |= changed
+            busy |= changed
             lab = new.select("id", "k", "label")
+            if r % CLASSES == CLASSES - 1:  # every node had its turn
+                if not busy:
+                    break
+                busy = False
         if not moved:
             break
         member = materialise(member.join(lab.select(F.col("id").alias("label"), F.col("label").alias("up")), "label", "left").select("id", F.coalesce("up", "label").alias("label")), "lv-member")

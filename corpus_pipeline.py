@@ -21,13 +21,13 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
     model = quality.fit_on(docs, _labels(spark, sf_dir), labelled.fold("doc_id", 3) != 1)
-    return quality.score(docs, model).filter("predicted = 1").select(*docs.columns)
+    return quality.keep(docs, model, 1)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier does not reject."""
     model = toxicity.fit_on(docs, _labels(spark, sf_dir), labelled.fold("doc_id", 5) != 0)
-    return toxicity.score(docs, model).filter("predicted = 0").select(*docs.columns)
+    return toxicity.keep(docs, model, 0)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -118,9 +118,8 @@ def fingerprints(docs: DataFrame, segment_chars: int = SEGMENT_CHARS) -> DataFra
     by a JVM-side aggregate; a short text is one segment.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    parts = docs.select(
-        F.monotonically_increasing_id().alias("row_id"), "doc_id", F.sha2(text, 256).alias("text_sha256"), F.posexplode(_segments(text, segment_chars)).alias("seg", "part")
-    )
+    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", text.alias("text"))  # numbered before segments become rows
+    parts = rows.select("row_id", "doc_id", F.sha2("text", 256).alias("text_sha256"), F.posexplode(_segments(F.col("text"), segment_chars)).alias("seg", "part"))
     schema = T.StructType(
         [
             T.StructField("row_id", T.LongType()), docs.schema["doc_id"], T.StructField("text_sha256", T.StringType()), T.StructField("seg", T.IntegerType()),
@@ -192,8 +191,9 @@ def exact_duplicates(docs: DataFrame, segment_chars: int = SEGMENT_CHARS) -> Dat
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` without all but one row of each group of identical texts; columns as they were."""
-    kept = exact_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    mine = docs.withColumn("_mine", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
-    both = mine.join(kept, mine.doc_id.eqNullSafe(kept._id) & (mine._mine == kept._sha))
-    once = Window.partitionBy("_id", "_sha").orderBy(F.lit(0))
-    return both.withColumn("_nth", F.row_number().over(once)).filter("_nth = 1").select(*docs.columns)
+    kept = exact_duplicates(docs).filter("kept").select("doc_id", "text_sha256")
+    rows = docs.select(F.struct("*").alias("row"))  # packed, so that no column of theirs can clash
+    mine = rows.withColumn("sha", F.sha2(F.coalesce(F.col("row.text"), F.lit("")), 256))
+    both = mine.join(kept, F.col("row.doc_id").eqNullSafe(kept.doc_id) & (F.col("sha") == kept.text_sha256))
+    once = Window.partitionBy("doc_id", "text_sha256").orderBy(F.lit(0))
+    return both.withColumn("nth", F.row_number().over(once)).filter("nth = 1").select("row.*")

@@ -303,5 +303,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Rows that repeat a doc_id share its fate; run exact de-duplication first where ids repeat.
     """
-    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    kept = near_duplicates(docs).filter("kept").select("doc_id").distinct()
+    rows = docs.select(F.struct("*").alias("row"))  # packed, so that no column of theirs can clash
+    return rows.join(kept, F.col("row.doc_id").eqNullSafe(kept.doc_id), "left_semi").select("row.*")

@@ -187,7 +187,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, used: Column, label: str = "quali
 
 
 def score(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """``docs`` (all columns) with score and predicted. The broadcast model is 16 MB, a fixed size."""
+    """``docs`` with score and predicted, in place of columns of those names. The broadcast model is 16 MB, a fixed size."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
@@ -199,5 +199,11 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
             p = m.probability(x)
             yield pd.DataFrame({"score": p, "predicted": (p >= 0.5).astype(np.int32)})
 
-    got = docs.withColumn("_scored", scored(F.coalesce(F.col("text"), F.lit(""))))
-    return got.select(*docs.columns, F.col("_scored.score").alias("score"), F.col("_scored.predicted").alias("predicted"))
+    got = docs.select(F.struct("*").alias("row"), scored(F.coalesce(F.col("text"), F.lit(""))).alias("made"))
+    return got.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("score", "predicted")], "made.score", "made.predicted")
+
+
+def keep(docs: DataFrame, model: QualityModel, predicted: int) -> DataFrame:
+    """The rows of ``docs`` that the model predicts so; columns as they were."""
+    rows = docs.select("doc_id", "text", F.struct("*").alias("row"))
+    return score(rows, model).filter(F.col("predicted") == predicted).select("row.*")

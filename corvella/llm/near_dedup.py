@@ -1,15 +1,16 @@
 """Near duplicates by DartMinHash signatures, banding and exact verification.
 
-A document is the weighted set of its five-word shingles (lower case, split at white space; a shorter
-text is one shingle), each weighted by its count. Darts are thrown at (weight, rank) regions: every
-unit of weight of every element has its own stream of darts, a Poisson process over rank drawn from
-hashes of (element, unit, dart number) alone, so equal regions receive equal darts in any document. A
-dart counts if it lies below the element's weight and the document's rank limit. Each dart belongs to
-one of ``COORDINATES`` coordinates, and a coordinate keeps its earliest dart: two signatures agree in a
-coordinate with the probability of the weighted Jaccard similarity. The expected number of darts per
-document depends on ``COORDINATES`` only; the limit is doubled where a coordinate stayed empty.
-
-Documents of one shingle multiset are one vertex. Vertices meet in buckets of ``ROWS`` coordinates.
+A document is the set of its five-word shingles (lower case, split at white space; a shorter text is
+one shingle). Darts are thrown at (weight, rank) regions: every unit of weight of every element has its
+own stream of darts, a Poisson process over rank drawn from hashes of (element, unit, dart number)
+alone, so equal regions receive equal darts in any document. A dart counts if it lies below the
+element's weight and the document's rank limit. Each dart belongs to one of ``COORDINATES`` coordinates,
+and a coordinate keeps its earliest dart: two signatures agree in a coordinate with the probability of
+the weighted Jaccard similarity. Every shingle has weight 1 however often it occurs, so this is the
+similarity of sets by which pairs are verified. The expected number of darts per document depends on
+``COORDINATES`` only; the limit is doubled where a coordinate stayed empty.
+
+Documents of one shingle set are one vertex. Vertices meet in buckets of ``ROWS`` coordinates.
 Small buckets give all their pairs; in a large one every member is compared with a few members that meet
 most others, and members which that does not place in the first one's component are then compared with
 the whole bucket, block against block, of which only links that connect something are returned. No
@@ -66,8 +67,8 @@ class WordHashes(dict):
         return h
 
 
-def shingles(texts: list[str], known: WordHashes, k: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, shingle hash, count), sorted by document and hash, of all texts at once."""
+def shingles(texts: list[str], known: WordHashes, k: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """(document, distinct shingle hash), sorted by document and hash, of all texts at once."""
     words = [t.lower().split() for t in texts]
     n = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     flat = np.fromiter((h for w in words for h in map(known.__getitem__, w)), dtype=np.uint64, count=int(n.sum()))
@@ -85,8 +86,7 @@ def shingles(texts: list[str], known: WordHashes, k: int = SHINGLE_WORDS) -> tup
     order = np.lexsort((h, who))
     who, h = who[order], h[order]
     new = np.append(True, (who[1:] != who[:-1]) | (h[1:] != h[:-1])) if len(h) else np.zeros(0, bool)
-    starts = np.flatnonzero(new)
-    return who[starts], h[starts], np.diff(np.append(starts, len(h)))
+    return who[new], h[new]
 
 
 def _unit(h: np.ndarray) -> np.ndarray:
@@ -149,10 +149,10 @@ def _batches(texts: list[str], size: int = 1 << 20) -> Iterator[tuple[int, list[
         lo = hi
 
 
-def _vertices(doc: np.ndarray, element: np.ndarray, count: np.ndarray, n: int) -> list[bytes | None]:
-    """md5 of each document's shingle multiset, None without shingles."""
+def _vertices(doc: np.ndarray, element: np.ndarray, n: int) -> list[bytes | None]:
+    """md5 of each document's shingle set, None without shingles."""
     cuts = np.searchsorted(doc, np.arange(n + 1)).tolist()
-    return [hashlib.md5(element[a:b].tobytes() + count[a:b].tobytes()).digest() if b > a else None for a, b in zip(cuts, cuts[1:], strict=False)]
+    return [hashlib.md5(element[a:b].tobytes()).digest() if b > a else None for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def sketch(docs: DataFrame) -> DataFrame:
@@ -163,9 +163,9 @@ def sketch(docs: DataFrame) -> DataFrame:
         known = WordHashes()
         for f in frames:
             for lo, texts in _batches(f["text"].tolist()):
-                doc, element, count = shingles(texts, known)
-                keys = band_keys(dart_signatures(doc, element, count.astype(np.float64), len(texts)))
-                yield pd.DataFrame({"doc_id": f["doc_id"].iloc[lo : lo + len(texts)].array, "vertex": _vertices(doc, element, count, len(texts)), "keys": list(keys)})
+                doc, element = shingles(texts, known)
+                keys = band_keys(dart_signatures(doc, element, np.ones(len(doc)), len(texts)))
+                yield pd.DataFrame({"doc_id": f["doc_id"].iloc[lo : lo + len(texts)].array, "vertex": _vertices(doc, element, len(texts)), "keys": list(keys)})
 
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, schema)
 
@@ -177,9 +177,9 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         known = WordHashes()
         for f in frames:
             for lo, texts in _batches(f["text"].tolist()):
-                doc, element, count = shingles(texts, known)
+                doc, element = shingles(texts, known)
                 cuts = np.searchsorted(doc, np.arange(len(texts) + 1)).tolist()
-                is_it = [a == b for a, b in zip(_vertices(doc, element, count, len(texts)), f["vertex"].iloc[lo : lo + len(texts)], strict=True)]
+                is_it = [a == b for a, b in zip(_vertices(doc, element, len(texts)), f["vertex"].iloc[lo : lo + len(texts)], strict=True)]
                 sets = [np.unique((element[a:b] >> np.uint64(32)).astype("<u4")).tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
                 got = pd.DataFrame({"vertex": f["vertex"].iloc[lo : lo + len(texts)].array, "elements": sets})
                 yield got[is_it]

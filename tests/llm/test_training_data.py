@@ -184,6 +184,23 @@ def test_near_duplicates_against_brute_force(spark):
     assert sum(r.kept for r in got) == len({top(i) for i in range(len(texts))})
 
 
+def test_repeated_passages_are_near_duplicates(spark):
+    r = random.Random(8)
+    texts, want = [], {}
+    for k in range(24):
+        body = [f"{k}w{r.randrange(10**6)}" for _ in range(120)]
+        line = [f"{k}line{i}" for i in range(12)]
+        forms = [body * (1 + k % 3), body] if k < 12 else [body + line * 15, body + line]
+        want |= {len(texts) + i: len(texts) for i in range(2)}
+        texts += [" ".join(f) for f in forms]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    for i in range(len(texts)):
+        for j in range(i):
+            assert (len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])) == (want[i] == want[j])
+    got = near_dedup.near_duplicates(docs_of(spark, texts)).collect()
+    assert {x.doc_id: x.class_id for x in got} == want
+
+
 def test_darts_estimate_weighted_similarity():
     doc = np.array([0] * 40 + [1] * 40)
     e = np.concatenate([np.arange(40), np.arange(10, 50)]).astype(np.uint64)

@@ -15,6 +15,7 @@ from corvella.plans.components import components
 from corvella.plans.storage import materialise
 
 CUT_EVERY = 3
+MOST_HOPS = 10_000  # a graph deeper than this is an error, never a shorter result
 CLASSES = 4
 
 
@@ -101,8 +102,11 @@ def eigenvector(edges: DataFrame, rounds: int = 30) -> DataFrame:
     return x
 
 
-def distances(edges: DataFrame, sources: DataFrame, most: int = 32, directed: bool = False) -> DataFrame:
-    """(source, id, dist, paths): breadth-first from all ``sources`` (id) at once, with shortest-path counts."""
+def distances(edges: DataFrame, sources: DataFrame, most: int = MOST_HOPS, directed: bool = False) -> DataFrame:
+    """(source, id, dist, paths): breadth-first from all ``sources`` (id) at once, with shortest-path counts.
+
+    Ends when no vertex is new; vertices further than ``most`` hops away raise an error.
+    """
     e = materialise((edges if directed else both_ways(edges)).select("src", "dst").distinct(), "bfs-edges")
     front = sources.select(F.col("id").alias("source"), "id", F.lit(0).alias("dist"), F.lit(1).cast("double").alias("paths"))
     seen = materialise(front, "bfs")
@@ -111,11 +115,13 @@ def distances(edges: DataFrame, sources: DataFrame, most: int = 32, directed: bo
         step = front.join(e, front.id == e.src).groupBy("source", F.col("dst").alias("id")).agg(F.sum("paths").alias("paths")).join(seen.select("source", "id"), ["source", "id"], "left_anti")
         front = materialise(step.select("source", "id", F.lit(d).alias("dist"), "paths"), "bfs-front")
         if front.isEmpty():
-            break
+            return seen
         seen = seen.union(front)
         if d % 4 == 0:
             seen = materialise(seen, "bfs")
-    return seen
+    if front.join(e, front.id == e.src).select("source", F.col("dst").alias("id")).join(seen, ["source", "id"], "left_anti").isEmpty():
+        return seen
+    raise RuntimeError(f"vertices are more than {most} hops away")
 
 
 def closeness(dist: DataFrame, n: int) -> DataFrame:
@@ -131,7 +137,7 @@ def eccentricities(dist: DataFrame) -> DataFrame:
     return g.join(F.broadcast(r)).select("id", "eccentricity", (F.col("eccentricity") == F.col("radius")).alias("is_center"), (F.col("eccentricity") == F.col("diameter")).alias("is_periphery"))  # one row
 
 
-def betweenness(edges: DataFrame, sources: DataFrame, most: int = 32) -> DataFrame:
+def betweenness(edges: DataFrame, sources: DataFrame, most: int = MOST_HOPS) -> DataFrame:
     """Unnormalised betweenness over the given sources (G6): Brandes' backward sums, one level at a time for all sources."""
     e = both_ways(edges).select("src", "dst").distinct()
     d = materialise(distances(edges, sources, most), "bw-dist")
@@ -153,37 +159,37 @@ def betweenness(edges: DataFrame, sources: DataFrame, most: int = 32) -> DataFra
     return v.withColumn("betweenness", F.lit(0.0)) if out is None else v.join(out, "id", "left").select("id", F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"))
 
 
-def strongly_connected(edges: DataFrame, most: int = 64) -> DataFrame:
-    """(id, component): forward colours by smallest id, then backward search within each colour, until none are left."""
+def _smallest_above(edges: DataFrame, ids: DataFrame, most: int) -> DataFrame:
+    """(id, c): the smallest id from which each of ``ids`` can be reached; labels of labels shorten long paths."""
+    lab = ids.select("id", F.col("id").alias("c"))
+    for _ in range(most):
+        near = edges.join(lab, edges.src == lab.id).groupBy("dst").agg(F.min("c").alias("m"))
+        lower = materialise(lab.join(near, lab.id == near.dst, "left").select("id", F.least("c", F.coalesce("m", "c")).alias("c"), F.col("c").alias("was")), "scc-lower")
+        if lower.filter("c <> was").isEmpty():
+            return lower.select("id", "c")
+        up = lower.select(F.col("id").alias("up"), F.col("c").alias("top"))
+        lab = materialise(lower.join(up, lower.c == up.up).select("id", F.col("top").alias("c")), "scc-labels")
+    raise RuntimeError("components did not settle")
+
+
+def strongly_connected(edges: DataFrame, most: int = MOST_HOPS) -> DataFrame:
+    """(id, component): smallest id above (forward) and, within its colour, below (backward); where both are one, that is
+    the component. The rest is split by both and done again, until none are left (G8)."""
     left = materialise(edges.select("src", "dst").filter("src <> dst").distinct(), "scc-edges")
     todo = materialise(vertices(edges), "scc-todo")
     done = None
     for _ in range(most):
-        colour = materialise(todo.withColumn("c", F.col("id")), "scc-colour")
-        for _ in range(most):
-            near = left.join(colour, left.src == colour.id).groupBy("dst").agg(F.min("c").alias("m"))
-            new = materialise(colour.join(near, colour.id == near.dst, "left").select("id", F.least("c", F.coalesce("m", "c")).alias("c"), F.col("c").alias("was")), "scc-colour")
-            changed = not new.filter("c <> was").isEmpty()
-            colour = new.select("id", "c")
-            if not changed:
-                break
-        same = left.join(colour.select(F.col("id").alias("src"), F.col("c").alias("cs")), "src").join(colour.select(F.col("id").alias("dst"), F.col("c").alias("cd")), "dst").filter("cs = cd").select("src", "dst")
+        above = _smallest_above(left, todo, most)
+        same = left.join(above.select(F.col("id").alias("src"), F.col("c").alias("cs")), "src").join(above.select(F.col("id").alias("dst"), F.col("c").alias("cd")), "dst").filter("cs = cd").select("src", "dst")
         same = materialise(same, "scc-same")
-        front = colour.filter("id = c").select("id", "c")
-        back = materialise(front, "scc-back")
-        front = back
-        for _ in range(most):
-            step = same.join(front, same.dst == front.id).select(F.col("src").alias("id"), "c").distinct().join(back.select("id"), "id", "left_anti")
-            front = materialise(step, "scc-front")
-            if front.isEmpty():
-                break
-            back = materialise(back.union(front), "scc-back")
-        found = back.select("id", F.col("c").alias("component"))
+        below = _smallest_above(same.select(F.col("dst").alias("src"), F.col("src").alias("dst")), todo, most)
+        ends = materialise(above.join(below.withColumnRenamed("c", "b"), "id"), "scc-ends")
+        found = ends.filter("c = b").select("id", F.col("c").alias("component"))
         done = found if done is None else done.union(found)
-        todo = materialise(todo.join(back.select("id"), "id", "left_anti"), "scc-todo")
+        todo = ends.filter("c <> b").select("id", "b")
         if todo.isEmpty():
             return done
-        left = materialise(same.join(todo.select(F.col("id").alias("src")), "src", "left_semi").join(todo.select(F.col("id").alias("dst")), "dst", "left_semi"), "scc-edges")
+        left = materialise(same.join(todo.select(F.col("id").alias("src"), F.col("b").alias("bs")), "src").join(todo.select(F.col("id").alias("dst"), F.col("b").alias("bd")), "dst").filter("bs = bd").select("src", "dst"), "scc-edges")
     raise RuntimeError("components did not settle")
 
 

@@ -83,6 +83,21 @@ def test_components_chain_and_loops(spark):
     assert got[40] == 0 and got[100] == 100 and len(got) == 42
 
 
+def test_long_chain_distances(spark):
+    e = spark.createDataFrame([(i, i + 1) for i in range(36)], "src long, dst long")
+    d = graph.distances(e, spark.createDataFrame([(0,)], "id long"))
+    assert {r.id: (r.dist, r.paths) for r in d.collect()} == {i: (i, 1.0) for i in range(37)}
+    with pytest.raises(RuntimeError):
+        graph.distances(e, spark.createDataFrame([(0,)], "id long"), most=3)
+
+
+def test_strong_components_of_a_long_cycle(spark):
+    cycle = [(i, i % 70 + 1) for i in range(1, 71)]
+    e = spark.createDataFrame([*cycle, (70, 300), (300, 301), (400, 401), (401, 400), (500, 500)], "src long, dst long")
+    got = {r.id: r.component for r in graph.strongly_connected(e).collect()}
+    assert got == {i: 1 for i in range(1, 71)} | {300: 300, 301: 301, 400: 400, 401: 400, 500: 500}
+
+
 def test_bursts_from_history(spark):
     h = {2018: 2, 2019: 3, 2020: 2, 2021: 25, 2022: 40, 2023: 18, 2024: 5}
     d = spark.createDataFrame([("p", y, c) for y, c in h.items()], "entity string, year int, count int")

@@ -15,6 +15,7 @@ from corvella.plans.components import components
 from corvella.plans.storage import materialise
 
 CUT_EVERY = 3
+MOST_ROUNDS = 201
 MOST_HOPS = 10_000  # a graph deeper than this is an error, never a shorter result
 CLASSES = 4
 
@@ -36,8 +37,12 @@ def degrees(edges: DataFrame) -> DataFrame:
     return d.join(F.broadcast(n)).withColumn("centrality", F.when(F.col("n") > 1, F.col("degree") / (F.col("n") - 1)).otherwise(0.0)).drop("n")  # one row
 
 
-def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 50, tol: float = 1e-6, personal: DataFrame | None = None, weighted: bool = False) -> DataFrame:
-    """(id, rank) by power iteration; dangling mass goes where restarts go (G2). ``personal``: id, share (sums to 1)."""
+def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int | None = None, tol: float = 1e-6, personal: DataFrame | None = None, weighted: bool = False) -> DataFrame:
+    """(id, rank) by power iteration; dangling mass goes where restarts go (G2). ``personal``: id, share (sums to 1).
+
+    Ends when the L1 change is below ``tol``, whatever the number of vertices; an error if that takes more than ``MOST_ROUNDS``.
+    ``rounds``: end after so many at the latest, settled or not.
+    """
     w = F.col("weight") if weighted else F.lit(1.0)
     out = edges.groupBy("src").agg(F.sum(w).alias("out"))
     steps = materialise(edges.groupBy("src", "dst").agg(F.sum(w).alias("w")).join(out, "src").select("src", "dst", (F.col("w") / F.col("out")).alias("p")), "pr-steps")
@@ -46,16 +51,19 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 50, tol: float
     base = v.join(personal, "id", "left").select("id", F.coalesce("share", F.lit(0.0)).alias("share")) if personal is not None else v.withColumn("share", F.lit(1.0 / n))
     base = materialise(base.join(out.select(F.col("src").alias("id"), F.lit(False).alias("dangles")), "id", "left").select("id", "share", F.coalesce("dangles", F.lit(True)).alias("dangles")), "pr-base")
     ranks = base.select("id", "share", "dangles", F.lit(1.0 / n).alias("rank"))
-    for k in range(rounds):
+    for k in range(MOST_ROUNDS if rounds is None else rounds):
         lost = ranks.agg(F.coalesce(F.sum(F.when(F.col("dangles"), F.col("rank"))), F.lit(0.0)).alias("lost"))
         got = steps.join(ranks.select(F.col("id").alias("src"), "rank"), "src").groupBy("dst").agg(F.sum(F.col("p") * F.col("rank")).alias("got"))
         new = ranks.join(got, ranks.id == got.dst, "left").join(F.broadcast(lost))  # one row
         ranks = new.select("id", "share", "dangles", F.col("rank").alias("was"), (alpha * (F.coalesce("got", F.lit(0.0)) + F.col("lost") * F.col("share")) + (1 - alpha) * F.col("share")).alias("rank"))
-        if k % CUT_EVERY == CUT_EVERY - 1 or k == rounds - 1:
+        if k % CUT_EVERY == CUT_EVERY - 1 or k + 1 == rounds:
             ranks = materialise(ranks, "pr-ranks")
-            if ranks.agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0] < n * tol:
+            if ranks.agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0] < tol:
                 break
         ranks = ranks.select("id", "share", "dangles", "rank")
+    else:
+        if rounds is None:
+            raise RuntimeError("ranks did not settle")
     return ranks.select("id", "rank")
 
 

@@ -45,7 +45,7 @@ def g2(v):
     return G.pagerank(v.cites, rounds=6, tol=0).select("id", F.round(C("rank") * 1000, 6).alias("rank"))
 
 
-R.add("g2_personalised_pagerank")(lambda v: rounded(G.pagerank(strong(v), rounds=9, weighted=True, personal=v.spark.createDataFrame([(1, 1.0)], "id long, share double"))))
+R.add("g2_personalised_pagerank")(lambda v: rounded(G.pagerank(strong(v), weighted=True, personal=v.spark.createDataFrame([(1, 1.0)], "id long, share double"))))
 
 
 @R.add("g3_hits", "cites", "WITH e AS (SELECT src, dst FROM cites), v AS (SELECT src AS id FROM e UNION SELECT dst FROM e), h0 AS (SELECT id, 1.0 / (SELECT count(*) FROM v) AS h FROM v), a1 AS (SELECT dst AS id, sum(h) AS a FROM e JOIN h0 ON id = src GROUP BY 1), b1 AS (SELECT src AS id, sum(a) AS h FROM e JOIN a1 ON id = dst GROUP BY 1), t1 AS (SELECT (SELECT sum(h) FROM b1) AS th), h1 AS (SELECT v.id, coalesce(h, 0) / th AS h FROM v LEFT JOIN b1 USING (id), t1), a2 AS (SELECT dst AS id, sum(h) AS a FROM e JOIN h1 ON id = src GROUP BY 1), b2 AS (SELECT src AS id, sum(a) AS h FROM e JOIN a2 ON id = dst GROUP BY 1) SELECT v.id, round(1000 * coalesce(h, 0) / (SELECT sum(h) FROM b2), 6) AS hub, round(1000 * coalesce(a, 0) / (SELECT sum(a) FROM a2), 6) AS authority FROM v LEFT JOIN b2 USING (id) LEFT JOIN a2 USING (id)")
@@ -273,7 +273,7 @@ R.add("g34_spectral_groups")(lambda v: G.spectral_groups(strong(v), 3))
 def m4(v):
     p = v.papers.filter("year BETWEEN 1996 AND 2000")
     e = v.cites.join(p.select(C("paper_id").alias("src")), "src", "left_semi").join(p.select(C("paper_id").alias("dst")), "dst", "left_semi")
-    r = G.pagerank(e, rounds=12).join(p.select(C("paper_id").alias("id"), "journal"), "id")
+    r = G.pagerank(e).join(p.select(C("paper_id").alias("id"), "journal"), "id")
     n = p.groupBy("journal").agg(F.count(F.lit(1)).alias("n"))
     ef = r.groupBy("journal").agg((F.sum("rank") * 100).alias("eigenfactor")).join(n, "journal")
     return rounded(ef.select("journal", "eigenfactor", (C("eigenfactor") / (0.01 * C("n"))).alias("article_influence")))
@@ -284,7 +284,7 @@ def m5(v):
     j = v.papers.select("paper_id", "journal")
     x = v.cites.join(j.select(C("paper_id").alias("src"), C("journal").alias("js")), "src").join(j.select(C("paper_id").alias("dst"), C("journal").alias("jd")), "dst").filter("js <> jd")
     e = x.groupBy(C("js").alias("src"), C("jd").alias("dst")).agg(F.count(F.lit(1)).alias("weight"))
-    return rounded(G.pagerank(e, 0.9, rounds=12, weighted=True).select(C("id").alias("journal"), (C("rank") * 1000).alias("sjr")))
+    return rounded(G.pagerank(e, 0.9, weighted=True).select(C("id").alias("journal"), (C("rank") * 1000).alias("sjr")))
 
 
 @R.add("k6_turning_points")

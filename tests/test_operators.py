@@ -83,6 +83,17 @@ def test_components_chain_and_loops(spark):
     assert got[40] == 0 and got[100] == 100 and len(got) == 42
 
 
+def test_pagerank_settles_whatever_the_size(spark):
+    e = spark.createDataFrame([(i, i + 1) for i in range(7)] + [(7, 0), (0, 3)], "src long, dst long")
+    out, rank, tol = {i: [i + 1] for i in range(7)} | {7: [0]}, [1 / 8] * 8, 0.01
+    out[0] = [1, 3]
+    for _ in range(500):
+        rank = [0.15 / 8 + 0.85 * sum(rank[j] / len(out[j]) for j in out if i in out[j]) for i in range(8)]
+    got = {r.id: r.rank for r in graph.pagerank(e, tol=tol).collect()}
+    # a change below tol leaves at most tol * alpha / (1 - alpha); tested against n * tol it ended sooner
+    assert sum(abs(got[i] - rank[i]) for i in range(8)) < tol * 0.85 / 0.15
+
+
 def test_long_chain_distances(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(36)], "src long, dst long")
     d = graph.distances(e, spark.createDataFrame([(0,)], "id long"))

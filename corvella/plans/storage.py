@@ -1,16 +1,18 @@
 """Lineage cuts that survive lost executors: Parquet tables in the cluster's shared folder.
 
-The folder is the session's ``spark.checkpoint.dir``. Only where that is unset (tests, notebooks)
-is a folder chosen here.
+The folder is the session's ``spark.checkpoint.dir``. Only where that is unset and the master is local
+(tests, notebooks) is a folder chosen here; on a cluster a missing setting is an error, as executors and
+driver would not see each other's files. ``clear`` removes what a session wrote.
 """
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-DEFAULT_SHARED = "file:///tmp/checkpoints/corvella"
+_WRITTEN: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -18,15 +20,19 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
-        sc.setCheckpointDir(DEFAULT_SHARED)
-        found = DEFAULT_SHARED
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset: a cluster needs a folder that driver and executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='corvella-')}"
+        sc.setCheckpointDir(found)
     found = found.rstrip("/")
     return found if ":" in found.split("/")[0] else f"file://{found}"
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -35,3 +41,14 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = fresh_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete the tables and files that this application wrote; call it once their results are stored elsewhere."""
+    jvm = spark.sparkContext._jvm
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for p in paths:
+        at = jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(hadoop).delete(at, True)
+    return len(paths)

@@ -16,11 +16,13 @@ documents, no pieces; repeated rows and ids are documents of their own; other co
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -177,17 +179,17 @@ class Places:
         return self.base[at] + rank - self.start[at], self.offset[at]
 
 
-def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID, special_as_text: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32. Only longer documents are cut."""
     schema = T.StructType([docs.schema["doc_id"], T.StructField("piece", T.IntegerType()), *(T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32"))])
     end = np.array([end_id], dtype="<u4").tobytes()
 
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(vocabulary)
-        for f in frames:
-            owner, piece, start, length, crc = [], [], [], [], []
-            for i, text in enumerate(f["text"]):
-                raw = encode(text) + end
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(vocabulary, special_as_text)
+        for f in batches:
+            owner, piece, start, length, crc = (array("q") for _ in range(5))
+            for i, ids in enumerate(encode.batch(f.column("text"))):
+                raw = memoryview(ids + end)
                 n = len(raw) // 4
                 a, b, p = 0, n % capacity or min(n, capacity), 0
                 while a < n:
@@ -197,31 +199,38 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end
                     length.append(b - a)
                     crc.append(zlib.crc32(raw[4 * a : 4 * b]))
                     a, b, p = b, b + capacity, p + 1
-            yield pd.DataFrame({"doc_id": f["doc_id"].iloc[owner].array, "piece": piece, "start": start, "length": length, "ids_crc32": crc})
+            columns = [pa.array(np.asarray(x, dtype=np.int64)) for x in (piece, start, length, crc)]
+            yield pa.RecordBatch.from_arrays([f.column("doc_id").take(pa.array(np.asarray(owner, dtype=np.int64))), columns[0].cast(pa.int32()), *columns[1:]], names=schema.names)
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(cut, schema)
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(cut, schema)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``pieces`` (any columns; a stored table, as it is read twice) with sequence_id and offset."""
+    """``pieces`` (any columns; a stored table, as it is read twice) with sequence_id and offset.
+
+    Ranks within a length come from a hash of the row: chunks of equal length and hash hold about
+    ``RANK_CHUNK_ROWS`` pieces, and are numbered from the counts of the chunks before them.
+    """
     counts = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in pieces.groupBy("length").count().collect():  # at most ``capacity`` rows
         counts[length] = n
     places = Places(plan_patterns(counts), capacity)
     chunks = 1 + int(counts.max()) // RANK_CHUNK_ROWS
-    rows = pieces.withColumn("chunk", F.pmod(F.xxhash64(*pieces.columns), F.lit(chunks)))
+    at, row = F.col("length"), F.col("row")  # the row travels packed, so that no column of its own can clash
+    rows = pieces.select("length", F.pmod(F.xxhash64(*pieces.columns), F.lit(chunks)).alias("chunk"), F.struct(*pieces.columns).alias("row"))
     before = Window.partitionBy("length").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     bases = rows.groupBy("length", "chunk").agg(F.count(F.lit(1)).alias("n")).select("length", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    order = Window.partitionBy("length", "chunk").orderBy(*pieces.columns)
-    ranked = rows.withColumn("nth", F.row_number().over(order)).join(bases, ["length", "chunk"]).withColumn("rank", F.col("base") + F.col("nth") - 1)
-    schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    order = Window.partitionBy("length", "chunk").orderBy("row")
+    ranked = rows.withColumn("nth", F.row_number().over(order)).join(bases, ["length", "chunk"]).select(at, (F.col("base") + F.col("nth") - 1).alias("rank"), row)
+    made = T.StructType([T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
-    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            sequence, offset = places(f["length"].to_numpy(np.int64), f.pop("rank").to_numpy(np.int64))
-            yield f.assign(sequence_id=sequence, offset=offset)
+    @F.pandas_udf(made)
+    def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
+        sequence, offset = places(length.to_numpy(np.int64), rank.to_numpy(np.int64))
+        return pd.DataFrame({"sequence_id": sequence, "offset": offset})
 
-    return ranked.select(*pieces.columns, "rank").mapInPandas(place, schema)
+    put = ranked.select("row", place(F.col("length").cast("long"), F.col("rank").cast("long")).alias("put"))
+    return put.select(*[F.col("row").getField(c).alias(c) for c in pieces.columns], "put.sequence_id", "put.offset")
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:

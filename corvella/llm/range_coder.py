@@ -1,11 +1,16 @@
 """Adaptive context-mixing range coder for token ids, in blocks that are reset and checksummed.
 
-Each id is coded under a mixture of three predictions: the id last seen after the same two ids
-(order 2), after the same id (order 1), and adaptive counts of all ids of the block so far (order 0).
-The mixture's weights are learned per confidence of the two context predictions, and drive a 48-bit
-range coder with 16-bit output. A block holds up to ``BLOCK`` ids and starts from an empty model, so
-any block can be decoded alone. Blocks are coded in lockstep, one lane each: every array operation
-advances all lanes by one id, and encoder and decoder share the model's code.
+An id is first coded as one of four events: it is the id last seen after the same two ids (order 2), the one
+last seen after the same id (order 1), another id of the block so far (order 0), or none of these. The mixture of
+the four is learned per confidence of the two context predictions. An order-0 id is coded by its share of the
+block up to the last snapshot; any other by a fixed curve that falls with the id, as vocabularies number
+frequent ids first. All of it drives a 48-bit range coder with 16-bit output. A block holds up to ``BLOCK`` ids
+and starts from an empty model, so any block can be decoded alone.
+
+Blocks are coded in lockstep, one lane each: every array operation advances all lanes by one id, and encoder and
+decoder share the model. A snapshot is the sorted list of a lane's ids: a drawn place in it names
+the id, and the id's first place and number of places are its interval, so that nothing is searched
+in decoding and no table is as wide as the alphabet.
 """
 
 from __future__ import annotations
@@ -15,223 +20,281 @@ import zlib
 
 import numpy as np
 
-BLOCK = 8192
-LANES = 512
-SLOT_BITS = 12
+BLOCK = 2048
+LANES = 4096
+SLOT_BITS = 10
 WEIGHT_BITS = 12
 ADAPT = 5
-TOTAL = 1 << 20
-FIRST_COUNTS = 64
+SNAPSHOTS = (16, 32, 64, 128, 256, 512, 1024, 1536)  # then each half as many again
+CURVE_BITS = 20
 HEADER = struct.Struct("<III")  # ids, payload bytes, crc32 of the ids as little-endian unsigned 32-bit integers
-BOTTOM = np.uint64(1 << 32)
-MASK32 = np.uint64((1 << 32) - 1)
-S16, S32, S48 = np.uint64(16), np.uint64(32), np.uint64(48)
+BITS = 48  # doubles hold all values exactly
+WHOLE, BOTTOM = np.uint64((1 << BITS) - 1), np.uint64(1 << (BITS - 16))
+UNDER = BOTTOM - np.uint64(1)
+S16, TOP, OVER, SW, SC = (np.uint64(k) for k in (16, BITS - 16, BITS, WEIGHT_BITS, CURVE_BITS))
+HEAD_WORDS = BITS // 16
+
+
+def fixed_curve(alphabet: int) -> np.ndarray:
+    """Cumulative counts of ids 0..alphabet-1 that fall as 1 / (id + 64); at least 1 each, ``1 << CURVE_BITS`` in all."""
+    total = (1 << CURVE_BITS) - alphabet
+    falling = np.cumsum(1.0 / (np.arange(alphabet) + 64))
+    return np.concatenate([[0], np.floor(falling / falling[-1] * total).astype(np.int64) + np.arange(1, alphabet + 1)]).astype(np.uint32)
+
+
+# What an event's weights move towards: cumulative counts of the four events, each keeping at least 16 of 4096.
+# Steps of a 32nd of the way, rounded down, never bring two of them closer than 16.
+# Four 16-bit weights travel as one 64-bit number, so that a lane's are read and written at once.
+_GOALS = np.array([[16 * k + ((1 << WEIGHT_BITS) - 64) * (k > e) for k in range(4)] for e in range(4)], dtype=np.int16).view(np.uint64).ravel()
+_START = np.array([k << (WEIGHT_BITS - 2) for k in range(4)], dtype=np.int16).view(np.uint64)
 
 
 class Model:
-    """State of ``lanes`` blocks. ``alphabet``: ids are below it (at most 65,536)."""
+    """State of ``lanes`` blocks; ids are below 65,536."""
 
-    def __init__(self, lanes: int, alphabet: int):
-        self.lanes, self.alphabet = lanes, alphabet
+    def __init__(self, lanes: int):
         self.row = np.arange(lanes, dtype=np.int64)
-        self.slot_base = self.row << SLOT_BITS
-        self.order2 = np.zeros(lanes << SLOT_BITS, dtype=np.int64)  # id + (confidence << 16)
-        self.order1 = np.zeros(lanes << SLOT_BITS, dtype=np.int64)
-        full = 1 << WEIGHT_BITS
-        self.weight = np.tile(np.array([full // 4, full // 4, full - 2 * (full // 4)], dtype=np.int64), (lanes * 32, 1))
-        self.weight_base = self.row << 5
-        self.counts = np.zeros((lanes, alphabet), dtype=np.uint16)
-        self.flat_counts = self.counts.reshape(-1)
-        self.count_base = self.row * alphabet
-        self.cum = np.empty((lanes, alphabet + 1), dtype=np.uint32)
-        self.flat_cum = self.cum.reshape(-1)
-        self.cum_base = self.row * (alphabet + 1)
-        self.prev1 = np.zeros(lanes, dtype=np.int64)
-        self.prev2 = np.zeros(lanes, dtype=np.int64)
-        self.seen, self.rebuild_at = 0, 0
-        self.narrow(lanes)
-
-    def narrow(self, active: int) -> None:
-        """Only the first ``active`` lanes go on (blocks are sorted, longest first)."""
-        self.active = active
+        self.slots = self.row << SLOT_BITS
+        self.order2 = np.zeros(lanes << SLOT_BITS, dtype=np.uint32)  # id + (confidence << 16)
+        self.order1 = np.zeros(lanes << SLOT_BITS, dtype=np.uint32)
+        self.weights = np.repeat(_START, lanes * 32)
+        self.contexts = self.row << 5
+        self.key1 = np.zeros(lanes, dtype=np.uint32)  # the last id, spread
+        self.key2 = np.zeros(lanes, dtype=np.uint32)
+        self.seen, self.width, self.due = 0, 0, SNAPSHOTS[0]
+        self.active = lanes
 
     def predict(self) -> None:
+        if self.seen == self.due:
+            self._snapshot()
         n = self.active
-        if self.seen == self.rebuild_at:
-            self._count_up()
-        p1, p2 = self.prev1[:n], self.prev2[:n]
-        mask = (1 << SLOT_BITS) - 1
-        self.at2 = self.slot_base[:n] + (((p1 * 40503 + p2 * 10007) >> 5) & mask)
-        self.at1 = self.slot_base[:n] + (((p1 * 40503) >> 5) & mask)
-        e2, e1 = self.order2[self.at2], self.order1[self.at1]
-        self.id2, self.conf2 = e2 & 0xFFFF, e2 >> 16
-        self.id1, self.conf1 = e1 & 0xFFFF, e1 >> 16
-        self.ctx = self.weight_base[:n] + (self.conf2 << 3) + (self.conf1 << 1) + (self.id1 == self.id2)
-        self.w = self.weight[self.ctx]
-
-    def _count_up(self) -> None:
-        """Order-0 cumulative counts, renewed each time the block has doubled."""
-        n = self.active
-        scale = (TOTAL - self.alphabet) // max(self.seen, 1) if self.seen else 0
-        ramp = np.arange(self.alphabet + 1, dtype=np.uint32)
-        for i in range(n):  # lane by lane, to stay in cache
-            c = self.cum[i]
-            c[0] = 0
-            np.cumsum(self.counts[i], dtype=np.uint32, out=c[1:])
-            c *= np.uint32(scale)
-            c += ramp
-        self.total = np.uint64(self.alphabet + scale * self.seen)
-        self.rebuild_at = max(FIRST_COUNTS, 2 * self.seen)
+        k1 = self.key1[:n]
+        self.at1 = (k1 >> np.uint32(32 - SLOT_BITS)) + self.slots[:n]
+        self.at2 = ((k1 ^ self.key2[:n]) >> np.uint32(32 - SLOT_BITS)) + self.slots[:n]
+        e1, e2 = self.order1.take(self.at1), self.order2.take(self.at2)
+        self.id1, self.id2 = e1 & 0xFFFF, e2 & 0xFFFF
+        self.conf1, self.conf2 = e1 >> 16, e2 >> 16
+        self.context = (self.conf2 << 3) + (self.conf1 << 1) + (self.id1 == self.id2) + self.contexts[:n]
+        self.w = self.weights.take(self.context).view(np.int16).reshape(-1, 4)
+
+    def _snapshot(self) -> None:
+        self.width = self.seen
+        self.due = next((s for s in SNAPSHOTS if s > self.seen), self.seen + self.seen // 2)
+        self.take_snapshot()
 
     def update(self, ids: np.ndarray, event: np.ndarray) -> None:
+        """``ids`` are uint32."""
         n = self.active
-        w = self.w - (self.w >> ADAPT)
-        w[self.row[:n], event] += (1 << WEIGHT_BITS) - w.sum(axis=1)
-        self.weight[self.ctx] = w
-        self.order2[self.at2] = ids + (np.minimum(self.conf2 + 1, 3) * (self.id2 == ids) << 16)
-        self.order1[self.at1] = ids + (np.minimum(self.conf1 + 1, 3) * (self.id1 == ids) << 16)
-        self.flat_counts[self.count_base[:n] + ids] += np.uint16(1)  # lanes are distinct rows
-        self.prev2[:n] = self.prev1[:n]
-        self.prev1[:n] = ids
+        self.w += (_GOALS.take(event).view(np.int16).reshape(-1, 4) - self.w) >> ADAPT
+        self.weights[self.context] = self.w.view(np.uint64).ravel()  # lanes are distinct rows
+        self.order1[self.at1] = ids | ((np.minimum(self.conf1 + 1, 3) << 16) * (self.id1 == ids))
+        self.order2[self.at2] = ids | ((np.minimum(self.conf2 + 1, 3) << 16) * (self.id2 == ids))
+        self.key2[:n] = self.key1[:n] * np.uint32(2246822519) + np.uint32(1)
+        self.key1[:n] = (ids + np.uint32(1)) * np.uint32(2654435761)
         self.seen += 1
 
+    def interval(self, event: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cumulative weight and weight of each lane's event."""
+        flat = (self.row[: self.active] << 2) + event
+        low = self.w.reshape(-1).take(flat).astype(np.uint64)
+        high = self.w.reshape(-1).take(np.minimum(flat + 1, (self.row[: self.active] << 2) + 3)).astype(np.uint64)
+        return low, np.where(event == 3, np.uint64(1 << WEIGHT_BITS), high) - low
+
+
+class DecoderModel(Model):
+    """Snapshots as sorted ids: a place names its id, that id's first place and how many places it has."""
+
+    def __init__(self, lanes: int, longest: int):
+        super().__init__(lanes)
+        self.history = np.zeros((longest, lanes), dtype=np.uint16)
+
+    def take_snapshot(self) -> None:
+        t, n = self.width, self.active
+        h = np.sort(self.history[:t, :n].T.copy(), axis=1, kind="stable")  # a radix sort
+        starts = np.ones((n, t), dtype=bool)
+        np.not_equal(h[:, 1:], h[:, :-1], out=starts[:, 1:])
+        flat = np.flatnonzero(starts)
+        size = np.diff(flat, append=n * t).astype(np.uint16)
+        self.first, self.count, self.sorted = np.repeat((flat % t).astype(np.uint16), size), np.repeat(size, size), h.reshape(-1)
+
+    def update(self, ids: np.ndarray, event: np.ndarray) -> None:
+        self.history[self.seen, : self.active] = ids
+        super().update(ids, event)
+
+
+class EncoderModel(Model):
+    """The same snapshots by counts: ids are ranked within their lane, so first places are sums of counts by rank."""
+
+    def __init__(self, grid: np.ndarray):
+        super().__init__(grid.shape[1])
+        ids = np.ascontiguousarray(grid.T.astype(np.uint16))
+        order = np.argsort(ids, axis=1, kind="stable")
+        ids = np.take_along_axis(ids, order, axis=1)
+        rank = np.zeros(ids.shape, dtype=np.uint16)
+        np.cumsum(ids[:, 1:] != ids[:, :-1], axis=1, dtype=np.uint16, out=rank[:, 1:])
+        self.wide = int(rank.max(initial=0)) + 1
+        np.put_along_axis(ids, order, rank, axis=1)
+        self.ranks = ids.T.copy()
+        self.counts = np.zeros(len(self.row) * self.wide, dtype=np.uint16)
+        self.base = self.row * self.wide
+        self.first = self.count = np.zeros_like(self.counts)  # no snapshot yet
+
+    def take_snapshot(self) -> None:
+        n = self.active * self.wide
+        self.count = self.counts[:n].copy()
+        self.first = (np.cumsum(self.count.reshape(-1, self.wide), axis=1, dtype=np.uint16).reshape(-1)) - self.count
+
+    def places(self, lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first place, count) of the next id of each lane, count 0 if it is not in the snapshot."""
+        at = self.base[lanes] + self.ranks[self.seen].take(lanes)
+        return self.first.take(at).astype(np.uint64), self.count.take(at).astype(np.uint64)
+
+    def update(self, ids: np.ndarray, event: np.ndarray) -> None:
+        self.counts[self.base[: self.active] + self.ranks[self.seen, : self.active]] += np.uint16(1)  # lanes are distinct rows
+        super().update(ids, event)
+
 
 class _Out:
     def __init__(self, lanes: int, longest: int):
         self.low = np.zeros(lanes, dtype=np.uint64)
-        self.range = np.full(lanes, (1 << 48) - 1, dtype=np.uint64)
+        self.range = np.full(lanes, WHOLE, dtype=np.uint64)
         self.words = np.zeros((lanes, 2 * longest + 8), dtype=np.uint32)
         self.flat = self.words.reshape(-1)
-        self.base = np.arange(lanes, dtype=np.int64) * self.words.shape[1]
-        self.pos = np.zeros(lanes, dtype=np.int64)
-
-    def put(self, which, r: np.ndarray, cum: np.ndarray, freq: np.ndarray) -> None:
-        """``which``: a slice or indices of lanes; r = range // total."""
-        low = self.low[which] + r * cum
-        rng = r * freq
-        over = np.flatnonzero(low >> S48)
+        self.at = np.arange(lanes, dtype=np.int64) * self.words.shape[1]
+
+    def put(self, n: int, low: np.ndarray, rng: np.ndarray) -> None:
+        """New state of the first ``n`` lanes; ``low`` may have run over, and up to two words are due."""
+        over = np.flatnonzero(low > WHOLE)
         if len(over):
-            lanes = over if isinstance(which, slice) else which[over]
-            self.flat[self.base[lanes] + self.pos[lanes] - 1] += 1
-            low[over] &= np.uint64((1 << 48) - 1)
-        while True:
-            small = np.flatnonzero(rng < BOTTOM)
-            if not len(small):
-                break
-            lanes = small if isinstance(which, slice) else which[small]
-            part = low[small]
-            self.flat[self.base[lanes] + self.pos[lanes]] = part >> S32
-            self.pos[lanes] += 1
-            low[small] = (part & MASK32) << S16
-            rng[small] <<= S16
-        self.low[which], self.range[which] = low, rng
+            self.flat[self.at[over] - 1] += 1
+            low &= WHOLE
+        who = np.flatnonzero(rng < BOTTOM)
+        while len(who):
+            part, to = low[who], self.at[who]
+            self.flat[to] = part >> TOP
+            self.at[who] = to + 1
+            low[who] = (part & UNDER) << S16
+            rng[who] <<= S16
+            who = who[rng[who] < BOTTOM]
+        self.low[:n], self.range[:n] = low, rng
 
     def finish(self) -> list[bytes]:
-        rows = np.arange(len(self.low))
-        for k in (32, 16, 0):
-            self.words[rows, self.pos] = (self.low >> np.uint64(k)) & np.uint64(0xFFFF)
-            self.pos += 1
-        words = self.words[:, : int(self.pos.max())]
+        for _ in range(HEAD_WORDS):
+            self.flat[self.at] = self.low >> TOP
+            self.low = (self.low & UNDER) << S16
+            self.at += 1
+        size = self.at - np.arange(len(self.low), dtype=np.int64) * self.words.shape[1]
+        words = self.words[:, : int(size.max())]
         while True:  # carries that were added to words already written
             carry = words >> 16
             if not carry.any():
                 break
             words &= 0xFFFF
             words[:, :-1] += carry[:, 1:]
-        return [words[i, : int(p)].astype("<u2").tobytes() for i, p in enumerate(self.pos)]
+        return [words[i, : int(n)].astype("<u2").tobytes() for i, n in enumerate(size)]
+
+
+def _lanes_at(sizes: list[int]) -> np.ndarray:
+    """How many lanes (longest first) still have an id at each step."""
+    return len(sizes) - np.searchsorted(np.sort(np.asarray(sizes)), np.arange(max(sizes, default=0)), side="right")
 
 
 def encode_blocks(blocks: list[np.ndarray], alphabet: int) -> list[bytes]:
     """Each block of ids (at most ``BLOCK``) as header and payload."""
+    if not blocks:
+        return []
     order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
     sizes = [len(blocks[i]) for i in order]
-    grid = np.zeros((sizes[0] if sizes else 0, len(blocks)), dtype=np.int64)
+    grid = np.zeros((sizes[0], len(blocks)), dtype=np.uint32)
     for lane, i in enumerate(order):
         grid[: sizes[lane], lane] = blocks[i]
-    model, out = Model(len(blocks), alphabet), _Out(len(blocks), max(sizes, default=0))
-    active = len(blocks)
-    for t in range(len(grid)):
-        while sizes[active - 1] <= t:
-            active -= 1
-        if active != model.active:
-            model.narrow(active)
-        ids = grid[t, :active]
+    curve = fixed_curve(alphabet)
+    model, out = EncoderModel(grid), _Out(len(blocks), sizes[0])
+    for t, n in enumerate(_lanes_at(sizes).tolist()):
+        model.active, ids = n, grid[t, :n]
         model.predict()
-        hit2 = model.id2 == ids
-        event = np.where(hit2, 0, np.where(model.id1 == ids, 1, 2))
-        w = model.w.astype(np.uint64)
-        w2, w1, w0 = w[:, 0], w[:, 1], w[:, 2]
-        cum = np.where(event == 0, np.uint64(0), np.where(event == 1, w2, w2 + w1))
-        freq = np.where(event == 0, w2, np.where(event == 1, w1, w0))
-        every = slice(0, active)
-        out.put(every, out.range[every] >> np.uint64(WEIGHT_BITS), cum, freq)
-        miss = np.flatnonzero(event == 2)
-        if len(miss):
-            at = model.cum_base[miss] + ids[miss]
-            lo = model.flat_cum[at]
-            out.put(miss, out.range[miss] // model.total, lo.astype(np.uint64), (model.flat_cum[at + 1] - lo).astype(np.uint64))
+        event = np.where(model.id2 == ids, 0, np.where(model.id1 == ids, 1, 3))
+        miss = np.flatnonzero(event == 3)
+        first, count = model.places(miss)
+        found = count > 0
+        old, new = miss[found], miss[~found]
+        event[old] = 2
+        cum, freq = model.interval(event)
+        r = out.range[:n] >> SW
+        low, rng = out.low[:n] + r * cum, r * freq
+        if len(old):
+            r = rng[old] // np.uint64(model.width)
+            low[old] += r * first[found]
+            rng[old] = r * count[found]
+        if len(new):
+            r, lo = rng[new] >> SC, curve[ids[new]]
+            low[new] += r * lo
+            rng[new] = r * (curve[ids[new] + 1] - lo)
+        out.put(n, low, rng)
         model.update(ids, event)
     made = [b""] * len(blocks)
-    for lane, (i, payload) in enumerate(zip(order, out.finish() if blocks else [], strict=True)):
+    for lane, (i, payload) in enumerate(zip(order, out.finish(), strict=True)):
         made[i] = HEADER.pack(sizes[lane], len(payload), zlib.crc32(np.asarray(blocks[i], dtype="<u4").tobytes())) + payload
     return made
 
 
 def decode_blocks(blocks: list[bytes], alphabet: int) -> list[np.ndarray]:
     """The ids of each block (little-endian unsigned 32-bit); ValueError if one does not match its checksum."""
+    if not blocks:
+        return []
     heads = [HEADER.unpack_from(b) for b in blocks]
     order = sorted(range(len(blocks)), key=lambda i: -heads[i][0])
     sizes = [heads[i][0] for i in order]
-    longest = max((heads[i][1] for i in order), default=0) // 2 + 8
-    words = np.zeros((len(blocks), longest), dtype=np.uint64)
+    longest = max(heads[i][1] for i in order) // 2 + 8
+    words = np.zeros((len(blocks), longest), dtype=np.uint16)
     for lane, i in enumerate(order):
         got = np.frombuffer(blocks[i], dtype="<u2", offset=HEADER.size, count=heads[i][1] // 2)
         words[lane, : len(got)] = got
-    flat, base = words.reshape(-1), np.arange(len(blocks), dtype=np.int64) * longest
-    code = (words[:, 0] << S32) | (words[:, 1] << S16) | words[:, 2]
-    pos = base + 3
-    rng_all = np.full(len(blocks), (1 << 48) - 1, dtype=np.uint64)
-    grid = np.zeros((sizes[0] if sizes else 0, len(blocks)), dtype=np.uint32)
-    model = Model(len(blocks), alphabet)
-
-    def take(which, r: np.ndarray, cum: np.ndarray, freq: np.ndarray) -> None:
-        c, rng = code[which] - r * cum, r * freq
-        while True:
-            small = np.flatnonzero(rng < BOTTOM)
-            if not len(small):
-                break
-            lanes = small if isinstance(which, slice) else which[small]
-            c[small] = (c[small] << S16) | flat[pos[lanes]]
-            pos[lanes] += 1
-            rng[small] <<= S16
-        code[which], rng_all[which] = c, rng
-
-    active = len(blocks)
-    for t in range(len(grid)):
-        while sizes[active - 1] <= t:
-            active -= 1
-        if active != model.active:
-            model.narrow(active)
+    flat, start = words.reshape(-1), np.arange(len(blocks), dtype=np.int64) * longest
+    last, at = start + longest - 1, start + HEAD_WORDS
+    code_all = np.zeros(len(blocks), dtype=np.uint64)
+    for k in range(HEAD_WORDS):
+        code_all = (code_all << S16) | words[:, k]
+    range_all = np.full(len(blocks), WHOLE, dtype=np.uint64)
+    curve = fixed_curve(alphabet)
+    grid = np.zeros((sizes[0], len(blocks)), dtype=np.uint32)
+    model = DecoderModel(len(blocks), sizes[0])
+    for t, n in enumerate(_lanes_at(sizes).tolist()):
+        model.active = n
         model.predict()
-        every = slice(0, active)
-        w = model.w.astype(np.uint64)
-        w2, w1, w0 = w[:, 0], w[:, 1], w[:, 2]
-        r = rng_all[every] >> np.uint64(WEIGHT_BITS)
-        value = code[every] // r
-        event = (value >= w2).astype(np.int64) + (value >= w2 + w1)
-        cum = np.where(event == 0, np.uint64(0), np.where(event == 1, w2, w2 + w1))
-        take(every, r, cum, np.where(event == 0, w2, np.where(event == 1, w1, w0)))
+        r, w = range_all[:n] >> SW, model.w
+        value = np.minimum(_quotient(code_all[:n], r), (1 << WEIGHT_BITS) - 1).astype(np.int16)
+        event = (value >= w[:, 1]).astype(np.int64)
+        event += value >= w[:, 2]
+        event += value >= w[:, 3]
+        if model.width == 0:
+            event[event == 2] = 3  # only in a damaged block
+        cum, freq = model.interval(event)
+        code, rng = code_all[:n] - r * cum, r * freq
         ids = np.where(event == 0, model.id2, model.id1)
-        miss = np.flatnonzero(event == 2)
-        if len(miss):
-            r = rng_all[miss] // model.total
-            value = np.minimum(code[miss] // r, model.total - np.uint64(1)).astype(np.uint32)
-            found = _search(model, miss, value)
-            at = model.cum_base[miss] + found
-            lo = model.flat_cum[at]
-            take(miss, r, lo.astype(np.uint64), (model.flat_cum[at + 1] - lo).astype(np.uint64))
-            ids[miss] = found
-        grid[t, :active] = ids
+        old, new = np.flatnonzero(event == 2), np.flatnonzero(event == 3)
+        if len(old):
+            part, r = code[old], rng[old] // np.uint64(model.width)
+            place = np.minimum(_quotient(part, r), model.width - 1).astype(np.int64) + old * model.width
+            code[old] = part - r * model.first.take(place)
+            rng[old] = r * model.count.take(place)
+            ids[old] = model.sorted.take(place)
+        if len(new):
+            part, r = code[new], rng[new] >> SC
+            found = np.searchsorted(curve, np.minimum(_quotient(part, r), (1 << CURVE_BITS) - 1).astype(np.uint32), side="right") - 1
+            lo = curve[found]
+            code[new] = part - r * lo
+            rng[new] = r * (curve[found + 1] - lo)
+            ids[new] = found
+        who = np.flatnonzero(rng < BOTTOM)
+        while len(who):
+            to = at[who]
+            code[who] = (code[who] << S16) | flat[to]
+            at[who] = np.minimum(to + 1, last[who])  # a damaged block runs out of words, not of its lane
+            rng[who] = np.maximum(rng[who], 1) << S16
+            who = who[rng[who] < BOTTOM]
+        code_all[:n], range_all[:n] = code, rng
+        grid[t, :n] = ids
         model.update(ids, event)
     made: list = [None] * len(blocks)
     for lane, i in enumerate(order):
@@ -242,14 +305,6 @@ def decode_blocks(blocks: list[bytes], alphabet: int) -> list[np.ndarray]:
     return made
 
 
-def _search(model: Model, lanes: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """The last id whose cumulative count is at most ``value``, by halving in all lanes at once."""
-    base = model.cum_base[lanes]
-    at = np.zeros(len(lanes), dtype=np.int64)
-    step = 1 << (model.alphabet.bit_length() - 1)
-    while step:
-        trial = at + step
-        np.minimum(trial, model.alphabet, out=trial)
-        at = np.where(model.flat_cum[base + trial] <= value, trial, at)
-        step >>= 1
-    return np.minimum(at, model.alphabet - 1)
+def _quotient(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """floor(a / b) below 2 ** 21 for integers below 2 ** 48: doubles are exact enough, and faster than integer division."""
+    return np.floor(a.astype(np.float64) / np.maximum(b, 1).astype(np.float64))

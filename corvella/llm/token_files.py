@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +32,7 @@ FOOTER = struct.Struct("<QQQQI8s")  # directory offset and length, blocks, docum
 END_ID = 2
 ALPHABET = 1 << 16
 MANIFEST = "file_no int, file string, n_docs long, n_ids long, n_bytes long"
+MANIFEST_ARROW = pa.schema([("file_no", pa.int32()), ("file", pa.string()), *((c, pa.int64()) for c in ("n_docs", "n_ids", "n_bytes"))])
 DOCUMENT = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
@@ -110,23 +112,23 @@ class TokenReader:
             at += 4 * n
 
 
-def write_token_files(docs: DataFrame, vocabulary: str, end_id: int = END_ID, alphabet: int = ALPHABET) -> DataFrame:
+def write_token_files(docs: DataFrame, vocabulary: str, end_id: int = END_ID, alphabet: int = ALPHABET, special_as_text: bool = False) -> DataFrame:
     """Encode ``docs`` into files in the shared folder; returns the manifest: one row per file, in doc_id order."""
     folder = fresh_path(docs.sparkSession, "token-files")
     end = np.array([end_id], dtype="<u4").tobytes()
 
-    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, out = encoder(vocabulary), None
-        for f in frames:
-            for doc_id, is_null, text in zip(f["doc_id"].fillna(0).astype("int64").tolist(), f["doc_id"].isna().tolist(), f["text"], strict=True):
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, out = encoder(vocabulary, special_as_text), None
+        for f in batches:
+            for doc_id, raw in zip(f.column("doc_id").to_pylist(), encode.batch(f.column("text")), strict=True):
                 if out is None:
                     out = TokenWriter(folder, alphabet)
-                out.add(None if is_null else doc_id, encode(text) + end)
+                out.add(doc_id, raw + end)
         if out is not None:
-            yield pd.DataFrame([{"file_no": TaskContext.get().partitionId()} | out.close()])
+            yield pa.RecordBatch.from_pylist([{"file_no": TaskContext.get().partitionId()} | out.close()], schema=MANIFEST_ARROW)
 
     ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return materialise(ranged.mapInPandas(write, MANIFEST), "token-manifest")
+    return materialise(ranged.mapInArrow(write, MANIFEST), "token-manifest")
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:

@@ -1,30 +1,51 @@
-"""Token ids of whole texts by the tokenizers library, with a cache of white-space delimited units.
-
-Both vocabularies split a text before any merge, and no split piece holds white space after another
-character. So a text can be cut before each run of blanks and newlines, and the units encoded apart;
-most units of a corpus repeat. A new unit of common characters is split here and handed to the
-library's model piece by piece; any other goes through the whole library. A text with other kinds of
-white space is encoded whole.
+"""Token ids of whole texts by the tokenizers library, with a store of white-space delimited units.
+
+For the two kinds of vocabulary file known here, no piece that the library merges within holds white space
+after another character. So a text can be cut before each run of blanks and newlines, and the units encoded
+apart; most units of a corpus repeat. Batches of texts with single blanks and newlines only are cut, and
+their distinct units looked up, in Arrow; ids are then gathered from a pool of unit ids. A new unit of common
+characters is split here and handed to the library's model piece by piece, any other goes through the whole
+library. Texts with other runs or kinds of white space, or with the string of an added token, are encoded
+whole, and so is every text where the file's normalizer or splitting rule is not one of the two.
+
+``special_as_text``: take the strings of special tokens as ordinary text; by default they are what the library
+makes of them.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
-import sys
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-UNITS = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-OTHER_SPACE = re.compile(r"[^\S \n]|[​᠎﻿\x1c-\x1f\x85]")
-# Letters that every Unicode version calls letters; a unit of these, digits, marks and blanks is common.
+# White space besides blank and newline, and characters that some rules take for it.
+OTHER_SPACE = "\t\v\f\r\x1c-\x1f\x85\xa0 ᠎ -​    ⁠　﻿"
+# Letters that every Unicode version calls letters; a unit of these, digits, marks and one blank or newline is common.
 LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
-COMMON = re.compile(rf"[ \n!-~{LETTER}]*")
-KEEPS_SPACE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[0-9]+| ?[^\s{LETTER}0-9]+|\s+(?!\S)|\s+")
+COMMON = re.compile(rf"[ \n][!-~{LETTER}]*")
+KEEPS_SPACE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[0-9]+| ?[^\s{LETTER}0-9]+|\s+")
 DROPS_SPACE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[0-9]|[^\s{LETTER}0-9]+")
-CACHE_UNITS = 500_000
-CACHED_LENGTH = 40
+# The settings in a vocabulary file that the two rules stand for.
+KNOWN = [
+    (KEEPS_SPACE, False, None, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}),
+    (
+        DROPS_SPACE, True,
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        {"type": "Sequence", "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ]},
+    ),
+]
+STORE_UNITS = 2_000_000
+CHUNK_BYTES = 16 << 20
+ENDS_IN_MARK = "^[A-Za-z]+[,.]$"
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -35,62 +56,138 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) if b in shown else chr(next(spare)) for b in range(256)}
 
 
-class OddUnit(Exception):
-    """The unit has white space that may belong to a longer run: its text must be encoded whole."""
-
-
-class _Units(dict):
-    """unit -> ids as little-endian unsigned 32-bit integers; at most ``CACHE_UNITS`` entries."""
-
-    def __init__(self, tokenizer, pieces: re.Pattern, lower: bool):
-        super().__init__()
-        self.whole, self.model, self.pieces, self.lower, self.table = tokenizer, tokenizer.model, pieces, lower, byte_alphabet()
-
-    def plain(self, text: str) -> bytes:
-        return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def __missing__(self, unit: str) -> bytes:
-        if OTHER_SPACE.search(unit):
-            raise OddUnit
-        if COMMON.fullmatch(unit):
-            shown = unit.lower() if self.lower else unit
-            ascii_only = shown.isascii()
-            ids = array("I")
-            for p in self.pieces.findall(shown):
-                ids.extend([t.id for t in self.model.tokenize((p if ascii_only else p.encode().decode("latin-1")).translate(self.table))])
-            out = ids.tobytes() if sys.byteorder == "little" else np.asarray(ids, dtype="<u4").tobytes()
-        else:
-            out = self.plain(unit)
-        if len(unit) <= CACHED_LENGTH and len(self) < CACHE_UNITS:
-            self[unit] = out
-        return out
+def _rule(settings: dict) -> tuple[re.Pattern, bool] | None:
+    """(splitting rule, lower case) of a vocabulary file; None where texts must be encoded whole."""
+    model, added = settings["model"], settings.get("added_tokens", [])
+    if model.get("type", "BPE") != "BPE" or any(model.get(k) for k in ("dropout", "byte_fallback", "ignore_merges", "continuing_subword_prefix")) or settings.get("truncation"):
+        return None
+    if any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in added):
+        return None
+    return next(((pieces, lower) for pieces, lower, normalizer, splitter in KNOWN if (settings.get("normalizer"), settings.get("pre_tokenizer")) == (normalizer, splitter)), None)
 
 
 class UnitEncoder:
-    """``encoder(text)``: the ids of the whole text as little-endian unsigned 32-bit integers."""
+    """``encoder(text)`` and ``encoder.batch(texts)``: ids of whole texts as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        keeps = len(tokenizer.encode(" \n ", add_special_tokens=False).ids) > 0
-        lower = tokenizer.encode("Ab", add_special_tokens=False).ids == tokenizer.encode("ab", add_special_tokens=False).ids
-        self.units = _Units(tokenizer, KEEPS_SPACE if keeps else DROPS_SPACE, lower)
+        self.library = Tokenizer.from_file(path)
+        self.library.encode_special_tokens = special_as_text
+        with open(path, encoding="utf-8") as f:
+            settings = json.load(f)
+        self.rule, self.model, self.table = _rule(settings), self.library.model, byte_alphabet()
+        added = [t["content"] for t in settings.get("added_tokens", []) if t["content"] and not (special_as_text and t["special"])]
+        self.not_simple = "|".join([r"[ \n][ \n]", f"[{OTHER_SPACE}]", *map(re.escape, added)])
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = pa.array([], pa.string())
+        self.starts, self.pool = np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.uint32)
+
+    def plain(self, text: str) -> bytes:
+        """The library's own ids of one text."""
+        return np.asarray(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _unit_ids(self, word: str) -> list[int]:
+        """Ids of ``word`` after a blank; a word that starts with a newline has none before it."""
+        pieces, lower = self.rule
+        if word.isascii() and word.isalpha():  # one piece
+            shown = word.lower() if lower else self.table[32] + word
+            return [t.id for t in self.model.tokenize(shown)]
+        unit = word if word[:1] == "\n" else " " + word
+        if not COMMON.fullmatch(unit):
+            return self.library.encode(unit, add_special_tokens=False).ids
+        shown = unit.lower() if lower else unit
+        ascii_only = shown.isascii()
+        ids: list[int] = []
+        for p in pieces.findall(shown):
+            ids.extend([t.id for t in self.model.tokenize((p if ascii_only else p.encode().decode("latin-1")).translate(self.table))])
+        return ids
+
+    def _learn(self, words: pa.Array) -> None:
+        """Store the ids of new ``words``; one that ends in a mark is its stem, which is often known, and the mark."""
+        marked = pc.match_substring_regex(words, ENDS_IN_MARK)
+        plain, rest = words.filter(pc.invert(marked)), words.filter(marked)
+        self._store(plain, [self._unit_ids(w) for w in plain.to_pylist()])
+        if len(rest):
+            stems = pc.utf8_slice_codeunits(rest, 0, -1).dictionary_encode()
+            new = pc.is_null(pc.index_in(stems.dictionary, value_set=self.known))
+            fresh = stems.dictionary.filter(new)
+            self._store(fresh, [self._unit_ids(w) for w in fresh.to_pylist()])
+            at = pc.index_in(stems.dictionary, value_set=self.known).to_numpy()[stems.indices.to_numpy()]
+            tail = {c: [t.id for t in self.model.tokenize(c)] for c in ",."}
+            a, b = self.starts[at].tolist(), self.starts[at + 1].tolist()
+            self._store(rest, [self.pool[x:y].tolist() + tail[w[-1]] for x, y, w in zip(a, b, rest.to_pylist(), strict=True)])
+
+    def _store(self, words: pa.Array, ids: list[list[int]]) -> None:
+        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        flat = np.fromiter((i for x in ids for i in x), dtype=np.uint32, count=int(size.sum()))
+        self.known = pa.concat_arrays([self.known, words])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(size)])
+        self.pool = np.concatenate([self.pool, flat])
+
+    def _numbers(self, words: pa.Array) -> np.ndarray:
+        """Place in the store of each of ``words`` (distinct); memory is bounded, as a full store is started again."""
+        if len(self.known) > STORE_UNITS:
+            self._forget()
+        at = pc.index_in(words, value_set=self.known)
+        if at.null_count:
+            self._learn(words.filter(pc.is_null(at)))
+            at = pc.index_in(words, value_set=self.known)
+        return at.to_numpy().astype(np.int64)
 
     def __call__(self, text: str) -> bytes:
-        try:
-            return b"".join(map(self.units.__getitem__, UNITS.findall(text)))
-        except OddUnit:
-            return self.units.plain(text)
+        return next(self.batch(pa.array([text])))
+
+    def batch(self, texts: pa.Array) -> Iterator[bytes]:
+        """Ids of each text (null: empty), in order; about ``CHUNK_BYTES`` of text are worked on at a time."""
+        size = np.asarray(pc.fill_null(pc.binary_length(texts), 0))
+        lo = 0
+        while lo < len(size):
+            hi, held = lo, 0
+            while hi < len(size) and (hi == lo or held + size[hi] <= CHUNK_BYTES):
+                held += size[hi]
+                hi += 1
+            yield from self._chunk(pc.fill_null(texts.slice(lo, hi - lo), ""))
+            lo = hi
+
+    def _chunk(self, texts: pa.Array) -> list[bytes]:
+        if self.rule is None:
+            return [self.plain(t) for t in texts.to_pylist()]
+        odd = pc.match_substring_regex(texts, self.not_simple).to_numpy(zero_copy_only=False)
+        out: list = [None] * len(texts)
+        for i in np.flatnonzero(odd).tolist():
+            out[i] = self.plain(texts[i].as_py())
+        simple = np.flatnonzero(~odd)
+        if len(simple):
+            # a newline starts a unit as a blank does, but stays in it
+            cut = pc.split_pattern(pc.replace_substring(texts.take(pa.array(simple)).cast(pa.string()), "\n", " \n"), " ")
+            bounds = cut.offsets.to_numpy().astype(np.int64)
+            bounds -= bounds[0]
+            words = cut.flatten()
+            coded = words.dictionary_encode()
+            units = self._numbers(coded.dictionary)[coded.indices.to_numpy()]
+            first = self.starts[units]
+            size = self.starts[units + 1] - first
+            size[bounds[:-1]] = 0  # no blank before the first unit of a text: it is encoded by itself
+            ends = np.cumsum(size)
+            ids = self.pool[np.repeat(first - (ends - size), size) + np.arange(ends[-1])]
+            raw, a = ids.astype("<u4").tobytes(), 0
+            heads = words.take(pa.array(bounds[:-1])).to_pylist()
+            for i, head, b in zip(simple.tolist(), heads, (4 * ends[bounds[1:] - 1]).tolist(), strict=True):
+                out[i] = self.plain(head) + raw[a:b]
+                a = b
+        return out
 
 
-_LOADED: dict[str, UnitEncoder] = {}
+_LOADED: dict[tuple[str, bool], UnitEncoder] = {}
 
 
-def encoder(path: str) -> UnitEncoder:
+def encoder(path: str, special_as_text: bool = False) -> UnitEncoder:
     """One encoder for each worker process, kept between tasks."""
-    if path not in _LOADED:
-        _LOADED[path] = UnitEncoder(path)
-    return _LOADED[path]
+    key = path, special_as_text
+    if key not in _LOADED:
+        _LOADED[key] = UnitEncoder(path, special_as_text)
+    return _LOADED[key]

@@ -1,9 +1,11 @@
 import base64
 import hashlib
+import json
 import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,23 +73,51 @@ def test_empty_tables(spark):
     assert html_text.extract(pages).count() == 0
 
 
-def test_unit_encoder_is_the_library():
-    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
-        e = unit_encoder.UnitEncoder(vocabularies.path(name))
-        r = random.Random(2)
-        made = ["".join(r.choice(" \n\t'strevlAZßé日9!.;") for _ in range(r.randrange(60))) for _ in range(500)]
-        for t in [x or "" for x in EDGE] + made:
-            assert np.frombuffer(e(t), "<u4").tolist() == e.units.whole.encode(t, add_special_tokens=False).ids
+def library(name):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(vocabularies.path(name))
+    return lambda text: t.encode(text or "", add_special_tokens=False).ids
+
+
+SPECIAL = ["ab <|endoftext|> cd", "<|startoftext|>x<|endoftext|>", "a <|ENDOFTEXT|>.", "<|endoftext", "x\n<|endoftext|>\ny"]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_unit_encoder_is_the_library(name, monkeypatch):
+    e, plain = unit_encoder.UnitEncoder(vocabularies.path(name)), library(name)
+    r = random.Random(2)
+    made = ["".join(r.choice(" \n\t'strevlAZßé日9!.;") for _ in range(r.randrange(60))) for _ in range(500)]
+    made += [" ".join(r.choice(["ab", "it's", "Zß", "é\nb", "\n9", "<|endoftext|>", "日本", "x y", "", "end.", "one,", "?,"]) for _ in range(r.randrange(9))) for _ in range(500)]
+    texts = [x or "" for x in EDGE] + SPECIAL + made
+    for _ in range(2):  # new and known units; the second time the store overflows and starts again
+        assert [np.frombuffer(x, "<u4").tolist() for x in e.batch(pa.array(texts))] == [plain(t) for t in texts]
+        monkeypatch.setattr(unit_encoder, "STORE_UNITS", 10)
+        monkeypatch.setattr(unit_encoder, "CHUNK_BYTES", 500)
+    assert np.frombuffer(e(SPECIAL[0]), "<u4").tolist() == plain(SPECIAL[0])
+
+
+def test_unknown_vocabularies_are_left_to_the_library(tmp_path):
+    from tokenizers import Tokenizer
+
+    settings = json.load(open(vocabularies.path("byte_bpe_50k.json")))
+    settings["normalizer"] = {"type": "Lowercase"}
+    (tmp_path / "other.json").write_text(json.dumps(settings))
+    e, t = unit_encoder.UnitEncoder(str(tmp_path / "other.json")), Tokenizer.from_file(str(tmp_path / "other.json"))
+    assert e.rule is None
+    assert np.frombuffer(e("Some Text\n here"), "<u4").tolist() == t.encode("Some Text\n here", add_special_tokens=False).ids
+    plain = unit_encoder.UnitEncoder(vocabularies.path("byte_bpe_50k.json"), special_as_text=True)
+    assert 50256 not in np.frombuffer(plain(SPECIAL[0]), "<u4") and 50256 in library("byte_bpe_50k.json")(SPECIAL[0])
 
 
 def test_packing(spark):
     r = random.Random(3)
-    texts = [*EDGE, *["alpha beta " * r.randrange(1, 900) for _ in range(150)]]
+    texts = [*EDGE, *SPECIAL, *["alpha beta " * r.randrange(1, 900) for _ in range(150)]]
     vocab = vocabularies.path("byte_bpe_50k.json")
     got = packing.pack_documents(docs_of(spark, texts), vocab).toPandas()
-    e = unit_encoder.UnitEncoder(vocab)
+    plain = library("byte_bpe_50k.json")
     for i, t in enumerate(texts):
-        ids = np.append(np.frombuffer(e(t or ""), "<u4"), [2]).astype("<u4")
+        ids = np.array([*plain(t), 2], "<u4")
         mine = got[got.doc_id == i].sort_values("piece")
         assert mine.start.tolist() == [0, *np.cumsum(mine.length)[:-1]] and mine.length.sum() == len(ids)
         assert [zlib.crc32(ids[a : a + n].tobytes()) for a, n in zip(mine.start, mine.length, strict=True)] == mine.ids_crc32.tolist()
@@ -109,26 +139,33 @@ def test_pattern_plan_uses_up_the_histogram():
         assert (used == c).all()
 
 
+def test_packing_of_clashing_columns(spark):
+    d = spark.createDataFrame([(i, 10 + i % 7, 1, 2, 3, 4, 5) for i in range(50)], "id long, length long, chunk int, nth int, rank int, base int, row int")
+    got = packing.pack(d, 64)
+    assert got.columns == [*d.columns, "sequence_id", "offset"] and got.drop("sequence_id", "offset").exceptAll(d).isEmpty() and got.count() == 50
+
+
 def test_range_coder_round_trip():
     r = np.random.default_rng(5)
-    blocks = [np.zeros(0, np.uint32), np.array([7], np.uint32), r.integers(0, 500, 900).astype(np.uint32), np.tile(r.integers(0, 500, 9), 90).astype(np.uint32)]
+    blocks = [np.zeros(0, np.uint32), np.array([7], np.uint32), (r.zipf(1.2, range_coder.BLOCK) % 500).astype(np.uint32), r.integers(0, 500, 900).astype(np.uint32), np.tile(r.integers(0, 500, 9), 90).astype(np.uint32)]
     coded = range_coder.encode_blocks(blocks, 500)
     assert all((a == b).all() for a, b in zip(range_coder.decode_blocks(coded, 500), blocks, strict=True))
     assert (range_coder.decode_blocks([coded[2]], 500)[0] == blocks[2]).all()  # alone
-    assert len(coded[3]) < len(coded[2]) / 2
-    broken = coded[2][:40] + bytes([coded[2][40] ^ 1]) + coded[2][41:]
-    with pytest.raises(ValueError):
-        range_coder.decode_blocks([broken], 500)
+    assert len(coded[4]) < len(coded[3]) / 2
+    for at in (13, 40, len(coded[3]) // 2):
+        broken = coded[3][:at] + bytes([coded[3][at] ^ 1]) + coded[3][at + 1 :]
+        with pytest.raises(ValueError):
+            range_coder.decode_blocks([coded[2], broken], 500)
 
 
 def test_token_files(spark):
-    ids = [5, None, 9, 2, 11, 12, 13, 14]
-    vocab = vocabularies.path("word_bpe_49k.json")
-    got = token_files.read_token_files(token_files.write_token_files(docs_of(spark, EDGE, ids), vocab)).collect()
-    e = unit_encoder.UnitEncoder(vocab)
+    texts = [*EDGE, *SPECIAL, "long " * 40_000]  # the last runs over block borders
+    ids = [5, None, 9, 2, 11, 12, 13, 14, *range(20, 26)]
+    vocab, plain = vocabularies.path("word_bpe_49k.json"), library("word_bpe_49k.json")
+    got = token_files.read_token_files(token_files.write_token_files(docs_of(spark, texts, ids), vocab)).collect()
     start = 0
-    for r, (i, t) in zip(sorted(got, key=lambda r: r.start), sorted(zip(ids, EDGE, strict=True), key=lambda x: (x[0] is not None, x[0] or 0)), strict=True):
-        raw = e(t or "") + np.array([2], "<u4").tobytes()
+    for r, (i, t) in zip(sorted(got, key=lambda r: r.start), sorted(zip(ids, texts, strict=True), key=lambda x: (x[0] is not None, x[0] or 0)), strict=True):
+        raw = np.array([*plain(t), 2], "<u4").tobytes()
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, start, len(raw) // 4, zlib.crc32(raw))
         start += len(raw) // 4
 

@@ -28,6 +28,7 @@ import pyarrow.compute as pc
 OTHER_SPACE = "\t\v\f\r\x1c-\x1f\x85\xa0 ᠎ -​    ⁠　﻿"
 # Letters that every Unicode version calls letters; a unit of these, digits, marks and one blank or newline is common.
 LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
+LETTERS = re.compile(rf"[{LETTER}]+")
 COMMON = re.compile(rf"[ \n][!-~{LETTER}]*")
 KEEPS_SPACE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[0-9]+| ?[^\s{LETTER}0-9]+|\s+")
 DROPS_SPACE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[0-9]|[^\s{LETTER}0-9]+")
@@ -45,7 +46,7 @@ KNOWN = [
 ]
 STORE_UNITS = 2_000_000
 CHUNK_BYTES = 16 << 20
-ENDS_IN_MARK = "^[A-Za-z]+[,.]$"
+ENDS_IN_MARK = "[A-Za-z][,.]$"
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -80,11 +81,15 @@ class UnitEncoder:
         self.rule, self.model, self.table = _rule(settings), self.library.model, byte_alphabet()
         added = [t["content"] for t in settings.get("added_tokens", []) if t["content"] and not (special_as_text and t["special"])]
         self.not_simple = "|".join([r"[ \n][ \n]", f"[{OTHER_SPACE}]", *map(re.escape, added)])
+        made = {c: [t.id for t in self.model.tokenize(c)] for c in ",."} if self.rule else {}
+        self.marks = {c: ids[0] for c, ids in made.items()}
+        if any(len(ids) != 1 for ids in made.values()):
+            self.rule = None
         self._forget()
 
     def _forget(self) -> None:
         self.known = pa.array([], pa.string())
-        self.starts, self.pool = np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.uint32)
+        self.starts, self.pool = np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.uint32)  # the pool ends in a spare id
 
     def plain(self, text: str) -> bytes:
         """The library's own ids of one text."""
@@ -93,50 +98,47 @@ class UnitEncoder:
     def _unit_ids(self, word: str) -> list[int]:
         """Ids of ``word`` after a blank; a word that starts with a newline has none before it."""
         pieces, lower = self.rule
-        if word.isascii() and word.isalpha():  # one piece
-            shown = word.lower() if lower else self.table[32] + word
-            return [t.id for t in self.model.tokenize(shown)]
+        if LETTERS.fullmatch(word):  # one piece
+            shown = word.lower() if lower else " " + word
+            return [t.id for t in self.model.tokenize((shown if shown.isascii() else shown.encode().decode("latin-1")).translate(self.table))]
         unit = word if word[:1] == "\n" else " " + word
         if not COMMON.fullmatch(unit):
             return self.library.encode(unit, add_special_tokens=False).ids
         shown = unit.lower() if lower else unit
-        ascii_only = shown.isascii()
         ids: list[int] = []
         for p in pieces.findall(shown):
-            ids.extend([t.id for t in self.model.tokenize((p if ascii_only else p.encode().decode("latin-1")).translate(self.table))])
+            ids.extend([t.id for t in self.model.tokenize((p if p.isascii() else p.encode().decode("latin-1")).translate(self.table))])
         return ids
 
-    def _learn(self, words: pa.Array) -> None:
-        """Store the ids of new ``words``; one that ends in a mark is its stem, which is often known, and the mark."""
-        marked = pc.match_substring_regex(words, ENDS_IN_MARK)
-        plain, rest = words.filter(pc.invert(marked)), words.filter(marked)
-        self._store(plain, [self._unit_ids(w) for w in plain.to_pylist()])
-        if len(rest):
-            stems = pc.utf8_slice_codeunits(rest, 0, -1).dictionary_encode()
-            new = pc.is_null(pc.index_in(stems.dictionary, value_set=self.known))
-            fresh = stems.dictionary.filter(new)
-            self._store(fresh, [self._unit_ids(w) for w in fresh.to_pylist()])
-            at = pc.index_in(stems.dictionary, value_set=self.known).to_numpy()[stems.indices.to_numpy()]
-            tail = {c: [t.id for t in self.model.tokenize(c)] for c in ",."}
-            a, b = self.starts[at].tolist(), self.starts[at + 1].tolist()
-            self._store(rest, [self.pool[x:y].tolist() + tail[w[-1]] for x, y, w in zip(a, b, rest.to_pylist(), strict=True)])
-
-    def _store(self, words: pa.Array, ids: list[list[int]]) -> None:
-        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        flat = np.fromiter((i for x in ids for i in x), dtype=np.uint32, count=int(size.sum()))
-        self.known = pa.concat_arrays([self.known, words])
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(size)])
-        self.pool = np.concatenate([self.pool, flat])
-
     def _numbers(self, words: pa.Array) -> np.ndarray:
         """Place in the store of each of ``words`` (distinct); memory is bounded, as a full store is started again."""
         if len(self.known) > STORE_UNITS:
             self._forget()
         at = pc.index_in(words, value_set=self.known)
-        if at.null_count:
-            self._learn(words.filter(pc.is_null(at)))
-            at = pc.index_in(words, value_set=self.known)
-        return at.to_numpy().astype(np.int64)
+        missing = at.is_null()
+        at = pc.fill_null(at, 0).to_numpy().astype(np.int64)
+        new = words.filter(missing)
+        if len(new):
+            ids = [self._unit_ids(w) for w in new.to_pylist()]
+            at[missing.to_numpy(zero_copy_only=False)] = len(self.known) + np.arange(len(new))
+            size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+            self.known = pa.concat_arrays([self.known, new])
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(size)])
+            self.pool = np.concatenate([self.pool[:-1], np.fromiter((i for x in ids for i in x), dtype=np.uint32, count=int(size.sum())), self.pool[-1:]])
+        return at
+
+    def _units(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(place in the store, id of a mark after it or -1) of each of ``words`` (distinct).
+
+        A letter, then a comma or full stop at the end, is where both rules cut: such words are known by their stem.
+        """
+        marked = pc.match_substring_regex(words, ENDS_IN_MARK)
+        stems = pc.if_else(marked, pc.utf8_slice_codeunits(words, 0, -1), words).dictionary_encode()
+        mark = np.full(len(words), -1, dtype=np.int64)
+        last = pc.utf8_slice_codeunits(words, -1)
+        for c, i in self.marks.items():
+            mark[pc.and_(marked, pc.equal(last, c)).to_numpy(zero_copy_only=False)] = i
+        return self._numbers(stems.dictionary)[stems.indices.to_numpy()], mark
 
     def __call__(self, text: str) -> bytes:
         return next(self.batch(pa.array([text])))
@@ -168,12 +170,16 @@ class UnitEncoder:
             bounds -= bounds[0]
             words = cut.flatten()
             coded = words.dictionary_encode()
-            units = self._numbers(coded.dictionary)[coded.indices.to_numpy()]
+            number, mark = self._units(coded.dictionary)
+            codes = coded.indices.to_numpy()
+            units, mark = number[codes], mark[codes]
             first = self.starts[units]
-            size = self.starts[units + 1] - first
+            size = self.starts[units + 1] - first + (mark >= 0)
             size[bounds[:-1]] = 0  # no blank before the first unit of a text: it is encoded by itself
+            mark[bounds[:-1]] = -1
             ends = np.cumsum(size)
             ids = self.pool[np.repeat(first - (ends - size), size) + np.arange(ends[-1])]
+            ids[ends[mark >= 0] - 1] = mark[mark >= 0]
             raw, a = ids.astype("<u4").tobytes(), 0
             heads = words.take(pa.array(bounds[:-1])).to_pylist()
             for i, head, b in zip(simple.tolist(), heads, (4 * ends[bounds[1:] - 1]).tolist(), strict=True):

@@ -11,15 +11,17 @@ similarity of sets by which pairs are verified. The expected number of darts per
 ``COORDINATES`` only; the limit is doubled where a coordinate stayed empty.
 
 Documents of one shingle set are one vertex. Vertices meet in buckets of ``ROWS`` coordinates.
-Small buckets give all their pairs; in a large one every member is compared with a few members that meet
-most others, and members which that does not place in the first one's component are then compared with
-the whole bucket, block against block, of which only links that connect something are returned. No
-bucket is capped. Pairs are verified on the sets of shingles, and classes are the connected components
+Buckets of up to ``SMALL_BUCKET`` give all their pairs; in a larger one every member is compared with a few leaders
+(the one that meets most others, and two by a hash that is the same in all buckets), and members which
+that does not place in the first leader's component are then compared with the whole bucket, block
+against block, of which only links that connect something are returned. So candidates grow with the members of
+a bucket, not with its pairs, and no bucket is capped. Pairs are verified on the sets of shingles, and classes are the connected components
 of the verified pairs.
 
 Defined results: a null or wordless text has no shingles and is a class of its own; equal texts share
-a class; a null doc_id is a document, never smaller than another; the class id is the smallest doc_id
-of the class; other columns are ignored.
+a class; a null doc_id is a document, never smaller than another; rows that repeat a doc_id are documents of
+their own; the class id is the smallest doc_id of the class, and one row that has it is kept; a very long text is
+one set, held by one task while it is sketched; no documents, no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,8 +44,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
 COORDINATES = BANDS * ROWS
 DARTS = COORDINATES * (np.log(COORDINATES) + 2)
-SMALL_BUCKET = 16
-LEADERS = 3
+SMALL_BUCKET = 4
 BLOCK_ROWS = 256
 
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -155,9 +156,13 @@ def _vertices(doc: np.ndarray, element: np.ndarray, n: int) -> list[bytes | None
     return [hashlib.md5(element[a:b].tobytes()).digest() if b > a else None for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def _sha(text: str) -> bytes:
+    return hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()
+
+
 def sketch(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, vertex (null without words), keys (one per band)."""
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("vertex", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+    """One row per row of ``docs``: doc_id, sha (of the text), vertex (null without words), keys (one per band)."""
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("sha", T.BinaryType()), T.StructField("vertex", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = WordHashes()
@@ -165,13 +170,13 @@ def sketch(docs: DataFrame) -> DataFrame:
             for lo, texts in _batches(f["text"].tolist()):
                 doc, element = shingles(texts, known)
                 keys = band_keys(dart_signatures(doc, element, np.ones(len(doc)), len(texts)))
-                yield pd.DataFrame({"doc_id": f["doc_id"].iloc[lo : lo + len(texts)].array, "vertex": _vertices(doc, element, len(texts)), "keys": list(keys)})
+                yield pd.DataFrame({"doc_id": f["doc_id"].iloc[lo : lo + len(texts)].array, "sha": [_sha(t) for t in texts], "vertex": _vertices(doc, element, len(texts)), "keys": list(keys)})
 
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, schema)
 
 
 def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(vertex, elements) for the vertices of ``wanted`` (vertex, doc_id): sorted 32-bit shingle hashes."""
+    """(vertex, elements) for the vertices of ``wanted`` (vertex, doc_id, sha of one of its texts): sorted 32-bit shingle hashes."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = WordHashes()
@@ -179,13 +184,12 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for lo, texts in _batches(f["text"].tolist()):
                 doc, element = shingles(texts, known)
                 cuts = np.searchsorted(doc, np.arange(len(texts) + 1)).tolist()
-                is_it = [a == b for a, b in zip(_vertices(doc, element, len(texts)), f["vertex"].iloc[lo : lo + len(texts)], strict=True)]
                 sets = [np.unique((element[a:b] >> np.uint64(32)).astype("<u4")).tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
-                got = pd.DataFrame({"vertex": f["vertex"].iloc[lo : lo + len(texts)].array, "elements": sets})
-                yield got[is_it]
+                yield pd.DataFrame({"vertex": f["vertex"].iloc[lo : lo + len(texts)].array, "elements": sets})
 
-    read = docs.select(F.col("doc_id").alias("_id"), F.coalesce("text", F.lit("")).alias("text"))
-    both = read.join(wanted.select("vertex", "doc_id"), F.col("_id").eqNullSafe(F.col("doc_id")))
+    text = F.coalesce("text", F.lit(""))
+    read = docs.select(F.col("doc_id").alias("_id"), text.alias("text"), F.unhex(F.sha2(text, 256)).alias("_sha"))
+    both = read.join(wanted, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_sha") == F.col("sha")))
     return both.select("vertex", "text").mapInPandas(run, "vertex binary, elements binary").dropDuplicates(["vertex"])
 
 
@@ -258,51 +262,60 @@ def _left_over_links(many: DataFrame, apart: DataFrame, sets: DataFrame, similar
     return rows.groupBy("bucket", "block_1", "block_2").applyInPandas(lambda f: _spanning_links(f, similarity), "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, small: int = SMALL_BUCKET) -> DataFrame:
-    """One row per row of ``docs``: doc_id, class_id, class_size, kept (true for one row per class)."""
-    rows = materialise(sketch(docs), "sketches")
-    named = rows.filter("vertex IS NOT NULL")
-    vertices = named.groupBy("vertex").agg(F.min("doc_id").alias("doc_id"), F.min("keys").alias("keys"))
-    buckets = vertices.select("vertex", F.explode("keys").alias("bucket"))
+def _leaders(many: DataFrame) -> DataFrame:
+    """(bucket, lead, nth): the member that meets most others is likeliest to be what the rest are copies of."""
+    busy = many.groupBy("vertex").agg(F.sum("n").alias("meets"))
+    by_hash = lambda k: F.min(F.struct(F.xxhash64(F.lit(k), "vertex").alias("h"), "vertex"))["vertex"]
+    top = many.join(busy, "vertex").groupBy("bucket").agg(F.max(F.struct("meets", "vertex"))["vertex"].alias("v1"), by_hash(1).alias("v2"), by_hash(2).alias("v3"))
+    return top.select("bucket", F.posexplode(F.array_distinct(F.array("v1", "v2", "v3"))).alias("nth", "lead"))
+
+
+def _member_classes(rows: DataFrame, docs: DataFrame, similarity: float, small: int) -> DataFrame:
+    """(vertex, component) of the vertices that are linked to others."""
+    vertices = rows.groupBy("vertex").agg(F.min(F.struct("doc_id", "sha")).alias("one"), F.min("keys").alias("keys"))
+    buckets = vertices.select("vertex", "one", F.explode("keys").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     met = materialise(buckets.join(shared, "bucket"), "buckets")
-    wanted = met.select("vertex").distinct().join(named.groupBy("vertex").agg(F.min("doc_id").alias("doc_id")), "vertex")
-    sets = materialise(_shingle_sets(docs, wanted), "shingle-sets")
-    few, many = met.filter(F.col("n") <= small), met.filter(F.col("n") > small)
+    sets = materialise(_shingle_sets(docs, met.select("vertex", "one.doc_id", "one.sha").distinct()), "shingle-sets")
+    few, many = met.filter(F.col("n") <= small).drop("one"), met.filter(F.col("n") > small).drop("one")
     close = few.select("bucket", F.col("vertex").alias("a")).join(few.select("bucket", F.col("vertex").alias("b")), "bucket").filter("a < b").select("a", "b")
-    # the member that meets most others is likeliest to be what the rest are copies of
-    busy = many.groupBy("vertex").agg(F.sum("n").alias("meets"))
-    best = Window.partitionBy("bucket").orderBy(F.desc("meets"), "vertex")
-    leads = materialise(many.join(busy, "vertex").withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= LEADERS).select("bucket", F.col("vertex").alias("lead"), "nth"), "leaders")
+    leads = materialise(_leaders(many), "leaders")
     starred = many.join(leads, "bucket").filter("vertex <> lead").select(F.least("lead", "vertex").alias("a"), F.greatest("lead", "vertex").alias("b"))
     links = materialise(_verified(close.union(starred).distinct(), sets, similarity), "links")
     classes = components(links, "a", "b")
     if not leads.isEmpty():
         of = classes.select(F.col("id").alias("v"), F.col("component").alias("c"))
-        lead_of = leads.filter("nth = 1").join(classes, F.col("lead") == F.col("id"), "left").select("bucket", "lead", F.col("component").alias("lc"))
+        lead_of = leads.filter("nth = 0").join(classes, F.col("lead") == F.col("id"), "left").select("bucket", "lead", F.col("component").alias("lc"))
         placed = many.join(lead_of, "bucket").join(of, F.col("vertex") == F.col("v"), "left")
         apart = materialise(placed.filter("vertex <> lead AND NOT coalesce(c = lc, false)").select("bucket", "vertex"), "left-over")
         if not apart.isEmpty():
             more = materialise(_left_over_links(many, apart, sets, similarity), "more-links")
             classes = components(links.union(more), "a", "b")
-    member = classes.select(F.col("id").alias("vertex"), "component")
-    of_row = rows.select("doc_id", "vertex").join(member, "vertex", "left")
-    own = of_row.filter("vertex IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))
-    keyed = of_row.filter("vertex IS NOT NULL").select("doc_id", F.coalesce("component", "vertex").alias("class"))
-    sizes = keyed.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    joined = keyed.join(sizes, "class")
-    is_first = F.col("doc_id").eqNullSafe(F.col("class_id"))
-    once = Window.partitionBy("class").orderBy(F.lit(0))
-    first = joined.filter(is_first).withColumn("kept", F.row_number().over(once) == 1)
-    rest = joined.filter(~is_first).withColumn("kept", F.lit(False))
-    return first.unionByName(rest).select("doc_id", "class_id", "class_size", "kept").unionByName(own)
+    return classes.select(F.col("id").alias("vertex"), "component")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` without all but one row of each class of near duplicates; columns as they were.
+def _decided(docs: DataFrame, similarity: float, small: int) -> DataFrame:
+    """One row per row of ``docs``: doc_id, sha, class_id, class_size, kept."""
+    rows = materialise(sketch(docs).withColumn("row_id", F.monotonically_increasing_id()), "sketches")
+    classes = _member_classes(rows.filter("vertex IS NOT NULL"), docs, similarity, small)
+    # a row without words is a class of its own
+    key = F.coalesce("component", "vertex", F.encode(F.concat(F.lit("row "), F.col("row_id")), "utf-8"))
+    keyed = rows.select("row_id", "doc_id", "sha", "vertex").join(classes, "vertex", "left").select("row_id", "doc_id", "sha", key.alias("class"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row_id").alias("first_row")))
+    sizes = keyed.groupBy("class").agg(first.alias("keep"), F.count(F.lit(1)).alias("class_size"))
+    return keyed.join(sizes, "class").select("doc_id", "sha", F.col("keep.doc_id").alias("class_id"), "class_size", (F.col("row_id") == F.col("keep.first_row")).alias("kept"))
+
 
-    Rows that repeat a doc_id share its fate; run exact de-duplication first where ids repeat.
-    """
-    kept = near_duplicates(docs).filter("kept").select("doc_id").distinct()
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, small: int = SMALL_BUCKET) -> DataFrame:
+    """One row per row of ``docs``: doc_id, class_id, class_size, kept (true for one row per class)."""
+    return _decided(docs, similarity, small).select("doc_id", "class_id", "class_size", "kept")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``docs`` without all but one row of each class of near duplicates; columns as they were."""
+    kept = _decided(docs, SIMILARITY, SMALL_BUCKET).filter("kept").select("doc_id", "sha")
     rows = docs.select(F.struct("*").alias("row"))  # packed, so that no column of theirs can clash
-    return rows.join(kept, F.col("row.doc_id").eqNullSafe(kept.doc_id), "left_semi").select("row.*")
+    mine = rows.withColumn("mine", F.unhex(F.sha2(F.coalesce(F.col("row.text"), F.lit("")), 256)))
+    both = mine.join(kept, F.col("row.doc_id").eqNullSafe(kept.doc_id) & (F.col("mine") == kept.sha))
+    once = Window.partitionBy("doc_id", "sha").orderBy(F.lit(0))  # rows that repeat both
+    return both.withColumn("nth", F.row_number().over(once)).filter("nth = 1").select("row.*")

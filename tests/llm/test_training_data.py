@@ -216,9 +216,29 @@ def test_near_duplicates_against_brute_force(spark):
             if sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
                 a, b = sorted((top(i), top(j)))
                 up[b] = a
-    got = near_dedup.near_duplicates(docs_of(spark, texts), small=4).collect()
-    assert {r.doc_id: r.class_id for r in got} == {i: top(i) for i in range(len(texts))}
-    assert sum(r.kept for r in got) == len({top(i) for i in range(len(texts))})
+    for small in (2, 4, 40):
+        got = near_dedup.near_duplicates(docs_of(spark, texts), small=small).collect()
+        assert {r.doc_id: r.class_id for r in got} == {i: top(i) for i in range(len(texts))}
+        assert sum(r.kept for r in got) == len({top(i) for i in range(len(texts))})
+    ids = [None if i % 3 == 0 else 7 if i % 3 == 1 else i for i in range(len(texts))]  # null and repeated ids are documents of their own
+    d = docs_of(spark, texts, ids)
+    got = near_dedup.near_duplicates(d).collect()
+    assert len(got) == len(texts) and sum(r.kept for r in got) == len({top(i) for i in range(len(texts))})
+    kept = near_dedup.keep_one(d)
+    assert kept.columns == d.columns and kept.count() == sum(r.kept for r in got)
+
+
+@pytest.mark.parametrize("n", [1, 2, 300])
+def test_components_fold_chains_and_stars(spark, n):
+    from corvella.plans.components import components
+
+    r = random.Random(n)
+    names = r.sample(range(10 * n), n)
+    chain = [(a, b) for a, b in zip(names, names[1:], strict=False)] or [(names[0], names[0])]
+    star = [(10_000, 20_000 + i) for i in range(n)] + [(30_000 + i, 30_000) for i in range(n)]
+    got = {x.id: x.component for x in components(spark.createDataFrame(chain + star + [(None, 5), (99_999, 99_999)], "src long, dst long")).collect()}
+    want = {v: min(names) for v in names} | {v: 10_000 for e in star[:n] for v in e} | {v: 30_000 for e in star[n:] for v in e} | {99_999: 99_999}
+    assert got == want
 
 
 def test_repeated_passages_are_near_duplicates(spark):

@@ -8,7 +8,8 @@ text of the row that would stay; a row that differs is grouped by its own text i
 means identical, whatever the fingerprints do.
 
 Defined results: null text counts as empty; all empty texts are equal; a null ``doc_id`` is smaller
-than any other; of rows that repeat both ``doc_id`` and text one is kept; other columns are ignored.
+than any other; of rows that repeat both ``doc_id`` and text one is kept; no documents, no rows; a very long
+text is as many rows as it has segments until it is folded; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from corvella.llm import hot
 from corvella.plans.storage import materialise
 
 # Two primes below 2**31 and an evaluation point for each.
@@ -29,7 +31,6 @@ PRIMES = (2147483647, 2147483629)
 BASES = (1103515245, 1566083941)
 CHUNK_BYTES = 4096
 SEGMENT_CHARS = 1 << 18
-SALTS = 16
 
 
 def _powers(base: int, prime: int, n: int) -> np.ndarray:
@@ -141,17 +142,19 @@ FP = ["fp0", "fp1", "n_bytes"]
 def _differing(docs: DataFrame, rows: DataFrame, segment_chars: int) -> DataFrame:
     """(doc_id, text_sha256) of rows whose text differs from that of the row their group would keep.
 
-    ``rows``: doc_id, text_sha256, keep (struct doc_id, text_sha256) of groups of two or more.
+    ``rows``: doc_id, text_sha256, group_size, keep (struct doc_id, text_sha256) of groups of two or more. Both the rows
+    and the segments they are compared with are dealt over as many salts as the group's size asks for.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     read = docs.select("doc_id", F.sha2(text, 256).alias("text_sha256"), text.alias("text"))
-    me = rows.select("doc_id", "text_sha256", "keep").distinct()
-    mine = read.join(me, read.doc_id.eqNullSafe(me.doc_id) & (read.text_sha256 == me.text_sha256)).select(me.doc_id, me.text_sha256, "keep", "text")
-    parts = mine.select("doc_id", "text_sha256", "keep", F.posexplode(_segments(F.col("text"), segment_chars)).alias("seg", "part"))
+    me = rows.select("doc_id", "text_sha256", "keep", "group_size").distinct()
+    mine = read.join(me, read.doc_id.eqNullSafe(me.doc_id) & (read.text_sha256 == me.text_sha256)).select(me.doc_id, me.text_sha256, "keep", hot.salts(F.col("group_size")).alias("salts"), "text")
+    parts = mine.select("doc_id", "text_sha256", "keep", "salts", F.posexplode(_segments(F.col("text"), segment_chars)).alias("seg", "part"))
     is_keeper = F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("text_sha256") == F.col("keep.text_sha256"))
-    kept = parts.filter(is_keeper).select(F.col("keep").alias("k"), F.col("seg").alias("s"), F.col("part").alias("kept_part")).dropDuplicates(["k", "s"])
-    others = parts.filter(~is_keeper)
-    seen = others.join(kept, others.keep.eqNullSafe(kept.k) & (others.seg == kept.s), "left")
+    kept = parts.filter(is_keeper).select(F.col("keep").alias("k"), F.col("seg").alias("s"), F.col("part").alias("kept_part"), "salts").dropDuplicates(["k", "s"])
+    kept = kept.select("k", "s", "kept_part", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("kept_salt"))
+    others = parts.filter(~is_keeper).withColumn("salt", hot.salt(F.col("salts"), "doc_id", "text_sha256"))
+    seen = others.join(kept, others.keep.eqNullSafe(kept.k) & (others.seg == kept.s) & (others.salt == kept.kept_salt), "left")
     return seen.groupBy("doc_id", "text_sha256").agg(F.bool_and(F.coalesce(F.col("part") == F.col("kept_part"), F.lit(False))).alias("same")).filter(~F.col("same")).drop("same")
 
 
@@ -160,11 +163,9 @@ def _groups(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(best, F.count(F.lit(1)).alias("group_size"))
 
 
-def _with_groups(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Join each row to its group. Rows of a hot group are dealt over ``SALTS`` keys."""
-    large = _groups(rows, by).filter("group_size > 1").withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)).cast("int"))
-    return salted.join(large, [*by, "salt"], "left").drop("salt")
+def _with_groups(rows: DataFrame, by: list[str], total: int) -> DataFrame:
+    """Join each row to its group of two or more; rows of hot groups are salted by the group's size."""
+    return hot.join_groups(rows, _groups(rows, by).filter("group_size > 1"), by, "group_size", ["row_id"], total)
 
 
 def exact_duplicates(docs: DataFrame, segment_chars: int = SEGMENT_CHARS) -> DataFrame:
@@ -173,13 +174,14 @@ def exact_duplicates(docs: DataFrame, segment_chars: int = SEGMENT_CHARS) -> Dat
     The largest doc_id of a group of identical texts stays.
     """
     rows = materialise(fingerprints(docs, segment_chars), "fingerprints")
-    joined = _with_groups(rows, FP)
+    total = rows.count()
+    joined = _with_groups(rows, FP, total)
     differ = materialise(_differing(docs, joined.filter("group_size > 1"), segment_chars), "unequal")
     if not differ.isEmpty():  # equal fingerprints of unequal texts: those texts form groups of their own
         tag = differ.withColumn("own", F.lit(True))
         tagged = rows.alias("r").join(tag.alias("t"), F.col("r.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("r.text_sha256") == F.col("t.text_sha256")), "left")
         own = tagged.select("r.*", F.when(F.col("t.own"), F.col("r.text_sha256")).otherwise("").alias("own"))
-        joined = _with_groups(own, [*FP, "own"])
+        joined = _with_groups(own, [*FP, "own"], total)
     keep_id = F.when(F.col("group_size") > 1, F.col("keep.doc_id")).otherwise(F.col("doc_id"))
     out = joined.select("row_id", "doc_id", keep_id.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), "text_sha256", "n_bytes")
     stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))

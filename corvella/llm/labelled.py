@@ -12,15 +12,25 @@ def fold(doc_id: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, used: Column, rows: int) -> DataFrame:
-    """(text, y) of labelled documents for which ``used`` (of doc_id) holds, thinned by a hash of the id to about ``rows``."""
+#: A sample for fitting holds about this many bytes of text at most, whatever its rows hold.
+FIT_BYTES = 128 << 20
+BUCKETS = 1 << 20
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, used: Column, rows: int, most_bytes: int = FIT_BYTES) -> DataFrame:
+    """(text, y) of labelled documents for which ``used`` (of doc_id) holds, thinned by hashes to about ``rows`` rows and ``most_bytes`` of text.
+
+    The labels are thinned first; the joined sample is counted, and thinned again where ids repeat or texts are very long.
+    """
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & used).select("doc_id", F.col(label).cast("int").alias("y"))
     n = known.count()
-    buckets = 1 << 20
     if n > rows:
-        known = known.filter(F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(buckets)) < int(buckets * rows / n)).limit(2 * rows)
+        known = known.filter(F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(BUCKETS)) < int(BUCKETS * rows / n)).limit(2 * rows)
     text = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return text.join(F.broadcast(known), "doc_id").select("text", "y")  # at most 2 * rows pairs of an id and a label
+    sample = text.join(F.broadcast(known), "doc_id").select("text", "y")  # at most 2 * rows pairs of an id and a label
+    found = sample.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    share = min(1.0, 2 * rows / max(found.n, 1), most_bytes / max(found.bytes, 1))
+    return sample if share == 1 else sample.filter(F.pmod(F.xxhash64("text"), F.lit(BUCKETS)) < int(BUCKETS * share))
 
 
 def gathered(rows: DataFrame, lists: str) -> tuple[list[np.ndarray], np.ndarray]:

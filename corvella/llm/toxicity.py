@@ -1,12 +1,15 @@
 """Toxicity by a second-order factorization machine over hashed terms.
 
-A text is the set of its lower-case letter runs, each hashed to 32 bits. Fitting keeps the terms most
-associated with the label, then learns a weight and a short vector per term, so that pairs of terms
-(an insult and a group it is aimed at) can count for more or less than their sum. Scoring needs only
-the fitted terms: two passes over the sums of vectors give all pairwise products.
+A text is the set of its lower-case letter runs, each hashed to 32 bits. The terms of most labelled documents
+are kept, whatever their own association with the label, and get a weight and a short vector each:
+pairs of terms (an insult and a group it is aimed at) count for more or less than their sum, also where
+neither says anything alone. Proximal steps shrink weights, and whole vectors, to nothing where the data do not hold
+them up. Scoring needs only the fitted terms: two sums over vectors give all pairwise products.
 
 Defined results: null text is empty; a text with no fitted term scores the intercept's probability;
-without labels of both kinds every score is the share of positive labels (0.5 with no labels at all).
+without labels of both kinds every score is the share of positive labels (0.5 with no labels at all); no documents, no
+rows; a very long text counts each term once, as any other; null and repeated ids are scored as they come, and only rows
+with an id are learned from; columns named score and predicted are replaced, others kept.
 """
 
 from __future__ import annotations
@@ -25,11 +28,16 @@ from pyspark.sql import types as T
 from corvella.llm.labelled import gathered, training_rows
 
 WORDS = re.compile(r"[^\W\d_]+")
-TERMS = 4096
+#: The model keeps at most this many terms, those of most documents.
+TERMS = 1 << 14
 #: Fitting reads about this many labelled rows, whatever the size of the corpus.
 FIT_ROWS = 16_000
-FACTORS = 8
-EPOCHS = 80
+FACTORS = 4
+EPOCHS, SECOND_EPOCHS = 10, 60
+BATCH = 256
+WEIGHT_STEP, VECTOR_STEP = 0.3, 0.05
+#: Proximal shrinkage a step, in units of a document's gradient.
+WEIGHT_SHRINK, VECTOR_SHRINK, SECOND_SHRINK = 4e-3, 5e-3, 0.05
 
 
 def term_hashes(text: str) -> list[int]:
@@ -68,42 +76,60 @@ def fit(hashes: list[np.ndarray], y: np.ndarray, seed: int = 7) -> Factorization
         return empty
     rows = np.repeat(np.arange(n), [len(h) for h in hashes])
     terms, slot, seen = np.unique(np.concatenate([np.asarray(h, np.uint32) for h in hashes]), return_inverse=True, return_counts=True)
-    with_label = np.bincount(slot, weights=y[rows], minlength=len(terms))
-    expected = seen * positive / n
-    z = (with_label - expected) / np.sqrt(np.maximum(expected * (1 - positive / n), 1e-9))
-    z[seen < min(3, max(2, n // 200))] = 0
-    top = np.sort(np.argsort(-np.abs(z), kind="stable")[:TERMS])
-    top = top[np.abs(z[top]) > np.sqrt(2 * np.log(len(terms) + 1))]  # beyond what the largest of so many noise terms reaches
+    often = np.flatnonzero(seen >= min(3, max(2, n // 200)))
+    top = np.sort(often[np.argsort(-seen[often], kind="stable")[:TERMS]])
     chosen = terms[top]
     if not len(chosen):
         return empty
-    r, s = _slots(chosen, hashes)
+    # a weight is shrunk less where the term's own association with the label is beyond what the largest of so many noise terms reaches
+    expected = seen * positive / n
+    z = (np.bincount(slot, weights=y[rows], minlength=len(terms)) - expected) / np.sqrt(np.maximum(expected * (1 - positive / n), 1e-9))
+    ease = np.minimum(1, 2 * np.log(len(terms) + 1) / np.maximum(z[top] ** 2, 1e-9)) ** 2
     rng = np.random.default_rng(seed)
-    m = FactorizationMachine(chosen, empty.bias, np.zeros(len(chosen)), rng.normal(0, 0.01, (len(chosen), FACTORS)))
-    order = np.argsort(r, kind="stable")
-    r, s = r[order], s[order]
+    m = FactorizationMachine(chosen, empty.bias, np.zeros(len(chosen)), rng.normal(0, 0.1, (len(chosen), FACTORS)))
+    more = max(1, 4000 // n)  # few rows are gone over more often
+    m = _descend(m, hashes, y, rng, EPOCHS * more, ease, 1.0)
+    held = (m.weights != 0) | (m.vectors != 0).any(axis=1)
+    m = FactorizationMachine(m.terms[held], m.bias, m.weights[held], m.vectors[held])
+    return _descend(m, hashes, y, rng, SECOND_EPOCHS, ease[held], SECOND_SHRINK)  # with what is left, and less shrinkage
+
+
+def _descend(m: FactorizationMachine, hashes: list[np.ndarray], y: np.ndarray, rng: np.random.Generator, epochs: int, ease: np.ndarray, shrink: float) -> FactorizationMachine:
+    """Proximal stochastic steps, scaled by each term's past gradients."""
+    n, k = len(y), len(m.terms)
+    r, s = _slots(m.terms, hashes)
     first = np.searchsorted(r, np.arange(n + 1))
-    gw, gv, gb = np.full(len(chosen), 1e-6), np.full((len(chosen), FACTORS), 1e-6), 1e-6
-    for _ in range(EPOCHS):
+    gw, gv, gb = np.full(k, 1e-8), np.full(k, 1e-8), 1e-8
+    weights, vectors, bias = m.weights.copy(), m.vectors.copy(), m.bias
+    for _ in range(epochs):
         shuffled = rng.permutation(n)
-        for lo in range(0, n, 256):
-            docs = shuffled[lo : lo + 256]
-            at = np.concatenate([np.arange(first[d], first[d + 1]) for d in docs])
-            slots, local = s[at], np.repeat(np.arange(len(docs)), first[docs + 1] - first[docs])
-            v = m.vectors[slots]
-            total = np.stack([np.bincount(local, weights=v[:, k], minlength=len(docs)) for k in range(FACTORS)], axis=1)
-            p = 1 / (1 + np.exp(-np.clip(m.margin(local, slots, len(docs)), -30, 30)))
-            err = (p - y[docs]) / len(docs)
-            dw = np.bincount(slots, weights=err[local], minlength=len(chosen)) + 1e-6 * m.weights
+        for lo in range(0, n, BATCH):
+            docs = shuffled[lo : lo + BATCH]
+            size = first[docs + 1] - first[docs]
+            ends = np.cumsum(size)
+            slots = s[np.repeat(first[docs] - (ends - size), size) + np.arange(ends[-1])]
+            local = np.repeat(np.arange(len(docs)), size)
+            v = vectors[slots]
+            total = np.stack([np.bincount(local, weights=v[:, f], minlength=len(docs)) for f in range(FACTORS)], axis=1)
+            pairs = 0.5 * ((total**2).sum(axis=1) - np.bincount(local, weights=(v * v).sum(axis=1), minlength=len(docs)))
+            margin = bias + np.bincount(local, weights=weights[slots], minlength=len(docs)) + pairs
+            err = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y[docs]) / len(docs)
+            near, at = np.unique(slots, return_inverse=True)
+            dw = np.bincount(at, weights=err[local])
             push = err[local, None] * (total[local] - v)
-            dv = np.stack([np.bincount(slots, weights=push[:, k], minlength=len(chosen)) for k in range(FACTORS)], axis=1) + 1e-5 * m.vectors
-            gw += dw**2
-            gv += dv**2
+            dv = np.stack([np.bincount(at, weights=push[:, f]) for f in range(FACTORS)], axis=1)
+            gw[near] += dw**2
+            gv[near] += (dv**2).sum(axis=1)
             gb += err.sum() ** 2
-            m.weights -= 0.2 * dw / np.sqrt(gw)
-            m.vectors -= 0.02 * dv / np.sqrt(gv)
-            m.bias -= 0.1 * err.sum() / np.sqrt(gb)
-    return m
+            step = WEIGHT_STEP / np.sqrt(gw[near])
+            w = weights[near] - step * dw
+            weights[near] = np.sign(w) * np.maximum(np.abs(w) - step * shrink * WEIGHT_SHRINK * ease[near], 0)
+            step = VECTOR_STEP / np.sqrt(gv[near])
+            x = vectors[near] - step[:, None] * dv
+            norm = np.linalg.norm(x, axis=1)
+            vectors[near] = x * np.maximum(1 - step * shrink * VECTOR_SHRINK / np.maximum(norm, 1e-12), 0)[:, None]
+            bias -= 0.1 * err.sum() / np.sqrt(gb)
+    return FactorizationMachine(m.terms, float(bias), weights, vectors)
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, used: Column, label: str = "toxic", rows: int = FIT_ROWS) -> FactorizationMachine:

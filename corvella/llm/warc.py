@@ -10,7 +10,8 @@ archives are read, neighbouring ranges together.
 
 Defined results: null html is an empty payload, and empty payloads are equal; a null url has an empty
 key; a null page_id comes before all others but is never referred to; rows that repeat both page_id
-and payload are all responses (or all revisits of the same page); other columns are ignored.
+and payload are all responses (or all revisits of the same page), each with a record id of its own; no pages,
+no records; a very long page is one record; other columns are ignored. The page's id stands in a field of its own.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import bisect
 import hashlib
 import json
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -29,12 +31,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corvella.llm import hot
 from corvella.llm.files import Sink, Source, Sources
 from corvella.plans.storage import fresh_path, materialise
 
 MIN_PAYLOAD = 0
 BLOCK_LINES = 1000
-SALTS = 8
 NULL_ID = -(1 << 63)
 FOOTER = struct.Struct("<QQ8s")
 MAGIC = b"CAPIDX01"
@@ -82,27 +84,31 @@ def payload_of(block: bytes) -> bytes:
     return block.partition(b"\r\n\r\n")[2]
 
 
+def _page_name(page_id: int | None) -> str:
+    return "null" if page_id is None else str(page_id)
+
+
 def _page_record(page_id: int | None, url: str | None, html: str, digest: str, refers_to: int | None, revisit: bool) -> bytes:
     payload = html.encode("utf-8", "surrogatepass")
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-    name = "null" if page_id is None else str(page_id)
     fields = [
-        ("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", f"<urn:page:{name}>"), ("WARC-Date", "1970-01-01T00:00:00Z"),
+        ("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", "1970-01-01T00:00:00Z"),
+        ("X-Page-Id", _page_name(page_id)),
         *([("WARC-Target-URI", url.replace("\r", "%0D").replace("\n", "%0A"))] if url else []),
         ("WARC-Payload-Digest", f"sha1:{digest}"), ("WARC-Payload-Length", str(len(payload))), ("Content-Type", "application/http; msgtype=response"),
     ]
     if revisit:
-        fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<urn:page:{refers_to}>")]
+        fields += [("WARC-Profile", PROFILE), ("X-Refers-To-Page", _page_name(refers_to))]
     return record(fields, http if revisit else http + payload)
 
 
 def _chosen(pages: DataFrame, min_payload: int) -> DataFrame:
-    """Pages with digest and response_id: the smallest page_id of equal payloads. Common payloads are salted."""
+    """Pages with digest and response_id: the smallest page_id of equal payloads. Common payloads are salted by their count."""
     html = F.coalesce(F.col("html"), F.lit(""))
     read = pages.select("page_id", "url", html.alias("html"), F.sha1(html).alias("digest"), url_key(F.col("url")).alias("urlkey"))
     equal = read.filter(F.octet_length("html") >= min_payload).groupBy("digest").agg(F.min("page_id").alias("response_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    dealt = equal.select("digest", "response_id", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
-    return read.withColumn("salt", F.pmod(F.xxhash64("page_id", "urlkey"), F.lit(SALTS)).cast("int")).join(dealt, ["digest", "salt"], "left")
+    equal = materialise(equal, "equal-payloads")  # asked twice: for hot ones, and for all
+    return hot.join_groups(read, equal, ["digest"], "n", ["page_id", "urlkey"], int(equal.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]))
 
 
 def write_archives(pages: DataFrame, min_payload: int = MIN_PAYLOAD) -> DataFrame:
@@ -116,7 +122,7 @@ def write_archives(pages: DataFrame, min_payload: int = MIN_PAYLOAD) -> DataFram
             for r in f.astype(object).where(f.notna(), None).itertuples(index=False):
                 if out is None:
                     out = Sink(folder, ".warc.gz")
-                    out.write(record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", "<urn:archive>"), ("WARC-Date", "1970-01-01T00:00:00Z"), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n"))
+                    out.write(record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", "1970-01-01T00:00:00Z"), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n"))
                 page_id = None if r.page_id is None else int(r.page_id)
                 refers = None if r.response_id is None else int(r.response_id)
                 revisit = refers is not None and refers != page_id
@@ -255,14 +261,14 @@ def lookup(keys: DataFrame, index_files: DataFrame) -> DataFrame:
 
 def _summary(fields: dict[str, str], block: bytes) -> tuple:
     def page(v: str | None) -> int | None:
-        return None if v is None or v == "<urn:page:null>" else int(v[len("<urn:page:") : -1])
+        return None if v is None or v == "null" else int(v)
 
     digest, size = fields["warc-payload-digest"].removeprefix("sha1:"), int(fields["warc-payload-length"])
     if fields["warc-type"] == "response":
         payload = payload_of(block)
         if len(payload) != size or base32(hashlib.sha1(payload).hexdigest()) != digest:
             raise ValueError(f"{fields['warc-record-id']} does not match its digest")
-    return page(fields["warc-record-id"]), size, digest, fields["warc-type"], page(fields.get("warc-refers-to"))
+    return page(fields["x-page-id"]), size, digest, fields["warc-type"], page(fields.get("x-refers-to-page"))
 
 
 def page_keys(pages: DataFrame) -> DataFrame:

@@ -325,13 +325,62 @@ def test_classifiers(spark):
     assert all(got[i] == ("scum" in x) for i, x in enumerate(insult)) and len(got) == len(insult) + 2
 
 
-def test_factorization_machine_learns_a_pair():
-    a, b, c, e = 1, 2, 3, 4
-    rows = [[a, c], [a, e], [b, c], [b, e]] * 60
-    y = np.array([1, 0, 0, 0] * 60, float)
-    m = toxicity.fit([np.array(r, np.uint32) for r in rows], y)
-    p = m.margin(np.array([0, 0, 1, 1, 2, 2]), np.searchsorted(m.terms, [a, c, a, e, b, c]), 3)
-    assert p[0] > 0 > max(p[1], p[2])
+@pytest.mark.parametrize("want", [[1, 0, 0, 0], [0, 1, 1, 0]])
+def test_factorization_machine_learns_pairs(want):
+    """The second is an exclusive-or: no term says anything alone."""
+    combos = [[1, 3], [1, 4], [2, 3], [2, 4]]
+    m = toxicity.fit([np.array(r, np.uint32) for r in combos] * 60, np.array(want * 60, float))
+    rows, slots = toxicity._slots(m.terms, [np.array(r, np.uint32) for r in combos])
+    p = m.margin(rows, slots, 4)
+    assert ((p > 0) == np.array(want, bool)).all()
+    flat = toxicity.FactorizationMachine(m.terms, m.bias, m.weights, np.zeros_like(m.vectors)).margin(rows, slots, 4)
+    assert sum(want) == 1 or ((flat > 0) != np.array(want, bool)).any()  # without pairs it cannot be told
+    for i, (a, b) in enumerate(combos):
+        a, b = np.searchsorted(m.terms, [a, b])
+        assert np.isclose(p[i], m.bias + m.weights[a] + m.weights[b] + m.vectors[a] @ m.vectors[b])
+
+
+def test_margin_is_the_sum_over_pairs():
+    r = np.random.default_rng(10)
+    m = toxicity.FactorizationMachine(np.arange(30, dtype=np.uint32), 0.3, r.normal(size=30), r.normal(size=(30, 4)))
+    texts = [r.choice(30, k, replace=False) for k in (0, 1, 2, 9)]
+    rows = np.repeat(np.arange(4), [len(t) for t in texts])
+    got = m.margin(rows, np.concatenate(texts), 4)
+    for t, x in zip(texts, got, strict=True):
+        assert np.isclose(x, 0.3 + m.weights[t].sum() + sum(m.vectors[i] @ m.vectors[j] for n, i in enumerate(t) for j in t[:n]))
+
+
+def test_training_sample_is_bounded(spark):
+    d = spark.createDataFrame([(i % 50, "t" * 1000 + str(i)) for i in range(2000)], "doc_id long, text string")
+    y = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, toxic int")
+    all_rows = labelled.training_rows(d, y, "toxic", F.lit(True), 10_000)
+    assert all_rows.count() == 2000
+    assert 0 < labelled.training_rows(d, y, "toxic", F.lit(True), 10_000, most_bytes=200_000).count() < 400
+    assert labelled.training_rows(d, y, "toxic", F.lit(True), 10).count() <= 40
+
+
+def test_classifiers_held_out(spark):
+    """On sf0.1, against the labels that fitting did not see; the fold is computed here again."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.join(labels.select("doc_id"), "doc_id", "left_semi")
+    for op, label, modulus, held, least in ((quality, "quality", 3, lambda r: r == 1, 0.97), (toxicity, "toxic", 5, lambda r: r == 0, 0.97)):
+        used = labelled.fold("doc_id", modulus)
+        m = op.fit_on(docs, labels, used != 1 if modulus == 3 else used != 0)
+        rows = op.score(docs.select("doc_id", "text"), m).join(labels, "doc_id").select("doc_id", "score", "predicted", label).collect()
+        rows = [r for r in rows if held(zlib.crc32(str(r.doc_id).encode()) % modulus)]
+        assert np.mean([r.predicted == r[label] for r in rows]) >= least and all((r.score >= 0.5) == r.predicted and 0 <= r.score <= 1 for r in rows)
+        good, bad = ([r.score for r in rows if r[label] == k] for k in (1, 0))
+        assert np.mean([x > y for x in good for y in bad]) > 0.93  # rank statistic
+
+
+def test_classifiers_without_labels_or_rows(spark):
+    d = docs_of(spark, ["some text", "", None])
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for op in (quality, toxicity):
+        m = op.fit_on(d, none, F.lit(True))
+        assert {r.score for r in op.score(d, m).collect()} == {0.5}
+        assert op.score(d.limit(0), m).count() == 0 and op.keep(d.limit(0), m, 1).columns == d.columns
 
 
 def test_pipeline_keeps_columns(spark):

@@ -1,15 +1,19 @@
 """Main text of HTML pages by tag-path ratios.
 
-A page is cut into text blocks, each with its path of block tags from the root. Text length and
+A page is cut into text blocks, each with its path of block tags (and their classes) from the root. Text length and
 punctuation are summed per path; their ratios to the number of blocks on the path are smoothed over
 neighbouring blocks, fused (text ratio times punctuation ratio, less the share of link text), and
 blocks above the page's own threshold are content. Blocks in the same containers as content come
-along (a heading, a short paragraph); menus, headers, footers, asides, notices, adverts, forms,
-scripts, styles and reader comments never do.
+along (a heading, a short paragraph), unless a container's own ratio is far below that of the best one.
+
+Elements that HTML itself sets apart (navigation, footers, asides, forms, scripts, hidden ones) never
+count. Class and id words such as ``sidebar`` or ``comments`` are a hint only: the subtree's score falls to nothing
+unless it holds nearly all of the page's scored text and no article stands outside it. An ``article`` or ``main`` element narrows the
+page to itself if it holds at least half of the scored text.
 
 Defined results: null html is empty; a page without such blocks has an empty text; character
 references are decoded as browsers do; unclosed and stray tags are tolerated; null and repeated ids
-and extra columns make no difference.
+and extra columns make no difference; no pages, no rows; a very long page is worked on whole, by one task.
 """
 
 from __future__ import annotations
@@ -41,11 +45,16 @@ SCOPES = frozenset("ul ol dl table tbody thead tfoot tr body html article sectio
 # What is never main text: by tag, by landmark role, and by words of class and id.
 SKIP_TAGS = frozenset("head nav footer aside form script style noscript template svg math button select textarea iframe menu dialog object title xmp noembed noframes".split())
 SKIP_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
-SKIP_WORDS = frozenset(
+HINT_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer "
     "cookie cookies consent gdpr notice notices popup modal overlay comment comments disqus replies reply share sharing social related newsletter subscribe widget "
     "toolbar login signup masthead topbar skip pagination".split()
 )
+# Parts of a compound that turn the hint around: no-sidebar, has-comments, ad-free.
+DENIES = frozenset("no not non without with has hide hides free less allow allows enabled disabled open closed".split())
+PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*")
+HINT_HOLDS = 0.8
+CONTAINER_SHARE = 0.25
 
 
 @dataclass
@@ -54,6 +63,7 @@ class Node:
     parent: Node | None
     path: tuple
     skip: bool
+    hint: Node | None  # the outermost element above or here whose class or id says that it is no main text
     inline: bool
     link: bool
     article: bool
@@ -73,18 +83,23 @@ def _attributes(raw: str) -> dict[str, str]:
 def _skips(tag: str, at: dict[str, str], in_article: bool) -> bool:
     if tag in SKIP_TAGS or (tag == "header" and not in_article):
         return True
-    if not at:
-        return False
-    if at.get("role", "").lower() in SKIP_ROLES or "hidden" in at or at.get("aria-hidden") == "true" or "display:none" in at.get("style", "").replace(" ", ""):
-        return True
+    return at.get("role", "").lower() in SKIP_ROLES or "hidden" in at or at.get("aria-hidden") == "true" or "display:none" in at.get("style", "").replace(" ", "")
+
+
+def _hints(tag: str, at: dict[str, str]) -> bool:
+    """Is a whole class or id, or a part of a compound that does not deny it, a word for what is not main text?"""
     if tag in ("html", "body", "main"):
         return False
-    return not SKIP_WORDS.isdisjoint(WORDS.findall(f"{at.get('class', '')} {at.get('id', '')}".lower()))
+    for name in f"{at.get('class', '')} {at.get('id', '')}".split():
+        parts = [p.lower() for p in PARTS.findall(name)]
+        if not HINT_WORDS.isdisjoint(parts) and DENIES.isdisjoint(parts):
+            return True
+    return False
 
 
 def blocks(page: str) -> list[Block]:
     """Text blocks in page order. A block ends where any block tag or line break stands."""
-    root = Node("", None, (), False, False, False, False)
+    root = Node("", None, (), False, None, False, False, False)
     top, out, current, at = root, [], None, 0
     n = len(page)
     while at < n:
@@ -123,8 +138,10 @@ def blocks(page: str) -> list[Block]:
             top = _implied_ends(top, tag)
         attributes = _attributes(m[3])
         article = top.article or tag in ("article", "main") or attributes.get("role") == "main"
-        path = top.path if inline else (*top.path, tag)
-        node = Node(tag, top, path, top.skip or _skips(tag, attributes, top.article), inline, top.link or tag == "a", article)
+        path = top.path if inline else (*top.path, f"{tag} {attributes['class']}" if attributes.get("class") else tag)
+        node = Node(tag, top, path, top.skip or _skips(tag, attributes, top.article), top.hint, inline, top.link or tag == "a", article)
+        if node.hint is None and attributes and _hints(tag, attributes):
+            node.hint = node
         if tag in CLOSES_RAW:
             end = CLOSES_RAW[tag].search(page, at)
             at = end.end() if end else n
@@ -149,29 +166,70 @@ def _implied_ends(top: Node, tag: str) -> Node:
     return top
 
 
+@dataclass
+class Sums:
+    length: float = 0
+    marks: float = 0
+    linked: float = 0
+    count: int = 0
+
+    def add(self, b: Block, text: str) -> None:
+        self.length += len(text)
+        self.marks += len(PUNCTUATION.findall(text))
+        self.linked += min(b.linked, len(text))
+        self.count += 1
+
+    @property
+    def ratio(self) -> float:
+        return self.length / self.count * (1 + self.marks / self.count) * (1 - self.linked / self.length)
+
+
+def _ratios(found: list[tuple[Block, str]], key) -> list[float]:
+    """The ratio of each block's group."""
+    sums: dict = defaultdict(Sums)
+    for b, t in found:
+        sums[key(b.node)].add(b, t)
+    return [sums[key(b.node)].ratio for b, _ in found]
+
+
+def _without_hinted(found: list[tuple[Block, str]]) -> list[tuple[Block, str]]:
+    """Blocks outside subtrees that their names set apart. A name over nearly all scored text says nothing, unless
+    an article stands outside it."""
+    if any(b.node.article and b.node.hint is None for b, _ in found):
+        return [(b, t) for b, t in found if b.node.hint is None]
+    score = [r * len(t) for r, (_, t) in zip(_ratios(found, lambda node: node.path), found, strict=True)]
+    held: dict[int, float] = defaultdict(float)
+    for (b, _), s in zip(found, score, strict=True):
+        if b.node.hint is not None:
+            held[id(b.node.hint)] += s
+    whole = sum(score)
+    return [(b, t) for b, t in found if b.node.hint is None or held[id(b.node.hint)] > HINT_HOLDS * whole]
+
+
 def main_text(page: str) -> str:
     found = []
     for b in blocks(page):
         text = " ".join(html.unescape("".join(b.text)).split())
         if text:
             found.append((b, text))
+    found = _without_hinted(found)
     if not found:
         return ""
-    if any(b.node.article for b, _ in found):  # the page names its main part
-        found = [(b, t) for b, t in found if b.node.article]
-    length, marks, linked, count = defaultdict(float), defaultdict(float), defaultdict(float), defaultdict(int)
-    for b, t in found:
-        p = b.node.path
-        length[p] += len(t)
-        marks[p] += len(PUNCTUATION.findall(t))
-        linked[p] += min(b.linked, len(t))
-        count[p] += 1
-    ratio = np.array([length[p] / count[p] * (1 + marks[p] / count[p]) * (1 - linked[p] / length[p]) for p in (b.node.path for b, _ in found)])
+    ratio = np.array(_ratios(found, lambda node: node.path))
     padded = np.pad(ratio, 2, mode="edge")
     smooth = np.convolve(padded, np.array([1.0, 4.0, 6.0, 4.0, 1.0]) / 16, mode="valid")
     fused = np.sqrt(np.maximum(ratio * smooth, 0))
+    size = np.array([len(t) for _, t in found])
+    named = np.array([b.node.article for b, _ in found])
+    if (fused * size * named).sum() >= 0.5 * (fused * size).sum() and named.any():
+        found, fused = [x for x, ok in zip(found, named, strict=True) if ok], fused[named]
     least = min(fused.std(), 0.5 * fused.max())
-    holders = {id(b.node.parent or b.node) for (b, _), v in zip(found, fused, strict=True) if v >= least and v > 0}
+    inside: dict[int, Sums] = defaultdict(Sums)
+    for (b, t), v in zip(found, fused, strict=True):
+        if v >= least and v > 0:
+            inside[id(b.node.parent or b.node)].add(b, t)
+    best = max((s.ratio for s in inside.values()), default=0)
+    holders = {k for k, s in inside.items() if named.any() or s.ratio >= CONTAINER_SHARE * best}
     kept = []
     for b, t in found:
         at = b.node

@@ -2,10 +2,13 @@ import base64
 import hashlib
 import json
 import random
+import re
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -307,6 +310,67 @@ def test_html_text():
     assert html_text.main_text("") == "" and html_text.main_text("plain text") == "plain text"
 
 
+LONG = " ".join(["First sentence of it, with words. Second one, longer than that, goes on."] * 4)
+PARA = f"<p>{LONG}</p>"
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f'<div class="site no-sidebar">{PARA}{PARA}</div>', f"{LONG} {LONG}"),
+        (f'<article class="post ad-free">{PARA}</article>', LONG),
+        (f'<div class="entry has-comments"><h1>Title</h1>{PARA}</div>', f"Title {LONG}"),
+        (f'<div id="sidebar-layout">{PARA}</div>', LONG),
+        (f"<div><div>{PARA}</div><div><p>See <a href=x>more of this</a></p><p><a href=y>Other story</a></p></div></div>", LONG),
+        (f"<div><div>{PARA}{PARA}</div><div><p>Nice one.</p><p>I agree!</p><p>me too</p></div></div>", f"{LONG} {LONG}"),
+        (f'<div class="text">{PARA}</div><div class="comment-list">{PARA}</div>', LONG),
+        (f'<div class="ad">{PARA}</div><article><p>Short.</p></article>', "Short."),
+        (f'<div class="siteHeader navBar"><p>Home, sweet.</p></div><section>{PARA}</section>', LONG),
+        ("<p>" + "word, " * 60_000, " ".join(["word,"] * 60_000)),
+    ],
+)
+def test_html_text_is_chosen_by_ratios(page, want):
+    assert html_text.main_text(page) == want
+
+
+class Plain(HTMLParser):
+    """Text of the first article element by the standard library's parser, for pages that have one and close what they open."""
+
+    def __init__(self):
+        super().__init__()
+        self.depth, self.skip, self.parts = 0, 0, []
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag == "article"
+        self.skip += tag in ("script", "style", "aside", "form", "nav", "footer", "button")
+        if tag not in html_text.INLINE:
+            self.parts.append("\n")
+
+    def handle_endtag(self, tag):
+        self.depth -= tag == "article"
+        self.skip -= tag in ("script", "style", "aside", "form", "nav", "footer", "button")
+        if tag not in html_text.INLINE:
+            self.parts.append("\n")
+
+    def handle_data(self, data):
+        if self.depth > 0 and not self.skip:
+            self.parts.append(data)
+
+
+def test_html_text_of_all_pages_against_a_plain_parser():
+    """Every page of sf0.001 whose article holds no named block of its own (those the plain version cannot judge)."""
+    pages = pq.read_table("/root/testdata/sf0.001/pages.parquet", columns=["html"]).column(0).to_pylist()
+    seen = 0
+    for page in pages:
+        inner = re.search(r"<article[^>]*>(.*?)</article>", page or "", re.S)
+        if inner and not re.search(r"(class|id|role|hidden)\b", inner[1]):
+            p = Plain()
+            p.feed(page)
+            assert html_text.main_text(page) == " ".join(" ".join("".join(p.parts).split("\x00")).split())
+            seen += 1
+    assert seen > 0.5 * len(pages)
+
+
 def test_classifiers(spark):
     r = random.Random(9)
     good = [" ".join(r.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(30)) for _ in range(120)]

@@ -6,22 +6,28 @@ double: greedy searches on the graph so far propose neighbours, relaxed distance
 that no kept neighbour is much closer to, and reverse edges are pruned the same way. Inner products
 become distances by one more coordinate that gives all nodes of a shard the same norm. A query is
 answered by beam search in every shard, scored again in double precision on the original vectors,
-and the shards' best are merged. Queries travel in blocks, so a task holds one graph and one block.
+and the shards' best are merged. A shard's graph is a file in the shared folder; queries travel in blocks, sorted
+by shard, so a task loads a graph once for all its blocks and holds one graph and one block. Every shard is asked
+by every query, so work grows with queries times shards (and the logarithm of a shard).
 
 Defined results: vectors that are null, zero, or hold nulls or non-finite components take no part,
 nor do rows without vec_id; vectors are compared with those of their own length only; rows that repeat
-id and vector count once; ties go to the smaller vec_id; other columns are ignored.
+id and vector count once; ties go to the smaller vec_id; no vectors or no queries, no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corvella.plans.storage import materialise
+from corvella.llm.files import Sink, Source
+from corvella.plans.storage import fresh_path, materialise
 
 K = 20
 DEGREE = 32
@@ -171,31 +177,64 @@ def usable(embeddings: DataFrame) -> DataFrame:
     return embeddings.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.coalesce(sound, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("vector"))
 
 
-INDEX = "dim int, shard int, nodes long, vectors binary, edges binary, ids binary, id_counts binary"
+INDEX = "dim int, shard int, nodes long, file string, n_bytes long"
 NEAR = "query_id long, query_key long, vec_id long, score double"
 
 
-def _index_shard(f: pd.DataFrame) -> pd.DataFrame:
-    vectors = np.stack(f["vector"].to_numpy()).astype(np.float64)
-    order, edges, _ = build(level(vectors))
-    ids = [np.sort(np.asarray(x, dtype=np.int64)) for x in f["ids"]]
-    ids = [ids[i] for i in order]
-    row = {
-        "dim": f["dim"].iloc[0], "shard": f["shard"].iloc[0], "nodes": len(vectors), "vectors": vectors[order].tobytes(), "edges": edges.tobytes(),
-        "ids": np.concatenate(ids).tobytes(), "id_counts": np.array([len(x) for x in ids], dtype=np.int64).tobytes(),
-    }
-    return pd.DataFrame([row])
+@dataclass
+class Shard:
+    """What a query needs of one shard."""
+
+    vectors: np.ndarray
+    counts: np.ndarray
+    ids: np.ndarray
+    graph: Graph
+
+    def __post_init__(self) -> None:
+        self.first = np.cumsum(self.counts) - self.counts
+
+    @staticmethod
+    def save(folder: str, vectors: np.ndarray, edges: np.ndarray, ids: list[np.ndarray]) -> tuple[str, int]:
+        out = Sink(folder, ".graph")
+        flat = np.concatenate(ids)
+        out.write(np.array([len(vectors), vectors.shape[1], len(flat)], dtype=np.int64).tobytes())
+        for part in (vectors, edges, np.array([len(x) for x in ids], dtype=np.int64), flat):
+            out.write(part.tobytes())
+        out.close()
+        return out.name, out.position
+
+    @staticmethod
+    def load(name: str) -> Shard:
+        source = Source(name)
+        raw = source.read(0, source.size)
+        source.close()
+        n, dim, m = np.frombuffer(raw, np.int64, 3).tolist()
+        at, parts = 24, []
+        for kind, size in ((np.float64, n * dim), (np.int32, n * DEGREE), (np.int64, n), (np.int64, m)):
+            parts.append(np.frombuffer(raw, kind, size, at))
+            at += parts[-1].nbytes
+        vectors = parts[0].reshape(n, dim)
+        return Shard(vectors, parts[2], parts[3], Graph(level(vectors), parts[1].reshape(n, DEGREE), 0))
 
 
 def build_index(embeddings: DataFrame, k: int = K, shard_nodes: int = SHARD_NODES) -> tuple[DataFrame, int]:
-    """(index with one row per shard, number of shards). Every usable vector is in it."""
+    """(index with one row per shard and its file, number of shards). Every usable vector is in it."""
     vectors = usable(embeddings)
     few = Window.partitionBy("vector").orderBy("vec_id")  # limited before its shuffle, so a common vector stays small
     nodes = vectors.withColumn("nth", F.dense_rank().over(few)).filter(F.col("nth") <= k + 1).groupBy("vector").agg(F.collect_set("vec_id").alias("ids"))
     nodes = materialise(nodes, "ann-nodes")
     shards = max(1, -(-nodes.count() // shard_nodes))
     dealt = nodes.select(F.size("vector").alias("dim"), F.pmod(F.xxhash64("vector"), F.lit(shards)).cast("int").alias("shard"), "vector", "ids")
-    return materialise(dealt.groupBy("dim", "shard").applyInPandas(_index_shard, INDEX), "ann-index"), shards
+    folder = fresh_path(embeddings.sparkSession, "ann-graphs")
+
+    def one(f: pd.DataFrame) -> pd.DataFrame:
+        vectors = np.stack(f["vector"].to_numpy()).astype(np.float64)
+        order, edges, _ = build(level(vectors))
+        ids = [np.sort(np.asarray(x, dtype=np.int64)) for x in f["ids"]]
+        name, size = Shard.save(folder, vectors[order], edges, [ids[i] for i in order])
+        return pd.DataFrame([{"dim": f["dim"].iloc[0], "shard": f["shard"].iloc[0], "nodes": len(vectors), "file": name, "n_bytes": size}])
+
+    return materialise(dealt.groupBy("dim", "shard").applyInPandas(one, INDEX), "ann-index"), shards
 
 
 def search(queries: DataFrame, index: DataFrame, shards: int, k: int = K, beam: int = SEARCH_BEAM) -> DataFrame:
@@ -209,38 +248,42 @@ def search(queries: DataFrame, index: DataFrame, shards: int, k: int = K, beam:
         return pd.DataFrame([{"dim": f["dim"].iloc[0], "block": f["block"].iloc[0], "q_ids": f["vec_id"].to_numpy(np.int64).tobytes(), "q_keys": f["query_key"].to_numpy(np.int64).tobytes(), "q": q.tobytes()}])
 
     bundles = keyed.groupBy("dim", "block").applyInPandas(bundle, "dim int, block int, q_ids binary, q_keys binary, q binary")
-    everywhere = bundles.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-
-    def answer(f: pd.DataFrame) -> pd.DataFrame:
-        found = [_search_shard(r, k, beam) for r in f.to_dict("records")]
-        return pd.concat(found, ignore_index=True)
-
-    near = everywhere.join(index, ["dim", "shard"]).groupBy("dim", "shard", "block").applyInPandas(answer, NEAR)
+    everywhere = bundles.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(index, ["dim", "shard"]).drop("nodes", "n_bytes")
+
+    def answer(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, shard = None, None
+        for f in frames:
+            for r in f.to_dict("records"):
+                if r["file"] != name:
+                    name, shard = r["file"], Shard.load(r["file"])
+                yield _search_shard(r, shard, k, beam)
+
+    # a task gets neighbouring (shard, block) pairs: one shard or two, whatever the numbers of shards and blocks
+    dealt = everywhere.repartitionByRange("file", "block").sortWithinPartitions("file", "block")
+    near = dealt.select("file", "q_ids", "q_keys", "q", "dim").mapInPandas(answer, NEAR)
     best = Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _search_shard(r: dict, k: int, beam: int) -> pd.DataFrame:
-    n, dim = int(r["nodes"]), int(r["dim"])
-    vectors = np.frombuffer(r["vectors"], np.float64).reshape(n, dim)
+def _search_shard(r: dict, shard: Shard, k: int, beam: int) -> pd.DataFrame:
+    n, dim = shard.vectors.shape
     q = np.frombuffer(r["q"], np.float64).reshape(-1, dim)
     q_ids, q_keys = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["q_keys"], np.int64)
-    counts = np.frombuffer(r["id_counts"], np.int64)
-    ids, first = np.frombuffer(r["ids"], np.int64), np.cumsum(counts) - counts
     if n <= beam:
         found = np.broadcast_to(np.arange(n), (len(q), n))
     else:
-        graph = Graph(level(vectors), np.frombuffer(r["edges"], np.int32).reshape(n, DEGREE), 0)
-        found, _ = graph.search(np.column_stack([q, np.zeros(len(q))]).astype(np.float32), beam)
-    out = []
+        found, _ = shard.graph.search(np.column_stack([q, np.zeros(len(q))]).astype(np.float32), beam)
+    who, scores, owner = [], [], []
     for i in range(len(q)):
         nodes = found[i][found[i] >= 0]
-        score = np.einsum("ij,j->i", vectors[nodes], q[i])
-        c = counts[nodes]
-        member = np.repeat(first[nodes], c) + np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c)
-        who, s = ids[member], np.repeat(score, c)
-        other = who != q_ids[i]
-        who, s = who[other], s[other]
-        top = np.lexsort((who, -s))[:k]
-        out.append(pd.DataFrame({"query_id": q_ids[i], "query_key": q_keys[i], "vec_id": who[top], "score": s[top]}))
-    return pd.concat(out, ignore_index=True) if out else pd.DataFrame({c: pd.Series(dtype=t) for c, t in (("query_id", "int64"), ("query_key", "int64"), ("vec_id", "int64"), ("score", "float64"))})
+        c = shard.counts[nodes]
+        member = np.repeat(shard.first[nodes], c) + np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c)
+        ids, s = shard.ids[member], np.repeat(np.einsum("ij,j->i", shard.vectors[nodes], q[i]), c)
+        other = ids != q_ids[i]
+        ids, s = ids[other], s[other]
+        top = np.lexsort((ids, -s))[:k]
+        who.append(ids[top])
+        scores.append(s[top])
+        owner.append(np.full(len(top), i))
+    at = np.concatenate(owner)
+    return pd.DataFrame({"query_id": q_ids[at], "query_key": q_keys[at], "vec_id": np.concatenate(who), "score": np.concatenate(scores)})

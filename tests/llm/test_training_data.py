@@ -292,6 +292,26 @@ def test_graph_recall(spark):
     assert got.query_id.nunique() == 75 and hit / (75 * 20) >= 0.9
 
 
+def test_graph_recall_on_the_embeddings_table(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    x = {r.vec_id: np.array(r.embedding, float) for r in d.collect()}
+    ids = np.array(sorted(x))
+    grid = np.stack([x[i] for i in ids])
+    for shard_nodes in (8192, 300):
+        index, shards = graph_ann.build_index(d, shard_nodes=shard_nodes)
+        got = graph_ann.search(d.filter("vec_id % 20 = 0"), index, shards).toPandas()
+        hit = n = 0
+        for q in ids[ids % 20 == 0]:
+            s = grid @ x[q]
+            s[ids == q] = -np.inf
+            best = set(ids[np.lexsort((ids, -s))[:20]])
+            hit, n = hit + len(best & set(got[got.query_id == q].vec_id)), n + len(best)
+        assert hit / n >= 0.95
+    assert graph_ann.search(d.limit(0), index, shards).count() == 0
+    index, shards = graph_ann.build_index(d.limit(0))
+    assert graph_ann.search(d, index, shards).count() == 0
+
+
 def test_warc(spark):
     html = ["<p>a</p>", "<p>a</p>", None, "", "<p>é</p>", "<p>a</p>"]
     rows = [(i * 3 if i != 4 else None, f"http://User@WWW.Example.org:80/x?{i % 2}#f" if i != 3 else None, h) for i, h in enumerate(html)]
@@ -447,17 +467,54 @@ def test_classifiers_without_labels_or_rows(spark):
         assert op.score(d.limit(0), m).count() == 0 and op.keep(d.limit(0), m, 1).columns == d.columns
 
 
-def test_pipeline_keeps_columns(spark):
+def test_pipeline_stages_against_brute_force(spark):
+    """Each stage on all that its predecessor kept, with null, empty and repeated rows added."""
     import corpus_pipeline as p
 
     sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    first = [r.asDict() for r in table.limit(3).collect()]
+    odd = [first[0], first[1] | {"doc_id": None}, first[2] | {"text": None, "doc_id": 10**6}, first[2] | {"text": "", "doc_id": 10**6 + 1}]
+    docs = table.union(spark.createDataFrame(odd, table.schema))
+    row = lambda r: tuple(r[c] for c in docs.columns)
     seen = docs
     for name, stage in p.STAGES[:-1]:
-        out = stage(spark, seen, sf)
-        assert out.columns == docs.columns
-        assert out.exceptAll(seen).count() == 0, name
-        seen = out.cache()
-    texts = [r.text for r in seen.select("text").collect()]
-    assert len(texts) == len(set(texts)) and len(texts) > 100
-    assert p.STAGES[-1][1](spark, seen, sf).select("doc_id").distinct().count() == len(texts)
+        before, out = [row(r) for r in seen.collect()], stage(spark, seen, sf)
+        assert out.columns == docs.columns, name
+        after = [row(r) for r in out.collect()]
+        left = list(before)
+        for r in after:
+            left.remove(r)  # a row that was there, once each
+        at = docs.columns.index("text")
+        if name == "exact dedup":
+            assert sorted(r[at] or "" for r in after) == sorted({r[at] or "" for r in before})
+            best = {}
+            for r in before:
+                best[r[at] or ""] = max(best.get(r[at] or "", -1), -1 if r[0] is None else r[0])
+            assert all((-1 if r[0] is None else r[0]) == best[r[at] or ""] for r in after)
+        elif name == "MinHash near-dedup":
+            sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (r[at] or "").lower().split()) else {("none", k)} for k, r in enumerate(before)]
+            up = list(range(len(before)))
+            for i in range(len(before)):
+                for j in range(i):
+                    if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                        a, b = up[i], up[j]
+                        up = [min(a, b) if x in (a, b) else x for x in up]
+            assert len(after) == len(set(up)) < len(before)
+            assert sorted(up[before.index(r)] for r in after) == sorted(set(up))
+        else:
+            op = quality if name.startswith("quality") else toxicity
+            used = labelled.fold("doc_id", 3) != 1 if op is quality else labelled.fold("doc_id", 5) != 0
+            m = op.fit_on(seen, spark.read.parquet(f"{sf}/labels.parquet"), used)
+            good = int(op is quality)
+            assert sorted(map(repr, after)) == sorted(repr(row(r)) for r in op.score(seen, m).filter(F.col("predicted") == good).select(*docs.columns).collect())
+        seen = spark.createDataFrame(after, docs.schema)
+    plain = library("byte_bpe_50k.json")
+    packed = p.STAGES[-1][1](spark, seen, sf).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    want = {}
+    for r in after:
+        want[r[0]] = want.get(r[0], 0) + len(plain(r[at])) + 1
+    assert {r.doc_id: r.n for r in packed} == want
+    empty = docs.limit(0)
+    for name, stage in p.STAGES:
+        assert stage(spark, empty, sf).count() == 0, name

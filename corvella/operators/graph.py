@@ -67,59 +67,73 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int | None = None, t
     return ranks.select("id", "rank")
 
 
-def hits(edges: DataFrame, rounds: int = 20) -> DataFrame:
-    """(id, hub, authority), each summing to one."""
+def _settled(state: DataFrame, value: str, tol: float) -> bool:
+    """Is the L1 change of ``value`` against ``was`` below ``tol``?"""
+    return (state.agg(F.sum(F.abs(F.col(value) - F.col("was")))).first()[0] or 0.0) < tol
+
+
+def hits(edges: DataFrame, tol: float = 1e-7, most: int = MOST_ROUNDS) -> DataFrame:
+    """(id, hub, authority), each summing to one (G3); until the L1 change of hubs is below ``tol``, an error past ``most`` rounds."""
     e = materialise(edges.select("src", "dst").distinct(), "hits-edges")
-    v = vertices(e)
-    n = v.count()
+    v = materialise(vertices(e), "hits-vertices")
+    n = max(v.count(), 1)
     s = v.select("id", F.lit(1.0 / n).alias("hub"), F.lit(0.0).alias("authority"))
-    for k in range(rounds):
+    for k in range(most):
         a = e.join(s, e.src == s.id).groupBy(F.col("dst").alias("id")).agg(F.sum("hub").alias("a"))
         h = e.join(a, e.dst == a.id).groupBy(F.col("src").alias("i2")).agg(F.sum("a").alias("h"))
-        j = v.join(a, "id", "left").join(h, F.col("id") == F.col("i2"), "left").select("id", F.coalesce("h", F.lit(0.0)).alias("h"), F.coalesce("a", F.lit(0.0)).alias("a"))
+        j = s.select("id", F.col("hub").alias("was")).join(a, "id", "left").join(h, F.col("id") == F.col("i2"), "left").select("id", "was", F.coalesce("h", F.lit(0.0)).alias("h"), F.coalesce("a", F.lit(0.0)).alias("a"))
         t = j.agg(F.sum("h").alias("th"), F.sum("a").alias("ta"))
-        s = j.join(F.broadcast(t)).select("id", (F.col("h") / F.col("th")).alias("hub"), (F.col("a") / F.col("ta")).alias("authority"))  # one row
+        s = j.join(F.broadcast(t)).select("id", "was", (F.col("h") / F.col("th")).alias("hub"), (F.col("a") / F.col("ta")).alias("authority"))  # one row
         if k % CUT_EVERY == CUT_EVERY - 1:
             s = materialise(s, "hits")
-    return s
+            if _settled(s, "hub", tol):
+                return s.select("id", "hub", "authority")
+    raise RuntimeError("hubs did not settle")
 
 
-def katz(edges: DataFrame, alpha: float = 0.005, beta: float = 1.0, rounds: int = 6) -> DataFrame:
-    """x = alpha * A x + beta over in-edges of an undirected graph, a fixed number of rounds."""
+def katz(edges: DataFrame, alpha: float = 0.005, beta: float = 1.0, tol: float = 1e-6, most: int = MOST_ROUNDS) -> DataFrame:
+    """x = alpha * A x + beta over the edges of an undirected graph (G4), until the L1 change is below ``tol``; an error past ``most`` rounds,
+    as for an ``alpha`` above one over the largest eigenvalue."""
     e = materialise(both_ways(edges.select("src", "dst")), "katz-edges")
-    x = vertices(e).withColumn("x", F.lit(beta))
-    for k in range(rounds):
+    x = materialise(vertices(e), "katz-vertices").withColumn("x", F.lit(beta))
+    for k in range(most):
         g = e.join(x, e.src == x.id).groupBy("dst").agg(F.sum("x").alias("g"))
-        x = x.select("id").join(g, F.col("id") == g.dst, "left").select("id", (alpha * F.coalesce("g", F.lit(0.0)) + beta).alias("x"))
+        x = x.join(g, x.id == g.dst, "left").select("id", F.col("x").alias("was"), (alpha * F.coalesce("g", F.lit(0.0)) + beta).alias("x"))
         if k % CUT_EVERY == CUT_EVERY - 1:
             x = materialise(x, "katz")
-    return x
+            if _settled(x, "x", tol):
+                return x.select("id", "x")
+        x = x.select("id", "x")
+    raise RuntimeError("values did not settle")
 
 
-def eigenvector(edges: DataFrame, rounds: int = 30) -> DataFrame:
-    """Power iteration of x + A x with unit norm."""
+def eigenvector(edges: DataFrame, tol: float = 1e-6, most: int = MOST_ROUNDS) -> DataFrame:
+    """Power iteration of x + A x with unit norm (G4), until the L1 change is below ``tol``; an error past ``most`` rounds."""
     e = materialise(both_ways(edges.select("src", "dst")), "eigen-edges")
-    x = vertices(e).withColumn("x", F.lit(1.0))
-    for k in range(rounds):
+    x = materialise(vertices(e), "eigen-vertices").withColumn("x", F.lit(1.0))
+    for k in range(most):
         g = e.join(x, e.src == x.id).groupBy("dst").agg(F.sum("x").alias("g"))
-        y = x.join(g, x.id == g.dst, "left").select("id", (F.col("x") + F.coalesce("g", F.lit(0.0))).alias("x"))
+        y = x.join(g, x.id == g.dst, "left").select("id", F.col("x").alias("was"), (F.col("x") + F.coalesce("g", F.lit(0.0))).alias("x"))
         norm = y.agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("n"))
-        x = y.join(F.broadcast(norm)).select("id", (F.col("x") / F.col("n")).alias("x"))  # one row
+        x = y.join(F.broadcast(norm)).select("id", "was", (F.col("x") / F.col("n")).alias("x"))  # one row
         if k % CUT_EVERY == CUT_EVERY - 1:
             x = materialise(x, "eigen")
-    return x
+            if _settled(x, "x", tol):
+                return x.select("id", "x")
+        x = x.select("id", "x")
+    raise RuntimeError("values did not settle")
 
 
-def distances(edges: DataFrame, sources: DataFrame, most: int = MOST_HOPS, directed: bool = False) -> DataFrame:
+def distances(edges: DataFrame, sources: DataFrame, most: int = MOST_HOPS, directed: bool = False, radius: int | None = None) -> DataFrame:
     """(source, id, dist, paths): breadth-first from all ``sources`` (id) at once, with shortest-path counts.
 
-    Ends when no vertex is new; vertices further than ``most`` hops away raise an error.
+    Ends when no vertex is new, or at ``radius`` where one is asked for; vertices further than ``most`` hops away raise an error.
     """
     e = materialise((edges if directed else both_ways(edges)).select("src", "dst").distinct(), "bfs-edges")
     front = sources.select(F.col("id").alias("source"), "id", F.lit(0).alias("dist"), F.lit(1).cast("double").alias("paths"))
     seen = materialise(front, "bfs")
     front = seen
-    for d in range(1, most + 1):
+    for d in range(1, (most if radius is None else radius) + 1):
         step = front.join(e, front.id == e.src).groupBy("source", F.col("dst").alias("id")).agg(F.sum("paths").alias("paths")).join(seen.select("source", "id"), ["source", "id"], "left_anti")
         front = materialise(step.select("source", "id", F.lit(d).alias("dist"), "paths"), "bfs-front")
         if front.isEmpty():
@@ -127,7 +141,7 @@ def distances(edges: DataFrame, sources: DataFrame, most: int = MOST_HOPS, direc
         seen = seen.union(front)
         if d % 4 == 0:
             seen = materialise(seen, "bfs")
-    if front.join(e, front.id == e.src).select("source", F.col("dst").alias("id")).join(seen, ["source", "id"], "left_anti").isEmpty():
+    if radius is not None or front.join(e, front.id == e.src).select("source", F.col("dst").alias("id")).join(seen, ["source", "id"], "left_anti").isEmpty():
         return seen
     raise RuntimeError(f"vertices are more than {most} hops away")
 
@@ -218,16 +232,18 @@ def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
     for k in range(rounds):
         votes = e.join(lab, e.src == lab.id).select(F.col("dst").alias("id"), "label", F.col("weight").cast("double").alias("weight")).union(lab.select("id", "label", F.lit(1.0)))
         n = votes.groupBy("id", "label").agg(F.sum("weight").alias("n"))
-        lab = n.groupBy("id").agg(F.max_by("label", F.struct(F.col("n"), -F.col("label"))).alias("label"))
+        lab = n.groupBy("id").agg(F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("label"))
         if k % CUT_EVERY == CUT_EVERY - 1:
             lab = materialise(lab, "lpa")
     return lab
 
 
-def louvain(edges: DataFrame, gamma: float = 1.0, levels: int = 4, rounds: int = 12) -> DataFrame:
-    """(id, label): synchronous local moves towards higher modularity, then contraction, level by level.
+def louvain(edges: DataFrame, gamma: float = 1.0, levels: int = 8, rounds: int = 24) -> DataFrame:
+    """(id, label): synchronous local moves towards higher modularity, then contraction, until no node moves.
 
     In each round only one of ``CLASSES`` hash classes of nodes may move, so that few neighbours move at once.
+    Simultaneous moves may go in circles, so ``rounds`` bounds them at each level, and ``levels`` the contractions: a
+    partition that could still improve may be returned.
     """
     now = materialise(edges.select("src", "dst", F.col("weight").cast("double").alias("weight")), "lv-edges")
     member = materialise(vertices(edges).withColumn("label", F.col("id")), "lv-member")
@@ -244,7 +260,7 @@ def louvain(edges: DataFrame, gamma: float = 1.0, levels: int = 4, rounds: int =
             x = to.join(lab, "id").join(tot.select(F.col("label").alias("to"), "tot"), "to")
             own = F.col("to") == F.col("label")
             gain = F.col("w") - gamma * F.col("k") * (F.col("tot") - F.when(own, F.col("k")).otherwise(0.0)) / (2 * total)
-            best = x.withColumn("gain", gain).filter(~own).groupBy("id").agg(F.max_by("to", F.struct("gain", -F.col("to"))).alias("best"), F.max("gain").alias("g"))
+            best = x.withColumn("gain", gain).filter(~own).groupBy("id").agg(F.min_by("to", F.struct(-F.col("gain"), F.col("to"))).alias("best"), F.max("gain").alias("g"))
             kept = x.filter(own).select(F.col("id").alias("i2"), F.col("w").alias("w_own"))
             at = lab.join(tot, "label").join(best, "id", "left").join(kept, F.col("id") == F.col("i2"), "left")
             stay = F.coalesce("w_own", F.lit(0.0)) - gamma * F.col("k") * (F.col("tot") - F.col("k")) / (2 * total)
@@ -296,14 +312,17 @@ def compare_labels(one: DataFrame, two: DataFrame) -> DataFrame:
     )
 
 
-def core_numbers(edges: DataFrame, most: int = 64) -> DataFrame:
-    """(id, core): each node's value becomes the h-index of its neighbours' until nothing changes."""
+def core_numbers(edges: DataFrame, most: int = MOST_HOPS) -> DataFrame:
+    """(id, core): each node's value becomes the h-index of its neighbours' until nothing changes.
+
+    Neighbours are counted by value first, so a hub's window holds one row per distinct value of theirs.
+    """
     e = materialise(both_ways(edges.select("src", "dst")).distinct(), "core-edges")
     v = materialise(e.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("core")), "core")
-    by = Window.partitionBy("id").orderBy(F.desc("c"))
+    by = Window.partitionBy("id").orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, 0)
     for _ in range(most):
-        near = e.join(v.select(F.col("id").alias("dst"), F.col("core").alias("c")), "dst").select(F.col("src").alias("id"), "c").withColumn("r", F.row_number().over(by))
-        h = near.groupBy("id").agg(F.coalesce(F.max(F.when(F.col("c") >= F.col("r"), F.col("r"))), F.lit(0)).alias("h"))
+        near = e.join(v.select(F.col("id").alias("dst"), F.col("core").alias("c")), "dst").groupBy(F.col("src").alias("id"), "c").agg(F.count(F.lit(1)).alias("m")).withColumn("r", F.sum("m").over(by))
+        h = near.groupBy("id").agg(F.max(F.least("c", "r")).alias("h"))
         new = materialise(v.join(h, "id").select("id", F.least("core", "h").cast("long").alias("core"), F.col("core").alias("was")), "core")
         v = new.select("id", "core")
         if new.filter("core <> was").isEmpty():
@@ -336,7 +355,100 @@ def transitivity(edges: DataFrame) -> DataFrame:
     return t.agg((2 * F.sum("triangles") / F.sum(F.col("k") * (F.col("k") - 1))).alias("transitivity"), F.avg("clustering").alias("average_clustering"), F.floor(F.sum("triangles") / 3).alias("triangles"))
 
 
-def k_truss(edges: DataFrame, k: int, most: int = 64) -> DataFrame:
+def core_parts(edges: DataFrame, k: int) -> DataFrame:
+    """(id, core, in_core, in_shell, in_crust, in_corona) for ``k`` (G14): the k-core, the nodes of core number k, those of at
+    most k, and those of the k-shell with just k neighbours in the k-core."""
+    c = materialise(core_numbers(edges), "core-numbers")
+    high = c.filter(F.col("core") >= k).select("id")
+    e = both_ways(edges.select("src", "dst")).distinct()
+    n = e.join(high.select(F.col("id").alias("dst")), "dst", "left_semi").groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    x = c.join(n, "id", "left").na.fill(0, ["n"])
+    shell = F.col("core") == k
+    return x.select("id", "core", (F.col("core") >= k).alias("in_core"), shell.alias("in_shell"), (F.col("core") <= k).alias("in_crust"), (shell & (F.col("n") == k)).alias("in_corona"))
+
+
+def onion_layers(edges: DataFrame, most: int = MOST_HOPS) -> DataFrame:
+    """(id, layer): the round of peeling in which a node goes (G15). A round takes all nodes of at most the current core's
+    degree; the current core rises when no node is left below it."""
+    e = materialise(both_ways(edges.select("src", "dst")).distinct(), "onion-edges")
+    k = materialise(e.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("k")), "onion-degrees")
+    done, core = k.select("id", F.lit(0).alias("layer")).limit(0), 1
+    for layer in range(1, most + 1):
+        least = k.agg(F.min("k")).first()[0]
+        if least is None:
+            return done
+        core = max(core, least)
+        go = materialise(k.filter(F.col("k") <= core).select("id", F.lit(layer).alias("layer")), "onion-layer")
+        done = done.union(go)
+        if layer % 8 == 0:
+            done = materialise(done, "onion")
+        gone = go.select("id")
+        e = materialise(e.join(gone.select(F.col("id").alias("src")), "src", "left_anti").join(gone.select(F.col("id").alias("dst")), "dst", "left_anti"), "onion-edges")
+        left = k.join(gone, "id", "left_anti").select("id")
+        left = left.join(e.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("k")), "id", "left").na.fill(0, ["k"])
+        k = materialise(left, "onion-degrees")
+    raise RuntimeError("layers did not settle")
+
+
+def condensation(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """(src, dst, edges) between the strong components ``labels`` (id, component): a graph without cycles."""
+    lab = lambda c, n: labels.select(F.col("id").alias(c), F.col("component").alias(n))
+    x = edges.join(lab("src", "s"), "src").join(lab("dst", "d"), "dst").filter("s <> d")
+    return x.groupBy(F.col("s").alias("src"), F.col("d").alias("dst")).agg(F.count(F.lit(1)).alias("edges"))
+
+
+# The 16 classes of three nodes, by mutual, asymmetric and null pairs and, where that is not enough, direction.
+TRIADS = "003 012 102 021D 021U 021C 111D 111U 030T 030C 201 120D 120U 120C 210 300".split()
+
+
+def triad_census(edges: DataFrame) -> DataFrame:
+    """(triad, n) of all 16 directed classes.
+
+    Only triples with two linked pairs or more are enumerated, from their middle nodes; those with one
+    linked pair and those with none follow from the numbers of nodes and pairs.
+    """
+    e = edges.select("src", "dst").filter("src <> dst").distinct()
+    pairs = e.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), F.when(F.col("src") < F.col("dst"), 1).otherwise(2).alias("way")).groupBy("a", "b").agg(F.sum("way").alias("way"))
+    pairs = materialise(pairs, "triad-pairs")  # way: 1 a to b, 2 b to a, 3 both
+    turned = F.when(F.col("way") == 1, 2).when(F.col("way") == 2, 1).otherwise(3)
+    both = pairs.select(F.col("a").alias("mid"), F.col("b").alias("end"), "way").union(pairs.select("b", "a", turned))
+    one, two = both.select("mid", F.col("end").alias("x"), F.col("way").alias("wx")), both.select("mid", F.col("end").alias("y"), F.col("way").alias("wy"))
+    wedges = one.join(two, "mid").filter("x < y").join(pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("way").alias("wxy")), ["x", "y"], "left")
+    # a closed triple has three middles: its smallest node speaks for it
+    t = wedges.filter("wxy IS NULL OR (mid < x AND mid < y)").na.fill(0, ["wxy"])
+    way = lambda c: (F.col(c) == 3).cast("int")
+    out = lambda c: F.col(c).isin(1, 3).cast("int")
+    back = lambda c: F.col(c).isin(2, 3).cast("int")
+    mutual = way("wx") + way("wy") + way("wxy")
+    d_mid, d_x, d_y = out("wx") + out("wy"), back("wx") + out("wxy"), back("wy") + back("wxy")
+    i_mid, i_x, i_y = back("wx") + back("wy"), out("wx") + back("wxy"), out("wy") + out("wxy")
+    outs, ins = F.array_sort(F.array(d_mid, d_x, d_y)), F.array_sort(F.array(i_mid, i_x, i_y))
+    is_open = F.col("wxy") == 0
+    top_out, top_in = outs[2], ins[2]
+    name = (
+        F.when(is_open & (mutual == 2), "201")
+        .when(is_open & (mutual == 1), F.when(i_mid == 2, "111D").otherwise("111U"))
+        .when(is_open, F.when(d_mid == 2, "021D").when(i_mid == 2, "021U").otherwise("021C"))
+        .when(mutual == 3, "300").when(mutual == 2, "210")
+        .when(mutual == 1, F.when((top_out == 2) & (ins[0] == 0), "120D").when((top_in == 2) & (outs[0] == 0), "120U").otherwise("120C"))
+        .otherwise(F.when(top_out == 2, "030T").otherwise("030C"))
+    )
+    found = materialise(t.groupBy(name.alias("triad")).agg(F.count(F.lit(1)).alias("n")), "triads")
+    k = materialise(both.groupBy("mid").agg(F.count(F.lit(1)).alias("k")), "triad-degrees")
+    nodes = vertices(edges).count()
+    # pairs and a third node that neither is linked to: all third nodes, less the neighbours of either, which are one for a closed triple
+    near = pairs.join(k.select(F.col("mid").alias("a"), F.col("k").alias("ka")), "a").join(k.select(F.col("mid").alias("b"), F.col("k").alias("kb")), "b")
+    closed = t.filter(~is_open).select(F.explode(F.array(F.struct(F.col("mid").alias("a"), F.col("x").alias("b")), F.struct(F.col("mid").alias("a"), F.col("y").alias("b")), F.struct(F.col("x").alias("a"), F.col("y").alias("b")))).alias("p"))
+    common = closed.groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count(F.lit(1)).alias("common"))
+    alone = near.join(common, ["a", "b"], "left").na.fill(0, ["common"]).select("way", (F.lit(nodes) - F.col("ka") - F.col("kb") + F.col("common")).alias("n"))
+    single = alone.groupBy(F.when(F.col("way") == 3, "102").otherwise("012").alias("triad")).agg(F.sum("n").alias("n"))
+    counted = {r.triad: r.n for r in found.union(single).collect()}  # at most 15 rows
+    every = nodes * (nodes - 1) * (nodes - 2) // 6
+    counted["003"] = every - sum(counted.values())
+    return edges.sparkSession.createDataFrame([(t, int(counted.get(t, 0))) for t in TRIADS], "triad string, n long")
+
+
+def k_truss(edges: DataFrame, k: int, most: int = MOST_HOPS) -> DataFrame:
     """Edges that stay in at least k - 2 triangles of what is left."""
     e = materialise(edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "truss")
     for _ in range(most):
@@ -468,12 +580,12 @@ def k_core(k: int):
 def ego_network(centre, radius: int):
     def apply(graph):
         s = graph[0].filter(F.col("id") == F.lit(centre)).select("id")
-        return induced(distances(graph[1], s, radius).select("id").distinct(), graph)
+        return induced(distances(graph[1], s, radius=radius).select("id").distinct(), graph)
 
     return apply
 
 
-def on_shortest_paths(a, b, most: int = 32):
+def on_shortest_paths(a, b, most: int = MOST_HOPS):
     def apply(graph):
         one = distances(graph[1], graph[0].filter(F.col("id") == F.lit(a)).select("id"), most).select("id", F.col("dist").alias("d1"))
         two = distances(graph[1], graph[0].filter(F.col("id") == F.lit(b)).select("id"), most).select("id", F.col("dist").alias("d2"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import LDA, BisectingKMeans, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import IDF, CountVectorizer, HashingTF
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.recommendation import ALS
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,16 +16,54 @@ from pyspark.sql.window import Window
 from corvella.functions import scalars as S
 from corvella.operators.graph import both_ways
 from corvella.plans.components import components
+from corvella.plans.storage import materialise
 
 
-def lda(docs: DataFrame, k: int, words: int = 10, terms: int = 20_000, seed: int = 1, rounds: int = 20) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, topics array), (topic, term, weight) of (doc_id, tokens) (T1). The vocabulary is bounded by ``terms``."""
-    vocabulary = CountVectorizer(inputCol="tokens", outputCol="features", vocabSize=terms, minDF=2.0, maxDF=0.95).fit(docs)
-    counts = vocabulary.transform(docs)
+BUCKETS = 1 << 18
+
+
+def term_buckets(docs: DataFrame, buckets: int = BUCKETS) -> tuple[DataFrame, DataFrame]:
+    """(docs with tokens as hash buckets, (bucket, term): the commonest term of each). No term is dropped; the space is bounded."""
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets)).cast("string")
+    terms = docs.select(F.explode("tokens").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    names = terms.groupBy(at("term").alias("bucket")).agg(F.max_by("term", F.struct("n", "term")).alias("term"))
+    return docs.withColumn("tokens", F.transform("tokens", at)), names
+
+
+def lda(docs: DataFrame, k: int, words: int = 10, seed: int = 1, rounds: int = 20, buckets: int = BUCKETS) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, topics array), (topic, term, weight) of (doc_id, tokens).
+
+    Terms of two documents or more and of at most 95 % of them; of all where that leaves none.
+    """
+    hashed, names = term_buckets(docs, buckets)
+    fit = lambda least, most: CountVectorizer(inputCol="tokens", outputCol="features", vocabSize=buckets, minDF=least, maxDF=most).fit(hashed)
+    vocabulary = fit(2.0, 0.95)
+    if not vocabulary.vocabulary:
+        vocabulary = fit(1.0, 1.0)
+    counts = vocabulary.transform(hashed)
     model = LDA(k=k, seed=seed, maxIter=rounds, featuresCol="features").fit(counts)
-    names = F.array(*map(F.lit, vocabulary.vocabulary[:terms])) if vocabulary.vocabulary else F.array().cast("array<string>")
-    top = model.describeTopics(words).select("topic", F.explode(F.arrays_zip("termIndices", "termWeights")).alias("x"))
-    return model.transform(counts).select("doc_id", vector_to_array("topicDistribution").alias("topics")), top.select("topic", F.get(names, F.col("x.termIndices")).alias("term"), F.col("x.termWeights").alias("weight"))
+    buckets_of = docs.sparkSession.createDataFrame(list(enumerate(vocabulary.vocabulary)), "i int, bucket string")  # at most ``buckets`` rows
+    top = model.describeTopics(words).select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "x"))
+    tops = top.select("topic", "rank", F.col("x.termIndices").alias("i"), F.col("x.termWeights").alias("weight")).join(buckets_of, "i").join(names, "bucket")
+    return model.transform(counts).select("doc_id", vector_to_array("topicDistribution").alias("topics")), tops.select("topic", "term", "weight")
+
+
+def nmf(docs: DataFrame, k: int, words: int = 10, seed: int = 1, rounds: int = 10, buckets: int = BUCKETS) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, topics), (topic, term, weight) by non-negative factors of tf-idf weights (T2), from alternating least squares.
+
+    ``doc_id`` must fit 32 bits, as Spark's ALS asks. Weights of a topic are scaled to sum to one over its words.
+    """
+    hashed, names = term_buckets(docs, buckets)
+    n = docs.agg(F.count(F.lit(1)).alias("n"))
+    tf = hashed.select("doc_id", F.explode("tokens").alias("bucket")).groupBy("doc_id", "bucket").agg(F.count(F.lit(1)).alias("c"))
+    df = tf.groupBy("bucket").agg(F.count(F.lit(1)).alias("df"))
+    w = tf.join(df, "bucket").join(F.broadcast(n)).select(F.col("doc_id").cast("int"), F.col("bucket").cast("int"), (F.col("c") * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1)).cast("float").alias("w"))  # one row
+    model = ALS(rank=k, maxIter=rounds, seed=seed, nonnegative=True, implicitPrefs=False, userCol="doc_id", itemCol="bucket", ratingCol="w").fit(w)
+    long = model.itemFactors.select(F.col("id").cast("string").alias("bucket"), F.posexplode("features").alias("topic", "weight"))
+    best = Window.partitionBy("topic").orderBy(F.desc("weight"), "bucket")
+    top = long.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= words).join(names, "bucket")
+    share = F.col("weight") / F.sum("weight").over(Window.partitionBy("topic"))
+    return model.userFactors.select(F.col("id").cast("long").alias("doc_id"), F.col("features").cast("array<double>").alias("topics")), top.select("topic", "term", share.cast("double").alias("weight"))
 
 
 def topic_years(topics: DataFrame, years: DataFrame, width: int) -> DataFrame:
@@ -31,24 +72,37 @@ def topic_years(topics: DataFrame, years: DataFrame, width: int) -> DataFrame:
     return x.groupBy("bin", "topic").agg(F.avg("w").alias("weight"), F.count(F.lit(1)).alias("docs"))
 
 
+def trending_topics(by_year: DataFrame, last: int, window: int = 3) -> DataFrame:
+    """(topic, recent, prior, growth): mean weight in the last ``window`` years against the ``window`` before (T4). Input: bin, topic, weight."""
+    age = F.lit(last) - F.col("bin")
+    g = by_year.groupBy("topic").agg(F.avg(F.when((age >= 0) & (age < window), F.col("weight"))).alias("recent"), F.avg(F.when((age >= window) & (age < 2 * window), F.col("weight"))).alias("prior"))
+    return g.select("topic", "recent", "prior", F.when(F.col("prior") > 0, (F.col("recent") - F.col("prior")) / F.col("prior")).alias("growth"))
+
+
 def coherence(tops: DataFrame, docs: DataFrame) -> DataFrame:
-    """Mean normalised pointwise mutual information of each topic's words over documents."""
-    t = tops.select("topic", "term").distinct()
+    """(topic, coherence) (T3): words are vectors of normalised pointwise mutual information with the topic's words over
+    documents; the mean cosine of words adjacent by weight. Input: topic, term, weight."""
+    by = Window.partitionBy("topic").orderBy(F.desc("weight"), "term")
+    t = tops.select("topic", "term", F.row_number().over(by).alias("i"))
     d = docs.select("doc_id", F.explode(F.array_distinct("tokens")).alias("term")).join(F.broadcast(t.select("term").distinct()), "term", "left_semi")  # a few words per topic
     n = docs.agg(F.count(F.lit(1)).alias("n"))
-    df = d.groupBy("term").agg(F.count(F.lit(1)).alias("c"))
-    x = d.select("doc_id", F.col("term").alias("a")).join(d.select(F.col("doc_id").alias("d2"), F.col("term").alias("b")), (F.col("doc_id") == F.col("d2")) & (F.col("a") < F.col("b"))).groupBy("a", "b").agg(F.count(F.lit(1)).alias("w"))
-    pairs = t.select("topic", F.col("term").alias("a")).join(t.select(F.col("topic").alias("t2"), F.col("term").alias("b")), (F.col("topic") == F.col("t2")) & (F.col("a") < F.col("b")))
-    y = pairs.join(x, ["a", "b"], "left").na.fill(0, ["w"]).join(df.select(F.col("term").alias("a"), F.col("c").alias("ca")), "a").join(df.select(F.col("term").alias("b"), F.col("c").alias("cb")), "b").join(F.broadcast(n))  # one row
+    x = d.select("doc_id", F.col("term").alias("a")).join(d.select("doc_id", F.col("term").alias("b")), "doc_id").groupBy("a", "b").agg(F.count(F.lit(1)).alias("w"))
+    df = x.filter("a = b").select(F.col("a").alias("term"), F.col("w").alias("c"))
+    left, right = t.select("topic", "i", F.col("term").alias("a")), t.select("topic", F.col("i").alias("j"), F.col("term").alias("b"))
+    y = left.join(right, "topic").join(x, ["a", "b"], "left").na.fill(0, ["w"]).join(df.select(F.col("term").alias("a"), F.col("c").alias("ca")), "a").join(df.select(F.col("term").alias("b"), F.col("c").alias("cb")), "b").join(F.broadcast(n))  # one row
     p = F.col("w") / F.col("n")
-    npmi = F.when(F.col("w") > 0, F.when(p < 1, F.ln(p * F.col("n") * F.col("n") / (F.col("ca") * F.col("cb"))) / -F.ln(p)).otherwise(1.0)).otherwise(-1.0)
-    return y.groupBy("topic").agg(F.avg(npmi).alias("coherence"))
+    npmi = F.when(F.col("a") == F.col("b"), 1.0).when(F.col("w") == 0, -1.0).when(p < 1, F.ln(p * F.col("n") * F.col("n") / (F.col("ca") * F.col("cb"))) / -F.ln(p)).otherwise(1.0)
+    v = y.select("topic", "i", "j", npmi.alias("x"))
+    nxt = v.select("topic", (F.col("i") - 1).alias("i"), "j", F.col("x").alias("z"))
+    cos = v.join(nxt, ["topic", "i", "j"]).groupBy("topic", "i").agg((F.sum(F.col("x") * F.col("z")) / F.sqrt(F.sum(F.col("x") ** 2) * F.sum(F.col("z") ** 2))).alias("cos"))
+    return cos.groupBy("topic").agg(F.avg("cos").alias("coherence"))
 
 
 def tf_idf(docs: DataFrame, features: int = 2048) -> DataFrame:
-    """(doc_id, features) with sublinear idf weights of (doc_id, tokens) (T5)."""
+    """(doc_id, features): (1 + ln tf) * idf of hashed terms of (doc_id, tokens) (T5)."""
     tf = HashingTF(inputCol="tokens", outputCol="tf", numFeatures=features).transform(docs)
-    return IDF(inputCol="tf", outputCol="features").fit(tf).transform(tf).select("doc_id", "features")
+    damped = tf.select("doc_id", array_to_vector(F.transform(vector_to_array("tf"), lambda x: F.when(x > 0, 1 + F.ln(x)).otherwise(0.0))).alias("tf"))
+    return IDF(inputCol="tf", outputCol="features").fit(damped).transform(damped).select("doc_id", "features")
 
 
 def clusters(vectors: DataFrame, k: int, seed: int = 1, top_down: bool = False) -> DataFrame:
@@ -62,13 +116,54 @@ def vector_features(vectors: DataFrame, column: str = "embedding") -> DataFrame:
 
 
 def silhouettes(vectors: DataFrame, ks: list[int], seed: int = 1) -> DataFrame:
-    """Silhouette per number of clusters."""
-    score = ClusteringEvaluator(featuresCol="features", predictionCol="cluster")
-    return vectors.sparkSession.createDataFrame([(k, float(score.evaluate(clusters(vectors, k, seed)))) for k in ks], "k int, silhouette double")
-
-
-def dbscan(near: DataFrame, points: DataFrame, least: int) -> DataFrame:
-    """(id, cluster) from neighbour pairs (a < b) within the radius (T7); noise is -1, borders go to the smallest cluster."""
+    """Silhouette and within-cluster cost per number of clusters."""
+    score, out = ClusteringEvaluator(featuresCol="features", predictionCol="cluster"), []
+    for k in ks:
+        m = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(vectors)
+        out.append((k, float(score.evaluate(m.transform(vectors))), float(m.summary.trainingCost)))
+    return vectors.sparkSession.createDataFrame(out, "k int, silhouette double, cost double")
+
+
+def optimal_k(scores: DataFrame) -> DataFrame:
+    """(k, reason): the best silhouette, or the elbow of the cost (largest second difference) where none is positive."""
+    by = Window.orderBy("k")  # one row per number of clusters tried
+    bend = F.lag("cost").over(by) - 2 * F.col("cost") + F.lead("cost").over(by)
+    x = scores.withColumn("bend", bend)
+    best = F.max_by("k", F.struct("silhouette", -F.col("k")))
+    elbow = F.max_by(F.when(F.col("bend").isNotNull(), F.col("k")), F.struct(F.coalesce("bend", F.lit(float("-inf"))), -F.col("k")))
+    ok = F.max("silhouette") > 0
+    return x.agg(F.when(ok, best).otherwise(F.coalesce(elbow, best)).alias("k"), F.when(ok, "silhouette").otherwise("elbow").alias("reason"))
+
+
+def within(vectors: DataFrame, eps: float, block: int = 2048) -> DataFrame:
+    """(a, b) with a < b: all pairs of vectors at most ``eps`` apart (T7), block against block, none left out."""
+    blocks = max(1, -(-vectors.count() // block))
+    own = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
+    x = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"), own.alias("own"))
+    # a block meets itself and every other once: the cell (smaller, larger) holds both
+    cells = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda o: F.struct(F.least(o, "own").alias("p"), F.greatest(o, "own").alias("q")))
+    dealt = x.select("vec_id", "v", "own", F.explode(cells).alias("c")).select("c.p", "c.q", "own", "vec_id", "v")
+
+    def near(f: pd.DataFrame) -> pd.DataFrame:
+        p, q = f["p"].iloc[0], f["q"].iloc[0]
+        one, two = f[f["own"] == p], f[f["own"] == q]
+        if not len(one) or not len(two):
+            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
+        u, w = (np.stack(s["v"].to_numpy()) for s in (one, two))
+        d = (u**2).sum(axis=1)[:, None] + (w**2).sum(axis=1)[None, :] - 2 * u @ w.T
+        i, j = np.nonzero(d <= eps * eps + 1e-9)
+        exact = np.sqrt(((u[i] - w[j]) ** 2).sum(axis=1)) <= eps  # the product form only proposes
+        a, b = one["vec_id"].to_numpy()[i[exact]], two["vec_id"].to_numpy()[j[exact]]
+        keep = (a < b) if p == q else np.ones(len(a), bool)
+        return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep]})
+
+    return dealt.groupBy("p", "q").applyInPandas(near, "a long, b long")
+
+
+def dbscan(vectors: DataFrame, eps: float = 0.5, least: int = 5) -> DataFrame:
+    """(id, cluster) of (vec_id, embedding) by density (T7); noise is -1, borders go to the smallest cluster."""
+    near = materialise(within(vectors, eps), "eps-pairs")
+    points = vectors.select(F.col("vec_id").alias("id"))
     e = both_ways(near.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     core = e.groupBy("src").agg((F.count(F.lit(1)) + 1).alias("n")).filter(F.col("n") >= least).select(F.col("src").alias("id"))
     inner = e.join(core.select(F.col("id").alias("src")), "src", "left_semi").join(core.select(F.col("id").alias("dst")), "dst", "left_semi")
@@ -97,9 +192,10 @@ def framework_fit(studies: DataFrame, columns: DataFrame) -> DataFrame:
     return studies.select("study_id").join(hit, "study_id", "left")
 
 
-def landmark_scores(betweenness: DataFrame, degree: DataFrame, n: int) -> DataFrame:
-    """0.6 of relative betweenness and 0.4 of relative degree (K5)."""
-    x = betweenness.join(degree, "id")
-    top = Window.partitionBy()
-    s = 0.6 * F.col("betweenness") / F.greatest(F.max("betweenness").over(top), F.lit(1e-12)) + 0.4 * F.col("degree") / F.greatest(F.max("degree").over(top), F.lit(1))
-    return x.select("id", s.alias("score")).orderBy(F.desc("score"), "id").limit(n)
+def landmark_scores(betweenness: DataFrame, degree: DataFrame, bursts: DataFrame, n: int) -> DataFrame:
+    """(0.6 of relative betweenness + 0.4 of relative degree) * (1 + relative burst strength) (K5). bursts: id, burst."""
+    x = betweenness.join(degree, "id").join(bursts, "id", "left").na.fill(0, ["burst"])
+    top = x.agg(F.max("betweenness").alias("tb"), F.max("degree").alias("td"), F.max("burst").alias("ts"))
+    part = lambda c, t: F.col(c) / F.greatest(F.col(t), F.lit(1e-12))
+    y = x.join(F.broadcast(top))  # one row
+    return y.select("id", ((0.6 * part("betweenness", "tb") + 0.4 * part("degree", "td")) * (1 + part("burst", "ts"))).alias("score")).orderBy(F.desc("score"), "id").limit(n)

@@ -14,57 +14,69 @@ R = Registry()
 QUERIES, ORACLES = R.QUERIES, R.ORACLES
 C = F.col
 S = "coauthors"
-STRONG = "WITH s AS (SELECT a AS src, b AS dst, weight FROM coauthors WHERE weight > (SELECT avg(weight) FROM coauthors)), u AS (SELECT src, dst, weight FROM s UNION ALL SELECT dst, src, weight FROM s), v AS (SELECT DISTINCT src AS id FROM u) "
+CITED = "WITH s AS (SELECT src, dst, 1 AS weight FROM cites), u AS (SELECT src, dst, weight FROM s UNION ALL SELECT dst, src, weight FROM s), v AS (SELECT DISTINCT src AS id FROM u) "
+WHOLE = "WITH s AS (SELECT a AS src, b AS dst, weight FROM coauthors), u AS (SELECT src, dst, weight FROM s UNION ALL SELECT dst, src, weight FROM s), v AS (SELECT DISTINCT src AS id FROM u) "
 
 
-def strong(v):
-    """Co-author pairs of more than average weight."""
-    w = v.coauthors
-    m = w.agg(F.avg("weight").alias("m"))
-    return w.join(F.broadcast(m)).filter("weight > m").select(C("a").alias("src"), C("b").alias("dst"), "weight")  # one row
+def coauthors(v):
+    """All co-author pairs."""
+    return v.coauthors.select(C("a").alias("src"), C("b").alias("dst"), "weight")
 
 
 def cites(v):
     return v.cites.withColumn("weight", F.lit(1))
 
 
-@R.add("g1_degrees", S, STRONG + "SELECT id, out_degree, in_degree, out_degree + in_degree AS degree, weighted_degree, round((out_degree + in_degree) / ((SELECT count(*) FROM v) - 1), 6) AS centrality FROM (SELECT v.id, (SELECT count(*) FROM s WHERE s.src = v.id) AS out_degree, (SELECT count(*) FROM s WHERE s.dst = v.id) AS in_degree, (SELECT sum(weight)::BIGINT FROM u WHERE u.src = v.id) AS weighted_degree FROM v)")
+@R.add("g1_degrees", S, WHOLE + "SELECT id, out_degree, in_degree, out_degree + in_degree AS degree, weighted_degree, round((out_degree + in_degree) / ((SELECT count(*) FROM v) - 1), 6) AS centrality FROM (SELECT v.id, (SELECT count(*) FROM s WHERE s.src = v.id) AS out_degree, (SELECT count(*) FROM s WHERE s.dst = v.id) AS in_degree, (SELECT sum(weight)::BIGINT FROM u WHERE u.src = v.id) AS weighted_degree FROM v)")
 def g1(v):
-    return rounded(G.degrees(strong(v)))
+    return rounded(G.degrees(coauthors(v)))
 
 
 def _unrolled_pagerank(k: int) -> str:
     body = "WITH e AS (SELECT src, dst FROM cites), v AS (SELECT src AS id FROM e UNION SELECT dst FROM e), n AS (SELECT count(*) AS n FROM v), o AS (SELECT src, count(*) AS o FROM e GROUP BY 1), r0 AS (SELECT id, 1.0 / n AS r FROM v, n)"
     for i in range(k):
         body += f", d{i} AS (SELECT coalesce(sum(r), 0) AS lost FROM r{i} WHERE id NOT IN (SELECT src FROM o)), g{i} AS (SELECT dst, sum(r / o) AS g FROM e JOIN o USING (src) JOIN r{i} ON id = src GROUP BY 1), r{i + 1} AS (SELECT v.id, 0.85::DOUBLE * (coalesce(g, 0) + lost / n) + 0.15::DOUBLE / n AS r FROM v LEFT JOIN g{i} ON v.id = g{i}.dst, n, d{i})"
-    return body + f" SELECT id, round(r * 1000, 6) AS rank FROM r{k}"
+    return body + f" SELECT id, round(r * 1000, 4) AS rank FROM r{k}"
 
 
-@R.add("g2_pagerank", "cites", _unrolled_pagerank(6))
+@R.add("g2_pagerank", "cites", _unrolled_pagerank(70))
 def g2(v):
-    return G.pagerank(v.cites, rounds=6, tol=0).select("id", F.round(C("rank") * 1000, 6).alias("rank"))
+    """To convergence; the SQL goes on for more rounds than that takes."""
+    return G.pagerank(v.cites, tol=1e-7).select("id", F.round(C("rank") * 1000, 4).alias("rank"))
 
 
-R.add("g2_personalised_pagerank")(lambda v: rounded(G.pagerank(strong(v), weighted=True, personal=v.spark.createDataFrame([(1, 1.0)], "id long, share double"))))
+R.add("g2_personalised_pagerank")(lambda v: rounded(G.pagerank(coauthors(v), weighted=True, personal=v.spark.createDataFrame([(1, 1.0)], "id long, share double"))))
 
 
-@R.add("g3_hits", "cites", "WITH e AS (SELECT src, dst FROM cites), v AS (SELECT src AS id FROM e UNION SELECT dst FROM e), h0 AS (SELECT id, 1.0 / (SELECT count(*) FROM v) AS h FROM v), a1 AS (SELECT dst AS id, sum(h) AS a FROM e JOIN h0 ON id = src GROUP BY 1), b1 AS (SELECT src AS id, sum(a) AS h FROM e JOIN a1 ON id = dst GROUP BY 1), t1 AS (SELECT (SELECT sum(h) FROM b1) AS th), h1 AS (SELECT v.id, coalesce(h, 0) / th AS h FROM v LEFT JOIN b1 USING (id), t1), a2 AS (SELECT dst AS id, sum(h) AS a FROM e JOIN h1 ON id = src GROUP BY 1), b2 AS (SELECT src AS id, sum(a) AS h FROM e JOIN a2 ON id = dst GROUP BY 1) SELECT v.id, round(1000 * coalesce(h, 0) / (SELECT sum(h) FROM b2), 6) AS hub, round(1000 * coalesce(a, 0) / (SELECT sum(a) FROM a2), 6) AS authority FROM v LEFT JOIN b2 USING (id) LEFT JOIN a2 USING (id)")
+def _unrolled_hits(k: int) -> str:
+    body = WHOLE + ", h0 AS (SELECT id, 1.0::DOUBLE AS h FROM v)"
+    for i in range(k):
+        body += f", a{i + 1} AS (SELECT dst AS id, sum(h) AS a FROM s JOIN h{i} ON id = src GROUP BY 1), b{i + 1} AS (SELECT src AS id, sum(a) AS h FROM s JOIN a{i + 1} ON id = dst GROUP BY 1), h{i + 1} AS (SELECT v.id, coalesce(h, 0) / (SELECT sum(h) FROM b{i + 1}) AS h FROM v LEFT JOIN b{i + 1} USING (id))"
+    return body + f" SELECT v.id, round(h, 5) AS hub, round(coalesce(a, 0) / (SELECT sum(a) FROM a{k}), 5) AS authority FROM v LEFT JOIN h{k} USING (id) LEFT JOIN a{k} USING (id)"
+
+
+@R.add("g3_hits", S, _unrolled_hits(24))
 def g3(v):
-    return G.hits(v.cites, 2).select("id", F.round(C("hub") * 1000, 6).alias("hub"), F.round(C("authority") * 1000, 6).alias("authority"))
+    return G.hits(coauthors(v)).select("id", F.round("hub", 5).alias("hub"), F.round("authority", 5).alias("authority"))
 
 
-@R.add("g4_katz", S, STRONG + ", x0 AS (SELECT id, 1.0::DOUBLE AS x FROM v), " + ", ".join(f"x{i + 1} AS (SELECT v.id, 0.005::DOUBLE * coalesce((SELECT sum(x) FROM u JOIN x{i} ON x{i}.id = u.src WHERE u.dst = v.id), 0) + 1 AS x FROM v)" for i in range(3)) + " SELECT id, round(x, 6) AS x FROM x3")
+@R.add("g4_katz", "cites", CITED + ", x0 AS (SELECT id, 1.0::DOUBLE AS x FROM v), " + ", ".join(f"g{i} AS (SELECT dst AS id, sum(x) AS g FROM u JOIN x{i} ON x{i}.id = u.src GROUP BY 1), x{i + 1} AS (SELECT v.id, 0.005::DOUBLE * coalesce(g, 0) + 1 AS x FROM v LEFT JOIN g{i} USING (id))" for i in range(10)) + " SELECT id, round(x, 6) AS x FROM x10")
 def g4(v):
-    return rounded(G.katz(strong(v), rounds=3))
+    return rounded(G.katz(cites(v)))
+
 
+@R.add("g4_eigenvector", S, WHOLE + ", x0 AS (SELECT id, 1.0::DOUBLE AS x FROM v), " + ", ".join(f"g{i} AS (SELECT dst AS id, sum(x) AS g FROM u JOIN x{i} ON x{i}.id = u.src GROUP BY 1), y{i} AS (SELECT x{i}.id, x + coalesce(g, 0) AS x FROM x{i} LEFT JOIN g{i} USING (id)), x{i + 1} AS (SELECT id, x / (SELECT sqrt(sum(x * x)) FROM y{i}) AS x FROM y{i})" for i in range(16)) + " SELECT id, round(x, 5) AS x FROM x16")
+def g4e(v):
+    """To convergence; the SQL goes on for more rounds than that takes."""
+    return G.eigenvector(coauthors(v)).select("id", F.round("x", 5).alias("x"))
 
-R.add("g4_eigenvector")(lambda v: rounded(G.eigenvector(strong(v), 12)))
-BFS = STRONG.replace("WITH s", "WITH RECURSIVE s") + ", w AS (SELECT id AS source, id, 0 AS dist FROM v UNION SELECT w.source, u.dst, w.dist + 1 FROM w JOIN u ON u.src = w.id WHERE w.dist < 4), d AS (SELECT source, id, min(dist) AS dist FROM w GROUP BY ALL) "
+
+BFS = WHOLE.replace("WITH s", "WITH RECURSIVE s") + ", w AS (SELECT id AS source, id, 0 AS dist FROM v UNION SELECT w.source, u.dst, w.dist + 1 FROM w JOIN u ON u.src = w.id WHERE w.dist < 4), d AS (SELECT source, id, min(dist) AS dist FROM w GROUP BY ALL) "
 
 
 @R.add("g5_closeness", S, None)
 def g5(v):
-    e = strong(v)
+    e = coauthors(v)
     s = G.vertices(e)
     return rounded(G.closeness(G.distances(e, s), s.count()))
 
@@ -79,11 +91,7 @@ def _recursive(body: str) -> str:
 R.ORACLES["g5_closeness"] = _recursive(BFS + "SELECT source AS id, round(count(*) / sum(dist) * count(*) / ((SELECT count(*) FROM v) - 1), 6) AS closeness, round(sum(1.0 / dist), 6)::DOUBLE AS harmonic FROM d WHERE dist > 0 GROUP BY 1")
 
 
-@R.add("g6_betweenness", S, STRONG + ", p AS (SELECT x.src AS s, y.dst AS t, x.dst AS m, count(*) OVER (PARTITION BY x.src, y.dst) AS n FROM u x JOIN u y ON x.dst = y.src WHERE x.src <> y.dst AND NOT EXISTS (SELECT 1 FROM u z WHERE z.src = x.src AND z.dst = y.dst)) SELECT v.id, round(coalesce(sum(1.0 / n), 0) / 2, 6)::DOUBLE AS betweenness FROM v LEFT JOIN p ON m = v.id GROUP BY 1")
-def g6(v):
-    """Exact while no pair is more than two steps apart, which the SQL assumes."""
-    e = strong(v)
-    return rounded(G.betweenness(e, G.vertices(e)))
+R.add("g6_betweenness")(lambda v: rounded(G.betweenness(coauthors(v), G.vertices(coauthors(v)))))
 
 
 def customer_chain(v):
@@ -97,37 +105,48 @@ def g7(v):
     return components(customer_chain(v))
 
 
-SIZES = "WITH RECURSIVE e AS (SELECT DISTINCT p_size AS src, (p_partkey * 7 % 50)::INT AS dst FROM part WHERE p_size % 6 = (p_partkey * 7 % 50) % 6 AND p_size <> p_partkey * 7 % 50), v AS (SELECT src AS id FROM e UNION SELECT dst FROM e), w AS (SELECT id AS a, id AS b FROM v UNION SELECT w.a, e.dst FROM w JOIN e ON e.src = w.b) "
+# Within each customer, an order leads to the next one, and the last returns to the first where the customer's key is even.
+RINGS = "WITH n AS (SELECT o_custkey, o_orderkey, row_number() OVER w AS k, count(*) OVER (PARTITION BY o_custkey) AS n, lead(o_orderkey) OVER w AS nxt, first_value(o_orderkey) OVER w AS first FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)), e AS (SELECT o_orderkey AS src, coalesce(nxt, first) AS dst FROM n WHERE n > 1 AND (nxt IS NOT NULL OR o_custkey % 2 = 0)) "
 
 
-def size_edges(v):
-    p = v.table("part").select(C("p_size").alias("src"), (C("p_partkey") * 7 % 50).cast("int").alias("dst"))
-    return p.filter("src % 6 = dst % 6 AND src <> dst").distinct()
+def rings(v):
+    by = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    o = v.table("orders").select("o_custkey", C("o_orderkey").alias("src"), F.lead("o_orderkey").over(by).alias("nxt"), F.first("o_orderkey").over(by).alias("first"))
+    closed = F.coalesce("nxt", F.when((C("o_custkey") % 2 == 0) & (C("first") != C("src")), C("first")))
+    return o.select("src", closed.alias("dst")).filter("dst IS NOT NULL")
 
 
-@R.add("g8_strong_components", "", SIZES + "SELECT x.a AS id, min(x.b) AS component FROM w x JOIN w y ON x.a = y.b AND x.b = y.a GROUP BY 1")
+@R.add("g8_strong_components", "", RINGS + "SELECT o_orderkey AS id, CASE WHEN o_custkey % 2 = 0 THEN min(o_orderkey) OVER (PARTITION BY o_custkey) ELSE o_orderkey END AS component FROM n WHERE n > 1")
 def g8(v):
-    return G.strongly_connected(size_edges(v))
+    return G.strongly_connected(rings(v))
+
+
+@R.add("g8_condensation", "", RINGS + ", c AS (SELECT o_orderkey AS id, CASE WHEN o_custkey % 2 = 0 THEN min(o_orderkey) OVER (PARTITION BY o_custkey) ELSE o_orderkey END AS c FROM n WHERE n > 1) SELECT x.c AS src, y.c AS dst, count(*) AS edges FROM e JOIN c x ON x.id = src JOIN c y ON y.id = dst WHERE x.c <> y.c GROUP BY ALL")
+def g8c(v):
+    e = rings(v)
+    return G.condensation(e, G.strongly_connected(e))
 
 
 @R.add("g9_louvain")
 def g9(v):
-    e = strong(v)
+    e = coauthors(v)
     return rounded(G.modularity(e, G.louvain(e)))
 
 
-@R.add("g10_modularity", S, STRONG + ", l AS (SELECT id, id % 4 AS label FROM v), m AS (SELECT sum(weight)::DOUBLE AS m FROM s), i AS (SELECT x.label, sum(weight) AS w FROM s JOIN l x ON src = x.id JOIN l y ON dst = y.id WHERE x.label = y.label GROUP BY 1), k AS (SELECT label, sum(weight) AS w FROM u JOIN l ON src = id GROUP BY 1) SELECT round(sum(coalesce(i.w, 0) / m - pow(k.w / (2 * m), 2)), 6) AS modularity, count(*) AS communities FROM k LEFT JOIN i USING (label), m")
+@R.add("g10_modularity", S, WHOLE + ", l AS (SELECT id, id % 4 AS label FROM v), m AS (SELECT sum(weight)::DOUBLE AS m FROM s), i AS (SELECT x.label, sum(weight) AS w FROM s JOIN l x ON src = x.id JOIN l y ON dst = y.id WHERE x.label = y.label GROUP BY 1), k AS (SELECT label, sum(weight) AS w FROM u JOIN l ON src = id GROUP BY 1) SELECT round(sum(coalesce(i.w, 0) / m - pow(k.w / (2 * m), 2)), 6) AS modularity, count(*) AS communities FROM k LEFT JOIN i USING (label), m")
 def g10(v):
-    e = strong(v)
+    e = coauthors(v)
     return rounded(G.modularity(e, G.vertices(e).withColumn("label", C("id") % 4)))
 
 
-R.add("g11_label_propagation")(lambda v: G.label_propagation(strong(v), 3))
+@R.add("g11_label_propagation", S, WHOLE + ", l0 AS (SELECT id, id AS label FROM v), " + ", ".join(f"l{i + 1} AS (SELECT id, arg_max(label, (n, -label)) AS label FROM (SELECT id, label, sum(w) AS n FROM (SELECT dst AS id, label, weight::DOUBLE AS w FROM u JOIN l{i} ON l{i}.id = src UNION ALL SELECT id, label, 1.0 FROM l{i}) GROUP BY ALL) GROUP BY 1)" for i in range(3)) + " SELECT id, label FROM l3")
+def g11(v):
+    return G.label_propagation(coauthors(v), 3)
 
 
-@R.add("g12_partition_quality", S, STRONG + ", l AS (SELECT id, id % 4 AS label FROM v), c AS (SELECT count(*) FILTER (x.label = y.label) AS intra, count(*) AS m FROM s JOIN l x ON src = x.id JOIN l y ON dst = y.id), z AS (SELECT sum(k) AS n, sum(k * (k - 1) / 2) AS inside FROM (SELECT count(*) AS k FROM l GROUP BY label)) SELECT round(intra / m, 6) AS coverage, round((intra + (n * (n - 1) / 2 - inside) - (m - intra)) / (n * (n - 1) / 2), 6) AS performance FROM c, z")
+@R.add("g12_partition_quality", S, WHOLE + ", l AS (SELECT id, id % 4 AS label FROM v), c AS (SELECT count(*) FILTER (x.label = y.label) AS intra, count(*) AS m FROM s JOIN l x ON src = x.id JOIN l y ON dst = y.id), z AS (SELECT sum(k) AS n, sum(k * (k - 1) / 2) AS inside FROM (SELECT count(*) AS k FROM l GROUP BY label)) SELECT round(intra / m, 6) AS coverage, round((intra + (n * (n - 1) / 2 - inside) - (m - intra)) / (n * (n - 1) / 2), 6) AS performance FROM c, z")
 def g12(v):
-    e = strong(v)
+    e = coauthors(v)
     return rounded(G.partition_quality(e, G.vertices(e).withColumn("label", C("id") % 4)))
 
 
@@ -138,23 +157,26 @@ def g13(v):
 
 
 R.add("g14_core_numbers")(lambda v: G.core_numbers(v.cites))
+R.add("g14_shells")(lambda v: G.core_parts(v.cites, 3))
 R.add("g15_k_truss")(lambda v: G.k_truss(v.cites.select("src", "dst"), 3))
-TRI = STRONG + ", e AS (SELECT DISTINCT src, dst FROM u), t AS (SELECT x.src AS id, count(*) / 2 AS triangles FROM e x JOIN e y ON x.dst = y.src JOIN e z ON y.dst = z.src AND z.dst = x.src GROUP BY 1), k AS (SELECT src AS id, count(*) AS k FROM e GROUP BY 1) "
+R.add("g15_onion_layers")(lambda v: G.onion_layers(v.cites.select("src", "dst")))
+R.add("g22_triad_census")(lambda v: G.triad_census(v.cites))
+TRI = CITED + ", e AS (SELECT DISTINCT src, dst FROM u), t AS (SELECT x.src AS id, count(*) / 2 AS triangles FROM e x JOIN e y ON x.dst = y.src JOIN e z ON y.dst = z.src AND z.dst = x.src GROUP BY 1), k AS (SELECT src AS id, count(*) AS k FROM e GROUP BY 1) "
 
 
-@R.add("g16_triangles", S, TRI + "SELECT id, coalesce(triangles, 0)::BIGINT AS triangles, round(CASE WHEN k > 1 THEN 2 * coalesce(triangles, 0) / (k * (k - 1)) ELSE 0 END, 6) AS clustering, k FROM k LEFT JOIN t USING (id)")
+@R.add("g16_triangles", "cites", TRI + "SELECT id, coalesce(triangles, 0)::BIGINT AS triangles, round(CASE WHEN k > 1 THEN 2 * coalesce(triangles, 0) / (k * (k - 1)) ELSE 0 END, 6) AS clustering, k FROM k LEFT JOIN t USING (id)")
 def g16(v):
-    return rounded(G.triangle_counts(strong(v)))
+    return rounded(G.triangle_counts(cites(v)))
 
 
-@R.add("g16_transitivity", S, TRI + "SELECT round(2 * sum(coalesce(triangles, 0)) / sum(k * (k - 1)), 6) AS transitivity, round(avg(CASE WHEN k > 1 THEN 2 * coalesce(triangles, 0) / (k * (k - 1)) ELSE 0 END), 6) AS average_clustering, floor(sum(coalesce(triangles, 0)) / 3)::BIGINT AS triangles FROM k LEFT JOIN t USING (id)")
+@R.add("g16_transitivity", "cites", TRI + "SELECT round(2 * sum(coalesce(triangles, 0)) / sum(k * (k - 1)), 6) AS transitivity, round(avg(CASE WHEN k > 1 THEN 2 * coalesce(triangles, 0) / (k * (k - 1)) ELSE 0 END), 6) AS average_clustering, floor(sum(coalesce(triangles, 0)) / 3)::BIGINT AS triangles FROM k LEFT JOIN t USING (id)")
 def g16t(v):
-    return rounded(G.transitivity(strong(v)))
+    return rounded(G.transitivity(cites(v)))
 
 
 @R.add("g17_shortest_paths")
 def g17(v):
-    e = strong(v)
+    e = coauthors(v)
     return G.distances(e, G.vertices(e)).select("source", "id", "dist")
 
 
@@ -163,7 +185,7 @@ R.ORACLES["g17_shortest_paths"] = _recursive(BFS + "SELECT source, id, dist FROM
 
 @R.add("g18_average_path")
 def g18(v):
-    e = strong(v)
+    e = coauthors(v)
     return rounded(G.distances(e, G.vertices(e)).filter("dist > 0").agg(F.avg("dist").alias("average_path"), F.count(F.lit(1)).alias("pairs")))
 
 
@@ -172,7 +194,7 @@ R.ORACLES["g18_average_path"] = _recursive(BFS + "SELECT round(avg(dist), 6) AS
 
 @R.add("g19_eccentricity")
 def g19(v):
-    e = strong(v)
+    e = coauthors(v)
     return G.eccentricities(G.distances(e, G.vertices(e)))
 
 
@@ -194,49 +216,51 @@ def g21a(v):
     return rounded(G.assortativity(v.cites, v.papers.withColumnRenamed("paper_id", "id"), "journal"))
 
 
-@R.add("g23_link_scores", S, STRONG + ", e AS (SELECT DISTINCT src, dst FROM u), k AS (SELECT src, count(*) AS k FROM e GROUP BY 1), p AS (SELECT x.dst AS a, y.dst AS b, count(*) AS common, sum(1 / ln(k)) AS aa, sum(1.0 / k) AS ra FROM e x JOIN e y ON x.src = y.src AND x.dst < y.dst JOIN k ON k.src = x.src GROUP BY ALL) SELECT a, b, common, round(common / (ka.k + kb.k - common), 6) AS jaccard, round(aa, 6) AS adamic_adar, round(ra, 6)::DOUBLE AS resource_allocation, ka.k * kb.k AS preferential FROM p JOIN k ka ON ka.src = a JOIN k kb ON kb.src = b WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.src = a AND e.dst = b)")
+@R.add("g23_link_scores", "cites", CITED + ", e AS (SELECT DISTINCT src, dst FROM u), k AS (SELECT src, count(*) AS k FROM e GROUP BY 1), p AS (SELECT x.dst AS a, y.dst AS b, count(*) AS common, sum(1 / ln(k)) AS aa, sum(1.0 / k) AS ra FROM e x JOIN e y ON x.src = y.src AND x.dst < y.dst JOIN k ON k.src = x.src GROUP BY ALL) SELECT a, b, common, round(common / (ka.k + kb.k - common), 6) AS jaccard, round(aa, 6) AS adamic_adar, round(ra, 6)::DOUBLE AS resource_allocation, ka.k * kb.k AS preferential FROM p JOIN k ka ON ka.src = a JOIN k kb ON kb.src = b WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.src = a AND e.dst = b)")
 def g23(v):
-    return rounded(G.link_scores(strong(v)))
+    return rounded(G.link_scores(cites(v)))
 
 
-@R.add("g24_community_links", S, STRONG + ", e AS (SELECT DISTINCT src, dst FROM u) SELECT x.dst AS a, y.dst AS b, count(*) + count(*) FILTER (x.src % 4 = x.dst % 4) AS score FROM e x JOIN e y ON x.src = y.src AND x.dst < y.dst WHERE x.dst % 4 = y.dst % 4 AND NOT EXISTS (SELECT 1 FROM e z WHERE z.src = x.dst AND z.dst = y.dst) GROUP BY ALL")
+@R.add("g24_community_links", "cites", CITED + ", e AS (SELECT DISTINCT src, dst FROM u) SELECT x.dst AS a, y.dst AS b, count(*) + count(*) FILTER (x.src % 4 = x.dst % 4) AS score FROM e x JOIN e y ON x.src = y.src AND x.dst < y.dst WHERE x.dst % 4 = y.dst % 4 AND NOT EXISTS (SELECT 1 FROM e z WHERE z.src = x.dst AND z.dst = y.dst) GROUP BY ALL")
 def g24(v):
-    e = strong(v)
+    e = cites(v)
     return G.community_link_scores(e, G.vertices(e).withColumn("label", C("id") % 4))
 
 
-R.add("g25_katz_similarity")(lambda v: rounded(G.katz_similarity(strong(v))))
+@R.add("g25_katz_similarity", S, WHOLE + ", e AS (SELECT DISTINCT src, dst FROM u), w2 AS (SELECT x.src, y.dst, count(*)::DOUBLE AS w FROM e x JOIN e y ON x.dst = y.src GROUP BY ALL), w3 AS (SELECT x.src, y.dst, sum(w) AS w FROM w2 x JOIN e y ON x.dst = y.src GROUP BY ALL), a AS (SELECT src, dst, 0.005::DOUBLE AS s FROM e UNION ALL SELECT src, dst, w * 0.005::DOUBLE ** 2 FROM w2 UNION ALL SELECT src, dst, w * 0.005::DOUBLE ** 3 FROM w3) SELECT src, dst, round(sum(s), 6) AS score FROM a WHERE src < dst GROUP BY ALL")
+def g25(v):
+    return rounded(G.katz_similarity(coauthors(v)))
 
 
-def net(v):
-    e = strong(v)
+def net(v, e=None):
+    e = coauthors(v) if e is None else e
     return G.vertices(e).withColumn("kind", C("id") % 3), e
 
 
-@R.add("g26_degree_range", S, STRONG + ", k AS (SELECT src AS id FROM u GROUP BY 1 HAVING count(*) BETWEEN 40 AND 60) SELECT src, dst, weight FROM s WHERE src IN (SELECT id FROM k) AND dst IN (SELECT id FROM k)")
+@R.add("g26_degree_range", "cites", CITED + ", k AS (SELECT src AS id FROM u GROUP BY 1 HAVING count(*) BETWEEN 6 AND 9) SELECT src, dst, weight FROM s WHERE src IN (SELECT id FROM k) AND dst IN (SELECT id FROM k)")
 def g26(v):
-    return G.degree_range(40, 60)(net(v))[1].select("src", "dst", "weight")
+    return G.degree_range(6, 9)(net(v, cites(v)))[1].select("src", "dst", "weight")
 
 
-@R.add("g27_giant_component", S, STRONG + "SELECT src, dst, weight FROM s")
+@R.add("g27_giant_component", "", "WITH n AS (SELECT o_custkey, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS dst, o_orderkey AS src FROM orders), t AS (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) > 1 ORDER BY count(*) DESC, min(o_orderkey) LIMIT 1) SELECT src, dst, 1 AS weight FROM n JOIN t USING (o_custkey) WHERE dst IS NOT NULL")
 def g27(v):
-    """The graph is connected, so the giant component is all of it."""
-    return G.giant_component(net(v))[1].select("src", "dst", "weight")
+    """Of the chains of all customers, the longest."""
+    return G.giant_component(net(v, customer_chain(v).withColumn("weight", F.lit(1))))[1].select("src", "dst", "weight")
 
 
-@R.add("g28_ego_network", S, STRONG + ", m AS (SELECT min(id) AS c FROM v), k AS (SELECT c AS id FROM m UNION SELECT dst FROM u, m WHERE src = c) SELECT src, dst, weight FROM s WHERE src IN (SELECT id FROM k) AND dst IN (SELECT id FROM k)")
+@R.add("g28_ego_network", "cites", CITED + ", m AS (SELECT min(id) AS c FROM v), k AS (SELECT c AS id FROM m UNION SELECT dst FROM u, m WHERE src = c) SELECT src, dst, weight FROM s WHERE src IN (SELECT id FROM k) AND dst IN (SELECT id FROM k)")
 def g28(v):
-    graph = net(v)
+    graph = net(v, cites(v))
     return G.ego_network(graph[0].agg(F.min("id")).first()[0], 1)(graph)[1].select("src", "dst", "weight")
 
 
-@R.add("g29_mutual_edges", "", SIZES.replace("RECURSIVE ", "").split(", w AS")[0] + " SELECT x.src, x.dst, 1 AS weight FROM e x JOIN e y ON x.src = y.dst AND x.dst = y.src WHERE x.src < x.dst")
+@R.add("g29_mutual_edges", "", RINGS + "SELECT x.src, x.dst, 1 AS weight FROM e x JOIN e y ON x.src = y.dst AND x.dst = y.src WHERE x.src < x.dst")
 def g29(v):
-    e = size_edges(v).withColumn("weight", F.lit(1))
+    e = rings(v).withColumn("weight", F.lit(1))
     return G.mutual_edges((G.vertices(e), e))[1]
 
 
-@R.add("g30_between_groups", S, STRONG + "SELECT src, dst, weight FROM s WHERE src % 3 <> dst % 3")
+@R.add("g30_between_groups", S, WHOLE + "SELECT src, dst, weight FROM s WHERE src % 3 <> dst % 3")
 def g30(v):
     return G.between_groups("kind")(net(v))[1].select("src", "dst", "weight")
 
@@ -249,24 +273,23 @@ def g31(v):
     return G.time_range(1996, 1996)((t, t))[1].select("a", "b")
 
 
-@R.add("g32_filter_chain", S, STRONG + "SELECT src, dst, weight FROM s WHERE src % 3 IN (0, 1) AND dst % 3 IN (0, 1) AND src % 3 <> dst % 3 AND weight >= 10")
+@R.add("g32_filter_chain", S, WHOLE + "SELECT src, dst, weight FROM s WHERE src % 3 IN (0, 1) AND dst % 3 IN (0, 1) AND src % 3 <> dst % 3 AND weight >= 10")
 def g32(v):
     return G.chain(G.property_in("kind", [0, 1]), G.between_groups("kind"), G.weight_range(10))(net(v))[1].select("src", "dst", "weight")
 
 
-R.add("u3_user_filter")(lambda v: G.chain(lambda g: (g[0], g[1].filter("weight % 2 = 0")), G.k_core(2))(net(v))[1].select("src", "dst", "weight"))
-R.ORACLES["u3_user_filter"] = _recursive(STRONG + "SELECT src, dst, weight FROM s WHERE weight % 2 = 0")
+R.add("u3_user_filter")(lambda v: G.chain(lambda g: (g[0], g[1].filter("src % 2 = 0")), G.k_core(2))(net(v, cites(v)))[1].select("src", "dst", "weight"))
 
 
 @R.add("g33_all_centralities")
 def g33(v):
-    e = strong(v)
+    e = coauthors(v)
     s = G.vertices(e)
     d = G.distances(e, s)
     return rounded(G.degrees(e).join(G.closeness(d, s.count()), "id").join(G.triangle_counts(e).select("id", "clustering"), "id"))
 
 
-R.add("g34_spectral_groups")(lambda v: G.spectral_groups(strong(v), 3))
+R.add("g34_spectral_groups")(lambda v: G.spectral_groups(coauthors(v), 3))
 
 
 @R.add("m4_eigenfactor")
@@ -289,5 +312,5 @@ def m5(v):
 
 @R.add("k6_turning_points")
 def k6(v):
-    e = strong(v)
+    e = coauthors(v)
     return rounded(G.betweenness(e, G.vertices(e)).orderBy(F.desc("betweenness"), "id").limit(10))

@@ -65,6 +65,41 @@ def s7(v):
     return S.from_semantic_scholar(v.papers.select(F.to_json(w).alias("value"))).select("paper_id", "journal", "references", "year")
 
 
+def _xml(v, label, record):
+    """The papers, one XML record a line, as a dump in the shared folder."""
+    path = fresh_path(v.spark, label)
+    v.papers.select(F.expr(record)).write.text(path)
+    return v.spark.read.text(path)
+
+
+@R.add("s8_pubmed", "papers", "SELECT paper_id::VARCHAR AS paper_id, 'T ' || paper_id AS title, year, journal, ['Bee, Ann', 'The Group'] AS authors, 'AIM: x ' || year AS abstract, '10.1/' || paper_id AS doi, ['M1', 'k'] AS keywords FROM papers")
+def s8(v):
+    record = (
+        "concat('<PubmedArticle><MedlineCitation><PMID>', paper_id, '</PMID><Article><Journal><Title>', journal, '</Title><JournalIssue><PubDate><Year>', year, '</Year></PubDate></JournalIssue></Journal><ArticleTitle>T ', paper_id, '</ArticleTitle>"
+        "<ELocationID EIdType=\"pii\">p</ELocationID><ELocationID EIdType=\"doi\">10.1/', paper_id, '</ELocationID><Abstract><AbstractText Label=\"AIM\">x</AbstractText><AbstractText>', year, '</AbstractText></Abstract>"
+        "<AuthorList><Author><LastName>Bee</LastName><ForeName>Ann</ForeName></Author><Author><CollectiveName>The Group</CollectiveName></Author></AuthorList></Article>"
+        "<MeshHeadingList><MeshHeading><DescriptorName>M1</DescriptorName></MeshHeading></MeshHeadingList><KeywordList><Keyword>k</Keyword></KeywordList></MedlineCitation></PubmedArticle>')"
+    )
+    return S.from_pubmed(v.spark, _xml(v, "pubmed", record)).select("paper_id", "title", "year", "journal", "authors", "abstract", "doi", "keywords")
+
+
+@R.add("s9_arxiv", "papers", "SELECT paper_id::VARCHAR AS paper_id, 'T ' || paper_id AS title, year, ['A B'] AS authors, '10.1/' || paper_id AS doi, ['cs.DL', 'cs.IR'] AS keywords FROM papers")
+def s9(v):
+    record = (
+        "concat('<entry><id>', paper_id, '</id><title>T   ', paper_id, '</title><summary>s</summary><published>', year, '-02-03T00:00:00Z</published><author><name>A B</name></author>"
+        "<link href=\"https://doi.org/10.1/', paper_id, '\" title=\"doi\"/><link href=\"http://x/pdf\" title=\"pdf\"/><category term=\"cs.DL\"/><category term=\"cs.IR\"/></entry>')"
+    )
+    return S.from_atom(v.spark, _xml(v, "arxiv", record)).select("paper_id", "title", "year", "authors", "doi", "keywords")
+
+
+@R.add("s9_dblp", "papers", "SELECT paper_id::VARCHAR AS paper_id, 'T ' || paper_id AS title, year, journal, ['A', 'B'] AS authors, '10.1/' || paper_id AS doi FROM papers")
+def s9d(v):
+    record = (
+        "concat('<hit id=\"', paper_id, '\"><info><authors><author>A</author><author>B</author></authors><title>T ', paper_id, '.</title><venue>', journal, '</venue><year>', year, '</year><ee>https://doi.org/10.1/', paper_id, '</ee></info></hit>')"
+    )
+    return S.from_dblp(v.spark, _xml(v, "dblp", record)).select("paper_id", "title", "year", "journal", "authors", "doi")
+
+
 @R.add("s10_springer", "papers", "SELECT paper_id::VARCHAR AS paper_id, year, ' text' AS abstract, '1-9' AS pages, ['A'] AS authors FROM papers")
 def s10(v):
     w = F.struct(C("paper_id").cast("string").alias("identifier"), F.concat("year", F.lit("-01-01")).alias("publicationDate"), F.lit("Abstract text").alias("abstract"), F.lit("1").alias("startingPage"), F.lit("9").alias("endingPage"), F.array(F.struct(F.lit("A").alias("creator"))).alias("creators"))
@@ -187,11 +222,36 @@ def r4(v):
 
 @R.add("r5_latest_state", "", "SELECT user_id, count(*) AS events, arg_max(event_type, (ts, event_id)) AS last_type FROM events GROUP BY 1")
 def r5(v):
-    got = E.run(E.latest_state(stream(v)), "update", "latest-state")
-    return got.groupBy("user_id").agg(F.max("events").alias("events"), F.max_by("last_type", "events").alias("last_type"))
+    return E.run(E.latest_state(stream(v)), "complete", "latest-state")
+
+
+def decisions(v):
+    """Reviewers' decisions as a table: two raters of title and abstract, the second also of full texts."""
+    x = v.table("labels").select(C("doc_id").alias("record"), "quality", "toxic")
+    say = lambda reviewer, stage, ok, seq: x.select("record", F.lit(reviewer).alias("reviewer"), F.lit(stage).alias("stage"), F.when(ok, "include").otherwise("exclude").alias("decision"), F.lit("out of scope").alias("reason"), F.lit(seq).alias("seq"))
+    return say("a", "title_abstract", C("quality") == 1, 1).union(say("b", "title_abstract", C("toxic") == 0, 2)).union(say("b", "full_text", C("quality") == 1, 3))
+
+
+@R.add("r5_screening", "", "SELECT doc_id AS record, CASE WHEN toxic = 1 OR toxic IS NULL THEN 'excluded' WHEN quality = 1 THEN 'included' ELSE 'excluded' END AS stage, coalesce(quality = 1, false) <> coalesce(toxic = 0, false) AS conflict FROM labels")
+def r5s(v):
+    return E.screening(decisions(v))
+
+
+@R.add("r6_fresh_values", "", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, user_id, event_type, min(ts) AS ts, count(*) AS events FROM events GROUP BY ALL")
+def r6(v):
+    got = E.run(E.fresh_values(stream(v), ["user_id", "event_type"], "1 day"), "complete", "fresh-values")
+    return got.withColumn("start", C("start").cast("timestamp_ntz")).withColumn("ts", C("ts").cast("timestamp_ntz"))
+
+
+DAYS = "WITH RECURSIVE d AS (SELECT event_type AS key, date_trunc('day', ts) AS day, count(*)::DOUBLE AS c, row_number() OVER (PARTITION BY event_type ORDER BY date_trunc('day', ts)) AS k FROM events GROUP BY event_type, date_trunc('day', ts)), w AS (SELECT key, k, 20 - c * ln(20) AS idle, ln(30) + 40 - c * ln(40) AS burst FROM d WHERE k = 1 UNION ALL SELECT d.key, d.k, least(idle, burst) + 20 - c * ln(20), least(idle + ln(30), burst) + 40 - c * ln(40) FROM w JOIN d ON d.key = w.key AND d.k = w.k + 1) "
 
 
-R.add("r7_online_bursts")(lambda v: E.run(E.online_burst_cost(stream(v)), "update", "online-bursts"))
+@R.add("r7_online_bursts", "", DAYS + "SELECT key, k::BIGINT AS days, round(idle, 4) AS idle, round(burst, 4) AS burst FROM w WHERE k = (SELECT max(k) FROM d WHERE d.key = w.key)")
+def r7(v):
+    """Daily counts of the whole stream, sent in as one batch of days."""
+    days = E.run(stream(v).groupBy(C("event_type").alias("key"), F.date_trunc("day", "ts").alias("day")).agg(F.count(F.lit(1)).alias("count")), "complete", "daily")
+    got = E.run(E.online_burst_cost(E.replay(days), base=20.0), "update", "online-bursts")
+    return got.groupBy("key").agg(F.max("days").alias("days"), F.round(F.max_by("idle", "days"), 4).alias("idle"), F.round(F.max_by("burst", "days"), 4).alias("burst"))
 
 
 @R.add("u5_chunk_generator", "", r"SELECT doc_id, ceil(greatest(len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) - 128, 0) / 96.0)::BIGINT + 1 AS chunks FROM documents WHERE len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) > 0")

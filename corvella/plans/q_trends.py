@@ -119,9 +119,7 @@ def b22(v):
 
 @R.add("b23_collaborators")
 def b23(v):
-    w = v.coauthors
-    m = w.agg(F.avg("weight").alias("m"))
-    return rounded(X.recommend_collaborators(v.authorship, v.keywords, w.join(F.broadcast(m)).filter("weight > m"), 7, 10))  # one row
+    return rounded(X.recommend_collaborators(v.authorship, v.keywords, v.coauthors, 7, 10))
 
 
 @R.add("b24_institutions", "authorship papers", "WITH m AS (SELECT s_nationkey AS institution, citations_count AS c FROM authorship JOIN papers USING (paper_id) JOIN supplier ON author = s_suppkey) SELECT institution, round(.5 * least(1, sum(c) / 50) + .5 * least(1, avg(c) / 10), 6) AS score FROM m GROUP BY 1")

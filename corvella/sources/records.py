@@ -134,20 +134,65 @@ def from_dump(lines: DataFrame, provider: str) -> DataFrame:
     return conform(w.select(*[F.expr(e).alias(k) for k, e in fields.items()], F.lit(provider).alias("source"))).withColumn("doi", S.doi(F.col("doi")))
 
 
-def from_atom(spark: SparkSession, path: str) -> DataFrame:
-    """arXiv Atom entries as papers."""
-    e = spark.read.format("xml").option("rowTag", "entry").schema("id string, title string, summary string, published string, author array<struct<name:string>>").load(path)
-    flat = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
-    return conform(e.select(F.col("id").alias("paper_id"), flat(F.col("title")).alias("title"), flat(F.col("summary")).alias("abstract"), S.year_of(F.col("published")).alias("year"), F.transform("author", lambda a: a["name"]).alias("authors"), F.lit("arxiv").alias("source")))
-
-
-def from_pubmed(spark: SparkSession, path: str) -> DataFrame:
-    """PubmedArticle records as papers."""
-    schema = "MedlineCitation struct<PMID:string,Article:struct<ArticleTitle:string,AuthorList:struct<Author:array<struct<LastName:string,ForeName:string,CollectiveName:string>>>,Journal:struct<Title:string,JournalIssue:struct<PubDate:struct<Year:int>>>,ArticleDate:struct<Year:int>>>"
-    m = spark.read.format("xml").option("rowTag", "PubmedArticle").schema(schema).load(path).select("MedlineCitation.*")
-    name = lambda a: F.coalesce(F.concat_ws(", ", a["LastName"], F.when(a["LastName"].isNotNull(), a["ForeName"])), a["CollectiveName"])
+def _flat(c: Column) -> Column:
+    return F.trim(F.regexp_replace(c, r"\s+", " "))
+
+
+def _xml(spark: SparkSession, source: str | DataFrame, tag: str, schema: str) -> DataFrame:
+    """Records of XML files with a root element around them, or of a frame with one record a line (``value``)."""
+    if isinstance(source, str):
+        return spark.read.format("xml").option("rowTag", tag).schema(schema).load(source)
+    return source.select(F.from_xml("value", schema).alias("x")).select("x.*")
+
+
+def from_atom(spark: SparkSession, source: str | DataFrame) -> DataFrame:
+    """arXiv Atom entries as papers (S9): DOI from its element or from a doi.org link, the first PDF link, categories as keywords."""
+    schema = "id string, title string, summary string, published string, author array<struct<name:string>>, link array<struct<_href:string,_title:string,_type:string>>, category array<struct<_term:string>>, `arxiv:doi` string, doi string"
+    e = _xml(spark, source, "entry", schema)
+    href = lambda hit: F.get(F.transform(F.filter("link", hit), lambda x: x["_href"]), F.lit(0))
+    by_link = href(lambda x: x["_href"].contains("doi.org/"))
+    pdf = href(lambda x: (x["_title"] == "pdf") | (x["_type"] == "application/pdf"))
+    return conform(
+        e.select(
+            F.col("id").alias("paper_id"), _flat(F.col("title")).alias("title"), _flat(F.col("summary")).alias("abstract"), S.year_of(F.col("published")).alias("year"),
+            F.transform("author", lambda a: a["name"]).alias("authors"), S.doi(F.coalesce(F.col("`arxiv:doi`"), F.col("doi"), by_link)).alias("doi"), pdf.alias("pdf_url"),
+            F.transform("category", lambda c: c["_term"]).alias("keywords"), F.lit("arxiv").alias("source"),
+        )
+    )
+
+
+def from_dblp(spark: SparkSession, source: str | DataFrame) -> DataFrame:
+    """DBLP search hits as papers (S9): the title's last full stop is cut, the DOI taken from ``ee`` where it is absent."""
+    schema = "_id string, info struct<authors:struct<author:array<string>>,title:string,venue:string,year:int,doi:string,ee:string,url:string>"
+    i = _xml(spark, source, "hit", schema).select(F.col("_id").alias("paper_id"), "info.*")
+    in_ee = F.when(F.col("ee").contains("doi.org/"), F.col("ee"))
+    return conform(
+        i.select("paper_id", F.regexp_replace(_flat(F.col("title")), r"\.$", "").alias("title"), F.col("authors.author").alias("authors"), "year", F.col("venue").alias("journal"), S.doi(F.coalesce("doi", in_ee)).alias("doi"), "url", F.lit("dblp").alias("source"))
+    )
+
+
+def from_pubmed(spark: SparkSession, source: str | DataFrame) -> DataFrame:
+    """PubmedArticle records as papers (S8): labelled abstract parts joined, MeSH and author keywords, DOI from its location id."""
+    article = (
+        "ArticleTitle:string,AuthorList:struct<Author:array<struct<LastName:string,ForeName:string,CollectiveName:string>>>,Journal:struct<Title:string,JournalIssue:struct<PubDate:struct<Year:int>>>,"
+        "ArticleDate:struct<Year:int>,Abstract:struct<AbstractText:array<struct<_Label:string,_VALUE:string>>>,ELocationID:array<struct<_EIdType:string,_VALUE:string>>,PublicationTypeList:struct<PublicationType:array<string>>"
+    )
+    schema = f"MedlineCitation struct<PMID:string,Article:struct<{article}>,MeshHeadingList:struct<MeshHeading:array<struct<DescriptorName:string>>>,KeywordList:struct<Keyword:array<string>>>"
+    m = _xml(spark, source, "PubmedArticle", schema).select("MedlineCitation.*")
+    name = lambda a: F.coalesce(F.concat_ws(", ", F.array_compact(F.array(a["LastName"], F.when(a["LastName"].isNotNull(), a["ForeName"])))), F.lit(""))
+    full = lambda a: F.when(a["LastName"].isNull(), a["CollectiveName"]).otherwise(name(a))
     a = F.col("Article")
-    return conform(m.select(F.col("PMID").alias("paper_id"), a["ArticleTitle"].alias("title"), F.transform(a["AuthorList"]["Author"], name).alias("authors"), F.coalesce(a["ArticleDate"]["Year"], a["Journal"]["JournalIssue"]["PubDate"]["Year"]).alias("year"), a["Journal"]["Title"].alias("journal"), F.lit("pubmed").alias("source")))
+    part = lambda t: F.when(t["_Label"].isNotNull(), F.concat(t["_Label"], F.lit(": "), t["_VALUE"])).otherwise(t["_VALUE"])
+    none = F.array().cast("array<string>")
+    mesh = F.coalesce(F.transform(F.col("MeshHeadingList.MeshHeading"), lambda h: h["DescriptorName"]), none)
+    doi = F.get(F.transform(F.filter(a["ELocationID"], lambda x: x["_EIdType"] == "doi"), lambda x: x["_VALUE"]), F.lit(0))
+    return conform(
+        m.select(
+            F.col("PMID").alias("paper_id"), a["ArticleTitle"].alias("title"), F.transform(a["AuthorList"]["Author"], full).alias("authors"),
+            F.array_join(F.transform(a["Abstract"]["AbstractText"], part), " ").alias("abstract"), F.coalesce(a["ArticleDate"]["Year"], a["Journal"]["JournalIssue"]["PubDate"]["Year"]).alias("year"),
+            a["Journal"]["Title"].alias("journal"), S.doi(doi).alias("doi"), F.concat(mesh, F.coalesce(F.col("KeywordList.Keyword"), none)).alias("keywords"), F.lit("pubmed").alias("source"),
+        )
+    )
 
 
 def graph_xml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

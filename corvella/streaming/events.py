@@ -6,6 +6,7 @@ run continuously with another trigger.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -38,6 +39,13 @@ def run(df: DataFrame, mode: str, label: str) -> DataFrame:
     return spark.read.schema(schema).parquet(out)
 
 
+def replay(table: DataFrame) -> DataFrame:
+    """A table as a stream, by way of the shared folder."""
+    path = fresh_path(table.sparkSession, "replay")
+    table.write.parquet(path)
+    return table.sparkSession.readStream.schema(table.schema).parquet(path)
+
+
 def windowed_counts(events: DataFrame, width: str, slide: str | None = None, late: str = "1 day") -> DataFrame:
     """Counts and sums by event-time window and type (R2)."""
     w = F.window("ts", width, slide) if slide else F.window("ts", width)
@@ -63,34 +71,52 @@ def first_arrivals(events: DataFrame, keys: list[str], late: str = "1 day") -> D
 
 
 def latest_state(events: DataFrame) -> DataFrame:
-    """Running count and last event per user, kept as state."""
+    """Running count and last event per user: two aggregates, whose state Spark keeps."""
+    last = F.max_by("event_type", F.struct("ts", "event_id"))
+    return events.groupBy("user_id").agg(F.count(F.lit(1)).alias("events"), last.alias("last_type"))
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, last_ts, last_type = state.get if state.exists else (0, 0.0, "")
-        for f in frames:
-            n += len(f)
-            f = f.sort_values(["ts", "event_id"])
-            t = f["ts"].iloc[-1].timestamp()
-            if t >= last_ts:
-                last_ts, last_type = t, f["event_type"].iloc[-1]
-        state.update((n, last_ts, last_type))
-        yield pd.DataFrame({"user_id": [key[0]], "events": [n], "last_type": [last_type]})
 
-    return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, events long, last_type string", "n long, ts double, kind string", "update", GroupStateTimeout.NoTimeout)
+def screening(decisions: DataFrame) -> DataFrame:
+    """Stage of each record after the decisions so far, and whether two reviewers of one stage disagree.
+
+    Input: record, reviewer, stage, decision, reason, seq. An exclusion without a reason does not count; of a
+    reviewer's decisions at a stage the last by ``seq`` does. A stage moves on the last decision that counts.
+    """
+    sound = decisions.filter("decision = 'include' OR (decision = 'exclude' AND coalesce(trim(reason), '') <> '')")
+    at = lambda stage: F.max_by(F.when(F.col("stage") == stage, F.col("decision")), F.when(F.col("stage") == stage, F.col("seq")))
+    said = lambda stage, d: F.count_distinct(F.when((F.col("stage") == stage) & (F.col("decision") == d), F.col("reviewer")))
+    last = sound.groupBy("record", "stage", "reviewer").agg(F.max_by("decision", "seq").alias("decision"), F.max("seq").alias("seq"))
+    first, second = at("title_abstract"), at("full_text")
+    state = F.when(first.isNull(), "title_abstract").when(first == "exclude", "excluded").when(second.isNull(), "full_text").when(second == "include", "included").otherwise("excluded")
+    split = lambda stage: (said(stage, "include") > 0) & (said(stage, "exclude") > 0)
+    return last.groupBy("record").agg(state.alias("stage"), (split("title_abstract") | split("full_text")).alias("conflict"))
+
+
+def fresh_values(events: DataFrame, keys: list[str], ttl: str, late: str = "1 day") -> DataFrame:
+    """Events whose key has had none within ``ttl`` before (R6): entries of a window of ``ttl`` are dropped with it, on the event clock."""
+    w = events.withWatermark("ts", late).groupBy(F.window("ts", ttl), *keys)
+    return w.agg(F.min("ts").alias("ts"), F.count(F.lit(1)).alias("events")).select(F.col("window.start").alias("start"), *keys, "ts", "events")
+
 
+def online_burst_cost(days: DataFrame, base: float, s: float = 2.0, gamma: float = 1.0, n: int = 30) -> DataFrame:
+    """The forward pass of the two-state burst automaton, carried as state per key.
 
-def online_burst_cost(events: DataFrame, s: float = 2.0) -> DataFrame:
-    """Two-state burst costs carried as state per type and day (R7): minimal cost of ending idle and bursting."""
+    Input: key, day, count (one row per key and day, in order of days over batches). ``base`` is the idle rate and ``n`` the length
+    of series that the cost of entering a burst is set for; both are known beforehand, as a stream has no end.
+    Gives key, days, idle and burst: the least cost of ending idle and of ending in a burst. State is three numbers.
+    """
+    up, rates = gamma * math.log(n), (base, base * s)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        days = dict(zip(*state.get, strict=True)) if state.exists else {}
-        for f in frames:
-            for d in f["ts"].dt.strftime("%Y-%m-%d"):
-                days[d] = days.get(d, 0) + 1
-        names = sorted(days)
-        state.update((names, [days[d] for d in names]))
-        c = [days[d] for d in names]
-        base = sum(c) / len(c)
-        yield pd.DataFrame({"event_type": [key[0]], "days": [len(c)], "burst_days": [sum(x > s * base for x in c)]})
-
-    return events.groupBy("event_type").applyInPandasWithState(step, "event_type string, days long, burst_days long", "d array<string>, c array<long>", "update", GroupStateTimeout.NoTimeout)
+        seen, idle, burst = state.get if state.exists else (0, 0.0, up)
+        for c in pd.concat(list(frames)).sort_values("day")["count"].to_numpy(float):
+            cost = [r - c * math.log(r) for r in rates]
+            if seen:
+                idle, burst = min(idle, burst) + cost[0], min(idle + up, burst) + cost[1]
+            else:
+                idle, burst = cost[0], up + cost[1]
+            seen += 1
+        state.update((seen, idle, burst))
+        yield pd.DataFrame({"key": [key[0]], "days": [seen], "idle": [idle], "burst": [burst]})
+
+    return days.groupBy("key").applyInPandasWithState(step, "key string, days long, idle double, burst double", "n long, a double, b double", "update", GroupStateTimeout.NoTimeout)

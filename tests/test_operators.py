@@ -1,4 +1,6 @@
+import itertools
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -134,3 +136,140 @@ def test_pairs_cap_is_off_by_default(spark):
     d = spark.createDataFrame([(1, i) for i in range(30)], "g int, x int")
     assert networks.pair_counts(d, "g", "x").count() == 435
     assert networks.pair_counts(d, "g", "x", max_items=10).count() == 0
+
+
+def random_graph(r, n, m):
+    return sorted({(r.randrange(n), r.randrange(n)) for _ in range(m)} - {(i, i) for i in range(n)})
+
+
+def test_triads_layers_and_shells_by_brute_force(spark):
+    r = random.Random(11)
+    edges = random_graph(r, 14, 40)
+    e = spark.createDataFrame(edges, "src long, dst long")
+    nodes = sorted({v for x in edges for v in x})
+    has, want = set(edges), {}
+    for a, b, c in itertools.combinations(nodes, 3):
+        m = sum((x, y) in has and (y, x) in has for x, y in ((a, b), (a, c), (b, c)))
+        n = sum(((x, y) in has) != ((y, x) in has) for x, y in ((a, b), (a, c), (b, c)))
+        out = sorted(sum((x, y) in has for y in (a, b, c) if y != x) for x in (a, b, c))
+        ins = sorted(sum((y, x) in has for y in (a, b, c) if y != x) for x in (a, b, c))
+        kind = f"{m}{n}{3 - m - n}"
+        if kind == "021":
+            kind += "D" if out[2] == 2 else "U" if ins[2] == 2 else "C"
+        elif kind == "111":
+            kind += "D" if ins[2] == 2 else "U"
+        elif kind == "030":
+            kind += "T" if out[2] == 2 else "C"
+        elif kind == "120":
+            kind += "D" if ins[0] == 0 else "U" if out[0] == 0 else "C"
+        want[kind] = want.get(kind, 0) + 1
+    got = {x.triad: x.n for x in graph.triad_census(e).collect()}
+    assert sum(got.values()) == math.comb(len(nodes), 3)
+    assert {k: v for k, v in got.items() if v} == want
+    near = {v: {y for x in has for y in x if v in x and y != v} for v in nodes}
+    core, left, k = {}, set(nodes), 0
+    while left:
+        low = [v for v in left if len(near[v] & left) <= k]
+        if low:
+            core.update(dict.fromkeys(low, k))
+            left -= set(low)
+        else:
+            k += 1
+    layer, left, k, depth = {}, set(nodes), 1, 0
+    while left:
+        deg = {v: len(near[v] & left) for v in left}
+        k, depth = max(k, min(deg.values())), depth + 1
+        go = {v for v in left if deg[v] <= k}
+        layer.update(dict.fromkeys(go, depth))
+        left -= go
+    assert {x.id: x.core for x in graph.core_numbers(e).collect()} == core
+    assert {x.id: x.layer for x in graph.onion_layers(e).collect()} == layer
+    for x in graph.core_parts(e, 3).collect():
+        assert (x.in_core, x.in_shell, x.in_crust) == (core[x.id] >= 3, core[x.id] == 3, core[x.id] <= 3)
+
+
+def test_long_paths_are_whole(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "src long, dst long")
+    assert graph.distances(chain, chain.limit(1).selectExpr("0L AS id")).count() == 41
+    assert graph.distances(chain, chain.limit(1).selectExpr("0L AS id"), radius=5).count() == 6
+    assert graph.strongly_connected(chain).select("component").distinct().count() == 41
+
+
+def test_betweenness_by_brute_force(spark):
+    r = random.Random(12)
+    edges = random_graph(r, 12, 18)
+    near = {v: {y for x in edges for y in x if v in x and y != v} for x in edges for v in x}
+
+    def paths(a, b):
+        level, seen = [[a]], {a}
+        while level and not any(p[-1] == b for p in level):
+            level = [[*p, y] for p in level for y in near[p[-1]] if y not in seen]
+            seen |= {p[-1] for p in level}
+        return [p for p in level if p[-1] == b]
+
+    want = dict.fromkeys(near, 0.0)
+    for a, b in itertools.combinations(near, 2):
+        found = paths(a, b)
+        for p in found:
+            for v in p[1:-1]:
+                want[v] += 1 / len(found)
+    e = spark.createDataFrame(edges, "src long, dst long")
+    got = {x.id: x.betweenness for x in graph.betweenness(e, graph.vertices(e)).collect()}
+    assert all(math.isclose(got[v], want[v], abs_tol=1e-9) for v in want)
+
+
+def test_dbscan_and_pairs_by_brute_force(spark):
+    from corvella.operators import topics
+
+    r = random.Random(13)
+    rows = [(i, [r.choice((0.0, 4.0)) + r.gauss(0, 0.4), r.gauss(0, 0.4)]) for i in range(60)] + [(100, [50.0, 50.0])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    x = dict(rows)
+    pairs = {(a, b) for a in x for b in x if a < b and math.dist(x[a], x[b]) <= 0.5}
+    assert {(p.a, p.b) for p in topics.within(d, 0.5, block=16).collect()} == pairs
+    near = {v: {v} | {b for a, b in pairs if a == v} | {a for a, b in pairs if b == v} for v in x}
+    core = {v for v in x if len(near[v]) >= 5}
+    label = {}
+    for v in sorted(core):
+        if v not in label:
+            todo = [v]
+            while todo:
+                u = todo.pop()
+                if u not in label:
+                    label[u] = v
+                    todo += near[u] & core
+    want = {v: label.get(v, min((label[u] for u in near[v] & core), default=-1)) for v in x}
+    assert {c.id: c.cluster for c in topics.dbscan(d, 0.5, 5).collect()} == want
+
+
+def test_fronts_and_themes(spark):
+    from corvella.operators import frontiers, themes, topics
+
+    t = spark.createDataFrame([(i, [0.9, 0.1] if i < 9 else [0.1, 0.9]) for i in range(10)], "doc_id long, topics array<double>")
+    y = spark.createDataFrame([(i, 2000 + i // 2 if i < 9 else 2004) for i in range(10)], "doc_id long, year int")
+    b = frontiers.boundary_topics(t, y, 0.02, 0.15).collect()
+    assert [(x.topic, x.papers) for x in b] == [(1, 1)] and math.isclose(b[0].novelty, 0.5 * (1 - 0.1 / 0.15))
+    assert math.isclose(sum(x["count"] for x in frontiers.topic_series(t, y).collect()), 10.0)
+    g = spark.createDataFrame([("a", 2000, 1), ("a", 2001, 2), ("a", 2005, 3), ("b", 2000, 5)], "k string, year int, n int")
+    assert {x.k: x.growth for x in frontiers.growth_rate(g, "k").collect()} == {"a": 0.75, "b": 0.0}
+    texts = spark.createDataFrame([(i, "solar panel power" if i % 2 else "ocean wave height") for i in range(8)], "id long, text string")
+    got = {x.theme: (set(x.terms), x.support) for x in themes.themes(texts, 2).collect()}
+    assert sorted(map(sorted, (v[0] for v in got.values()))) == [["height", "ocean", "wave"], ["panel", "power", "solar"]] and {v[1] for v in got.values()} == {4}
+    assert themes.study_themes(texts.selectExpr("id AS study_id", "text"), ["text"], 2).count() == 4
+    s = spark.createDataFrame([(2, 0.1, 9.0), (3, -0.2, 5.0), (4, -0.1, 4.5)], "k int, silhouette double, cost double")
+    assert topics.optimal_k(s).first().asDict() == {"k": 2, "reason": "silhouette"}
+    assert topics.optimal_k(s.withColumn("silhouette", F.lit(-1.0))).first().asDict() == {"k": 3, "reason": "elbow"}
+    tops = spark.createDataFrame([(0, "a", 0.6), (0, "b", 0.4)], "topic int, term string, weight double")
+    docs = spark.createDataFrame([(0, ["a", "b"]), (1, ["a", "b"]), (2, ["c"]), (3, ["c"])], "doc_id int, tokens array<string>")
+    assert math.isclose(topics.coherence(tops, docs).first().coherence, 1.0)
+
+
+def test_xml_files_and_lines(spark, tmp_path):
+    from corvella.sources import records
+
+    hit = '<hit id="7"><info><authors><author>A</author></authors><title>T.</title><year>2001</year><ee>https://doi.org/10.1/x</ee></info></hit>'
+    (tmp_path / "a.xml").write_text(f"<hits>{hit}{hit.replace('7', '8')}</hits>")
+    want = [("7", "T", ["A"], 2001, "10.1/x"), ("8", "T", ["A"], 2001, "10.1/x")]
+    cols = ["paper_id", "title", "authors", "year", "doi"]
+    assert sorted(tuple(r) for r in records.from_dblp(spark, f"file://{tmp_path}/a.xml").select(*cols).collect()) == want
+    assert tuple(records.from_dblp(spark, spark.createDataFrame([(hit,)], "value string")).select(*cols).first()) == want[0]

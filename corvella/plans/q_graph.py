@@ -42,7 +42,7 @@ def _unrolled_pagerank(k: int) -> str:
 @R.add("g2_pagerank", "cites", _unrolled_pagerank(70))
 def g2(v):
     """To convergence; the SQL goes on for more rounds than that takes."""
-    return G.pagerank(v.cites, tol=1e-7).select("id", F.round(C("rank") * 1000, 4).alias("rank"))
+    return G.pagerank(v.cites, tol=1e-10).select("id", F.round(C("rank") * 1000, 4).alias("rank"))
 
 
 R.add("g2_personalised_pagerank")(lambda v: rounded(G.pagerank(coauthors(v), weighted=True, personal=v.spark.createDataFrame([(1, 1.0)], "id long, share double"))))

@@ -261,3 +261,17 @@ def validate_forms(values: DataFrame, rules: DataFrame) -> DataFrame:
     bad = bad.when((F.col("kind") == "select") & ~F.array_contains("options", v), F.concat("field", F.lit(": not an option")))
     bad = bad.when((F.col("kind") == "multiselect") & (F.size(F.array_except(F.transform(F.split(v, ","), F.trim), F.col("options"))) > 0), F.concat("field", F.lit(": not an option")))
     return x.groupBy("study_id").agg(F.sort_array(F.collect_list(bad)).alias("errors"))
+
+
+def narrative_themes(outcomes: DataFrame, n: int) -> DataFrame:
+    """The ``n`` most frequent themes with their mean effect and its sign (A17). Input: theme, effect, one row per study."""
+    e = F.avg("effect")
+    sign = F.when(e > 0, "positive").when(e < 0, "negative").otherwise("none")
+    return outcomes.groupBy("theme").agg(F.count(F.lit(1)).alias("studies"), e.alias("mean_effect"), sign.alias("direction")).orderBy(F.desc("studies"), "theme").limit(n)
+
+
+def bias_distribution(judgements: DataFrame) -> DataFrame:
+    """Number and share of each judgement over all studies and domains."""
+    total = judgements.agg(F.count(F.lit(1)).alias("total"))
+    n = judgements.groupBy("judgement").agg(F.count(F.lit(1)).alias("n"))
+    return n.join(F.broadcast(total)).select("judgement", "n", (F.col("n") / F.col("total")).alias("share"))  # one row

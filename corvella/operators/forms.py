@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
+from corvella.functions.scalars import doi
+
 
 def wide(forms: DataFrame, paths: list[str]) -> DataFrame:
     """Nested struct fields as flat columns named by their path."""
@@ -45,3 +47,24 @@ def open_access(rows: DataFrame) -> DataFrame:
     w = rows.select(F.from_json("value", schema).alias("w")).select("w.*")
     b: Column = F.col("best_oa_location")
     return w.select(F.lower("doi").alias("doi"), "is_oa", F.col("oa_status").alias("status"), b["url"].alias("url"), b["url_for_pdf"].alias("pdf_url"), b["host_type"].alias("host_type"), b["version"].alias("version"))
+
+
+ORCID = "`put-code` long, title struct<title:struct<value:string>>, `publication-date` struct<year:struct<value:string>>, `journal-title` struct<value:string>, type string, url struct<value:string>, `external-ids` struct<`external-id`:array<struct<`external-id-type`:string,`external-id-value`:string,`external-id-url`:struct<value:string>>>>"
+
+
+def orcid_works(lines: DataFrame) -> DataFrame:
+    """ORCID work summaries as papers without authors (S11): DOI from the external ids, the work's URL or the first id's."""
+    w = lines.select(F.from_json("value", ORCID).alias("w")).select("w.*")
+    ids = F.col("`external-ids`")["external-id"]
+    found = F.get(F.transform(F.filter(ids, lambda x: F.lower(x["external-id-type"]) == "doi"), lambda x: x["external-id-value"]), F.lit(0))
+    first_url = F.get(F.filter(F.transform(ids, lambda x: x["external-id-url"]["value"]), lambda u: u.isNotNull()), F.lit(0))
+    return w.select(
+        F.coalesce(doi(found), F.col("`put-code`").cast("string")).alias("paper_id"), F.col("title.title.value").alias("title"), F.col("`publication-date`.year.value").try_cast("int").alias("year"), F.col("`journal-title`.value").alias("journal"),
+        F.col("type").alias("paper_type"), doi(found).alias("doi"), F.coalesce(F.col("url.value"), first_url).alias("url"), F.array().cast("array<string>").alias("authors"), F.lit("orcid").alias("source"),
+    )
+
+
+def citation_dump(lines: DataFrame) -> DataFrame:
+    """COCI records as citations (S11). Both ends lose their resolver prefix; ``author_sc`` and ``journal_sc`` mark self-citations."""
+    w = lines.select(F.from_json("value", "citing string, cited string, creation string, timespan string, author_sc string, journal_sc string").alias("w")).select("w.*")
+    return w.select(doi(F.col("citing")).alias("citing"), doi(F.col("cited")).alias("cited"), "creation", "timespan", (F.lower("author_sc") == "yes").alias("author_self"), (F.lower("journal_sc") == "yes").alias("journal_self"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corvella.functions import scalars as S
+from corvella.plans.ordered import cume_dist
 
 
 def fill_years(counts: DataFrame, key: str, last: int | None = None) -> DataFrame:
@@ -269,7 +270,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, keep_self: bool = Fa
 def novelty(near: DataFrame, k: int = 5) -> DataFrame:
     """1 - mean cosine of the k nearest, and its percentile."""
     g = near.filter(F.col("rank") <= k).groupBy("query_id").agg(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - F.avg("score"))).alias("novelty"))
-    return g.withColumn("percentile", F.cume_dist().over(Window.orderBy("novelty")) * 100)
+    return cume_dist(g, "novelty", "percentile").withColumn("percentile", F.col("percentile") * 100)
 
 
 def bridge(vectors: DataFrame, a: DataFrame, b: DataFrame, n: int) -> DataFrame:

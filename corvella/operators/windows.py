@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corvella.operators.indices import h_index, ranked
+from corvella.plans.ordered import running_totals
 
 
 def cumulative_by(rows: DataFrame, by: str) -> DataFrame:
@@ -17,10 +18,11 @@ def cumulative_by(rows: DataFrame, by: str) -> DataFrame:
 
 def bradford(rows: DataFrame, source: str) -> DataFrame:
     """Sources by size with cumulative papers and zone (W12): borders at a third and two thirds."""
-    w = Window.orderBy(F.desc("n"), source)  # one row per source
-    c = rows.groupBy(source).agg(F.count(F.lit(1)).alias("n")).withColumn("rank", F.row_number().over(w)).withColumn("cumulative", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    share = F.col("cumulative") / F.sum("n").over(Window.partitionBy())
-    return c.withColumn("zone", F.when(share <= 1 / 3, 1).when(share <= 2 / 3, 2).otherwise(3))
+    n = rows.groupBy(source).agg(F.count(F.lit(1)).alias("n"))
+    c = running_totals(n, [F.desc("n"), source], {"rank": F.lit(1), "cumulative": F.col("n")}).withColumn("rank", F.col("rank").cast("int"))
+    share = F.col("cumulative") / F.col("total")
+    zoned = c.join(F.broadcast(rows.agg(F.count(F.lit(1)).alias("total"))))  # one row
+    return zoned.withColumn("zone", F.when(share <= 1 / 3, 1).when(share <= 2 / 3, 2).otherwise(3)).drop("total")
 
 
 def lotka(authorship: DataFrame, author: str) -> DataFrame:
@@ -31,8 +33,7 @@ def lotka(authorship: DataFrame, author: str) -> DataFrame:
 
 def zipf(terms: DataFrame, term: str) -> DataFrame:
     """Slope of log10 frequency on log10 rank."""
-    w = Window.orderBy(F.desc("n"), term)  # one row per term
-    r = terms.groupBy(term).agg(F.count(F.lit(1)).alias("n")).withColumn("rank", F.row_number().over(w))
+    r = running_totals(terms.groupBy(term).agg(F.count(F.lit(1)).alias("n")), [F.desc("n"), term], {"rank": F.lit(1)})
     return r.agg(F.regr_slope(F.log10("n"), F.log10("rank")).alias("slope"), F.count(F.lit(1)).alias("terms"))
 
 
@@ -61,8 +62,7 @@ def log_rank(subjects: DataFrame, group: str, first) -> DataFrame:
     """Chi-square (one degree of freedom) of two groups."""
     own = F.col(group) == F.lit(first)
     t = subjects.groupBy("time").agg(F.sum("event").alias("d"), F.count(F.lit(1)).alias("n"), F.sum(F.when(own, F.col("event")).otherwise(0)).alias("d1"), F.count_if(own).alias("n1"))
-    later = Window.orderBy(F.desc("time")).rowsBetween(Window.unboundedPreceding, 0)  # one row per event time
-    t = t.withColumn("r", F.sum("n").over(later)).withColumn("r1", F.sum("n1").over(later)).filter("d > 0")
+    t = running_totals(t, [F.desc("time")], {"r": F.col("n"), "r1": F.col("n1")}).filter("d > 0")
     e = F.col("d") * F.col("r1") / F.col("r")
     v = F.when(F.col("r") > 1, F.col("d") * F.col("r1") / F.col("r") * (1 - F.col("r1") / F.col("r")) * (F.col("r") - F.col("d")) / (F.col("r") - 1)).otherwise(0.0)
     g = t.agg(F.sum(F.col("d1") - e).alias("oe"), F.sum(v).alias("v"))

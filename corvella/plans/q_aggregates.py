@@ -52,10 +52,11 @@ def a6(v):
     return A.summary_rollup(v.papers)
 
 
-@R.add("a7_emerging_authors", "papers authorship", "SELECT author, min(year) AS first_year, count(*) AS papers, sum(citations_count)::BIGINT AS citations, round(avg(citations_count), 6) AS mean_citations FROM authorship JOIN papers USING (paper_id) WHERE author % 7 <> 0 OR year > 1996 GROUP BY 1 HAVING min(year) >= 1996")
+@R.add("a7_emerging_authors", "papers", "SELECT o_custkey AS author, min(year) AS first_year, count(*) AS papers, sum(citations_count)::BIGINT AS citations, round(avg(citations_count), 6) AS mean_citations FROM orders JOIN papers ON o_orderkey = paper_id GROUP BY 1 HAVING min(year) >= 1996")
 def a7(v):
-    rows = author_papers(v).filter("author % 7 <> 0 OR year > 1996")
-    return rounded(A.emerging_authors(rows, 1996))
+    """Customers as corresponding authors: suppliers all begin in the first year."""
+    who = v.table("orders").select(F.col("o_orderkey").alias("paper_id"), F.col("o_custkey").alias("author"))
+    return rounded(A.emerging_authors(who.join(v.papers, "paper_id").withColumn("citations", F.col("citations_count")), 1996))
 
 
 @R.add("a8_year_field", "papers fields", "SELECT year, field, count(*) AS papers, grouping(year, field)::BIGINT AS level FROM papers JOIN fields USING (paper_id) GROUP BY CUBE (year, field)")
@@ -124,11 +125,14 @@ def a15s(v):
     return A.star_quality(v.table("lineitem").select(F.col("l_orderkey").alias("study_id"), item.alias("item"), F.col("l_linenumber").alias("stars")))
 
 
+@R.add("a17_bias_distribution", "", JUDGED + "SELECT judgement, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM j GROUP BY judgement")
+def a17b(v):
+    return rounded(A.bias_distribution(judgements(v)))
+
+
 @R.add("a17_narrative_themes", "effects", "SELECT study_id AS theme, count(*) AS studies, round(avg(m1 - m2), 6) AS mean_effect, CASE WHEN avg(m1 - m2) > 0 THEN 'positive' WHEN avg(m1 - m2) < 0 THEN 'negative' ELSE 'none' END AS direction FROM effects GROUP BY 1 ORDER BY studies DESC, theme LIMIT 5")
 def a17(v):
-    e = F.avg(F.col("m1") - F.col("m2"))
-    g = v.effects.groupBy(F.col("study_id").alias("theme")).agg(F.count(F.lit(1)).alias("studies"), e.alias("mean_effect"), F.when(e > 0, "positive").when(e < 0, "negative").otherwise("none").alias("direction"))
-    return rounded(g.orderBy(F.desc("studies"), "theme").limit(5))
+    return rounded(A.narrative_themes(v.effects.select(F.col("study_id").alias("theme"), (F.col("m1") - F.col("m2")).alias("effect")), 5))
 
 
 CASES = "WITH q AS (SELECT l_orderkey AS id, (sum(l_quantity) > 100)::INT AS big, (avg(l_discount) > 0.05)::INT AS cheap, (max(l_tax) > 0.06)::INT AS taxed, (count(*) > 3)::INT AS many FROM lineitem GROUP BY 1) "

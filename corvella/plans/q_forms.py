@@ -34,6 +34,22 @@ def s11(v):
     return forms.open_access(v.papers.select(F.to_json(w).alias("value"))).select("doi", "is_oa", "url")
 
 
+@R.add("s11_orcid", "papers", "SELECT '10.1/x' || paper_id AS paper_id, 'T ' || paper_id AS title, year, journal, '10.1/x' || paper_id AS doi, 'https://doi.org/10.1/X' || paper_id AS url FROM papers")
+def s11o(v):
+    link = F.concat(F.lit("https://doi.org/10.1/X"), "paper_id")
+    external = lambda kind, value, url: F.struct(F.lit(kind).alias("external-id-type"), value.alias("external-id-value"), F.struct(url.alias("value")).alias("external-id-url"))
+    ids = F.array(external("eid", F.lit("e1"), F.lit(None).cast("string")), external("DOI", F.concat(F.lit("10.1/X"), "paper_id"), link))
+    w = F.struct(C("paper_id").alias("put-code"), F.struct(F.struct(F.concat(F.lit("T "), "paper_id").alias("value")).alias("title")).alias("title"), F.struct(F.struct(C("year").cast("string").alias("value")).alias("year")).alias("publication-date"), F.struct(C("journal").alias("value")).alias("journal-title"), F.struct(ids.alias("external-id")).alias("external-ids"))
+    return forms.orcid_works(v.papers.select(F.to_json(w).alias("value"))).select("paper_id", "title", "year", "journal", "doi", "url")
+
+
+@R.add("s11_coci", "cites", "SELECT '10.1/x' || src AS citing, '10.1/x' || dst AS cited, src % 2 = 0 AS author_self, false AS journal_self FROM cites")
+def s11c(v):
+    end = lambda c: F.concat(F.lit("https://doi.org/10.1/X"), c)
+    w = F.struct(end("src").alias("citing"), end("dst").alias("cited"), F.when(C("src") % 2 == 0, "yes").otherwise("no").alias("author_sc"), F.lit("no").alias("journal_sc"))
+    return forms.citation_dump(v.cites.select(F.to_json(w).alias("value"))).select("citing", "cited", "author_self", "journal_self")
+
+
 @R.add("s21_decisions_table", "", "SELECT doc_id AS record_id, '{\"r1\":\"' || CASE WHEN quality = 1 THEN 'include' ELSE 'exclude' END || '\",\"r2\":\"' || CASE WHEN toxic = 0 THEN 'include' ELSE 'exclude' END || '\"}' AS decisions, quality = 1 - toxic AS agreed FROM labels")
 def s21(v):
     return forms.decisions_table(decisions(v))

@@ -112,9 +112,32 @@ def s10b(v):
     return S.from_dump(v.papers.select(F.to_json(w).alias("value")), "base").select("paper_id", "year", "title")
 
 
-@R.add("s12_page_citations", "", "SELECT DISTINCT page_id, 'url' AS kind, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS value FROM pages")
+@R.add("s10_core", "papers", "SELECT paper_id::VARCHAR AS paper_id, year, ['A B'] AS authors, 'u' || paper_id AS pdf_url, '10.1/' || paper_id AS doi, citations_count FROM papers")
+def s10c(v):
+    dated = F.when(C("paper_id") % 2 == 0, C("year"))  # the other half only has a date
+    w = F.struct(C("paper_id").cast("string").alias("id"), dated.alias("yearPublished"), F.concat("year", F.lit("-05-06")).alias("publishedDate"), F.array(F.struct(F.lit("A B").alias("name"))).alias("authors"), F.concat(F.lit("u"), "paper_id").alias("downloadUrl"), F.concat(F.lit("https://doi.org/10.1/"), "paper_id").alias("doi"), C("citations_count").alias("citationCount"))
+    return S.from_dump(v.papers.select(F.to_json(w).alias("value")), "core").select("paper_id", "year", "authors", "pdf_url", "doi", "citations_count")
+
+
+@R.add("s10_ieee", "papers", "SELECT paper_id::VARCHAR AS paper_id, year, journal, ['A B', 'C D'] AS authors, '3-7' AS pages, citations_count FROM papers")
+def s10i(v):
+    names = F.array(F.struct(F.lit("A B").alias("full_name")), F.struct(F.lit("C D").alias("full_name")))
+    w = F.struct(C("paper_id").cast("string").alias("article_number"), F.struct(names.alias("authors")).alias("authors"), C("year").alias("publication_year"), C("journal").alias("publication_title"), F.lit("3").alias("start_page"), F.lit("7").alias("end_page"), C("citations_count").alias("citing_paper_count"))
+    return S.from_dump(v.papers.select(F.to_json(w).alias("value")), "ieee").select("paper_id", "year", "journal", "authors", "pages", "citations_count")
+
+
+KINDS = {"doi": r"""(10\.\d{4,9}/[^\s"''<>&]+)""", "arxiv": r"arxiv\.org/abs/(\d{4}\.\d{4,5})", "pmid": r"pubmed/(\d{5,9})", "url": r'href="([^"]+)"'}
+
+
+@R.add("s12_page_citations", "", " UNION ".join(f"SELECT page_id, '{k}' AS kind, unnest(regexp_extract_all(html, '{p}', 1)) AS value FROM pages" for k, p in KINDS.items()))
 def s12(v):
-    return S.citations_in_pages(v.table("pages")).filter("kind = 'url'")
+    return S.citations_in_pages(v.table("pages"))
+
+
+@R.add("s12_text_citations", "papers", "SELECT paper_id AS page_id, unnest(['doi', 'arxiv', 'pmid', 'url']) AS kind, unnest(['10.1234/x' || paper_id, year || '.01234', (10000 + paper_id)::VARCHAR, 'https://pubmed/' || (10000 + paper_id)]) AS value FROM papers")
+def s12t(v):
+    html = F.expr("concat('see 10.1234/x', paper_id, ' and <b>arxiv.org/abs/', year, '.01234</b> <a href=\"https://pubmed/', 10000 + paper_id, '\">x</a>, again 10.1234/x', paper_id, ' ')")
+    return S.citations_in_pages(v.papers.select(C("paper_id").alias("page_id"), html.alias("html")))
 
 
 @R.add("s13_csv_rows", NEEDS, FULL + "SELECT paper_id, title, year::VARCHAR AS year, array_to_string(authors, '; ') AS authors FROM p")
@@ -170,17 +193,41 @@ def s19(v):
     return S.read_json_links(_text_trip(v, S.json_links(weighted(v)), "links"))
 
 
-@R.add("s20_graphml", "coauthors", "SELECT a::VARCHAR AS src, b::VARCHAR AS dst, weight::DOUBLE AS weight FROM coauthors")
-def s20(v):
-    e = weighted(v).select(F.format_string('<edge source="%s" target="%s" weight="%s"></edge>', C("src").cast("string"), C("dst").cast("string"), C("weight").cast("string")).alias("value"))
-    def whole(frames):  # every part file is a document of its own
-        yield pd.DataFrame({"value": ["<graphml><graph>"]})
+def _xml_graph(v, root):
+    """The co-author graph as XML with ``root`` around it; every part file is a document of its own."""
+    e = weighted(v)
+    edges = e.select(F.format_string('<edge source="%s" target="%s" weight="%s"></edge>', C("src").cast("string"), C("dst").cast("string"), C("weight").cast("string")).alias("value"))
+    ids = e.select(C("src").alias("id")).union(e.select("dst")).distinct()
+    nodes = ids.select(F.format_string('<node id="%s" label="Author %s"></node>', C("id").cast("string"), C("id").cast("string")).alias("value"))
+
+    def whole(frames):
+        yield pd.DataFrame({"value": [f"<{root}><graph>"]})
         yield from frames
-        yield pd.DataFrame({"value": ["</graph></graphml>"]})
+        yield pd.DataFrame({"value": [f"</graph></{root}>"]})
 
-    path = fresh_path(v.spark, "graphml")
-    e.mapInPandas(whole, "value string").write.text(path)
-    return S.graph_xml(v.spark, path)[1]
+    path = fresh_path(v.spark, root)
+    nodes.union(edges).mapInPandas(whole, "value string").write.text(path)
+    return path
+
+
+@R.add("s19_cytoscape", "coauthors", "SELECT a AS src, b AS dst, weight::DOUBLE AS weight FROM coauthors")
+def s19c(v):
+    return S.read_cytoscape_edges(_text_trip(v, S.cytoscape_elements(weighted(v)), "cytoscape"))
+
+
+@R.add("s20_gexf", "coauthors", "SELECT a::VARCHAR AS src, b::VARCHAR AS dst, weight::DOUBLE AS weight FROM coauthors")
+def s20g(v):
+    return S.graph_xml(v.spark, _xml_graph(v, "gexf"))[1]
+
+
+@R.add("s20_gexf_nodes", "coauthors", "SELECT DISTINCT id::VARCHAR AS id, 'Author ' || id AS label FROM (SELECT a AS id FROM coauthors UNION SELECT b FROM coauthors)")
+def s20n(v):
+    return S.graph_xml(v.spark, _xml_graph(v, "gexf"))[0]
+
+
+@R.add("s20_graphml", "coauthors", "SELECT a::VARCHAR AS src, b::VARCHAR AS dst, weight::DOUBLE AS weight FROM coauthors")
+def s20(v):
+    return S.graph_xml(v.spark, _xml_graph(v, "graphml"))[1]
 
 
 R.add("s22_csl")(lambda v: S.csl_records(papers(v)))

@@ -275,3 +275,17 @@ def json_links(edges: DataFrame) -> DataFrame:
 
 def read_json_links(lines: DataFrame) -> DataFrame:
     return lines.select(F.from_json("value", "source long, target long, weight double").alias("x")).select(F.col("x.source").alias("src"), F.col("x.target").alias("dst"), "x.weight")
+
+
+def cytoscape_elements(edges: DataFrame) -> DataFrame:
+    """One Cytoscape element a line, nodes and edges, as in the ``elements`` list of a document."""
+    ids = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
+    nodes = ids.select(F.to_json(F.struct(F.lit("nodes").alias("group"), F.struct(F.col("id").cast("string").alias("id")).alias("data"))).alias("value"))
+    data = F.struct(F.concat_ws("-", "src", "dst").alias("id"), F.col("src").cast("string").alias("source"), F.col("dst").cast("string").alias("target"), "weight")
+    return nodes.union(edges.select(F.to_json(F.struct(F.lit("edges").alias("group"), data.alias("data"))).alias("value")))
+
+
+def read_cytoscape_edges(lines: DataFrame) -> DataFrame:
+    """Edges of Cytoscape element lines (S19); ids that are numbers become numbers."""
+    x = lines.select(F.from_json("value", "group string, data struct<source:string,target:string,weight:double>").alias("x")).filter("x.group = 'edges'")
+    return x.select(F.col("x.data.source").try_cast("long").alias("src"), F.col("x.data.target").try_cast("long").alias("dst"), F.coalesce("x.data.weight", F.lit(1.0)).alias("weight"))

@@ -273,3 +273,19 @@ def test_xml_files_and_lines(spark, tmp_path):
     cols = ["paper_id", "title", "authors", "year", "doi"]
     assert sorted(tuple(r) for r in records.from_dblp(spark, f"file://{tmp_path}/a.xml").select(*cols).collect()) == want
     assert tuple(records.from_dblp(spark, spark.createDataFrame([(hit,)], "value string")).select(*cols).first()) == want[0]
+
+
+def test_running_totals_and_cume_dist_without_one_task(spark):
+    from corvella.plans.ordered import cume_dist, running_totals
+
+    rows = [(i, None if i % 17 == 0 else i % 5) for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, v int")
+    got = {r["id"]: (r["pos"], r["total"]) for r in running_totals(df, [F.desc("v"), "id"], {"pos": F.lit(1), "total": F.coalesce("v", F.lit(0))}).collect()}
+    run = 0
+    for k, (i, v) in enumerate(sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0])), 1):
+        run += v or 0
+        assert got[i] == (k, run)
+    low = lambda v: -1 if v is None else v
+    for r in cume_dist(df, "v", "share").collect():
+        assert abs(r["share"] - sum(low(v) <= low(r["v"]) for _, v in rows) / len(rows)) < 1e-12
+    assert cume_dist(df.limit(0), "v", "share").count() == 0

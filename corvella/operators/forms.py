@@ -12,6 +12,23 @@ from pyspark.sql.types import ArrayType, FloatType
 from corvella.functions.scalars import doi
 
 
+# The columns of the table of extraction forms, plain, from a nested part, and as the length of a list.
+PLAIN = ["study_id", "study_title", "year", "journal", "study_design", "country", "setting", "funding", "conflicts_of_interest", "notes"]
+NESTED = {
+    "population": ["n_total", "n_intervention", "n_control", "age_mean", "age_sd", "pct_female"],
+    "intervention": ["comparator_name", "duration", "dose"],
+    "results": ["follow_up_period", "dropouts"],
+}
+LENGTHS = {"n_primary_outcomes": "primary_outcomes", "n_secondary_outcomes": "secondary_outcomes", "n_effect_sizes": "results.effect_sizes", "n_adverse_events": "results.adverse_events"}
+
+
+def extraction_table(forms: DataFrame) -> DataFrame:
+    """Whole extraction forms as one wide row per study (A16): 27 columns, authors joined by '; ', missing lists counted as empty."""
+    nested = [F.col(f"{part}.{name}").alias(name) for part, names in NESTED.items() for name in names]
+    lengths = [F.coalesce(F.array_size(c), F.lit(0)).alias(name) for name, c in LENGTHS.items()]
+    return forms.select(*PLAIN, F.concat_ws("; ", "authors").alias("authors"), F.col("intervention.name").alias("intervention_name"), *nested, *lengths)
+
+
 def wide(forms: DataFrame, paths: list[str]) -> DataFrame:
     """Nested struct fields as flat columns named by their path."""
     return forms.select("study_id", *[F.col(p).alias(p.replace(".", "_")) for p in paths])

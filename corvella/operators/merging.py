@@ -85,7 +85,7 @@ def similar_papers(base: DataFrame, items: list[tuple[DataFrame, str, float]], p
     parts = []
     for rows, item, weight in items:
         own = rows.join(F.broadcast(b), F.col("paper_id") == F.col("b_id")).select(item)  # one paper's items
-        parts.append(rows.join(F.broadcast(own), item, "left_semi").select("paper_id", F.lit(float(weight)).alias("s")))
+        parts.append(rows.join(own, item, "left_semi").select("paper_id", F.lit(float(weight)).alias("s")))
     shared = reduce(DataFrame.union, parts).groupBy("paper_id").agg(F.sum("s").alias("s"))
     x = papers.join(shared, "paper_id").join(F.broadcast(b)).filter("paper_id <> b_id")
     score = F.col("s") + F.when(F.col("journal") == F.col("b_journal"), 1.0).otherwise(0.0) + F.greatest(F.lit(0.0), 0.5 - 0.05 * F.abs(F.col("year") - F.col("b_year")))

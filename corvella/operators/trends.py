@@ -122,24 +122,23 @@ def linear_forecast(series: DataFrame, key: str, horizon: int, z: float = 1.2816
 
 def holt_forecast(series: DataFrame, key: str, horizon: int) -> DataFrame:
     """Holt's additive trend with smoothing constants from a grid per series (B8); short series fall back to their mean."""
+    a, b = (g.ravel() for g in np.meshgrid(np.linspace(0.05, 0.95, 19), np.linspace(0.05, 0.95, 19), indexing="ij"))
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("year", kind="stable")
         y, last = f["count"].to_numpy(float), int(f["year"].max())
-        best = (math.inf, y.mean(), 0.0)
+        at_end, slope = y.mean(), 0.0
         if len(y) >= 3:
-            for a in np.linspace(0.05, 0.95, 19):
-                for b in np.linspace(0.05, 0.95, 19):
-                    level, trend, sse = y[0], y[1] - y[0], 0.0
-                    for v in y[1:]:
-                        guess = level + trend
-                        sse += (v - guess) ** 2
-                        new = a * v + (1 - a) * guess
-                        trend = b * (new - level) + (1 - b) * trend
-                        level = new
-                    if sse < best[0]:
-                        best = (sse, level, trend)
-        return pd.DataFrame({key: f[key].iloc[0], "year": [last + k for k in range(1, horizon + 1)], "forecast": [max(best[1] + k * best[2], 0.0) for k in range(1, horizon + 1)]})
+            level, trend, sse = np.full(a.shape, y[0]), np.full(a.shape, y[1] - y[0]), np.zeros(a.shape)
+            for v in y[1:]:  # the whole grid at once
+                guess = level + trend
+                sse += (v - guess) ** 2
+                new = a * v + (1 - a) * guess
+                trend = b * (new - level) + (1 - b) * trend
+                level = new
+            best = sse.argmin()
+            at_end, slope = level[best], trend[best]
+        return pd.DataFrame({key: f[key].iloc[0], "year": [last + k for k in range(1, horizon + 1)], "forecast": [max(at_end + k * slope, 0.0) for k in range(1, horizon + 1)]})
 
     return series.groupBy(key).applyInPandas(run, f"{key} {series.schema[key].dataType.simpleString()}, year int, forecast double")
 
@@ -152,22 +151,24 @@ def arima_forecast(series: DataFrame, key: str, horizon: int, least: int = 6) ->
         y, last = f["count"].to_numpy(float), int(f["year"].max())
         d = np.diff(y)
 
-        def css(phi: float, theta: float) -> tuple[float, float]:
-            e, s = 0.0, 0.0
-            for t in range(1, len(d)):
+        def css(phi: np.ndarray, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            e, s = np.zeros(phi.shape), np.zeros(phi.shape)
+            for t in range(1, len(d)):  # the whole grid at once
                 e = d[t] - phi * d[t - 1] - theta * e
-                s += e * e
+                s = s + e * e
             return s, e
 
         phi = theta = e = 0.0
         if len(y) >= least:
-            step, mid = 0.1, (0.0, 0.0)
+            step = 0.1
             for _ in range(2):
-                grid = [(p, q) for p in mid[0] + step * np.arange(-9, 10) for q in mid[1] + step * np.arange(-9, 10) if abs(p) < 1 and abs(q) < 1]
-                mid = min(grid, key=lambda pq: css(*pq)[0])
+                p, q = (g.ravel() for g in np.meshgrid(phi + step * np.arange(-9, 10), theta + step * np.arange(-9, 10), indexing="ij"))
+                inside = (np.abs(p) < 1) & (np.abs(q) < 1)
+                p, q = p[inside], q[inside]
+                cost, last_e = css(p, q)
+                best = cost.argmin()
+                phi, theta, e = p[best], q[best], last_e[best]
                 step /= 10
-            phi, theta = mid
-            e = css(phi, theta)[1]
         level, diff, out = y[-1], d[-1] if len(d) else 0.0, []
         for k in range(horizon):
             diff = phi * diff + (theta * e if k == 0 else 0.0)
@@ -296,7 +297,7 @@ def recommend_collaborators(authorship: DataFrame, keywords: DataFrame, coauthor
     size = ak.groupBy("author").agg(F.count(F.lit(1)).alias("k"), F.sqrt(F.sum(F.col("c") * F.col("c")).cast("double")).alias("norm"))
     me = ak.filter(F.col("author") == F.lit(author)).select("keyword", F.col("c").alias("mc"))
     mine = size.filter(F.col("author") == F.lit(author)).select(F.col("k").alias("mk"), F.col("norm").alias("mn"))
-    both = ak.join(F.broadcast(me), "keyword").groupBy("author").agg(F.sum(F.col("c") * F.col("mc")).alias("dot"), F.count(F.lit(1)).alias("shared"))  # one author's keywords
+    both = ak.join(me, "keyword").groupBy("author").agg(F.sum(F.col("c") * F.col("mc")).alias("dot"), F.count(F.lit(1)).alias("shared"))
     pairs = coauthors.select("a", "b").union(coauthors.select("b", "a"))
     direct = pairs.filter(F.col("a") == F.lit(author)).select(F.col("b").alias("author"))
     via = pairs.join(direct.select(F.col("author").alias("a")), "a").groupBy(F.col("b").alias("author")).agg(F.count(F.lit(1)).alias("common"))

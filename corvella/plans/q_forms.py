@@ -18,6 +18,21 @@ def nested(v):
     return c.select(C("c_custkey").alias("study_id"), F.struct(C("c_mktsegment").alias("setting"), F.when(C("c_acctbal") > 0, C("c_acctbal")).alias("n")).alias("population"), F.struct(F.when(C("c_nationkey") % 2 == 0, C("c_name")).otherwise(" ").alias("name")).alias("intervention"))
 
 
+FORM = """c_custkey AS study_id, c_name AS study_title, array('A', c_mktsegment) AS authors, 2000 + c_nationkey AS year, c_mktsegment AS journal, 'trial' AS study_design, n_name AS country, CASE WHEN c_nationkey % 2 = 0 THEN 'ward' END AS setting,
+ named_struct('n_total', 2 * c_nationkey, 'n_intervention', c_nationkey, 'n_control', c_nationkey, 'age_mean', c_acctbal, 'age_sd', 1.5D, 'pct_female', 50.0D) AS population,
+ named_struct('name', c_name, 'comparator_name', 'none', 'duration', '4 weeks', 'dose', CASE WHEN c_acctbal > 0 THEN '5 mg' END) AS intervention,
+ sequence(1, 1 + c_nationkey) AS primary_outcomes, CASE WHEN c_nationkey > 5 THEN array('s') END AS secondary_outcomes,
+ named_struct('effect_sizes', array(1.0D, 2.0D), 'follow_up_period', '1 year', 'dropouts', c_nationkey, 'adverse_events', CASE WHEN c_acctbal > 0 THEN array('a', 'b') END) AS results,
+ 'f' AS funding, 'c' AS conflicts_of_interest, CAST(NULL AS STRING) AS notes"""
+
+
+@R.add("a16_extraction_table", "", """SELECT c_custkey AS study_id, c_name AS study_title, 2000 + c_nationkey AS year, c_mktsegment AS journal, 'trial' AS study_design, n_name AS country, CASE WHEN c_nationkey % 2 = 0 THEN 'ward' END AS setting, 'f' AS funding, 'c' AS conflicts_of_interest, NULL::VARCHAR AS notes,
+ 'A; ' || c_mktsegment AS authors, c_name AS intervention_name, 2 * c_nationkey AS n_total, c_nationkey AS n_intervention, c_nationkey AS n_control, c_acctbal AS age_mean, 1.5::DOUBLE AS age_sd, 50::DOUBLE AS pct_female, 'none' AS comparator_name, '4 weeks' AS duration, CASE WHEN c_acctbal > 0 THEN '5 mg' END AS dose,
+ '1 year' AS follow_up_period, c_nationkey AS dropouts, 1 + c_nationkey AS n_primary_outcomes, (c_nationkey > 5)::INT AS n_secondary_outcomes, 2 AS n_effect_sizes, CASE WHEN c_acctbal > 0 THEN 2 ELSE 0 END AS n_adverse_events FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def a16t(v):
+    return forms.extraction_table(v.spark.sql(f"SELECT {FORM} FROM {{c}} JOIN {{n}} ON c_nationkey = n_nationkey", c=v.table("customer"), n=v.table("nation")))
+
+
 @R.add("a16_wide_forms", "", "SELECT c_custkey AS study_id, c_mktsegment AS population_setting, CASE WHEN c_acctbal > 0 THEN c_acctbal END AS population_n, CASE WHEN c_nationkey % 2 = 0 THEN c_name ELSE ' ' END AS intervention_name FROM customer")
 def a16(v):
     return forms.wide(nested(v), ["population.setting", "population.n", "intervention.name"])

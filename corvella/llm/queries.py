@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvella.llm import byte_bpe, exact_dedup, graph_ann, html_text, labelled, near_dedup, packing, quality, token_files, toxicity, vocabularies, warc
+from corvella.llm import byte_bpe, exact_dedup, graph_ann, html_text, labelled, near_dedup, packing, quality, spelling, token_files, toxicity, vocabularies, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.lookup(warc.page_keys(pages), index)
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_graph_ann": op1_graph_ann,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_html_text": op7_html_text,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_near_dedup": op9_near_dedup,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLES: dict[str, str] = {
@@ -92,4 +97,41 @@ ORACLES: dict[str, str] = {
                doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM d WINDOW w AS (PARTITION BY t)
     """,
+    "op13_spelling_variants": """
+        WITH RECURSIVE steps AS MATERIALIZED (
+            SELECT list(crc ORDER BY k) AS t
+            FROM (SELECT k, list_reduce(range(0, 9), lambda c, i: CASE WHEN i = 0 THEN c WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k) AS crc FROM range(256) AS r(k))
+        ),
+        runs AS (
+            SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+            FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents) GROUP BY ALL
+        ),
+        named AS (SELECT *, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS bytes FROM runs),
+        hashed AS (
+            SELECT run, n, xor(4294967295, list_reduce(range(0, length(bytes) // 2), lambda c, i:
+                xor(c >> 8, t[1 + (xor(c, ('0x' || substr(bytes, 2 * i + 1, 2))::BIGINT) & 255)]), 4294967295)) AS h
+            FROM named, steps
+        ),
+        spelled AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, 2 + (h % length(run))::INT) ELSE run END AS word, n FROM hashed),
+        words AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM spelled WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+        cut AS MATERIALIZED (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM words, unnest(range(0, length(word))) AS u(i)),
+        pairs AS (
+            SELECT a.word AS a, b.word AS b FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+            UNION SELECT cut.word, words.word FROM cut JOIN words ON words.word = cut.rest
+            UNION SELECT words.word, cut.word FROM cut JOIN words ON words.word = cut.rest
+        ),
+        near AS (
+            SELECT a AS word, count(*) AS n_near, max(n) AS best_n, arg_min(b, (-n, b)) AS best FROM pairs JOIN words ON words.word = pairs.b GROUP BY a
+        ),
+        forms AS MATERIALIZED (
+            SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 2 * n THEN best END AS form, CASE WHEN best_n >= 2 * n THEN best_n END AS form_n
+            FROM words LEFT JOIN near USING (word)
+        ),
+        chain AS (
+            SELECT word, word AS at FROM forms
+            UNION ALL SELECT chain.word, forms.form FROM chain JOIN forms ON forms.word = chain.at WHERE forms.form IS NOT NULL
+        )
+        SELECT f.word, f.form, chain.at AS root, f.n, f.n_near, f.form_n
+        FROM forms f JOIN chain ON chain.word = f.word JOIN forms last ON last.word = chain.at AND last.form IS NULL
+    """,
 }

@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corvella.llm import ids
+
 COLUMNS = 64
 BATCH_CHARS = 1 << 20
 CACHE_PIECES = 400_000
@@ -247,7 +249,7 @@ def tokenizer(path: str) -> ByteBPE:
 
 def encode_table(docs: DataFrame, ranks: str) -> DataFrame:
     """doc_id, ids (array), piece_starts, piece_tokens of every text."""
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("piece_starts", T.ArrayType(T.LongType())), T.StructField("piece_tokens", T.ArrayType(T.LongType()))])
+    schema = T.StructType([ids.text_field("doc_id"), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("piece_starts", T.ArrayType(T.LongType())), T.StructField("piece_tokens", T.ArrayType(T.LongType()))])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tool = tokenizer(ranks)
@@ -257,22 +259,24 @@ def encode_table(docs: DataFrame, ranks: str) -> DataFrame:
                 got = list(tool.encode(part["text"].tolist()))
                 yield pd.DataFrame({"doc_id": part["doc_id"].array, "ids": [g.ids for g in got], "piece_starts": [g.starts for g in got], "piece_tokens": [g.tokens for g in got]})
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, schema)
+    texts = docs.select(ids.as_text("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return ids.restored(texts.mapInPandas(run, schema), docs.schema["doc_id"])
 
 
 def digests(docs: DataFrame, ranks: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text, encoded and decoded again."""
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+    schema = T.StructType([ids.text_field("doc_id"), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tool = tokenizer(ranks)
         for f in frames:
             n, of_ids, of_text = [], [], []
             for raw, _, _ in tool.raw_ids(f["text"].tolist()):
-                ids = np.frombuffer(raw, "<u4").tolist()
-                n.append(len(ids))
-                of_ids.append(hashlib.sha256(",".join(map(tool.decimal.__getitem__, ids)).encode()).hexdigest())
-                of_text.append(hashlib.sha256(tool.decode(ids)).hexdigest())
+                found = np.frombuffer(raw, "<u4").tolist()
+                n.append(len(found))
+                of_ids.append(hashlib.sha256(",".join(map(tool.decimal.__getitem__, found)).encode()).hexdigest())
+                of_text.append(hashlib.sha256(tool.decode(found)).hexdigest())
             yield pd.DataFrame({"doc_id": f["doc_id"].array, "n_tokens": n, "ids_sha256": of_ids, "decoded_sha256": of_text})
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, schema)
+    texts = docs.select(ids.as_text("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return ids.restored(texts.mapInPandas(run, schema), docs.schema["doc_id"])

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from corvella.llm import hot
+from corvella.llm import hot, ids
 from corvella.plans.storage import materialise
 
 # Two primes below 2**31 and an evaluation point for each.
@@ -120,14 +120,14 @@ def fingerprints(docs: DataFrame, segment_chars: int = SEGMENT_CHARS) -> DataFra
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", text.alias("text"))  # numbered before segments become rows
-    parts = rows.select("row_id", "doc_id", F.sha2("text", 256).alias("text_sha256"), F.posexplode(_segments(F.col("text"), segment_chars)).alias("seg", "part"))
+    parts = rows.select("row_id", ids.as_text("doc_id"), F.sha2("text", 256).alias("text_sha256"), F.posexplode(_segments(F.col("text"), segment_chars)).alias("seg", "part"))
     schema = T.StructType(
         [
-            T.StructField("row_id", T.LongType()), docs.schema["doc_id"], T.StructField("text_sha256", T.StringType()), T.StructField("seg", T.IntegerType()),
+            T.StructField("row_id", T.LongType()), ids.text_field("doc_id"), T.StructField("text_sha256", T.StringType()), T.StructField("seg", T.IntegerType()),
             *(T.StructField(c, T.LongType()) for c in ("h0", "w0", "h1", "w1", "n_bytes")),
         ]
     )
-    hashed = parts.mapInPandas(_hash_segments, schema)
+    hashed = ids.restored(parts.mapInPandas(_hash_segments, schema), docs.schema["doc_id"])
     fold = hashed.groupBy("row_id", "doc_id", "text_sha256").agg(F.sum("n_bytes").alias("n_bytes"), F.sort_array(F.collect_list(F.struct("seg", "h0", "w0", "h1", "w1"))).alias("segs"))
 
     def folded(k: int) -> Column:

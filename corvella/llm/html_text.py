@@ -7,8 +7,9 @@ blocks above the page's own threshold are content. Blocks in the same containers
 along (a heading, a short paragraph), unless a container's own ratio is far below that of the best one.
 
 Elements that HTML itself sets apart (navigation, footers, asides, forms, scripts, hidden ones) never
-count. Class and id words such as ``sidebar`` or ``comments`` are a hint only: the subtree's score falls to nothing
-unless it holds nearly all of the page's scored text and no article stands outside it. An ``article`` or ``main`` element narrows the
+count. Class and id names are hints. A name made of words such as ``sidebar`` or ``comments`` and of words for parts of a layout (``comment-list``,
+``ad``) takes its subtree out, unless that holds nearly all of the page's scored text and no article stands outside it. A
+name that says something else besides (``share-price``, ``notice-of-meeting``) only weakens the score of its paths. An ``article`` or ``main`` element narrows the
 page to itself if it holds at least half of the scored text.
 
 Defined results: null html is empty; a page without such blocks has an empty text; character
@@ -30,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corvella.llm import ids
+
 PIECES = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*+>|[^<]++|<", re.S)
 LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>")
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -39,21 +42,27 @@ CLOSES_RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "t
 
 # HTML's void elements, phrasing elements and elements that end an open paragraph.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var math semantics annotation mrow mi mn mo ms mtext mspace msup msub msubsup mfrac msqrt mroot mover munder munderover mfenced mstyle".split())
 SAME_CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = frozenset("ul ol dl table tbody thead tfoot tr body html article section div main select".split())
 # What is never main text: by tag, by landmark role, and by words of class and id.
-SKIP_TAGS = frozenset("head nav footer aside form script style noscript template svg math button select textarea iframe menu dialog object title xmp noembed noframes".split())
+SKIP_TAGS = frozenset("head nav footer aside form script style noscript template svg button select textarea iframe menu dialog object title xmp noembed noframes".split())
 SKIP_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 HINT_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer "
     "cookie cookies consent gdpr notice notices popup modal overlay comment comments disqus replies reply share sharing social related newsletter subscribe widget "
     "toolbar login signup masthead topbar skip pagination".split()
 )
+# Words for parts of a layout: beside hint words they leave the name what it was.
+LAYOUT_WORDS = frozenset(
+    "list lists item items entry entries box bar wrapper wrap container block section area zone region slot unit panel group thread row col column grid card cards link links inner outer left right top bottom "
+    "head header body title content text count counter button buttons icon icons form site page primary secondary main global sticky fixed mobile desktop layout view".split()
+)
 # Parts of a compound that turn the hint around: no-sidebar, has-comments, ad-free.
 DENIES = frozenset("no not non without with has hide hides free less allow allows enabled disabled open closed".split())
 PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 HINT_HOLDS = 0.8
+WEAKENED = 0.5
 CONTAINER_SHARE = 0.25
 
 
@@ -64,6 +73,7 @@ class Node:
     path: tuple
     skip: bool
     hint: Node | None  # the outermost element above or here whose class or id says that it is no main text
+    weak: bool  # a name above or here might say so
     inline: bool
     link: bool
     article: bool
@@ -86,20 +96,22 @@ def _skips(tag: str, at: dict[str, str], in_article: bool) -> bool:
     return at.get("role", "").lower() in SKIP_ROLES or "hidden" in at or at.get("aria-hidden") == "true" or "display:none" in at.get("style", "").replace(" ", "")
 
 
-def _hints(tag: str, at: dict[str, str]) -> bool:
-    """Is a whole class or id, or a part of a compound that does not deny it, a word for what is not main text?"""
+def _hints(tag: str, at: dict[str, str]) -> tuple[bool, bool]:
+    """(a class or id is made of words for what is not main text, one holds such a word among others); compounds that deny it do not count."""
+    sure = weak = False
     if tag in ("html", "body", "main"):
-        return False
+        return sure, weak
     for name in f"{at.get('class', '')} {at.get('id', '')}".split():
         parts = [p.lower() for p in PARTS.findall(name)]
         if not HINT_WORDS.isdisjoint(parts) and DENIES.isdisjoint(parts):
-            return True
-    return False
+            other = any(p not in HINT_WORDS and p not in LAYOUT_WORDS for p in parts)
+            sure, weak = sure or not other, weak or other
+    return sure, weak
 
 
 def blocks(page: str) -> list[Block]:
     """Text blocks in page order. A block ends where any block tag or line break stands."""
-    root = Node("", None, (), False, None, False, False, False)
+    root = Node("", None, (), False, None, False, False, False, False)
     top, out, current, at = root, [], None, 0
     n = len(page)
     while at < n:
@@ -139,9 +151,12 @@ def blocks(page: str) -> list[Block]:
         attributes = _attributes(m[3])
         article = top.article or tag in ("article", "main") or attributes.get("role") == "main"
         path = top.path if inline else (*top.path, f"{tag} {attributes['class']}" if attributes.get("class") else tag)
-        node = Node(tag, top, path, top.skip or _skips(tag, attributes, top.article), top.hint, inline, top.link or tag == "a", article)
-        if node.hint is None and attributes and _hints(tag, attributes):
-            node.hint = node
+        node = Node(tag, top, path, top.skip or _skips(tag, attributes, top.article), top.hint, top.weak, inline, top.link or tag == "a", article)
+        if attributes:
+            sure, weak = _hints(tag, attributes)
+            node.weak |= weak
+            if sure and node.hint is None:
+                node.hint = node
         if tag in CLOSES_RAW:
             end = CLOSES_RAW[tag].search(page, at)
             at = end.end() if end else n
@@ -218,7 +233,7 @@ def main_text(page: str) -> str:
     ratio = np.array(_ratios(found, lambda node: node.path))
     padded = np.pad(ratio, 2, mode="edge")
     smooth = np.convolve(padded, np.array([1.0, 4.0, 6.0, 4.0, 1.0]) / 16, mode="valid")
-    fused = np.sqrt(np.maximum(ratio * smooth, 0))
+    fused = np.sqrt(np.maximum(ratio * smooth, 0)) * np.array([WEAKENED if b.node.weak else 1.0 for b, _ in found])
     size = np.array([len(t) for _, t in found])
     named = np.array([b.node.article for b, _ in found])
     if (fused * size * named).sum() >= 0.5 * (fused * size).sum() and named.any():
@@ -242,11 +257,12 @@ def main_text(page: str) -> str:
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars (code points) of every row of ``pages``."""
-    schema = T.StructType([pages.schema["page_id"], pages.schema["url"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
+    schema = T.StructType([ids.text_field("page_id"), pages.schema["url"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             text = [main_text(h) for h in f["html"]]
             yield pd.DataFrame({"page_id": f["page_id"].array, "url": f["url"].array, "text": text, "n_chars": [len(t) for t in text]})
 
-    return pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).mapInPandas(run, schema)
+    texts = pages.select(ids.as_text("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
+    return ids.restored(texts.mapInPandas(run, schema), pages.schema["page_id"])

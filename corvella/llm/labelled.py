@@ -25,7 +25,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, used: Column,
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & used).select("doc_id", F.col(label).cast("int").alias("y"))
     n = known.count()
     if n > rows:
-        known = known.filter(F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(BUCKETS)) < int(BUCKETS * rows / n)).limit(2 * rows)
+        known = known.filter(F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(BUCKETS)) < int(BUCKETS * rows / n)).orderBy(F.xxhash64(F.lit("fit"), "doc_id"), "doc_id", "y").limit(2 * rows)
     text = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     sample = text.join(F.broadcast(known), "doc_id").select("text", "y")  # at most 2 * rows pairs of an id and a label
     found = sample.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()

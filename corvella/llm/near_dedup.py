@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from corvella.llm import hot, ids
 from corvella.plans.components import components
 from corvella.plans.storage import materialise
 
@@ -162,7 +163,7 @@ def _sha(text: str) -> bytes:
 
 def sketch(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, sha (of the text), vertex (null without words), keys (one per band)."""
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("sha", T.BinaryType()), T.StructField("vertex", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+    schema = T.StructType([ids.text_field("doc_id"), T.StructField("sha", T.BinaryType()), T.StructField("vertex", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = WordHashes()
@@ -172,7 +173,8 @@ def sketch(docs: DataFrame) -> DataFrame:
                 keys = band_keys(dart_signatures(doc, element, np.ones(len(doc)), len(texts)))
                 yield pd.DataFrame({"doc_id": f["doc_id"].iloc[lo : lo + len(texts)].array, "sha": [_sha(t) for t in texts], "vertex": _vertices(doc, element, len(texts)), "keys": list(keys)})
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, schema)
+    texts = docs.select(ids.as_text("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return ids.restored(texts.mapInPandas(run, schema), docs.schema["doc_id"])
 
 
 def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -298,12 +300,15 @@ def _decided(docs: DataFrame, similarity: float, small: int) -> DataFrame:
     """One row per row of ``docs``: doc_id, sha, class_id, class_size, kept."""
     rows = materialise(sketch(docs).withColumn("row_id", F.monotonically_increasing_id()), "sketches")
     classes = _member_classes(rows.filter("vertex IS NOT NULL"), docs, similarity, small)
+    total = rows.count()
     # a row without words is a class of its own
-    key = F.coalesce("component", "vertex", F.encode(F.concat(F.lit("row "), F.col("row_id")), "utf-8"))
-    keyed = rows.select("row_id", "doc_id", "sha", "vertex").join(classes, "vertex", "left").select("row_id", "doc_id", "sha", key.alias("class"))
+    own = F.coalesce("vertex", F.encode(F.concat(F.lit("row "), F.col("row_id")), "utf-8"))
+    linked = rows.filter("vertex IS NOT NULL").groupBy("vertex").agg(F.count(F.lit(1)).alias("n")).join(classes, "vertex")
+    keyed = hot.join_groups(rows.select("row_id", "doc_id", "sha", own.alias("vertex")), linked, ["vertex"], "n", ["row_id"], total)
+    keyed = materialise(keyed.select("row_id", "doc_id", "sha", F.coalesce("component", "vertex").alias("class")), "classes")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row_id").alias("first_row")))
     sizes = keyed.groupBy("class").agg(first.alias("keep"), F.count(F.lit(1)).alias("class_size"))
-    return keyed.join(sizes, "class").select("doc_id", "sha", F.col("keep.doc_id").alias("class_id"), "class_size", (F.col("row_id") == F.col("keep.first_row")).alias("kept"))
+    return hot.join_groups(keyed, sizes, ["class"], "class_size", ["row_id"], total).select("doc_id", "sha", F.col("keep.doc_id").alias("class_id"), "class_size", (F.col("row_id") == F.col("keep.first_row")).alias("kept"))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, small: int = SMALL_BUCKET) -> DataFrame:

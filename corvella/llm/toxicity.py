@@ -1,6 +1,6 @@
 """Toxicity by a second-order factorization machine over hashed terms.
 
-A text is the set of its lower-case letter runs, each hashed to 32 bits. The terms of most labelled documents
+A text is the set of its lower-case letter runs, each hashed into a space of ``SPACE`` terms. All terms of a few labelled documents
 are kept, whatever their own association with the label, and get a weight and a short vector each:
 pairs of terms (an insult and a group it is aimed at) count for more or less than their sum, also where
 neither says anything alone. Proximal steps shrink weights, and whole vectors, to nothing where the data do not hold
@@ -28,8 +28,8 @@ from pyspark.sql import types as T
 from corvella.llm.labelled import gathered, training_rows
 
 WORDS = re.compile(r"[^\W\d_]+")
-#: The model keeps at most this many terms, those of most documents.
-TERMS = 1 << 14
+#: Terms are hashed into this many, which bounds the model; words that share a hash share a weight.
+SPACE = 1 << 20
 #: Fitting reads about this many labelled rows, whatever the size of the corpus.
 FIT_ROWS = 16_000
 FACTORS = 4
@@ -40,8 +40,12 @@ WEIGHT_STEP, VECTOR_STEP = 0.3, 0.05
 WEIGHT_SHRINK, VECTOR_SHRINK, SECOND_SHRINK = 4e-3, 5e-3, 0.05
 
 
+def term_hash(word: str) -> int:
+    return zlib.crc32(word.encode("utf-8", "surrogatepass")) % SPACE
+
+
 def term_hashes(text: str) -> list[int]:
-    return [zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in set(WORDS.findall(text.lower()))]
+    return list({term_hash(w) for w in set(WORDS.findall(text.lower()))})
 
 
 @dataclass
@@ -76,8 +80,7 @@ def fit(hashes: list[np.ndarray], y: np.ndarray, seed: int = 7) -> Factorization
         return empty
     rows = np.repeat(np.arange(n), [len(h) for h in hashes])
     terms, slot, seen = np.unique(np.concatenate([np.asarray(h, np.uint32) for h in hashes]), return_inverse=True, return_counts=True)
-    often = np.flatnonzero(seen >= min(3, max(2, n // 200)))
-    top = np.sort(often[np.argsort(-seen[often], kind="stable")[:TERMS]])
+    top = np.flatnonzero(seen >= min(3, max(2, n // 200)))
     chosen = terms[top]
     if not len(chosen):
         return empty
@@ -150,14 +153,14 @@ class _TermSlots(dict):
         self.known = {int(h): i for i, h in enumerate(terms)}
 
     def __missing__(self, word: str) -> int:
-        at = self.known.get(zlib.crc32(word.encode("utf-8", "surrogatepass")), -1)
+        at = self.known.get(term_hash(word), -1)
         if len(self) < 500_000:
             self[word] = at
         return at
 
 
 def score(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
-    """``docs`` with score and predicted, in place of columns of those names; the model has at most ``TERMS`` terms."""
+    """``docs`` with score and predicted, in place of columns of those names; the model has at most ``SPACE`` terms."""
     schema = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     made: dict = {}
 

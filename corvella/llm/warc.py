@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvella.llm import hot
+from corvella.llm import hot, ids
 from corvella.llm.files import Sink, Source, Sources
 from corvella.plans.storage import fresh_path, materialise
 
@@ -119,7 +119,7 @@ def write_archives(pages: DataFrame, min_payload: int = MIN_PAYLOAD) -> DataFram
         out = None
         for f in frames:
             rows = []
-            for r in f.astype(object).where(f.notna(), None).itertuples(index=False):
+            for r in f.itertuples(index=False):
                 if out is None:
                     out = Sink(folder, ".warc.gz")
                     out.write(record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", "1970-01-01T00:00:00Z"), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n"))
@@ -133,7 +133,7 @@ def write_archives(pages: DataFrame, min_payload: int = MIN_PAYLOAD) -> DataFram
             out.close()
 
     chosen = _chosen(pages, min_payload)
-    return materialise(chosen.select("page_id", "url", "html", "digest", "response_id", "urlkey").mapInPandas(write, CAPTURE), "captures")
+    return materialise(chosen.select(ids.as_text("page_id"), "url", "html", "digest", ids.as_text("response_id"), "urlkey").mapInPandas(write, CAPTURE), "captures")
 
 
 def _footer(at: int, size: int) -> bytes:
@@ -232,7 +232,8 @@ def lookup(keys: DataFrame, index_files: DataFrame) -> DataFrame:
     """
     files = [(r.first_key, r.first_page, r.file) for r in index_files.orderBy("file_no").collect()]
     firsts = [(k, p) for k, p, _ in files]
-    schema = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("payload_bytes", T.LongType()), T.StructField("payload_digest", T.StringType()), T.StructField("record_type", T.StringType()), T.StructField("refers_to", T.LongType())])
+    schema = T.StructType([ids.text_field("page_id"), T.StructField("payload_bytes", T.LongType()), T.StructField("payload_digest", T.StringType()), T.StructField("record_type", T.StringType()), ids.text_field("refers_to")])
+    long_ids = [T.StructField(c, T.LongType()) for c in ("page_id", "refers_to")]
 
     @F.pandas_udf(T.IntegerType())
     def file_of(key: pd.Series, page: pd.Series) -> pd.Series:
@@ -250,18 +251,18 @@ def lookup(keys: DataFrame, index_files: DataFrame) -> DataFrame:
             for name, offset, length, parts in _ranges(at):
                 data = archives[name].read(offset, length)
                 rows += [_summary(*parse(data[a : a + n])) for a, n in parts]
-            yield pd.DataFrame(rows, columns=[c.name for c in schema]).astype({"page_id": "Int64", "refers_to": "Int64"})
+            yield pd.DataFrame(rows, columns=[c.name for c in schema])
         archives.close()
 
     if not files:
-        return keys.sparkSession.createDataFrame([], schema)
+        return ids.restored(keys.sparkSession.createDataFrame([], schema), *long_ids)
     dealt = keys.select(file_of("urlkey", "page_key").alias("file_no"), "urlkey", "page_key").repartitionByRange(len(files), "file_no")
-    return dealt.sortWithinPartitions("file_no", "urlkey", "page_key").mapInPandas(read, schema)
+    return ids.restored(dealt.sortWithinPartitions("file_no", "urlkey", "page_key").mapInPandas(read, schema), *long_ids)
 
 
 def _summary(fields: dict[str, str], block: bytes) -> tuple:
-    def page(v: str | None) -> int | None:
-        return None if v is None or v == "null" else int(v)
+    def page(v: str | None) -> str | None:
+        return None if v == "null" else v
 
     digest, size = fields["warc-payload-digest"].removeprefix("sha1:"), int(fields["warc-payload-length"])
     if fields["warc-type"] == "response":

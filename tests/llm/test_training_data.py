@@ -64,6 +64,37 @@ def test_colliding_fingerprints_are_told_apart(spark, monkeypatch):
     assert got == {0: (2, 2), 2: (2, 2), 1: (3, 2), 3: (3, 2), 4: (4, 1)}
 
 
+BIG = [None, 2**60 + 1, 2**60 + 3, -(2**60) - 1]
+
+
+def test_large_ids_beside_null_ones(spark):
+    """Every operator gives back just the ids it got, in one batch."""
+    texts = ["one two three four five six", "alpha beta gamma delta eps zeta", "un deux trois quatre cinq six", "one two three four five six"]
+    d = docs_of(spark, texts, BIG).coalesce(1)
+    for op in (exact_dedup.exact_duplicates, near_dedup.near_duplicates, lambda x: byte_bpe.digests(x, vocabularies.path("byte_bpe_multi_50k.tiktoken")), lambda x: byte_bpe.encode_table(x, vocabularies.path("byte_bpe_multi_50k.tiktoken"))):
+        assert {r.doc_id for r in op(d).collect()} == set(BIG)
+    assert {r.keep_id for r in exact_dedup.exact_duplicates(d).collect()} == {2**60 + 1, 2**60 + 3, -(2**60) - 1}
+    assert {r.class_id for r in near_dedup.near_duplicates(d).collect()} == {2**60 + 1, 2**60 + 3, -(2**60) - 1}
+    unlike = docs_of(spark, [*texts[:3], "four quite other words here now"], BIG).coalesce(1)
+    for keep in (exact_dedup.keep_one, near_dedup.keep_one):
+        assert {r.doc_id for r in keep(unlike).collect()} == set(BIG)
+    pieces = packing.pack_documents(d, vocabularies.path("byte_bpe_50k.json"))
+    assert {r.doc_id for r in pieces.collect()} == set(BIG)
+    manifest = token_files.write_token_files(d, vocabularies.path("word_bpe_49k.json"), alphabet=49_408)
+    assert {r.doc_id for r in token_files.read_token_files(manifest).collect()} == set(BIG)
+
+
+def test_large_page_ids(spark):
+    html = ["<p>same</p>", "<p>same</p>", "<p>other</p>", "<p>same</p>"]
+    pages = spark.createDataFrame([(i, "http://x.org/", h) for i, h in zip(BIG, html, strict=True)], "page_id long, url string, html string").coalesce(1)
+    assert {r.page_id for r in html_text.extract(pages).collect()} == set(BIG)
+    got = {r.page_id: r for r in warc.lookup(warc.page_keys(pages), warc.write_index(warc.write_archives(pages))).collect()}
+    assert set(got) == set(BIG)
+    first = -(2**60) - 1
+    assert {i: r.refers_to for i, r in got.items()} == {first: None, 2**60 + 3: None, None: first, 2**60 + 1: first}
+    assert [got[i].record_type for i in (first, 2**60 + 3, 2**60 + 1, None)] == ["response", "response", "revisit", "revisit"]
+
+
 def test_empty_tables(spark):
     none = docs_of(spark, ["x"]).limit(0)
     assert exact_dedup.exact_duplicates(none).count() == 0
@@ -347,6 +378,11 @@ PARA = f"<p>{LONG}</p>"
         (f'<div class="ad">{PARA}</div><article><p>Short.</p></article>', "Short."),
         (f'<div class="siteHeader navBar"><p>Home, sweet.</p></div><section>{PARA}</section>', LONG),
         ("<p>" + "word, " * 60_000, " ".join(["word,"] * 60_000)),
+        (f'<article>{PARA}<section id="social-impact">{PARA}</section>{PARA}</article>', f"{LONG} {LONG} {LONG}"),
+        (f'<main>{PARA}<div class="notice-of-meeting">{PARA}</div></main>', f"{LONG} {LONG}"),
+        (f'<div><div>{PARA}</div><div class="share-price">{PARA}</div></div>', f"{LONG} {LONG}"),
+        (f"<article><p>{LONG} So <math><mi>a</mi><mo>=</mo><mn>2</mn></math> holds.</p></article>", f"{LONG} So a=2 holds."),
+        (f'<article>{PARA}<div class="notice-box">{PARA}</div></article>', LONG),
     ],
 )
 def test_html_text_is_chosen_by_ratios(page, want):

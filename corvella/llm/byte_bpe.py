@@ -7,7 +7,8 @@ doubling, and a second pass replays all rows at once from their known first stat
 fall out as flags. The slices are merged pair by pair, lowest rank first, behind a bounded cache.
 
 Defined results: null text is empty and has no ids; strings that look like special tokens are
-ordinary text; null and repeated doc_ids are kept as they are.
+ordinary text; null and repeated doc_ids are kept as they are; no documents, no rows; a very long text is
+encoded whole, by one task, in rows of ``COLUMNS`` symbols; other columns are ignored.
 """
 
 from __future__ import annotations

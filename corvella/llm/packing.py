@@ -10,7 +10,8 @@ Every piece then finds its place from its rank among the pieces of its length. R
 counts by (length, chunk), so that no length meets in one task.
 
 Defined results: null text is empty, and an empty text is one piece that holds only the end id; no
-documents, no pieces; repeated rows and ids are documents of their own; other columns are ignored.
+documents, no pieces; repeated rows and ids are documents of their own; a very long text is encoded by one task and cut into
+pieces of ``capacity`` ids, the first of which may be shorter; other columns are ignored.
 """
 
 from __future__ import annotations

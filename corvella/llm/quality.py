@@ -8,7 +8,9 @@ vectors, plus that mean's length. A small network is fitted by Adam; a temperatu
 that the weights never saw, makes its outputs probabilities.
 
 Defined results: null text is empty; a text without tokens is the zero vector; without labels of both
-kinds every score is the share of positive labels (0.5 with no labels at all).
+kinds every score is the share of positive labels (0.5 with no labels at all); no documents, no rows; a very long text is
+pooled over all its words; null and repeated ids are scored as they come, and only rows with an id are learned from; columns
+named score and predicted are replaced, others kept.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ documents' ids, null flags and lengths); a footer. Documents run over block bord
 writes one file for its range of doc_ids, block group by block group, and one task reads one back.
 
 Defined results: null text is empty; an empty text is its end id alone; null doc_ids come first;
-repeated doc_ids are documents of their own, in the order of their text; no documents, no files.
+repeated doc_ids are documents of their own, in the order of their text; no documents, no files; a very long text runs over as
+many blocks as it needs, in one file; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -4,6 +4,11 @@ Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept,
 is written as Parquet and read again as the next stage's ``docs``. All but the last return the
 columns of ``documents``. SQL cannot state the fitted stages, so ``ORACLE_SQL`` is None; the tests hold
 each stage against a brute-force version.
+
+Defined results, at every stage: null text counts as empty; null and repeated ids are documents of their own, unless a de-duplicating stage
+finds their texts alike; ties go as the operators say (exact copies keep the largest id, near copies the smallest); very long
+texts are used whole; an empty table passes as an empty table; extra columns are carried along by all stages but the last, also those
+named as an operator names its own.
 """
 
 from __future__ import annotations

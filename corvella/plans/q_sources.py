@@ -284,10 +284,18 @@ def r5s(v):
     return E.screening(decisions(v))
 
 
-@R.add("r6_fresh_values", "", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, user_id, event_type, min(ts) AS ts, count(*) AS events FROM events GROUP BY ALL")
+@R.add("r5_screening_stream", "", "WITH d AS (SELECT doc_id, coalesce(quality = 1, false) AS q, coalesce(toxic = 0, false) AS t FROM labels) SELECT doc_id AS record, CASE WHEN t AND q THEN 'included' ELSE 'excluded' END AS stage, q <> t AS conflict, 1 + (q <> t)::INT + t::INT AS moves FROM d")
+def r5t(v):
+    """The decisions as a stream of one batch per decision round, and where it leaves each record."""
+    moves = E.run(E.screening_transitions(E.replay(decisions(v), "seq", 3)), "append", "screening")
+    last = F.max_by(F.struct("stage", "conflict"), F.struct("seq", "conflict"))
+    return moves.groupBy("record").agg(last.alias("last"), F.count(F.lit(1)).cast("int").alias("moves")).select("record", "last.stage", "last.conflict", "moves")
+
+
+@R.add("r6_fresh_values", "", "WITH RECURSIVE e AS (SELECT user_id, event_type, ts FROM events WHERE ts IS NOT NULL), f AS (SELECT user_id, event_type, min(ts) AS ts FROM e GROUP BY ALL UNION ALL SELECT f.user_id, f.event_type, min(e.ts) AS ts FROM f JOIN e ON e.user_id = f.user_id AND e.event_type = f.event_type AND e.ts > f.ts + INTERVAL 1 DAY GROUP BY ALL) SELECT user_id, event_type, ts FROM f")
 def r6(v):
-    got = E.run(E.fresh_values(stream(v), ["user_id", "event_type"], "1 day"), "complete", "fresh-values")
-    return got.withColumn("start", C("start").cast("timestamp_ntz")).withColumn("ts", C("ts").cast("timestamp_ntz"))
+    got = E.run(E.fresh_values(stream(v), ["user_id", "event_type"], "1 day"), "append", "fresh-values")
+    return got.withColumn("ts", C("ts").cast("timestamp_ntz"))
 
 
 DAYS = "WITH RECURSIVE d AS (SELECT event_type AS key, date_trunc('day', ts) AS day, count(*)::DOUBLE AS c, row_number() OVER (PARTITION BY event_type ORDER BY date_trunc('day', ts)) AS k FROM events GROUP BY event_type, date_trunc('day', ts)), w AS (SELECT key, k, 20 - c * ln(20) AS idle, ln(30) + 40 - c * ln(40) AS burst FROM d WHERE k = 1 UNION ALL SELECT d.key, d.k, least(idle, burst) + 20 - c * ln(20), least(idle + ln(30), burst) + 40 - c * ln(40) FROM w JOIN d ON d.key = w.key AND d.k = w.k + 1) "

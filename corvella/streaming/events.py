@@ -6,9 +6,11 @@ run continuously with another trigger.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,11 +41,18 @@ def run(df: DataFrame, mode: str, label: str) -> DataFrame:
     return spark.read.schema(schema).parquet(out)
 
 
-def replay(table: DataFrame) -> DataFrame:
-    """A table as a stream, by way of the shared folder."""
-    path = fresh_path(table.sparkSession, "replay")
-    table.write.parquet(path)
-    return table.sparkSession.readStream.schema(table.schema).parquet(path)
+def replay(table: DataFrame, order: str | None = None, batches: int = 1) -> DataFrame:
+    """A table as a stream, by way of the shared folder: all at once, or range by range of ``order`` in about so many batches."""
+    spark, path = table.sparkSession, fresh_path(table.sparkSession, "replay")
+    if order is None:
+        table.write.parquet(path)
+        return spark.readStream.schema(table.schema).parquet(path)
+    numbered = table.repartitionByRange(batches, order).withColumn("_part", F.spark_partition_id())
+    kept = fresh_path(spark, "replay-ranges")
+    numbered.write.partitionBy("_part").parquet(kept)
+    for k in range(batches):  # files are taken in the order of their times
+        spark.read.schema(numbered.schema).parquet(kept).filter(F.col("_part") == k).drop("_part").coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def windowed_counts(events: DataFrame, width: str, slide: str | None = None, late: str = "1 day") -> DataFrame:
@@ -93,9 +102,81 @@ def screening(decisions: DataFrame) -> DataFrame:
 
 
 def fresh_values(events: DataFrame, keys: list[str], ttl: str, late: str = "1 day") -> DataFrame:
-    """Events whose key has had none within ``ttl`` before (R6): entries of a window of ``ttl`` are dropped with it, on the event clock."""
-    w = events.withWatermark("ts", late).groupBy(F.window("ts", ttl), *keys)
-    return w.agg(F.min("ts").alias("ts"), F.count(F.lit(1)).alias("events")).select(F.col("window.start").alias("start"), *keys, "ts", "events")
+    """(keys, ts) of the events that set an entry (R6): an entry lives until more than ``ttl`` after it was set, and while it does, events of its key are dropped.
+
+    State is one number per key, when its entry was set; a timer on the event clock takes it away once the watermark has
+    passed its end, so dead keys cost nothing. An event that comes in a later batch than a younger one that set the entry is dropped if it
+    falls within ``ttl`` before that. Events without a time are left out; a null key is a key.
+    """
+    life = int(pd.Timedelta(ttl).value // 1000)  # microseconds
+
+    def apart(at: np.ndarray) -> list[int]:
+        """The first time, the first that is more than ``life`` later, and so on."""
+        out, i = [], 0
+        while i < len(at):
+            out.append(int(at[i]))
+            i = int(np.searchsorted(at, at[i] + life, side="right"))
+        return out
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        at = np.sort(np.concatenate([f["at"].to_numpy(np.int64) for f in frames]))
+        if state.exists:
+            kept = state.get[0]
+            late_ones, fresh = apart(at[: np.searchsorted(at, kept - life)]), apart(at[np.searchsorted(at, kept + life, side="right") :])
+        else:
+            kept, late_ones, fresh = None, [], apart(at)
+        kept = fresh[-1] if fresh else kept
+        state.update((kept,))
+        state.setTimeoutTimestamp(max((kept + life) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        found = late_ones + fresh
+        if found:
+            yield pd.DataFrame({**{k: [v] * len(found) for k, v in zip(keys, key, strict=True)}, "at": found})
+
+    timed = events.withWatermark("ts", late).filter("ts IS NOT NULL").withColumn("at", F.unix_micros("ts")).select("ts", "at", *keys)
+    schema = ", ".join([*(f"`{k}` {timed.schema[k].dataType.simpleString()}" for k in keys), "at long"])
+    found = timed.groupBy(*keys).applyInPandasWithState(step, schema, "set_at long", "append", GroupStateTimeout.EventTimeTimeout)
+    return found.select(*keys, F.timestamp_micros("at").alias("ts"))
+
+
+def screening_transitions(decisions: DataFrame) -> DataFrame:
+    """Moves of records between stages, as their decisions stream in (R5): record, seq, was, stage, conflict.
+
+    State per record is the last counted decision of each reviewer at each stage, with its ``seq``, so it does not matter in which batch or
+    order decisions arrive: after the last one, the stage and the conflict flag are those of ``screening``. A row comes out when either changes.
+    """
+
+    def judged(known: dict) -> tuple[str, bool]:
+        last, split = {}, False
+        for stage in ("title_abstract", "full_text"):
+            said = [(seq, d) for (st, _), (seq, d) in known.items() if st == stage]
+            last[stage] = max(said)[1] if said else None
+            split |= len({d for _, d in said}) > 1
+        if last["title_abstract"] != "include":
+            return ("title_abstract" if last["title_abstract"] is None else "excluded"), split
+        return {None: "full_text", "include": "included"}.get(last["full_text"], "excluded"), split
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known = {tuple(k): tuple(v) for k, v in json.loads(state.get[0])} if state.exists else {}
+        stage, conflict = judged(known)
+        moves = []
+        for r in pd.concat(list(frames)).sort_values(["seq", "reviewer"], kind="stable").itertuples(index=False):
+            if known.get((r.stage, r.reviewer), (-math.inf,))[0] < r.seq:
+                known[r.stage, r.reviewer] = (int(r.seq), r.decision)
+                now = judged(known)
+                if now != (stage, conflict):
+                    moves.append((key[0], int(r.seq), stage, *now))
+                    stage, conflict = now
+        state.update((json.dumps([[list(k), list(v)] for k, v in known.items()]),))
+        if moves:
+            yield pd.DataFrame(moves, columns=["record", "seq", "was", "stage", "conflict"])
+
+    sound = decisions.filter("record IS NOT NULL AND seq IS NOT NULL AND (decision = 'include' OR (decision = 'exclude' AND coalesce(trim(reason), '') <> ''))")
+    kind = decisions.schema["record"].dataType.simpleString()
+    asked = sound.select("record", F.coalesce("reviewer", F.lit("")).alias("reviewer"), "stage", "decision", F.col("seq").cast("long").alias("seq"))
+    return asked.groupBy("record").applyInPandasWithState(step, f"record {kind}, seq long, was string, stage string, conflict boolean", "known string", "append", GroupStateTimeout.NoTimeout)
 
 
 def online_burst_cost(days: DataFrame, base: float, s: float = 2.0, gamma: float = 1.0, n: int = 30) -> DataFrame:

@@ -6,8 +6,11 @@ short and lost executors cost one round. Undirected graphs are given once per pa
 
 from __future__ import annotations
 
+import math
+
+from pyspark import StorageLevel
 from pyspark.ml.clustering import PowerIterationClustering
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -15,6 +18,7 @@ from corvella.plans.components import components
 from corvella.plans.storage import materialise
 
 CUT_EVERY = 3
+JOINED_ROUNDS = 8
 MOST_ROUNDS = 201
 MOST_HOPS = 10_000  # a graph deeper than this is an error, never a shorter result
 CLASSES = 4
@@ -38,42 +42,46 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int | None = None, tol: float = 1e-6, personal: DataFrame | None = None, weighted: bool = False) -> DataFrame:
-    """(id, rank) by power iteration; dangling mass goes where restarts go (G2). ``personal``: id, share (sums to 1).
+    """(id, rank), summing to one; dangling mass goes where restarts go (G2). ``personal``: id, share (sums to 1).
 
-    Ends when the L1 change is below ``tol``, whatever the number of vertices; an error if that takes more than ``MOST_ROUNDS``.
-    ``rounds``: end after so many at the latest, settled or not.
+    With that rule the ranks are the normalised sum of the series ``alpha ** k`` times the k-step walks from the restarts, which grows
+    towards its limit: x = restarts + alpha * steps(x). Edges are partitioned by source once and held, sums come out partitioned
+    alike, so a round moves nothing but partial sums; ``JOINED_ROUNDS`` rounds are one job. Ends when all further terms together are below
+    ``tol`` of the sum (L1), for certain after log(tol) / log(alpha) rounds; ``rounds``: end after so many at the latest, settled or not.
     """
+    spark = edges.sparkSession
     w = F.col("weight") if weighted else F.lit(1.0)
-    out = edges.groupBy("src").agg(F.sum(w).alias("out"))
-    steps = materialise(edges.groupBy("src", "dst").agg(F.sum(w).alias("w")).join(out, "src").select("src", "dst", (F.col("w") / F.col("out")).alias("p")), "pr-steps")
-    v = vertices(edges)
-    n = v.count()
-    base = v.join(personal, "id", "left").select("id", F.coalesce("share", F.lit(0.0)).alias("share")) if personal is not None else v.withColumn("share", F.lit(1.0 / n))
-    base = materialise(base.join(out.select(F.col("src").alias("id"), F.lit(False).alias("dangles")), "id", "left").select("id", "share", F.coalesce("dangles", F.lit(True)).alias("dangles")), "pr-base")
-    ranks = base.select("id", "share", "dangles", F.lit(1.0 / n).alias("rank"))
-    for k in range(MOST_ROUNDS if rounds is None else rounds):
-        lost = ranks.agg(F.coalesce(F.sum(F.when(F.col("dangles"), F.col("rank"))), F.lit(0.0)).alias("lost"))
-        got = steps.join(ranks.select(F.col("id").alias("src"), "rank"), "src").groupBy("dst").agg(F.sum(F.col("p") * F.col("rank")).alias("got"))
-        new = ranks.join(got, ranks.id == got.dst, "left").join(F.broadcast(lost))  # one row
-        ranks = new.select("id", "share", "dangles", F.col("rank").alias("was"), (alpha * (F.coalesce("got", F.lit(0.0)) + F.col("lost") * F.col("share")) + (1 - alpha) * F.col("share")).alias("rank"))
-        if k % CUT_EVERY == CUT_EVERY - 1 or k + 1 == rounds:
-            ranks = materialise(ranks, "pr-ranks")
-            if ranks.agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0] < tol:
-                break
-        ranks = ranks.select("id", "share", "dangles", "rank")
-    else:
-        if rounds is None:
-            raise RuntimeError("ranks did not settle")
-    return ranks.select("id", "rank")
+    e = materialise(edges.groupBy("src", "dst").agg(F.sum(w).cast("double").alias("w")), "pr-edges")
+    out = e.groupBy("src").agg(F.sum("w").alias("out"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    steps = e.join(out, "src").select("src", "dst", (alpha * F.col("w") / F.col("out")).alias("p")).repartition(parts, "src").sortWithinPartitions("src").persist(StorageLevel.MEMORY_AND_DISK)
+    v = materialise(vertices(e), "pr-vertices")
+    base = v.select("id", F.lit(1.0 / max(v.count(), 1)).alias("x")) if personal is None else v.join(personal, "id").select("id", F.col("share").cast("double").alias("x"))
+    base = materialise(base, "pr-restarts")
+    x, was, done = base, 1.0, 0
+    most = math.ceil(math.log(tol * (1 - alpha)) / math.log(alpha)) if rounds is None else rounds
+    while done < most:
+        now = min(JOINED_ROUNDS, most - done)
+        for _ in range(now):
+            x = steps.join(x.select(F.col("id").alias("src"), "x"), "src").select(F.col("dst").alias("id"), (F.col("p") * F.col("x")).alias("x")).union(base).groupBy("id").agg(F.sum("x").alias("x"))
+        x, done = materialise(x, "pr-ranks"), done + now
+        whole = x.agg(F.coalesce(F.sum("x"), F.lit(0.0))).first()[0]
+        if (whole - was) * alpha**now / (1 - alpha**now) < tol * whole:
+            break
+        was = whole
+    steps.unpersist()
+    whole = x.agg(F.sum("x").alias("whole"))
+    return v.join(x, "id", "left").join(F.broadcast(whole)).select("id", (F.coalesce("x", F.lit(0.0)) / F.col("whole")).alias("rank"))  # one row
 
 
 def _settled(state: DataFrame, value: str, tol: float) -> bool:
-    """Is the L1 change of ``value`` against ``was`` below ``tol``?"""
-    return (state.agg(F.sum(F.abs(F.col(value) - F.col("was")))).first()[0] or 0.0) < tol
+    """Is the L1 change of ``value`` against ``was`` below ``tol`` of its L1 norm?"""
+    change, norm = state.agg(F.sum(F.abs(F.col(value) - F.col("was"))), F.sum(F.abs(F.col(value)))).first()
+    return (change or 0.0) < tol * (norm or 1.0)
 
 
 def hits(edges: DataFrame, tol: float = 1e-7, most: int = MOST_ROUNDS) -> DataFrame:
-    """(id, hub, authority), each summing to one (G3); until the L1 change of hubs is below ``tol``, an error past ``most`` rounds."""
+    """(id, hub, authority), each summing to one (G3); until the L1 change of hubs is below ``tol`` of their sum, an error past ``most`` rounds."""
     e = materialise(edges.select("src", "dst").distinct(), "hits-edges")
     v = materialise(vertices(e), "hits-vertices")
     n = max(v.count(), 1)
@@ -92,7 +100,7 @@ def hits(edges: DataFrame, tol: float = 1e-7, most: int = MOST_ROUNDS) -> DataFr
 
 
 def katz(edges: DataFrame, alpha: float = 0.005, beta: float = 1.0, tol: float = 1e-6, most: int = MOST_ROUNDS) -> DataFrame:
-    """x = alpha * A x + beta over the edges of an undirected graph (G4), until the L1 change is below ``tol``; an error past ``most`` rounds,
+    """x = alpha * A x + beta over the edges of an undirected graph (G4), until the L1 change is below ``tol`` of the L1 norm; an error past ``most`` rounds,
     as for an ``alpha`` above one over the largest eigenvalue."""
     e = materialise(both_ways(edges.select("src", "dst")), "katz-edges")
     x = materialise(vertices(e), "katz-vertices").withColumn("x", F.lit(beta))
@@ -108,7 +116,7 @@ def katz(edges: DataFrame, alpha: float = 0.005, beta: float = 1.0, tol: float =
 
 
 def eigenvector(edges: DataFrame, tol: float = 1e-6, most: int = MOST_ROUNDS) -> DataFrame:
-    """Power iteration of x + A x with unit norm (G4), until the L1 change is below ``tol``; an error past ``most`` rounds."""
+    """Power iteration of x + A x with unit norm (G4), until the L1 change is below ``tol`` of the L1 norm; an error past ``most`` rounds."""
     e = materialise(both_ways(edges.select("src", "dst")), "eigen-edges")
     x = materialise(vertices(e), "eigen-vertices").withColumn("x", F.lit(1.0))
     for k in range(most):
@@ -152,6 +160,42 @@ def closeness(dist: DataFrame, n: int) -> DataFrame:
     return g.select("id", (F.col("k") / F.col("s") * F.col("k") / F.lit(float(n - 1))).alias("closeness"), "harmonic")
 
 
+def pivots(nodes: DataFrame, k: int, seed: int = 0) -> DataFrame:
+    """``k`` of the ``nodes`` (id), those of smallest MD5 of id and seed: the same ones every time, each as likely as another."""
+    return nodes.select("id").orderBy(F.md5(F.concat(F.col("id").cast("string"), F.lit(f":{seed}"))), "id").limit(k)
+
+
+def sampled_closeness(edges: DataFrame, k: int, seed: int = 0) -> DataFrame:
+    """(id, closeness, harmonic) of every vertex from its distances to ``k`` pivots (G5); exact if k is the number of vertices.
+
+    Distances are taken from the pivots, so there are k rows a vertex, not n. Sums over pivots stand for sums over all others, scaled by (n - 1)
+    over the number of pivots that are others. With k pivots the mean distance is off by more than e times the
+    diameter with a probability of at most 2 exp(-2 k e^2) for any one vertex.
+    """
+    e = materialise(edges.select("src", "dst"), "pivot-edges")
+    v = vertices(e)
+    n = v.count()
+    d = distances(e, pivots(v, k, seed)).filter("dist > 0")
+    g = d.groupBy("id").agg(F.count(F.lit(1)).alias("k"), F.sum("dist").alias("s"), F.sum(1 / F.col("dist")).alias("h"))
+    chosen = pivots(v, k, seed).select("id", F.lit(1).alias("own"))
+    x = v.join(g, "id", "left").join(chosen, "id", "left").withColumn("asked", F.lit(min(k, n)) - F.coalesce("own", F.lit(0)))
+    reach = F.col("k") / F.col("asked")  # share of the other vertices in reach
+    return x.select("id", F.coalesce(reach * F.col("k") / F.col("s"), F.lit(0.0)).alias("closeness"), F.coalesce(F.col("h") * F.lit(float(n - 1)) / F.col("asked"), F.lit(0.0)).alias("harmonic"))
+
+
+def sampled_betweenness(edges: DataFrame, k: int, normalized: bool = True, seed: int = 0) -> DataFrame:
+    """(id, betweenness) estimated from ``k`` pivots as sources (G6): their sums times n / k; exact if k is the number of vertices.
+
+    ``normalized`` divides by the (n - 1)(n - 2) / 2 pairs of others. For k pivots a normalised value is off by more than e with a probability of at
+    most 2 exp(-2 k e^2 ((n - 2) / n)^2), as each pivot gives between 0 and n - 2.
+    """
+    e = materialise(edges.select("src", "dst"), "pivot-edges")
+    v = vertices(e)
+    n = v.count()
+    scale = n / max(min(k, n), 1) / (((n - 1) * (n - 2) / 2 or 1) if normalized else 1)
+    return betweenness(e, pivots(v, k, seed)).select("id", (F.col("betweenness") * scale).alias("betweenness"))
+
+
 def eccentricities(dist: DataFrame) -> DataFrame:
     """Eccentricity of each source, with the flags of centre and periphery."""
     g = dist.groupBy(F.col("source").alias("id")).agg(F.max("dist").alias("eccentricity"))
@@ -294,6 +338,66 @@ def partition_quality(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return y.select((F.col("intra") / F.col("m")).alias("coverage"), ((F.col("intra") + (pairs - F.col("inside")) - (F.col("m") - F.col("intra"))) / pairs).alias("performance"))
 
 
+def community_density(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """(label, nodes, inner, density): the share of a community's pairs that are linked; 0 for a single node."""
+    x = edges.join(labels.select(F.col("id").alias("src"), F.col("label").alias("ls")), "src").join(labels.select(F.col("id").alias("dst"), F.col("label").alias("ld")), "dst")
+    inner = x.filter("ls = ld AND src <> dst").select(F.col("ls").alias("label"), F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct().groupBy("label").agg(F.count(F.lit(1)).alias("inner"))
+    y = labels.groupBy("label").agg(F.count(F.lit(1)).alias("nodes")).join(inner, "label", "left").na.fill(0, ["inner"])
+    return y.withColumn("density", F.when(F.col("nodes") > 1, 2 * F.col("inner") / (F.col("nodes") * (F.col("nodes") - 1))).otherwise(0.0))
+
+
+def hop_silhouette(edges: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 0) -> DataFrame:
+    """(id, silhouette) on hop distances (G12): mean distance to the own community against that to the nearest other one.
+
+    ``k``: against so many pivots only, in place of all vertices. Vertices that cannot be reached are left out of the means; a vertex
+    without others of its community, or without another community in reach, has 0.
+    """
+    e = materialise(edges.select("src", "dst"), "silhouette-edges")
+    v = vertices(e)
+    d = distances(e, v if k is None else pivots(v, k, seed)).filter("dist > 0")
+    near = d.join(labels.select(F.col("id").alias("source"), F.col("label").alias("to")), "source").groupBy("id", "to").agg(F.avg("dist").alias("mean"))
+    x = near.join(labels.select("id", "label"), "id").groupBy("id").agg(F.max(F.when(F.col("to") == F.col("label"), F.col("mean"))).alias("a"), F.min(F.when(F.col("to") != F.col("label"), F.col("mean"))).alias("b"))
+    return v.join(x, "id", "left").select("id", F.coalesce((F.col("b") - F.col("a")) / F.greatest("a", "b"), F.lit(0.0)).alias("silhouette"))
+
+
+def _ln_factorial(n: Column) -> Column:
+    """ln n! : exact up to 15, Stirling's series from there (relative error below 1e-13)."""
+    small = F.array(*[F.lit(math.lgamma(i + 1)) for i in range(16)])
+    x = F.greatest(n, F.lit(15)).cast("double")
+    series = x * F.ln(x) - x + 0.5 * F.ln(2 * math.pi * x) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * F.pow(x, F.lit(5.0)))
+    return F.when(n < 16, F.get(small, n.cast("int"))).otherwise(series)
+
+
+def adjusted_mutual_information(one: DataFrame, two: DataFrame) -> DataFrame:
+    """(mi, expected, ami) of two labelings (id, label): mutual information less what chance gives, over the mean entropy less that.
+
+    The expectation is that of the hypergeometric model; it depends on the sizes of the groups alone, so one term is computed for each pair of
+    distinct sizes and weighted by how many groups have them. The overlap of two groups runs over all counts within 12 standard deviations and 40
+    of its mean; what lies outside adds less than 1e-30.
+    """
+    c = materialise(one.select("id", F.col("label").alias("x")).join(two.select("id", F.col("label").alias("y")), "id").groupBy("x", "y").agg(F.count(F.lit(1)).alias("k")), "ami-cells")
+    total = c.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n"))
+    sizes = lambda by, s, m: c.groupBy(by).agg(F.sum("k").alias(s)).groupBy(s).agg(F.count(F.lit(1)).alias(m))
+    a, b = sizes("x", "a", "na"), sizes("y", "b", "nb")
+    entropy = lambda t, s, m: t.join(F.broadcast(total)).agg(F.coalesce(-F.sum(F.col(m) * F.col(s) / F.col("n") * F.ln(F.col(s) / F.col("n"))), F.lit(0.0)))
+    by_x, by_y = c.groupBy("x").agg(F.sum("k").alias("kx")), c.groupBy("y").agg(F.sum("k").alias("ky"))
+    mi = c.join(by_x, "x").join(by_y, "y").join(F.broadcast(total)).agg(F.coalesce(F.sum(F.col("k") / F.col("n") * F.ln(F.col("n") * F.col("k") / (F.col("kx") * F.col("ky")))), F.lit(0.0)).alias("mi"))
+    # pairs of distinct sizes, not of rows: each side has at most the root of twice the rows
+    pairs = a.join(b).join(F.broadcast(total))
+    n, x, y = F.col("n"), F.col("a"), F.col("b")
+    mean = x * y / n
+    spread = 40 + 12 * F.sqrt(mean * (n - x) / n * (n - y) / F.greatest(n - 1, F.lit(1)))
+    lo, hi = F.greatest(F.lit(1), x + y - n, F.floor(mean - spread)), F.least(x, y, F.ceil(mean + spread))
+    cells = pairs.filter(lo <= hi).withColumn("k", F.explode(F.sequence(lo, hi)))
+    k = F.col("k")
+    lf = _ln_factorial
+    chance = F.exp(lf(x) + lf(y) + lf(n - x) + lf(n - y) - lf(n) - lf(k) - lf(x - k) - lf(y - k) - lf(n - x - y + k))
+    expected = cells.agg(F.coalesce(F.sum(F.col("na") * F.col("nb") * k / n * F.ln(n * k / (x * y)) * chance), F.lit(0.0)).alias("expected"))
+    both = mi.join(F.broadcast(expected)).join(F.broadcast(entropy(a, "a", "na").toDF("hx"))).join(F.broadcast(entropy(b, "b", "nb").toDF("hy")))  # one row each
+    mean_h = (F.col("hx") + F.col("hy")) / 2
+    return both.select("mi", "expected", F.when(F.abs(mean_h - F.col("expected")) > 1e-15, (F.col("mi") - F.col("expected")) / (mean_h - F.col("expected"))).otherwise(1.0).alias("ami"))
+
+
 def compare_labels(one: DataFrame, two: DataFrame) -> DataFrame:
     """NMI, variation of information and adjusted Rand index of two labelings."""
     c = one.select("id", F.col("label").alias("x")).join(two.select("id", F.col("label").alias("y")), "id").groupBy("x", "y").agg(F.count(F.lit(1)).alias("k"))
@@ -412,10 +516,11 @@ def triad_census(edges: DataFrame) -> DataFrame:
     pairs = materialise(pairs, "triad-pairs")  # way: 1 a to b, 2 b to a, 3 both
     turned = F.when(F.col("way") == 1, 2).when(F.col("way") == 2, 1).otherwise(3)
     both = pairs.select(F.col("a").alias("mid"), F.col("b").alias("end"), "way").union(pairs.select("b", "a", turned))
-    one, two = both.select("mid", F.col("end").alias("x"), F.col("way").alias("wx")), both.select("mid", F.col("end").alias("y"), F.col("way").alias("wy"))
-    wedges = one.join(two, "mid").filter("x < y").join(pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("way").alias("wxy")), ["x", "y"], "left")
+    turns = lambda end, way: both.select("mid", F.col("end").alias(end), F.col("way").alias(way))
+    found = wedges(both.select("mid", "end"), "mid", "end").toDF("mid", "x", "y").join(turns("x", "wx"), ["mid", "x"]).join(turns("y", "wy"), ["mid", "y"])
+    met = found.join(pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("way").alias("wxy")), ["x", "y"], "left")
     # a closed triple has three middles: its smallest node speaks for it
-    t = wedges.filter("wxy IS NULL OR (mid < x AND mid < y)").na.fill(0, ["wxy"])
+    t = met.filter("wxy IS NULL OR (mid < x AND mid < y)").na.fill(0, ["wxy"])
     way = lambda c: (F.col(c) == 3).cast("int")
     out = lambda c: F.col(c).isin(1, 3).cast("int")
     back = lambda c: F.col(c).isin(2, 3).cast("int")
@@ -494,28 +599,64 @@ def assortativity(edges: DataFrame, attributes: DataFrame, attribute: str) -> Da
     return z.select(((F.col("same") / F.col("n") - e) / (1 - e)).alias("assortativity"))
 
 
+WEDGE_BLOCK = 512
+
+
+def wedges(links: DataFrame, mid: str, end: str, *carried: str) -> DataFrame:
+    """(mid, a, b, carried) for each pair a < b of the ends of a middle node; ``links`` (mid, end, carried of the middle) must be distinct.
+
+    A middle node of many ends has its list split into blocks by its counted size, and every pair of blocks is a key of its
+    own: a task holds two blocks, whatever the degree.
+    """
+    size = links.groupBy(mid).agg(F.ceil(F.count(F.lit(1)) / WEDGE_BLOCK).cast("int").alias("_blocks"))
+    x = links.join(size, mid).withColumn("_at", F.pmod(F.xxhash64(end), F.col("_blocks")).cast("int"))
+    left = x.select(F.col(mid).alias("mid"), F.col("_at").alias("i"), F.explode(F.sequence("_at", F.col("_blocks") - 1)).alias("j"), F.col(end).alias("x"), *carried)
+    right = x.select(F.col(mid).alias("mid"), F.explode(F.sequence(F.lit(0), F.col("_at"))).alias("i"), F.col("_at").alias("j"), F.col(end).alias("y"))
+    both = left.join(right, ["mid", "i", "j"]).filter("(i < j AND x <> y) OR x < y")
+    return both.select("mid", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), *carried)
+
+
+def _unlinked(pairs: DataFrame, e: DataFrame) -> DataFrame:
+    return pairs.join(e.select(F.col("src").alias("a"), F.col("dst").alias("b")), ["a", "b"], "left_anti")
+
+
 def link_scores(edges: DataFrame) -> DataFrame:
     """Jaccard, Adamic-Adar, resource allocation and common neighbours of pairs two steps apart without an edge."""
-    e = both_ways(edges.select("src", "dst")).distinct()
-    d = e.groupBy("src").agg(F.count(F.lit(1)).alias("k"))
-    x = e.join(d, "src").select(F.col("src").alias("mid"), F.col("dst").alias("a"), "k")
-    y = e.select(F.col("src").alias("m2"), F.col("dst").alias("b"))
-    p = x.join(y, (x.mid == y.m2) & (x.a < y.b)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"), F.sum(F.when(F.col("k") > 1, 1 / F.ln("k")).otherwise(0.0)).alias("adamic_adar"), F.sum(1 / F.col("k")).alias("resource_allocation"))
-    p = p.join(e.select(F.col("src").alias("a"), F.col("dst").alias("b")), ["a", "b"], "left_anti")
+    e = materialise(both_ways(edges.select("src", "dst")).distinct(), "link-edges")
+    d = materialise(e.groupBy("src").agg(F.count(F.lit(1)).alias("k")), "link-degrees")
+    p = wedges(e.join(d, "src"), "src", "dst", "k").groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"), F.sum(F.when(F.col("k") > 1, 1 / F.ln("k")).otherwise(0.0)).alias("adamic_adar"), F.sum(1 / F.col("k")).alias("resource_allocation"))
+    p = _unlinked(p, e)
     p = p.join(d.select(F.col("src").alias("a"), F.col("k").alias("ka")), "a").join(d.select(F.col("src").alias("b"), F.col("k").alias("kb")), "b")
     return p.select("a", "b", "common", (F.col("common") / (F.col("ka") + F.col("kb") - F.col("common"))).alias("jaccard"), "adamic_adar", "resource_allocation", (F.col("ka") * F.col("kb")).alias("preferential"))
 
 
+def _community_wedges(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """Unlinked pairs a < b with each common neighbour: its degree k and community lm, and those of the ends, la and lb."""
+    e = materialise(both_ways(edges.select("src", "dst")).distinct(), "link-edges")
+    lab = lambda c, n: labels.select(F.col("id").alias(c), F.col("label").alias(n))
+    mid = e.groupBy("src").agg(F.count(F.lit(1)).alias("k")).join(lab("src", "lm"), "src")
+    return _unlinked(wedges(e.join(mid, "src"), "src", "dst", "k", "lm"), e).join(lab("a", "la"), "a").join(lab("b", "lb"), "b")
+
+
 def community_link_scores(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """Common neighbours plus those of the same community (Soundarajan-Hopcroft), for pairs of one community."""
-    e = both_ways(edges.select("src", "dst")).distinct()
-    lab = lambda c, n: labels.select(F.col("id").alias(c), F.col("label").alias(n))
-    x = e.join(lab("src", "lm"), "src").select(F.col("src").alias("mid"), F.col("dst").alias("a"), "lm")
-    p = x.join(e.select(F.col("src").alias("m2"), F.col("dst").alias("b")), (F.col("mid") == F.col("m2")) & (F.col("a") < F.col("b"))).join(lab("a", "la"), "a").join(lab("b", "lb"), "b").filter("la = lb")
-    p = p.join(e.select(F.col("src").alias("a"), F.col("dst").alias("b")), ["a", "b"], "left_anti")
+    p = _community_wedges(edges, labels).filter("la = lb")
     return p.groupBy("a", "b").agg((F.count(F.lit(1)) + F.count_if(F.col("lm") == F.col("la"))).alias("score"))
 
 
+def community_allocation(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """Resource allocation over the common neighbours of the pair's own community (Soundarajan-Hopcroft), for pairs of one community; scores above 0."""
+    p = _community_wedges(edges, labels).filter("la = lb AND lm = la")
+    return p.groupBy("a", "b").agg(F.sum(1 / F.col("k")).alias("score"))
+
+
+def within_inter_scores(edges: DataFrame, labels: DataFrame, delta: float = 0.001) -> DataFrame:
+    """Common neighbours within the pair's community over those outside plus ``delta``, for pairs of one community; scores above 0."""
+    p = _community_wedges(edges, labels).filter("la = lb")
+    within = F.count_if(F.col("lm") == F.col("la"))
+    return p.groupBy("a", "b").agg((within / (F.count(F.lit(1)) - within + delta)).alias("score")).filter("score > 0")
+
+
 def katz_similarity(edges: DataFrame, alpha: float = 0.005, hops: int = 3) -> DataFrame:
     """Sum of alpha ** k times the walks of length k up to ``hops``."""
     e = materialise(both_ways(edges.select("src", "dst")).distinct(), "ks-edges")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corvella.operators import graph as G
+from corvella.operators import paths as P
 from corvella.plans.components import components
 from corvella.plans.q_aggregates import rounded
 from corvella.plans.registry import Registry
@@ -45,7 +46,24 @@ def g2(v):
     return G.pagerank(v.cites, tol=1e-10).select("id", F.round(C("rank") * 1000, 4).alias("rank"))
 
 
-R.add("g2_personalised_pagerank")(lambda v: rounded(G.pagerank(coauthors(v), weighted=True, personal=v.spark.createDataFrame([(1, 1.0)], "id long, share double"))))
+def _walks(edges: str, start: str, alpha: float, rounds: int) -> str:
+    """Shares of all walks from ``start`` (id, v) over ``edges`` (src, dst, w), each step keeping ``alpha`` of them: frame r (id, r)."""
+    return f"o AS (SELECT src, sum(w) AS o FROM {edges} GROUP BY 1), p AS (SELECT src, dst, sum(w) / any_value(o) AS p FROM {edges} JOIN o USING (src) GROUP BY src, dst), t AS (SELECT 0 AS k, id, v::DOUBLE AS v FROM {start} UNION ALL SELECT k + 1, dst, sum({alpha}::DOUBLE * p * v) FROM t JOIN p ON src = id WHERE k < {rounds} GROUP BY k, dst), x AS (SELECT id, sum(v) AS x FROM t GROUP BY 1), r AS (SELECT id, x / (SELECT sum(x) FROM x) AS r FROM x)"
+
+
+def _recursive_over(views: str, body: str) -> str:
+    """``body`` behind the views, with RECURSIVE allowed."""
+    from corvella.plans.views import sql
+
+    return sql(views, body).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@R.add("g2_personalised_pagerank")
+def g2p(v):
+    return rounded(G.pagerank(coauthors(v), weighted=True, personal=v.spark.createDataFrame([(1, 1.0)], "id long, share double"), tol=1e-9))
+
+
+R.ORACLES["g2_personalised_pagerank"] = _recursive_over(S, WHOLE + ", e AS (SELECT src, dst, weight::DOUBLE AS w FROM s), b AS (SELECT 1 AS id, 1 AS v), " + _walks("e", "b", 0.85, 60) + " SELECT v.id, round(coalesce(r, 0), 6) AS rank FROM v LEFT JOIN r USING (id)")
 
 
 def _unrolled_hits(k: int) -> str:
@@ -91,7 +109,29 @@ def _recursive(body: str) -> str:
 R.ORACLES["g5_closeness"] = _recursive(BFS + "SELECT source AS id, round(count(*) / sum(dist) * count(*) / ((SELECT count(*) FROM v) - 1), 6) AS closeness, round(sum(1.0 / dist), 6)::DOUBLE AS harmonic FROM d WHERE dist > 0 GROUP BY 1")
 
 
-R.add("g6_betweenness")(lambda v: rounded(G.betweenness(coauthors(v), G.vertices(coauthors(v)))))
+@R.add("g5_sampled_closeness", S, None)
+def g5s(v):
+    """From 16 pivots."""
+    return rounded(G.sampled_closeness(coauthors(v), 16))
+
+
+PIVOTS = "p AS (SELECT id FROM v ORDER BY md5(id || ':0'), id LIMIT 16)"
+R.ORACLES["g5_sampled_closeness"] = _recursive(BFS + ", " + PIVOTS + ", g AS (SELECT d.id, count(*) AS k, sum(dist) AS s, sum(1.0 / dist) AS h FROM d JOIN p ON p.id = source WHERE dist > 0 GROUP BY 1), n AS (SELECT count(*) AS n FROM v), q AS (SELECT v.id, (SELECT count(*) FROM p) - count(p.id) AS asked FROM v LEFT JOIN p USING (id) GROUP BY 1) SELECT v.id, round(coalesce(1.0 * k / asked * k / s, 0), 6)::DOUBLE AS closeness, round(coalesce(h * (n - 1) / asked, 0), 6)::DOUBLE AS harmonic FROM v JOIN q USING (id) LEFT JOIN g USING (id), n")
+
+# Numbers of shortest paths up to four hops, and with them the shares of the pairs that pass a vertex.
+COUNTED = ", e AS (SELECT DISTINCT src, dst FROM u), d1 AS (SELECT src AS s, dst AS t, 1 AS d, 1::DOUBLE AS n FROM e)" + "".join(f", d{k} AS (SELECT x.s, e.dst AS t, {k} AS d, sum(x.n) AS n FROM d{k - 1} x JOIN e ON e.src = x.t WHERE e.dst <> x.s AND (x.s, e.dst) NOT IN (SELECT (s, t) FROM d1{''.join(f' UNION ALL SELECT (s, t) FROM d{j}' for j in range(2, k))}) GROUP BY ALL)" for k in (2, 3, 4)) + ", d AS (SELECT * FROM d1 UNION ALL SELECT * FROM d2 UNION ALL SELECT * FROM d3 UNION ALL SELECT * FROM d4)"
+PASSED = "b AS (SELECT y.s AS id, sum(x.n * y.n / z.n) / 2 AS b FROM d x JOIN d y ON y.s = x.t JOIN d z ON z.s = x.s AND z.t = y.t WHERE x.d + y.d = z.d{} GROUP BY 1)"
+
+
+@R.add("g6_betweenness", S, WHOLE + COUNTED + ", " + PASSED.format("") + " SELECT id, round(coalesce(b, 0), 6) AS betweenness FROM v LEFT JOIN b USING (id)")
+def g6(v):
+    return rounded(G.betweenness(coauthors(v), G.vertices(coauthors(v))))
+
+
+@R.add("g6_sampled_betweenness", S, WHOLE + COUNTED + ", " + PIVOTS + ", " + PASSED.format(" AND x.s IN (SELECT id FROM p)") + ", n AS (SELECT count(*) AS n FROM v) SELECT id, round(coalesce(b, 0) * n / least(16, n) / ((n - 1) * (n - 2) / 2), 6)::DOUBLE AS betweenness FROM v LEFT JOIN b USING (id), n")
+def g6s(v):
+    """From 16 pivots, normalised."""
+    return rounded(G.sampled_betweenness(coauthors(v), 16))
 
 
 def customer_chain(v):
@@ -150,14 +190,39 @@ def g12(v):
     return rounded(G.partition_quality(e, G.vertices(e).withColumn("label", C("id") % 4)))
 
 
+@R.add("g12_community_density", S, WHOLE + ", l AS (SELECT id, id % 4 AS label FROM v), i AS (SELECT x.label, count(*) AS inner FROM s JOIN l x ON src = x.id JOIN l y ON dst = y.id WHERE x.label = y.label GROUP BY 1), k AS (SELECT label, count(*) AS nodes FROM l GROUP BY 1) SELECT label, nodes, coalesce(i.inner, 0) AS inner, round(CASE WHEN nodes > 1 THEN 2 * coalesce(i.inner, 0) / (nodes * (nodes - 1)) ELSE 0 END, 6) AS density FROM k LEFT JOIN i USING (label)")
+def g12d(v):
+    e = coauthors(v)
+    return rounded(G.community_density(e, G.vertices(e).withColumn("label", C("id") % 4)))
+
+
+@R.add("g12_hop_silhouette", S, None)
+def g12s(v):
+    e = coauthors(v)
+    return rounded(G.hop_silhouette(e, G.vertices(e).withColumn("label", C("id") % 4)))
+
+
+R.ORACLES["g12_hop_silhouette"] = _recursive(BFS + ", m AS (SELECT d.id, source % 4 AS c, avg(dist) AS mean FROM d WHERE dist > 0 GROUP BY ALL), x AS (SELECT id, max(mean) FILTER (c = id % 4) AS a, min(mean) FILTER (c <> id % 4) AS b FROM m GROUP BY 1) SELECT v.id, round(coalesce((b - a) / greatest(a, b), 0), 6) AS silhouette FROM v LEFT JOIN x USING (id)")
+
+
+@R.add("g13_adjusted_information", "", "WITH c AS (SELECT o_orderpriority AS x, o_orderstatus AS y, count(*)::DOUBLE AS k FROM orders GROUP BY ALL), a AS (SELECT x, sum(k) AS a FROM c GROUP BY 1), b AS (SELECT y, sum(k) AS b FROM c GROUP BY 1), n AS (SELECT sum(k) AS n FROM c), m AS (SELECT sum(k / n * ln(n * k / (a * b))) AS mi FROM c JOIN a USING (x) JOIN b USING (y), n), w AS (SELECT a, b, n, unnest(range(greatest(1, a + b - n)::BIGINT, least(a, b)::BIGINT + 1)) AS k FROM a, b, n), e AS (SELECT sum(k / n * ln(n * k / (a * b)) * exp(lgamma(a + 1) + lgamma(b + 1) + lgamma(n - a + 1) + lgamma(n - b + 1) - lgamma(n + 1) - lgamma(k + 1) - lgamma(a - k + 1) - lgamma(b - k + 1) - lgamma(n - a - b + k + 1))) AS expected FROM w), h AS (SELECT ((SELECT -sum(a / n * ln(a / n)) FROM a, n) + (SELECT -sum(b / n * ln(b / n)) FROM b, n)) / 2 AS h) SELECT round(mi, 6) AS mi, round(expected, 6) AS expected, round((mi - expected) / (h - expected), 6) AS ami FROM m, e, h")
+def g13a(v):
+    o = v.table("orders")
+    return rounded(G.adjusted_mutual_information(o.select(C("o_orderkey").alias("id"), C("o_orderpriority").alias("label")), o.select(C("o_orderkey").alias("id"), C("o_orderstatus").alias("label"))))
+
+
 @R.add("g13_compare_labels", "", "WITH c AS (SELECT o_orderpriority AS x, o_orderstatus AS y, count(*)::DOUBLE AS k FROM orders GROUP BY ALL), a AS (SELECT sum(k) AS k FROM c GROUP BY x), b AS (SELECT sum(k) AS k FROM c GROUP BY y), t AS (SELECT (SELECT sum(k) FROM c) AS n, (SELECT sum(k * ln(k)) FROM c) AS kxy, (SELECT sum(k * ln(k)) FROM a) AS kx, (SELECT sum(k * ln(k)) FROM b) AS ky, (SELECT sum(k * (k - 1) / 2) FROM c) AS pxy, (SELECT sum(k * (k - 1) / 2) FROM a) AS px, (SELECT sum(k * (k - 1) / 2) FROM b) AS py), h AS (SELECT *, ln(n) - kx / n AS hx, ln(n) - ky / n AS hy, ln(n) - kxy / n AS hxy, px * py / (n * (n - 1) / 2) AS e FROM t) SELECT round(2 * (hx + hy - hxy) / (hx + hy), 6) AS nmi, round(2 * hxy - hx - hy, 6) AS vi, round((pxy - e) / ((px + py) / 2 - e), 6) AS ari FROM h")
 def g13(v):
     o = v.table("orders")
     return rounded(G.compare_labels(o.select(C("o_orderkey").alias("id"), C("o_orderpriority").alias("label")), o.select(C("o_orderkey").alias("id"), C("o_orderstatus").alias("label"))))
 
 
+# Each node's number becomes the h-index of its neighbours', round after round.
+PEELED = "h AS (SELECT 0 AS k, src AS id, count(*) AS c FROM e GROUP BY src UNION ALL SELECT k + 1, id, max(least(c, r)) FROM (SELECT k, e.src AS id, c, row_number() OVER (PARTITION BY k, e.src ORDER BY c DESC) AS r FROM h JOIN e ON e.dst = h.id WHERE k < 40) GROUP BY k, id), c AS (SELECT id, c AS core FROM h WHERE k = 40)"
 R.add("g14_core_numbers")(lambda v: G.core_numbers(v.cites))
+R.ORACLES["g14_core_numbers"] = _recursive_over("cites", CITED + ", e AS (SELECT DISTINCT src, dst FROM u), " + PEELED + " SELECT id, core FROM c")
 R.add("g14_shells")(lambda v: G.core_parts(v.cites, 3))
+R.ORACLES["g14_shells"] = _recursive_over("cites", CITED + ", e AS (SELECT DISTINCT src, dst FROM u), " + PEELED + ", n AS (SELECT src AS id, count(*) AS n FROM e JOIN c ON c.id = dst WHERE core >= 3 GROUP BY 1) SELECT c.id, core, core >= 3 AS in_core, core = 3 AS in_shell, core <= 3 AS in_crust, core = 3 AND coalesce(n, 0) = 3 AS in_corona FROM c LEFT JOIN n USING (id)")
 R.add("g15_k_truss")(lambda v: G.k_truss(v.cites.select("src", "dst"), 3))
 R.add("g15_onion_layers")(lambda v: G.onion_layers(v.cites.select("src", "dst")))
 R.add("g22_triad_census")(lambda v: G.triad_census(v.cites))
@@ -183,6 +248,35 @@ def g17(v):
 R.ORACLES["g17_shortest_paths"] = _recursive(BFS + "SELECT source, id, dist FROM d")
 
 
+COSTS = ", c AS (SELECT src, dst, (1000 // weight)::DOUBLE AS w FROM u), t AS (SELECT 0 AS k, id AS source, id, 0::DOUBLE AS d FROM v UNION ALL SELECT k + 1, source, dst, min(d + w) FROM t JOIN c ON src = id WHERE k < 8 GROUP BY k, source, dst), best AS (SELECT source, id, min(d) AS dist FROM t GROUP BY ALL), parent AS (SELECT y.source, y.id, min(src) AS parent FROM best y JOIN c ON c.dst = y.id JOIN best x ON x.source = y.source AND x.id = src WHERE y.id <> y.source AND x.dist + w = y.dist GROUP BY ALL), way AS (SELECT source, id, id AS here, id::VARCHAR AS path FROM best UNION ALL SELECT way.source, way.id, parent, parent || '-' || path FROM way JOIN parent ON parent.source = way.source AND parent.id = way.here)"
+
+
+@R.add("g17_weighted_paths")
+def g17w(v):
+    """Co-authors are the nearer the more they wrote together."""
+    e = coauthors(v).withColumn("cost", F.expr("1000 div weight"))
+    return P.shortest_paths(e, G.vertices(e), "cost").select("source", "id", "dist", F.array_join("path", "-").alias("path"))
+
+
+R.ORACLES["g17_weighted_paths"] = _recursive_over(S, WHOLE + COSTS + " SELECT source, id, dist, path FROM way JOIN best USING (source, id) WHERE here = source")
+
+
+@R.add("g17_has_path", "", RINGS + ", w AS (SELECT o_custkey, min(o_orderkey) FILTER (k = 1) AS a, min(o_orderkey) FILTER (k = n) AS b FROM n WHERE n > 1 GROUP BY 1) SELECT a, b, true AS found FROM w UNION ALL SELECT b, a, o_custkey % 2 = 0 FROM w")
+def g17h(v):
+    """From each customer's first order to the last and back, over the next order (and back to the first, in rings)."""
+    by = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    o = v.table("orders").select("o_custkey", "o_orderkey", F.row_number().over(by).alias("k"), F.count(F.lit(1)).over(Window.partitionBy("o_custkey")).alias("n")).filter("n > 1")
+    w = o.groupBy("o_custkey").agg(F.min(F.when(C("k") == 1, C("o_orderkey"))).alias("a"), F.min(F.when(C("k") == C("n"), C("o_orderkey"))).alias("b"))
+    return P.has_path(rings(v), w.select("a", "b").union(w.select("b", "a")))
+
+
+@R.add("g18_all_shortest_paths", "cites", "WITH w AS (SELECT x.src AS source, y.dst AS id, 2 AS dist FROM cites x JOIN cites y ON x.dst = y.src WHERE y.dst <> x.src AND (x.src, y.dst) NOT IN (SELECT (src, dst) FROM cites)), a AS (SELECT src AS source, dst AS id, 1 AS dist FROM cites UNION ALL SELECT * FROM w UNION ALL SELECT id, id, 0 FROM (SELECT src AS id FROM cites UNION SELECT dst FROM cites)) SELECT source, dist::DOUBLE AS dist, count(*) AS paths FROM a GROUP BY ALL")
+def g18a(v):
+    """All shortest ways along citations, two steps at most."""
+    e = v.cites
+    return P.all_shortest_paths(e, G.vertices(e), 2, directed=True).groupBy("source", "dist").agg(F.count(F.lit(1)).alias("paths"))
+
+
 @R.add("g18_average_path")
 def g18(v):
     e = coauthors(v)
@@ -227,6 +321,21 @@ def g24(v):
     return G.community_link_scores(e, G.vertices(e).withColumn("label", C("id") % 4))
 
 
+SHARED = CITED + ", e AS (SELECT DISTINCT src, dst FROM u), k AS (SELECT src, count(*) AS k FROM e GROUP BY 1), c AS (SELECT x.dst AS a, y.dst AS b, k, x.src % 4 = x.dst % 4 AS own FROM e x JOIN e y ON x.src = y.src AND x.dst < y.dst JOIN k ON k.src = x.src WHERE x.dst % 4 = y.dst % 4 AND (x.dst, y.dst) NOT IN (SELECT (src, dst) FROM e)) "
+
+
+@R.add("g24_community_allocation", "cites", SHARED + "SELECT a, b, round(sum(1.0 / k), 6)::DOUBLE AS score FROM c WHERE own GROUP BY ALL")
+def g24a(v):
+    e = cites(v)
+    return rounded(G.community_allocation(e, G.vertices(e).withColumn("label", C("id") % 4)))
+
+
+@R.add("g24_within_inter", "cites", SHARED + "SELECT a, b, round(count(*) FILTER (own) / (count(*) FILTER (NOT own) + 0.001), 6)::DOUBLE AS score FROM c GROUP BY ALL HAVING count(*) FILTER (own) > 0")
+def g24w(v):
+    e = cites(v)
+    return rounded(G.within_inter_scores(e, G.vertices(e).withColumn("label", C("id") % 4)))
+
+
 @R.add("g25_katz_similarity", S, WHOLE + ", e AS (SELECT DISTINCT src, dst FROM u), w2 AS (SELECT x.src, y.dst, count(*)::DOUBLE AS w FROM e x JOIN e y ON x.dst = y.src GROUP BY ALL), w3 AS (SELECT x.src, y.dst, sum(w) AS w FROM w2 x JOIN e y ON x.dst = y.src GROUP BY ALL), a AS (SELECT src, dst, 0.005::DOUBLE AS s FROM e UNION ALL SELECT src, dst, w * 0.005::DOUBLE ** 2 FROM w2 UNION ALL SELECT src, dst, w * 0.005::DOUBLE ** 3 FROM w3) SELECT src, dst, round(sum(s), 6) AS score FROM a WHERE src < dst GROUP BY ALL")
 def g25(v):
     return rounded(G.katz_similarity(coauthors(v)))
@@ -279,14 +388,18 @@ def g32(v):
 
 
 R.add("u3_user_filter")(lambda v: G.chain(lambda g: (g[0], g[1].filter("src % 2 = 0")), G.k_core(2))(net(v, cites(v)))[1].select("src", "dst", "weight"))
+R.ORACLES["u3_user_filter"] = _recursive_over("cites", "WITH s AS (SELECT DISTINCT src, dst FROM cites WHERE src % 2 = 0), e AS (SELECT src, dst FROM s UNION SELECT dst, src FROM s), " + PEELED + " SELECT src, dst, 1 AS weight FROM s WHERE src IN (SELECT id FROM c WHERE core >= 2) AND dst IN (SELECT id FROM c WHERE core >= 2)")
 
 
 @R.add("g33_all_centralities")
 def g33(v):
+    """Per author: degrees, closeness, clustering, betweenness, eigenvector centrality, papers and years of activity."""
     e = coauthors(v)
     s = G.vertices(e)
     d = G.distances(e, s)
-    return rounded(G.degrees(e).join(G.closeness(d, s.count()), "id").join(G.triangle_counts(e).select("id", "clustering"), "id"))
+    life = v.authorship.join(v.papers.select("paper_id", "year"), "paper_id").groupBy(C("author").alias("id")).agg(F.count_distinct("paper_id").alias("papers"), F.min("year").alias("first_year"), F.max("year").alias("last_year"))
+    x = G.degrees(e).join(G.closeness(d, s.count()), "id").join(G.triangle_counts(e).select("id", "clustering"), "id")
+    return rounded(x.join(G.betweenness(e, s), "id").join(G.eigenvector(e).select("id", C("x").alias("eigenvector")), "id").join(life, "id", "left"))
 
 
 R.add("g34_spectral_groups")(lambda v: G.spectral_groups(coauthors(v), 3))
@@ -296,21 +409,27 @@ R.add("g34_spectral_groups")(lambda v: G.spectral_groups(coauthors(v), 3))
 def m4(v):
     p = v.papers.filter("year BETWEEN 1996 AND 2000")
     e = v.cites.join(p.select(C("paper_id").alias("src")), "src", "left_semi").join(p.select(C("paper_id").alias("dst")), "dst", "left_semi")
-    r = G.pagerank(e).join(p.select(C("paper_id").alias("id"), "journal"), "id")
+    r = G.pagerank(e, tol=1e-9).join(p.select(C("paper_id").alias("id"), "journal"), "id")
     n = p.groupBy("journal").agg(F.count(F.lit(1)).alias("n"))
     ef = r.groupBy("journal").agg((F.sum("rank") * 100).alias("eigenfactor")).join(n, "journal")
     return rounded(ef.select("journal", "eigenfactor", (C("eigenfactor") / (0.01 * C("n"))).alias("article_influence")))
 
 
+R.ORACLES["m4_eigenfactor"] = _recursive_over("cites papers", "WITH i AS (SELECT paper_id, journal FROM papers WHERE year BETWEEN 1996 AND 2000), e AS (SELECT src, dst, 1::DOUBLE AS w FROM cites WHERE src IN (SELECT paper_id FROM i) AND dst IN (SELECT paper_id FROM i)), v AS (SELECT src AS id FROM e UNION SELECT dst FROM e), b AS (SELECT id, 1.0 / (SELECT count(*) FROM v) AS v FROM v), " + _walks("e", "b", 0.85, 90) + ", f AS (SELECT journal, sum(r) * 100 AS f FROM r JOIN i ON paper_id = id GROUP BY 1), n AS (SELECT journal, count(*) AS n FROM i GROUP BY 1) SELECT journal, round(f, 6) AS eigenfactor, round(f / (0.01 * n), 6)::DOUBLE AS article_influence FROM f JOIN n USING (journal)")
+
+
 @R.add("m5_journal_rank")
 def m5(v):
     j = v.papers.select("paper_id", "journal")
     x = v.cites.join(j.select(C("paper_id").alias("src"), C("journal").alias("js")), "src").join(j.select(C("paper_id").alias("dst"), C("journal").alias("jd")), "dst").filter("js <> jd")
     e = x.groupBy(C("js").alias("src"), C("jd").alias("dst")).agg(F.count(F.lit(1)).alias("weight"))
-    return rounded(G.pagerank(e, 0.9, weighted=True).select(C("id").alias("journal"), (C("rank") * 1000).alias("sjr")))
+    return rounded(G.pagerank(e, 0.9, tol=1e-10, weighted=True).select(C("id").alias("journal"), (C("rank") * 1000).alias("sjr")))
+
+
+R.ORACLES["m5_journal_rank"] = _recursive_over("cites papers", "WITH e AS (SELECT x.journal AS src, y.journal AS dst, count(*)::DOUBLE AS w FROM cites JOIN papers x ON x.paper_id = src JOIN papers y ON y.paper_id = dst WHERE x.journal <> y.journal GROUP BY ALL), v AS (SELECT src AS id FROM e UNION SELECT dst FROM e), b AS (SELECT id, 1.0 / (SELECT count(*) FROM v) AS v FROM v), " + _walks("e", "b", 0.9, 260) + " SELECT id AS journal, round(r * 1000, 6) AS sjr FROM r")
 
 
-@R.add("k6_turning_points")
+@R.add("k6_turning_points", S, WHOLE + COUNTED + ", " + PASSED.format("") + " SELECT id, round(coalesce(b, 0), 6) AS betweenness FROM v LEFT JOIN b USING (id) ORDER BY coalesce(b, 0) DESC, id LIMIT 10")
 def k6(v):
     e = coauthors(v)
     return rounded(G.betweenness(e, G.vertices(e)).orderBy(F.desc("betweenness"), "id").limit(10))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corvella.functions.stats import chi2_p, normal_p, normal_quantile, t_p
+from corvella.plans.storage import materialise
 
 Z95 = 1.96
 RATIOS = ("OR", "RR", "HR")
@@ -248,14 +249,14 @@ def begg(effects: DataFrame, key: str, study: str) -> DataFrame:
     return g.select(key, F.when((F.col("ny") > 0) & (F.col("nv") > 0), F.col("s") / F.sqrt(F.col("ny").cast("double") * F.col("nv"))).otherwise(0.0).alias("tau"))
 
 
-def trim_and_fill(effects: DataFrame, key: str, most_rounds: int = 50) -> DataFrame:
+def trim_and_fill(effects: DataFrame, key: str) -> DataFrame:
     """Studies without a mirror image are trimmed from the heavier side, most extreme first, and mirrored."""
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(["y", "v"], kind="stable")
         y, v = f["y"].to_numpy(float), f["v"].to_numpy(float)
         keep = np.ones(len(y), bool)
-        for _ in range(min(most_rounds, max(len(y) - 3, 0))):
+        for _ in range(max(len(y) - 3, 0)):  # a round trims one study, and three stay
             w = keep / v
             mu = (w * y).sum() / w.sum()
             dev = np.where(keep, y - mu, 0.0)
@@ -279,42 +280,133 @@ def fail_safe_n(effects: DataFrame, keys: list[str], alpha: float = 0.05, target
     return g.select(*keys, "k", F.greatest(F.lit(0.0), F.pow(F.col("z") / za, F.lit(2)) - F.col("k")).alias("rosenthal"), F.greatest(F.lit(0.0), F.col("k") * (F.col("pooled") - target) / target).alias("orwin"))
 
 
+def _pair_sums(contrasts: DataFrame, network: str) -> DataFrame:
+    """Sums per pair of treatments: a network's group holds one row for each."""
+    v = F.col("se") ** 2
+    return contrasts.filter("se > 0").groupBy(network, "treatment_a", "treatment_b").agg(
+        F.sum(1 / v).alias("w"), F.sum(F.col("effect_size") / v).alias("wy"), F.sum(F.col("effect_size") ** 2 / v).alias("wyy"), F.sum(F.ln(2 * math.pi * v)).alias("logs"), F.count(F.lit(1)).alias("k"),
+    )
+
+
+def _consistent(f: pd.DataFrame) -> tuple[list[str], np.ndarray, np.ndarray, float]:
+    """(treatments, effects against the first, their covariance, residual sum of squares) by weighted least squares."""
+    names = sorted(set(f["treatment_a"]) | set(f["treatment_b"]))
+    at = {t: i - 1 for i, t in enumerate(names)}
+    n = len(names) - 1
+    m, b = np.zeros((n, n)), np.zeros(n)
+    for x, y, w, wy in zip(f["treatment_a"], f["treatment_b"], f["w"], f["wy"], strict=True):
+        c = np.zeros(n)
+        if at[x] >= 0:
+            c[at[x]] -= 1
+        if at[y] >= 0:
+            c[at[y]] += 1
+        m += w * np.outer(c, c)
+        b += wy * c
+    cov = np.linalg.pinv(m)
+    return names, cov @ b, cov, max(float(f["wyy"].sum() - b @ cov @ b), 0.0)
+
+
+def _rank_shares(mean: np.ndarray, cov: np.ndarray, draws: int, seed: int) -> np.ndarray:
+    """Share of draws in which each treatment (row) has each rank (column), 1 being the largest effect."""
+    n = len(mean)
+    got = np.column_stack([np.zeros(draws), np.random.default_rng(seed).multivariate_normal(mean, cov, draws, method="eigh")]) if n else np.zeros((draws, 1))
+    rank = (-got).argsort(axis=1).argsort(axis=1)
+    return np.stack([np.bincount(rank[:, i], minlength=n + 1) for i in range(n + 1)]) / draws
+
+
 def network_meta(contrasts: DataFrame, network: str, draws: int = 10_000, seed: int = 42) -> DataFrame:
     """Consistency model per network (E20): effects against the first treatment by weighted least squares, and SUCRA.
 
-    contrasts: network, treatment_a, treatment_b, effect_size (b over a), se. Sums per pair come first, so
-    each group holds one row per pair of treatments.
+    contrasts: network, treatment_a, treatment_b, effect_size (b over a), se.
     """
-    g = contrasts.filter("se > 0").groupBy(network, "treatment_a", "treatment_b").agg(F.sum(1 / F.col("se") ** 2).alias("w"), F.sum(F.col("effect_size") / F.col("se") ** 2).alias("wy"))
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(set(f["treatment_a"]) | set(f["treatment_b"]))
-        at = {t: i - 1 for i, t in enumerate(names)}
-        n = len(names) - 1
-        m, b = np.zeros((n, n)), np.zeros(n)
-        for x, y, w, wy in zip(f["treatment_a"], f["treatment_b"], f["w"], f["wy"], strict=True):
-            c = np.zeros(n)
-            if at[x] >= 0:
-                c[at[x]] = -1
-            if at[y] >= 0:
-                c[at[y]] = 1
-            m += w * np.outer(c, c)
-            b += wy * c
-        cov = np.linalg.pinv(m)
-        mean = cov @ b
-        got = np.column_stack([np.zeros(draws), np.random.default_rng(seed).multivariate_normal(mean, cov, draws, method="eigh")]) if n else np.zeros((draws, 1))
-        rank = (-got).argsort(axis=1).argsort(axis=1) + 1
-        sucra = (len(names) - rank.mean(axis=0)) / max(len(names) - 1, 1)
+        names, mean, cov, _ = _consistent(f)
+        share = _rank_shares(mean, cov, draws, seed)
+        sucra = share[:, :-1].cumsum(axis=1).sum(axis=1) / max(len(names) - 1, 1) if len(names) > 1 else np.ones(1)
         return pd.DataFrame({network: f[network].iloc[0], "treatment": names, "effect": np.append(0.0, mean), "se": np.append(0.0, np.sqrt(np.diag(cov))), "sucra": sucra})
 
-    return g.groupBy(network).applyInPandas(run, f"{network} string, treatment string, effect double, se double, sucra double")
+    return _pair_sums(contrasts, network).groupBy(network).applyInPandas(run, f"{network} string, treatment string, effect double, se double, sucra double")
 
 
-def node_splitting(contrasts: DataFrame, network: str) -> DataFrame:
-    """Direct and one-step indirect estimate of each pair, and their z."""
+def rank_probabilities(contrasts: DataFrame, network: str, draws: int = 10_000, seed: int = 42) -> DataFrame:
+    """(network, treatment, rank, probability) under the consistency model (E20), from ``draws`` draws; rank 1 has the largest effect."""
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        names, mean, cov, _ = _consistent(f)
+        share = _rank_shares(mean, cov, draws, seed)
+        n = len(names)
+        return pd.DataFrame({network: f[network].iloc[0], "treatment": np.repeat(names, n), "rank": np.tile(np.arange(1, n + 1), n), "probability": share.ravel()})
+
+    return _pair_sums(contrasts, network).groupBy(network).applyInPandas(run, f"{network} string, treatment string, rank int, probability double")
+
+
+def league_table(contrasts: DataFrame, network: str, confidence: float = 0.95) -> DataFrame:
+    """(network, treatment, against, effect, lower, upper): pooled effects of all ordered pairs under the consistency model."""
+    z = normal_quantile(0.5 + confidence / 2)
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        names, mean, cov, _ = _consistent(f)
+        effect, full = np.append(0.0, mean), np.zeros((len(names), len(names)))
+        full[1:, 1:] = cov
+        i, j = np.nonzero(~np.eye(len(names), dtype=bool))
+        diff, se = effect[i] - effect[j], np.sqrt(np.maximum(full[i, i] + full[j, j] - 2 * full[i, j], 0))
+        return pd.DataFrame({network: f[network].iloc[0], "treatment": np.array(names)[i], "against": np.array(names)[j], "effect": diff, "lower": diff - z * se, "upper": diff + z * se})
+
+    return _pair_sums(contrasts, network).groupBy(network).applyInPandas(run, f"{network} string, treatment string, against string, effect double, lower double, upper double")
+
+
+def network_fit(contrasts: DataFrame, network: str) -> DataFrame:
+    """(network, treatments, comparisons, rss, aic, bic) of the consistency model (E20), on the normal likelihood with the given standard errors."""
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        names, mean, _, rss = _consistent(f)
+        n, loglik = int(f["k"].sum()), -0.5 * (rss + f["logs"].sum())
+        return pd.DataFrame([{network: f[network].iloc[0], "treatments": len(names), "comparisons": n, "rss": rss, "aic": 2 * len(mean) - 2 * loglik, "bic": math.log(max(n, 1)) * len(mean) - 2 * loglik}])
+
+    return _pair_sums(contrasts, network).groupBy(network).applyInPandas(run, f"{network} string, treatments int, comparisons long, rss double, aic double, bic double")
+
+
+def _direct(contrasts: DataFrame, network: str) -> DataFrame:
+    """(network, a, b, y, v, k) with a < b: the studies of each pair, pooled by inverse variance."""
     flip = F.col("treatment_a") > F.col("treatment_b")
     one = contrasts.filter("se > 0").select(network, F.least("treatment_a", "treatment_b").alias("a"), F.greatest("treatment_a", "treatment_b").alias("b"), F.when(flip, -F.col("effect_size")).otherwise(F.col("effect_size")).alias("y"), (F.col("se") ** 2).alias("v"))
-    d = one.groupBy(network, "a", "b").agg((F.sum(F.col("y") / F.col("v")) / F.sum(1 / F.col("v"))).alias("y"), (1 / F.sum(1 / F.col("v"))).alias("v"))
+    return one.groupBy(network, "a", "b").agg((F.sum(F.col("y") / F.col("v")) / F.sum(1 / F.col("v"))).alias("y"), (1 / F.sum(1 / F.col("v"))).alias("v"), F.count(F.lit(1)).alias("k"))
+
+
+def loop_tests(contrasts: DataFrame, network: str) -> DataFrame:
+    """(network, a, b, c, comparison, z) of each triangle of compared treatments a < b < c.
+
+    The comparison with most studies (of equal ones the first by name) is set against the way round by the third treatment. All triangles
+    count, as a basis of cycles is not unique.
+    """
+    d = materialise(_direct(contrasts, network), "direct-pairs")
+    side = lambda p, x, y: d.select(network, F.col("a").alias(x), F.col("b").alias(y), F.struct("k", "y", "v").alias(p))
+    t = side("p", "a", "b").join(side("q", "b", "c"), [network, "b"]).join(side("r", "a", "c"), [network, "a", "c"])
+    ab, ac = (F.col("p.k") >= F.col("q.k")) & (F.col("p.k") >= F.col("r.k")), F.col("r.k") >= F.col("q.k")
+    split = F.when(ab, F.concat_ws(" vs ", "b", "a")).when(ac, F.concat_ws(" vs ", "c", "a")).otherwise(F.concat_ws(" vs ", "c", "b"))
+    gap = F.col("p.y") + F.col("q.y") - F.col("r.y")
+    # direct less indirect is this gap or, where ac is split, its negative
+    z = gap * F.when(~ab & ac, -1).otherwise(1) / F.sqrt(F.col("p.v") + F.col("q.v") + F.col("r.v"))
+    return t.select(network, "a", "b", "c", split.alias("comparison"), z.alias("z"))
+
+
+def loop_inconsistency(contrasts: DataFrame, network: str) -> DataFrame:
+    """(network, q, loops, p): the sum of squared z over the loops, on as many degrees of freedom (E21); networks without a loop have q 0 and p 1."""
+    g = loop_tests(contrasts, network).groupBy(network).agg(F.sum(F.col("z") * F.col("z")).alias("q"), F.count(F.lit(1)).alias("loops"))
+    x = contrasts.select(network).distinct().join(g, network, "left").na.fill(0.0, ["q"]).na.fill(0, ["loops"])
+    return x.withColumn("p", F.when(F.col("loops") > 0, chi2_p(F.col("q"), F.greatest(F.col("loops"), F.lit(1)).cast("double"))).otherwise(1.0))
+
+
+def verdicts(tests: DataFrame) -> DataFrame:
+    """``tests`` with the two-sided p of their z and what it says about inconsistency: none from 0.10, some from 0.05, else evidence of it."""
+    x = tests.withColumn("p", normal_p(F.col("z")))
+    return x.withColumn("verdict", F.when(F.col("p") >= 0.10, "no evidence of inconsistency").when(F.col("p") >= 0.05, "some evidence of inconsistency").otherwise("evidence of inconsistency"))
+
+
+def node_splitting(contrasts: DataFrame, network: str) -> DataFrame:
+    """Direct and one-step indirect estimate of each pair, and their z."""
+    d = _direct(contrasts, network).drop("k")
     both = d.union(d.select(network, F.col("b").alias("a"), F.col("a").alias("b"), (-F.col("y")).alias("y"), "v"))
     x, z = both.select(network, F.col("a").alias("a"), F.col("b").alias("c"), F.col("y").alias("y1"), F.col("v").alias("v1")), both.select(F.col(network).alias("n2"), F.col("a").alias("c2"), F.col("b").alias("b"), F.col("y").alias("y2"), F.col("v").alias("v2"))
     step = x.join(z, (x[network] == z.n2) & (x.c == z.c2)).filter("a < b").groupBy(network, "a", "b").agg((F.sum((F.col("y1") + F.col("y2")) / (F.col("v1") + F.col("v2"))) / F.sum(1 / (F.col("v1") + F.col("v2")))).alias("indirect"), (1 / F.sum(1 / (F.col("v1") + F.col("v2")))).alias("indirect_v"))

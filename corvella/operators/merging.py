@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from corvella.functions import scalars as S
 from corvella.plans.components import components
+from corvella.plans.storage import materialise
 
 
 def _is(value):
@@ -92,21 +93,18 @@ def similar_papers(base: DataFrame, items: list[tuple[DataFrame, str, float]], p
     return x.select("paper_id", score.alias("score")).filter("score > 0").orderBy(F.desc("score"), "paper_id").limit(limit)
 
 
-def resolve_titles(wanted: DataFrame, known: DataFrame, least: float = 0.3, max_df: int | None = None) -> DataFrame:
-    """Best known title per wanted one by token Jaccard (J6): halved if the year is off by more than one, x 0.8 if unknown.
+def resolve_titles(wanted: DataFrame, known: DataFrame, least: float = 0.3) -> DataFrame:
+    """Best known title of each wanted one by token Jaccard (J6), halved where years differ by more than one and times 0.8 where one is unknown.
 
-    Both: id, tokens (array), year. Candidates share a token; ``max_df`` (off by default) leaves out very common tokens.
+    Inputs: id, tokens, year. Only pairs that reach ``least`` before the years count are scored, through a set-similarity join; none is left out.
     """
-    w = wanted.select(F.col("id").alias("w"), F.array_distinct("tokens").alias("wt"), F.col("year").alias("wy"))
-    k = known.select(F.col("id").alias("k"), F.array_distinct("tokens").alias("kt"), F.col("year").alias("ky"))
-    kx = k.select("*", F.explode("kt").alias("t"))
-    if max_df:
-        kx = kx.join(kx.groupBy("t").count().filter(F.col("count") <= max_df).select("t"), "t", "left_semi")
-    shared = w.select("w", "wy", F.size("wt").alias("wn"), F.explode("wt").alias("t")).join(kx.select("k", "ky", F.size("kt").alias("kn"), "t"), "t").groupBy("w", "wy", "wn", "k", "ky", "kn").agg(F.count(F.lit(1)).alias("n"))
-    j = F.col("n") / (F.col("wn") + F.col("kn") - F.col("n"))
-    s = j * F.when(F.col("wy").isNull() | F.col("ky").isNull(), 0.8).when(F.abs(F.col("wy") - F.col("ky")) > 1, 0.5).otherwise(1.0)
-    best = Window.partitionBy("w").orderBy(F.desc("score"), "k")
-    return shared.withColumn("score", s).filter(F.col("score") >= least).withColumn("r", F.row_number().over(best)).filter("r = 1").select(F.col("w").alias("id"), F.col("k").alias("match"), "score")
+    from corvella.operators.similarity import similar_to
+
+    pairs = similar_to(wanted, known, least)
+    x = pairs.join(wanted.select(F.col("id").alias("a"), F.col("year").alias("wy")), "a").join(known.select(F.col("id").alias("b"), F.col("year").alias("ky")), "b")
+    s = F.col("similarity") * F.when(F.col("wy").isNull() | F.col("ky").isNull(), 0.8).when(F.abs(F.col("wy") - F.col("ky")) > 1, 0.5).otherwise(1.0)
+    best = Window.partitionBy("a").orderBy(F.desc("score"), "b")
+    return x.withColumn("score", s).filter(F.col("score") >= least).withColumn("r", F.row_number().over(best)).filter("r = 1").select(F.col("a").alias("id"), F.col("b").alias("match"), "score")
 
 
 def enrich(left: DataFrame, source: DataFrame, key: str, scalars: list[str], numbers: list[str], lists: list[str]) -> DataFrame:
@@ -188,8 +186,8 @@ def auto_dedup(records: DataFrame) -> DataFrame:
     lead = keys.groupBy("k").agg(F.min("seq").alias("lead"))
     edges = keys.join(lead, "k").select(F.col("lead").alias("src"), F.col("seq").alias("dst"))
     c = components(edges)
-    x = records.select("seq").join(c, records.seq == c.id, "left").select("seq", F.coalesce("component", "seq").alias("keeper"))
-    return x.withColumn("group_size", F.count(F.lit(1)).over(Window.partitionBy("keeper")))
+    x = materialise(records.select("seq").join(c, records.seq == c.id, "left").select("seq", F.coalesce("component", "seq").alias("keeper")), "keepers")
+    return x.join(x.groupBy("keeper").agg(F.count(F.lit(1)).alias("group_size")), "keeper").select("seq", "keeper", "group_size")
 
 
 def compare_projects(a: DataFrame, b: DataFrame, item: str) -> DataFrame:
@@ -212,9 +210,9 @@ def collapse_similar(items: DataFrame, least: float = 0.5) -> DataFrame:
 
     The classes are connected components, which does not depend on the order of the input.
     """
-    x = items.select("id", F.explode(F.array_distinct("keywords")).alias("k"), F.size(F.array_distinct("keywords")).alias("n"))
-    p = x.alias("x").join(x.alias("y"), (F.col("x.k") == F.col("y.k")) & (F.col("x.id") < F.col("y.id"))).groupBy(F.col("x.id").alias("src"), F.col("y.id").alias("dst"), F.col("x.n").alias("nx"), F.col("y.n").alias("ny")).agg(F.count(F.lit(1)).alias("s"))
-    c = components(p.filter(F.col("s") / (F.col("nx") + F.col("ny") - F.col("s")) >= least))
+    from corvella.operators.similarity import similar_sets
+
+    c = components(similar_sets(items.select("id", F.col("keywords").alias("tokens")), least), "a", "b")
     y = items.join(c.withColumnRenamed("id", "v"), items.id == F.col("v"), "left").withColumn("cls", F.coalesce("component", "id"))
     return y.groupBy("cls").agg(F.max_by("id", F.struct("score", F.negative("id"))).alias("id"), F.count(F.lit(1)).alias("members")).select("id", "members")
 

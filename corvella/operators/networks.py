@@ -144,6 +144,42 @@ def bipartite_clustering(members: DataFrame, group: str, item: str, mode: str =
     return deg.select(item).join(both.groupBy(item).agg(F.avg("c").alias("c")), item, "left").select(item, F.coalesce("c", F.lit(0.0)).alias("clustering"))
 
 
+def two_colouring(edges: DataFrame) -> DataFrame:
+    """(id, component, side) of every vertex of an undirected graph (N15): sides 0 and 1 differ along every edge, 0 being that of the
+    component's smallest vertex; side is null in a component with a cycle of odd length, which has no such colouring.
+
+    Each vertex stands twice, once per side, and each edge joins opposite sides: a component that can be coloured falls into two.
+    """
+    from corvella.plans.components import components
+    from corvella.plans.storage import materialise
+
+    at = lambda c, side: F.struct(F.col(c).alias("v"), F.lit(side).alias("s"))
+    doubled = edges.select(at("src", 0).alias("src"), at("dst", 1).alias("dst")).union(edges.select(at("src", 1), at("dst", 0)))
+    found = materialise(components(doubled), "two-sides")
+    one, two = found.filter("id.s = 0"), found.filter("id.s = 1").select(F.col("id.v").alias("v2"), F.col("component").alias("c2"))
+    both = one.join(two, F.col("id.v") == F.col("v2"))
+    return both.select(F.col("id.v").alias("id"), F.col("component.v").alias("component"), F.when(F.col("component") != F.col("c2"), F.col("component.s")).alias("side"))
+
+
+def is_bipartite(edges: DataFrame) -> DataFrame:
+    """(bipartite, zeros, ones, components, odd_components) of a graph."""
+    c = two_colouring(edges)
+    odd = F.count_distinct(F.when(F.col("side").isNull(), F.col("component")))
+    return c.agg((odd == 0).alias("bipartite"), F.count_if(F.col("side") == 0).alias("zeros"), F.count_if(F.col("side") == 1).alias("ones"), F.count_distinct("component").alias("components"), odd.alias("odd_components"))
+
+
+def redundancy(members: DataFrame, group: str, item: str) -> DataFrame:
+    """(item, redundancy): of the pairs of an item's groups, the share that another item joins too (N15); null with fewer than two groups."""
+    from corvella.operators.graph import wedges
+
+    m = members.select(group, item).filter(F.col(group).isNotNull() & F.col(item).isNotNull()).distinct()
+    joined = m.groupBy(item).agg(F.count(F.lit(1)).alias("_n"))
+    pairs = wedges(m, item, group)
+    counts = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("w"))
+    g = pairs.join(counts, ["a", "b"]).groupBy(F.col("mid").alias(item)).agg(F.avg((F.col("w") > 1).cast("double")).alias("redundancy"))
+    return joined.select(item).join(g, item, "left")
+
+
 def temporal_network(members: DataFrame, group: str, item: str) -> DataFrame:
     """Edges with the distinct years of joint groups (N16): weight counts years."""
     m = members.select(group, item, "year").distinct()

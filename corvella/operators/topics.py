@@ -8,7 +8,6 @@ from pyspark.ml.clustering import LDA, BisectingKMeans, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import IDF, CountVectorizer, HashingTF
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.recommendation import ALS
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -48,22 +47,55 @@ def lda(docs: DataFrame, k: int, words: int = 10, seed: int = 1, rounds: int = 2
     return model.transform(counts).select("doc_id", vector_to_array("topicDistribution").alias("topics")), tops.select("topic", "term", "weight")
 
 
-def nmf(docs: DataFrame, k: int, words: int = 10, seed: int = 1, rounds: int = 10, buckets: int = BUCKETS) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, topics), (topic, term, weight) by non-negative factors of tf-idf weights (T2), from alternating least squares.
+def non_negative_factors(cells: DataFrame, k: int, tol: float = 1e-4, most: int = 400, seed: int = 1) -> tuple[DataFrame, DataFrame, float]:
+    """(row, x array), (col, x array), relative residual: ``cells`` (row, col, w > 0; all others are 0) as rows times columns of ``k`` non-negative factors.
 
-    ``doc_id`` must fit 32 bits, as Spark's ALS asks. Weights of a topic are scaled to sum to one over its words.
+    Multiplicative updates: the zeros count, through the k x k products of each factor with itself; only these and the
+    residual reach the driver. Ends when a round lowers the residual by less than ``tol`` of it, an error past ``most`` rounds. Ids may be of any type.
     """
-    hashed, names = term_buckets(docs, buckets)
+    v = materialise(cells.groupBy("row", "col").agg(F.sum("w").cast("double").alias("w")).filter("w > 0"), "nmf-cells")
+    whole = v.agg(F.sum(F.col("w") * F.col("w"))).first()[0] or 0.0
+    start = lambda c: F.array(*[(F.pmod(F.xxhash64(F.lit(seed * 1000 + i), F.col(c)), F.lit(1 << 20)) + 1) / float(1 << 20) for i in range(k)])
+    rows = materialise(v.select("row").distinct().select("row", start("row").alias("x")), "nmf-rows")
+    cols = materialise(v.select("col").distinct().select("col", start("col").alias("x")), "nmf-cols")
+
+    def gram(side: DataFrame) -> list[list[float]]:
+        got = side.agg(*[F.sum(F.col("x")[i] * F.col("x")[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]).first()
+        return [[got[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)]
+
+    def updated(side: DataFrame, key: str, other: DataFrame, by: str, g: list[list[float]], label: str) -> DataFrame:
+        toward = v.join(other.withColumnRenamed("x", "o"), by).groupBy(key).agg(F.array(*[F.sum(F.col("w") * F.col("o")[i]) for i in range(k)]).alias("n"))
+        under = [sum((F.col("x")[j] * g[j][i] for j in range(k)), F.lit(1e-12)) for i in range(k)]
+        return materialise(side.join(toward, key).select(key, F.array(*[F.col("x")[i] * F.col("n")[i] / under[i] for i in range(k)]).alias("x")), label)
+
+    was = None
+    for _ in range(most):
+        g_rows = gram(rows)
+        cols = updated(cols, "col", rows, "row", g_rows, "nmf-cols")
+        g_cols = gram(cols)
+        rows = updated(rows, "row", cols, "col", g_cols, "nmf-rows")
+        g_rows = gram(rows)
+        fit = v.join(rows.withColumnRenamed("x", "r"), "row").join(cols.withColumnRenamed("x", "c"), "col").agg(F.sum(F.col("w") * sum((F.col("r")[i] * F.col("c")[i] for i in range(k)), F.lit(0.0)))).first()[0] or 0.0
+        residual = max(whole - 2 * fit + sum(g_rows[i][j] * g_cols[i][j] for i in range(k) for j in range(k)), 0.0) ** 0.5
+        if was is None or was - residual >= tol * max(was, 1e-300):
+            was = residual
+            continue
+        return rows, cols, residual / whole**0.5 if whole else 0.0
+    raise RuntimeError("factors did not settle")
+
+
+def nmf(docs: DataFrame, k: int, words: int = 10, seed: int = 1, tol: float = 1e-3) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, topics), (topic, term, weight) by non-negative factors of tf-idf weights (T2). A topic's words' weights sum to one."""
     n = docs.agg(F.count(F.lit(1)).alias("n"))
-    tf = hashed.select("doc_id", F.explode("tokens").alias("bucket")).groupBy("doc_id", "bucket").agg(F.count(F.lit(1)).alias("c"))
-    df = tf.groupBy("bucket").agg(F.count(F.lit(1)).alias("df"))
-    w = tf.join(df, "bucket").join(F.broadcast(n)).select(F.col("doc_id").cast("int"), F.col("bucket").cast("int"), (F.col("c") * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1)).cast("float").alias("w"))  # one row
-    model = ALS(rank=k, maxIter=rounds, seed=seed, nonnegative=True, implicitPrefs=False, userCol="doc_id", itemCol="bucket", ratingCol="w").fit(w)
-    long = model.itemFactors.select(F.col("id").cast("string").alias("bucket"), F.posexplode("features").alias("topic", "weight"))
-    best = Window.partitionBy("topic").orderBy(F.desc("weight"), "bucket")
-    top = long.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= words).join(names, "bucket")
+    tf = docs.select("doc_id", F.explode("tokens").alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("c"))
+    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    w = tf.join(df, "term").join(F.broadcast(n)).select(F.col("doc_id").alias("row"), F.col("term").alias("col"), (F.col("c") * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("w"))  # one row
+    rows, cols, _ = non_negative_factors(w, k, tol, seed=seed)
+    long = cols.select(F.col("col").alias("term"), F.posexplode("x").alias("topic", "weight"))
+    best = Window.partitionBy("topic").orderBy(F.desc("weight"), "term")
+    top = long.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= words)
     share = F.col("weight") / F.sum("weight").over(Window.partitionBy("topic"))
-    return model.userFactors.select(F.col("id").cast("long").alias("doc_id"), F.col("features").cast("array<double>").alias("topics")), top.select("topic", "term", share.cast("double").alias("weight"))
+    return rows.select(F.col("row").alias("doc_id"), F.col("x").alias("topics")), top.select("topic", "term", share.alias("weight"))
 
 
 def topic_years(topics: DataFrame, years: DataFrame, width: int) -> DataFrame:
@@ -137,6 +169,7 @@ def optimal_k(scores: DataFrame) -> DataFrame:
 
 def within(vectors: DataFrame, eps: float, block: int = 2048) -> DataFrame:
     """(a, b) with a < b: all pairs of vectors at most ``eps`` apart (T7), block against block, none left out."""
+    vectors = vectors.filter("vec_id IS NOT NULL AND embedding IS NOT NULL")  # a null id would turn a batch of ids into floats
     blocks = max(1, -(-vectors.count() // block))
     own = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
     x = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"), own.alias("own"))

@@ -180,19 +180,33 @@ def arima_forecast(series: DataFrame, key: str, horizon: int, least: int = 6) ->
 
 
 def forecast_quality(series: DataFrame, key: str) -> DataFrame:
-    """Mean absolute error and R2 of the linear fit per series."""
-    g = series.groupBy(key).agg(F.coalesce(F.regr_slope(F.col("count"), F.col("year")), F.lit(0.0)).alias("slope"), F.avg("count").alias("my"), F.avg("year").alias("mx"))
-    x = series.join(g, key)
-    r = F.col("count") - (F.col("my") + F.col("slope") * (F.col("year") - F.col("mx")))
-    ss = F.sum((F.col("count") - F.col("my")) ** 2)
-    return x.groupBy(key).agg(F.avg(F.abs(r)).alias("mae"), F.when(ss > 0, 1 - F.sum(r * r) / ss).otherwise(0.0).alias("r2"))
+    """Mean absolute error and R2 of the linear fit per series (B10), from whole-number sums: no order of adding changes them."""
+    x, y = F.col("year").cast("long"), F.col("count").cast("long")
+    g = series.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * x).alias("sxx"), F.sum(x * y).alias("sxy"), F.sum(y * y).alias("syy"))
+    n, dx, dy, dxy = F.col("n"), F.expr("n * sxx - sx * sx"), F.expr("n * syy - sy * sy"), F.expr("n * sxy - sx * sy")
+    g = g.select(key, n, "sx", "sy", dx.alias("dx"), dy.alias("dy"), dxy.alias("dxy"))
+    over = F.greatest(F.col("dx"), F.lit(1))  # a series of one year has slope 0
+    off = F.abs(over * (n * y - F.col("sy")) - F.col("dxy") * (n * x - F.col("sx")))
+    r2 = F.when((F.col("dx") > 0) & (F.col("dy") > 0), F.col("dxy").cast("double") * F.col("dxy") / (F.col("dx").cast("double") * F.col("dy"))).otherwise(0.0)
+    z = series.join(g, key).groupBy(key).agg(F.sum(off).alias("off"), F.first(n).alias("n"), F.first(over).alias("over"), F.first(r2).alias("r2"))
+    return z.select(key, (F.col("off").cast("double") / (F.col("n") * F.col("n") * F.col("over"))).alias("mae"), "r2")
+
+
+def _growths(series: DataFrame, forecasts: DataFrame, key: str, most: int) -> DataFrame:
+    """(key, growth) of the ``most`` largest series: (mean forecast - last) / max(last, 1)."""
+    t = series.groupBy(key).agg(F.sum("count").alias("total"), F.max_by("count", "year").alias("last")).orderBy(F.desc("total"), key).limit(most)
+    m = forecasts.groupBy(key).agg(F.avg("forecast").alias("mean"))
+    return t.join(m, key).select(key, F.round((F.col("mean") - F.col("last")) / F.greatest(F.col("last"), F.lit(1)), 9).alias("growth"))
 
 
 def emerging(series: DataFrame, forecasts: DataFrame, key: str, n: int) -> DataFrame:
-    """(mean forecast - last) / max(last, 1) of the 3n largest series."""
-    t = series.groupBy(key).agg(F.sum("count").alias("total"), F.max_by("count", "year").alias("last")).orderBy(F.desc("total"), key).limit(3 * n)
-    m = forecasts.groupBy(key).agg(F.avg("forecast").alias("mean"))
-    return t.join(m, key).select(key, ((F.col("mean") - F.col("last")) / F.greatest(F.col("last"), F.lit(1))).alias("growth")).orderBy(F.desc("growth"), key).limit(n)
+    """The ``n`` highest growths of the 3n largest series."""
+    return _growths(series, forecasts, key, 3 * n).orderBy(F.desc("growth"), key).limit(n)
+
+
+def fading(series: DataFrame, forecasts: DataFrame, key: str, n: int) -> DataFrame:
+    """The ``n`` lowest growths of the 3n largest series."""
+    return _growths(series, forecasts, key, 3 * n).orderBy("growth", key).limit(n)
 
 
 def disruption(cites: DataFrame) -> DataFrame:
@@ -240,8 +254,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, keep_self: bool = Fa
     """Exact cosine top-k of each query against all vectors (T9, B12), block against block.
 
     A task holds one block of queries and one of vectors, and returns the block's best only; a window over
-    those picks the ``k`` of each query. Vectors are unit-scaled first, zero vectors score 0.
+    those picks the ``k`` of each query. Vectors are unit-scaled first, zero vectors score 0; rows with a null id or vector take no part.
+    ``similarity.nearest`` compares candidates only.
     """
+    vectors, queries = (df.filter("vec_id IS NOT NULL AND embedding IS NOT NULL") for df in (vectors, queries))
     count = lambda df: max(1, -(-df.count() // block))
     nq, nv = count(queries), count(vectors)
     part = lambda df, n: df.select("vec_id", F.col("embedding").cast("array<double>").alias("v"), F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias("own"))
@@ -288,26 +304,28 @@ def ndcg(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     return x.agg(F.avg(F.coalesce(1 / F.log2(F.col("first") + 1), F.lit(0.0))).alias("ndcg"), F.avg(F.when(F.col("first").isNotNull(), 1.0).otherwise(0.0)).alias("hit_rate"))
 
 
-def recommend_collaborators(authorship: DataFrame, keywords: DataFrame, coauthors: DataFrame, author, n: int) -> DataFrame:
-    """Authors who share keywords or co-authors but no paper with ``author``.
+def recommend_collaborators(authorship: DataFrame, keywords: DataFrame, coauthors: DataFrame, author, n: int, exclude_existing: bool = True) -> DataFrame:
+    """Authors who share keywords or co-authors with ``author`` (B23), without those who share a paper unless ``exclude_existing`` is off.
 
-    0.4 * (0.5 cosine + 0.5 (1 - jaccard) where cosine > 0) + 0.25 / (1 + shared co-authors) where any + 0.2 * papers / most.
+    0.4 * (0.5 cosine + 0.5 (1 - jaccard) where cosine > 0) + 0.25 / (1 + shared co-authors) where any
+    + 0.15 * min(1, joint papers / 5) + 0.2 * papers / most. ``coauthors``: a, b, weight.
     """
     ak = authorship.join(keywords, "paper_id").groupBy("author", "keyword").agg(F.count(F.lit(1)).alias("c"))
     size = ak.groupBy("author").agg(F.count(F.lit(1)).alias("k"), F.sqrt(F.sum(F.col("c") * F.col("c")).cast("double")).alias("norm"))
     me = ak.filter(F.col("author") == F.lit(author)).select("keyword", F.col("c").alias("mc"))
     mine = size.filter(F.col("author") == F.lit(author)).select(F.col("k").alias("mk"), F.col("norm").alias("mn"))
     both = ak.join(me, "keyword").groupBy("author").agg(F.sum(F.col("c") * F.col("mc")).alias("dot"), F.count(F.lit(1)).alias("shared"))
-    pairs = coauthors.select("a", "b").union(coauthors.select("b", "a"))
-    direct = pairs.filter(F.col("a") == F.lit(author)).select(F.col("b").alias("author"))
+    pairs = coauthors.select("a", "b", "weight").union(coauthors.select("b", "a", "weight"))
+    direct = pairs.filter(F.col("a") == F.lit(author)).select(F.col("b").alias("author"), F.col("weight").alias("joint"))
     via = pairs.join(direct.select(F.col("author").alias("a")), "a").groupBy(F.col("b").alias("author")).agg(F.count(F.lit(1)).alias("common"))
     papers = authorship.groupBy("author").agg(F.count(F.lit(1)).alias("papers"))
     top = papers.agg(F.max("papers").alias("top"))
     x = size.join(both, "author", "left").join(via, "author", "left").join(papers, "author").na.fill(0, ["dot", "shared", "common"])
-    x = x.filter(F.col("author") != F.lit(author)).join(direct, "author", "left_anti").join(F.broadcast(mine)).join(F.broadcast(top))  # one row each
+    x = x.filter(F.col("author") != F.lit(author)).join(direct, "author", "left").na.fill(0, ["joint"])
+    x = (x.filter("joint = 0") if exclude_existing else x).join(F.broadcast(mine)).join(F.broadcast(top))  # one row each
     cos = F.col("dot") / (F.col("norm") * F.col("mn"))
     jac = F.col("shared") / (F.col("k") + F.col("mk") - F.col("shared"))
-    s = 0.4 * (0.5 * cos + F.when(cos > 0, 0.5 * (1 - jac)).otherwise(0.0)) + F.when(F.col("common") > 0, 0.25 / (1 + F.col("common"))).otherwise(0.0) + 0.2 * F.col("papers") / F.col("top")
+    s = 0.4 * (0.5 * cos + F.when(cos > 0, 0.5 * (1 - jac)).otherwise(0.0)) + F.when(F.col("common") > 0, 0.25 / (1 + F.col("common"))).otherwise(0.0) + 0.15 * F.least(F.lit(1.0), F.col("joint") / 5) + 0.2 * F.col("papers") / F.col("top")
     return x.select("author", s.alias("score")).orderBy(F.desc("score"), "author").limit(n)
 
 
@@ -359,6 +377,75 @@ def user_profile(history: DataFrame, vectors: DataFrame) -> DataFrame:
     return m.groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("embedding"))
 
 
+def recommend_for_users(history: DataFrame, vectors: DataFrame, k: int, find=nearest) -> DataFrame:
+    """(user_id, vec_id, score, rank): the ``k`` items nearest to the mean of each user's own, those left out.
+
+    ``find`` searches: the exact ``nearest``, or ``similarity.nearest``. As many more are asked for as the longest history has items.
+    """
+    long = history.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    profile = user_profile(history, vectors)
+    found = find(vectors, profile.select(F.col("user_id").alias("vec_id"), "embedding"), k + long, keep_self=True)
+    new = found.select(F.col("query_id").alias("user_id"), "vec_id", "score").join(history.select("user_id", "vec_id"), ["user_id", "vec_id"], "left_anti")
+    w = Window.partitionBy("user_id").orderBy(F.desc("score"), "vec_id")
+    return new.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def recommend_for_topic(items: DataFrame, vectors: DataFrame, query: DataFrame, topic: str, k: int, boost: float = 0.1) -> DataFrame:
+    """(vec_id, score, rank): of the 2k items nearest to ``query`` (one row: vec_id, embedding), those with ``topic`` among their keywords gain ``boost``.
+
+    ``items``: vec_id, keywords. Sorted again after the boost, which the published method leaves out.
+    """
+    found = nearest(vectors, query, 2 * k, keep_self=True)
+    x = found.join(items, "vec_id", "left").withColumn("score", F.col("score") + F.when(F.array_contains("keywords", topic), boost).otherwise(0.0))
+    top = x.select("vec_id", F.round("score", 9).alias("score")).orderBy(F.desc("score"), "vec_id").limit(k)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "vec_id")))  # k rows
+
+
+def bridge_authors(members: DataFrame, field_a, field_b, n: int) -> DataFrame:
+    """Authors at home in both of two fields, by the harmonic mean of their shares of papers in each (B24). Input: author, paper_id, field."""
+    m = members.select("author", "paper_id", "field").distinct()
+    share = lambda f: F.count_distinct(F.when(F.col("field") == F.lit(f), F.col("paper_id"))) / F.count_distinct("paper_id")
+    g = m.groupBy("author").agg(share(field_a).alias("a"), share(field_b).alias("b")).filter("a > 0 AND b > 0")
+    return g.select("author", "a", "b", (2 * F.col("a") * F.col("b") / (F.col("a") + F.col("b"))).alias("affinity")).orderBy(F.desc("affinity"), "author").limit(n)
+
+
+def collaboration_strength(coauthors: DataFrame, keywords: DataFrame, current_year: int) -> DataFrame:
+    """(a, b, strength): 0.4 Jaccard and 0.3 cosine of the authors' keywords, 0.3 e^(-age / 5) of their last joint paper.
+
+    Inputs: a, b, last_year of author pairs; author, keyword, c (papers of the author with the keyword).
+    """
+    size = keywords.groupBy("author").agg(F.count(F.lit(1)).alias("k"), F.sqrt(F.sum(F.col("c") * F.col("c")).cast("double")).alias("norm"))
+    x, y = keywords.select(F.col("author").alias("a"), "keyword", F.col("c").alias("ca")), keywords.select(F.col("author").alias("b"), "keyword", F.col("c").alias("cb"))
+    both = coauthors.select("a", "b").join(x, "a").join(y, ["b", "keyword"]).groupBy("a", "b").agg(F.sum(F.col("ca") * F.col("cb")).alias("dot"), F.count(F.lit(1)).alias("shared"))
+    of = lambda c, t: size.select(F.col("author").alias(c), F.col("k").alias(f"k{t}"), F.col("norm").alias(f"n{t}"))
+    z = coauthors.join(both, ["a", "b"], "left").join(of("a", 1), "a", "left").join(of("b", 2), "b", "left").na.fill(0, ["dot", "shared"])
+    jac = F.coalesce(F.col("shared") / (F.col("k1") + F.col("k2") - F.col("shared")), F.lit(0.0))
+    cos = F.coalesce(F.col("dot") / (F.col("n1") * F.col("n2")), F.lit(0.0))
+    return z.select("a", "b", (0.4 * jac + 0.3 * cos + 0.3 * F.exp(-(F.lit(current_year) - F.col("last_year")) / 5.0)).alias("strength"))
+
+
+def directions_from_gaps(gaps: DataFrame) -> DataFrame:
+    """(a, b, novelty, feasibility, months, score) of gaps (a, b, observed, expected) (B27): novelty is the missing share, feasibility grows with what is there to build on."""
+    novelty = 1 - F.col("observed") / F.greatest(F.col("expected"), F.lit(1e-9))
+    return _directions(gaps.withColumn("novelty", F.greatest(F.lit(0.0), novelty)).withColumn("feasibility", F.col("expected") / (F.col("expected") + 1)), ["a", "b"])
+
+
+def directions_from_frontier(regions: DataFrame) -> DataFrame:
+    """(region, novelty, feasibility, months, score) of regions (region, novelty, growth) (B27): feasibility is 0.5 + 0.5 growth, within 0..1."""
+    return _directions(regions.withColumn("feasibility", F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.5 + 0.5 * F.col("growth")))), ["region"])
+
+
+def directions_from_trends(series: DataFrame, forecasts: DataFrame, key: str, n: int) -> DataFrame:
+    """(key, novelty, feasibility, months, score) of the fastest growing series (B27): growth is squeezed into 0..1 for both."""
+    g = emerging(series, forecasts, key, n)
+    squeezed = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("growth")))
+    return _directions(g.withColumn("novelty", squeezed).withColumn("feasibility", 0.5 + 0.5 * squeezed), [key])
+
+
+def _directions(rows: DataFrame, keys: list[str], weight: float = 0.5) -> DataFrame:
+    return rows.select(*keys, "novelty", "feasibility", (6 + 18 * F.col("novelty")).alias("months"), (weight * F.col("novelty") + (1 - weight) * F.col("feasibility")).alias("score"))
+
+
 def mmr(candidates: DataFrame, weight: float = 0.7, k: int = 10) -> DataFrame:
     """Greedy maximal marginal relevance per query (T11): query_id, vec_id, score, embedding, a bounded candidate list each."""
 
@@ -394,6 +481,19 @@ def sentence_scores(docs: DataFrame) -> DataFrame:
     return words.join(n, ["doc_id", "w"]).groupBy("doc_id", "pos").agg((F.sum("c") / (F.sqrt(F.count(F.lit(1))) + 1)).alias("score"))
 
 
+def extractive_summary(docs: DataFrame, max_words: int = 100, top: int = 5) -> DataFrame:
+    """(doc_id, summary): the ``top`` best scored sentences of each text in its own order, up to ``max_words`` words in all.
+
+    The first sentence chosen is kept whole. Texts without words have no row.
+    """
+    best = Window.partitionBy("doc_id").orderBy(F.desc("score"), "pos")
+    chosen = sentence_scores(docs).withColumn("r", F.row_number().over(best)).filter(F.col("r") <= top)
+    x = sentences(docs).join(chosen.select("doc_id", "pos"), ["doc_id", "pos"]).withColumn("n", F.size(F.split(F.trim("sentence"), r"\s+")))
+    upto = F.sum("n").over(Window.partitionBy("doc_id").orderBy("pos"))
+    kept = x.withColumn("upto", upto).filter((F.col("upto") <= max_words) | (F.col("upto") == F.col("n")))
+    return kept.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.trim("sentence").alias("s")))), lambda z: z["s"]), " ").alias("summary"))
+
+
 def top_terms(rows: DataFrame, group: str, term: str, n: int) -> DataFrame:
     """Most common terms of each group, ties by term."""
     w = Window.partitionBy(group).orderBy(F.desc("n"), term)

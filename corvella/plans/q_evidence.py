@@ -142,6 +142,36 @@ def e21(v):
     return rounded(E.node_splitting(contrasts(v), "network"))
 
 
+# Effects of N and R against A by the normal equations of three treatments, with their variances and covariance.
+SOLVED = CONTRAST + ", wt AS (SELECT network, coalesce(sum(1 / v) FILTER (a = 'A' AND b = 'N'), 0) AS w1, coalesce(sum(y / v) FILTER (a = 'A' AND b = 'N'), 0) AS b1, coalesce(sum(1 / v) FILTER (a = 'A' AND b = 'R'), 0) AS w2, coalesce(sum(y / v) FILTER (a = 'A' AND b = 'R'), 0) AS b2, coalesce(sum(1 / v) FILTER (a = 'N' AND b = 'R'), 0) AS w3, coalesce(sum(y / v) FILTER (a = 'N' AND b = 'R'), 0) AS b3 FROM c GROUP BY 1), eq AS (SELECT network, w1 + w3 AS p, -w3 AS q, w2 + w3 AS r, b1 - b3 AS g, b2 + b3 AS h FROM wt), sol AS (SELECT network, (r * g - q * h) / (p * r - q * q) AS n, (p * h - q * g) / (p * r - q * q) AS m, r / (p * r - q * q) AS vn, p / (p * r - q * q) AS vm, -q / (p * r - q * q) AS vnm FROM eq), zz AS (SELECT network, 'N' AS treatment, 'A' AS against, n AS e, vn AS v FROM sol UNION ALL SELECT network, 'R', 'A', m, vm FROM sol UNION ALL SELECT network, 'N', 'R', n - m, vn + vm - 2 * vnm FROM sol) "
+
+
+@R.add("e20_league_table", "", SOLVED + ", xx AS (SELECT * FROM zz UNION ALL SELECT network, against, treatment, -e, v FROM zz) SELECT network, treatment, against, round(e, 6) AS effect, round(e - 1.959963984540054 * sqrt(v), 6) AS lower, round(e + 1.959963984540054 * sqrt(v), 6) AS upper FROM xx")
+def e20l(v):
+    return rounded(E.league_table(contrasts(v), "network"))
+
+
+R.add("e20_rank_probabilities")(lambda v: rounded(E.rank_probabilities(contrasts(v), "network"), 4))
+
+
+@R.add("e20_fit", "", SOLVED + ", kk AS (SELECT x.network, count(*) AS n, sum(pow(y.m - x.m, 2) / (x.v + y.v)) AS yy, sum(ln(2 * pi() * (x.v + y.v))) AS logs FROM m x JOIN m y ON x.network = y.network AND x.study_id = y.study_id AND x.f < y.f WHERE x.v + y.v > 0 GROUP BY 1), rr AS (SELECT network, kk.n AS comparisons, greatest(yy - sol.n * g - sol.m * h, 0) AS rss, logs FROM kk JOIN eq USING (network) JOIN sol USING (network)) SELECT network, 3 AS treatments, comparisons, round(rss, 4) AS rss, round(4 + rss + logs, 4) AS aic, round(2 * ln(comparisons) + rss + logs, 4) AS bic FROM rr")
+def e20f(v):
+    return rounded(E.network_fit(contrasts(v), "network"), 4)
+
+
+LOOP = CONTRAST + ", l AS (SELECT p.network, pow(p.y + q.y - r.y, 2) / (p.v + q.v + r.v) AS z2 FROM c p JOIN c q ON q.network = p.network AND q.a = p.b JOIN c r ON r.network = p.network AND r.a = p.a AND r.b = q.b) "
+
+
+@R.add("e21_loop_inconsistency", "", LOOP + "SELECT network, round(coalesce(sum(z2), 0), 6) AS q, count(z2) AS loops FROM (SELECT DISTINCT network FROM m) LEFT JOIN l USING (network) GROUP BY 1")
+def e21l(v):
+    return rounded(E.loop_inconsistency(contrasts(v), "network")).drop("p")
+
+
+@R.add("e21_verdicts", "", CONTRAST + ", z AS (SELECT c.network, c.a, c.b, abs(c.y - indirect) / sqrt(c.v + iv) AS z FROM c JOIN i ON c.network = i.network AND c.a = i.a AND c.b = i.b) SELECT network, a, b, CASE WHEN z <= 1.6448536269514722 THEN 'no evidence of inconsistency' WHEN z <= 1.959963984540054 THEN 'some evidence of inconsistency' ELSE 'evidence of inconsistency' END AS verdict FROM z")
+def e21v(v):
+    return E.verdicts(E.node_splitting(contrasts(v), "network")).select("network", "a", "b", "verdict")
+
+
 @R.add("e22_effects_from_forms", "effects", "SELECT meta_id, study_id, 'OR' AS type, round(ln(a * (n2 - c) / ((n1 - a) * c)), 6) AS y FROM effects UNION ALL SELECT meta_id, study_id, 'MD', round(m1 - m2, 6) FROM effects")
 def e22(v):
     one = E.dichotomous(v.effects, "OR").select("meta_id", "study_id", F.lit("OR").alias("type"), "y")

@@ -162,7 +162,7 @@ def d6(v):
     return rounded(M.compare_frontiers(df(p.filter("p_partkey % 2 = 0")), df(p.filter("p_partkey % 2 = 1")), 100, 40))
 
 
-@R.add("d7_collapse_similar")
+@R.add("d7_collapse_similar", "", "WITH RECURSIVE k AS (SELECT DISTINCT p_size AS id, p_brand AS k FROM part), n AS (SELECT id, count(*) AS n FROM k GROUP BY 1), e AS (SELECT x.id AS a, y.id AS b FROM k x JOIN k y ON x.k = y.k AND x.id <> y.id JOIN n p ON p.id = x.id JOIN n q ON q.id = y.id GROUP BY x.id, y.id HAVING count(*) / (any_value(p.n) + any_value(q.n) - count(*)) >= .5), r AS (SELECT id, id AS c FROM n UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.id), c AS (SELECT id, min(c) AS c FROM r GROUP BY 1), s AS (SELECT p_size AS id, avg(p_retailprice) AS score FROM part GROUP BY 1) SELECT arg_max(id, (score, -id)) AS id, count(*) AS members FROM c JOIN s USING (id) GROUP BY c")
 def d7(v):
     k = v.table("part").groupBy(C("p_size").alias("id")).agg(F.collect_set("p_brand").alias("keywords"), F.avg("p_retailprice").alias("score"))
     return M.collapse_similar(k)

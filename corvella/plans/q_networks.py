@@ -106,6 +106,31 @@ def n15c(v):
     return rounded(N.bipartite_clustering(v.authorship, "paper_id", "author"))
 
 
+def author_paper_edges(v):
+    """Papers and their authors as one graph; authors' ids are negative, so that none is a paper's."""
+    return v.authorship.select(F.col("paper_id").alias("src"), (-1 - F.col("author")).alias("dst"))
+
+
+@R.add("n15_two_colouring", "", "WITH n AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS k, count(*) OVER (PARTITION BY o_custkey) AS n, min(o_orderkey) OVER (PARTITION BY o_custkey) AS least FROM orders), z AS (SELECT o_custkey, k AS k0 FROM n WHERE o_orderkey = least) SELECT o_orderkey AS id, least AS component, CASE WHEN o_custkey % 2 = 0 AND n % 2 = 1 AND n > 1 THEN NULL ELSE (abs(k - k0) % 2)::INT END AS side FROM n JOIN z USING (o_custkey) WHERE n > 1")
+def n15t(v):
+    """Each customer's orders as a chain, or as a ring where the key is even: odd rings have no colouring."""
+    from corvella.plans.q_graph import rings
+
+    return N.two_colouring(rings(v))
+
+
+@R.add("n15_is_bipartite", "authorship", "SELECT true AS bipartite, count(DISTINCT paper_id) AS zeros, count(DISTINCT author) AS ones FROM authorship")
+def n15b(v):
+    got = N.is_bipartite(author_paper_edges(v))
+    # authors' ids are the smaller ones, so in every component they are side 0
+    return got.select("bipartite", F.col("ones").alias("zeros"), F.col("zeros").alias("ones"))
+
+
+@R.add("n15_redundancy", "coauthors", "WITH p AS (SELECT x.paper_id, avg((weight > 1)::INT) AS r FROM authorship x JOIN authorship y ON x.paper_id = y.paper_id AND x.author < y.author JOIN coauthors ON a = x.author AND b = y.author GROUP BY 1) SELECT DISTINCT paper_id, round(r, 6) AS redundancy FROM authorship LEFT JOIN p USING (paper_id)")
+def n15r(v):
+    return rounded(N.redundancy(v.authorship, "author", "paper_id"))
+
+
 TEMPORAL = "WITH t AS (SELECT x.author AS a, y.author AS b, count(DISTINCT year) AS weight, list_sort(list(DISTINCT year)) AS years, min(year) AS first_year, max(year) AS last_year FROM authorship x JOIN authorship y ON x.paper_id = y.paper_id AND x.author < y.author JOIN papers ON papers.paper_id = x.paper_id GROUP BY ALL), n AS (SELECT author, min(year) AS first_year, max(year) AS last_year, count(DISTINCT year) AS n_years FROM authorship JOIN papers USING (paper_id) GROUP BY 1) "
 
 

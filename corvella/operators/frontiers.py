@@ -122,23 +122,20 @@ def coupling(references: DataFrame) -> DataFrame:
 
 
 def structural_variation(references: DataFrame, years: DataFrame, width: int = 3) -> DataFrame:
-    """(bin, papers, communities, modularity, change) of the coupling graph of each bin of years.
+    """(bin, papers, communities, modularity, change) of the coupling graph of each bin of years (N11), all bins in one run.
 
     A bin is split by moves towards higher modularity where its graph is connected, else by components; communities are
-    scored without weights. Bins are few; each is a job of its own.
+    scored without weights.
     """
     b = (F.floor(F.col("year") / width) * width).cast("int")
-    rows = materialise(references.join(years.select("paper_id", b.alias("bin")), "paper_id"), "bin-references")
-    out = []
-    for (at,) in rows.select("bin").distinct().orderBy("bin").collect():
-        e = materialise(coupling(rows.filter(F.col("bin") == at)), "bin-coupling")
-        flat = e.withColumn("weight", F.lit(1))
-        c = components(e)
-        parts = c.select("component").distinct().count()
-        labels = G.louvain(flat, levels=2, rounds=8) if parts == 1 else c.select("id", F.col("component").alias("label"))
-        q = G.modularity(flat, labels).first()
-        out.append((at, c.count(), int(q.communities or 0), float(q.modularity or 0.0)))
-    t = references.sparkSession.createDataFrame(out, "bin int, papers long, communities long, modularity double")
+    rows = references.join(years.select("paper_id", b.alias("bin")), "paper_id").select(F.struct("bin", "ref").alias("of"), F.struct("bin", "paper_id").alias("paper"))
+    pairs = materialise(pair_counts(rows, "of", "paper"), "bin-coupling")
+    c = materialise(components(pairs, "a", "b").select(F.col("id.bin").alias("part"), F.col("id.paper_id").alias("id"), F.col("component.paper_id").alias("label")), "bin-components")
+    flat = pairs.select(F.col("a.bin").alias("part"), F.col("a.paper_id").alias("src"), F.col("b.paper_id").alias("dst"), F.lit(1).alias("weight"))
+    whole = c.groupBy("part").agg(F.count_distinct("label").alias("n")).filter("n = 1").select("part")
+    labels = G.louvain_many(flat.join(whole, "part", "left_semi")).unionByName(c.join(whole, "part", "left_anti"))
+    q = G.modularities(flat, labels).join(c.groupBy("part").agg(F.count(F.lit(1)).alias("papers")), "part")
+    t = q.select(F.col("part").alias("bin"), "papers", "communities", "modularity")
     return t.withColumn("change", F.col("modularity") - F.lag("modularity").over(Window.orderBy("bin")))  # one row per bin
 
 

@@ -269,63 +269,104 @@ def modularity(edges: DataFrame, labels: DataFrame, gamma: float = 1.0) -> DataF
     return y.agg(F.sum(F.coalesce("inner", F.lit(0)) / F.col("m") - gamma * (F.col("ends") / (2 * F.col("m"))) ** 2).alias("modularity"), F.count(F.lit(1)).alias("communities"))
 
 
-def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
-    """(id, label): the label with most weight among the neighbours and the node itself, ties to the smaller, a fixed number of rounds."""
+def modularities(edges: DataFrame, labels: DataFrame, gamma: float = 1.0) -> DataFrame:
+    """(part, modularity, communities) of many undirected weighted graphs at once (G10): edges part, src, dst, weight; labels part, id, label."""
+    lab = lambda c, n: labels.select("part", F.col("id").alias(c), F.col("label").alias(n))
+    x = edges.join(lab("src", "ls"), ["part", "src"]).join(lab("dst", "ld"), ["part", "dst"])
+    m = x.groupBy("part").agg(F.sum("weight").cast("double").alias("m"))
+    inner = x.filter("ls = ld").groupBy("part", F.col("ls").alias("label")).agg(F.sum("weight").alias("inner"))
+    ends = x.select("part", F.col("ls").alias("label"), "weight").union(x.select("part", "ld", "weight")).groupBy("part", "label").agg(F.sum("weight").alias("ends"))
+    y = ends.join(inner, ["part", "label"], "left").join(m, "part")
+    return y.groupBy("part").agg(F.sum(F.coalesce("inner", F.lit(0)) / F.col("m") - gamma * (F.col("ends") / (2 * F.col("m"))) ** 2).alias("modularity"), F.count(F.lit(1)).alias("communities"))
+
+
+def label_propagation(edges: DataFrame, rounds: int | None = None, most: int = MOST_ROUNDS) -> DataFrame:
+    """(id, label): the label with most weight among the neighbours and the node itself, ties to the smaller.
+
+    Until no label changes, or those that do go back and forth between two states (nodes that all change at once can); an error past ``most``
+    rounds. ``rounds``: that many at the most.
+    """
     e = materialise(both_ways(edges.select("src", "dst", "weight")), "lpa-edges")
-    lab = vertices(e).withColumn("label", F.col("id"))
-    for k in range(rounds):
+    lab = materialise(vertices(e).select("id", F.col("id").alias("label"), F.lit(None).cast(edges.schema["src"].dataType).alias("before")), "lpa")
+    for _ in range(most if rounds is None else rounds):
         votes = e.join(lab, e.src == lab.id).select(F.col("dst").alias("id"), "label", F.col("weight").cast("double").alias("weight")).union(lab.select("id", "label", F.lit(1.0)))
         n = votes.groupBy("id", "label").agg(F.sum("weight").alias("n"))
-        lab = n.groupBy("id").agg(F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("label"))
-        if k % CUT_EVERY == CUT_EVERY - 1:
-            lab = materialise(lab, "lpa")
-    return lab
-
-
-def louvain(edges: DataFrame, gamma: float = 1.0, levels: int = 8, rounds: int = 24) -> DataFrame:
-    """(id, label): synchronous local moves towards higher modularity, then contraction, until no node moves.
-
-    In each round only one of ``CLASSES`` hash classes of nodes may move, so that few neighbours move at once.
-    Simultaneous moves may go in circles, so ``rounds`` bounds them at each level, and ``levels`` the contractions: a
-    partition that could still improve may be returned.
+        new = n.groupBy("id").agg(F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("new"))
+        both = materialise(lab.join(new, "id"), "lpa")
+        lab = both.select("id", F.col("new").alias("label"), F.col("label").alias("before"))
+        if both.filter("new <> label").isEmpty() or both.filter("NOT new <=> before").isEmpty():
+            return lab.select("id", "label")
+    if rounds is None:
+        raise RuntimeError("labels did not settle")
+    return lab.select("id", "label")
+
+
+LEAST_GAIN = 1e-9
+
+
+def _move_round(ways: DataFrame, lab: DataFrame, mass: DataFrame, gamma: float, turn: int) -> DataFrame:
+    """Labels after the nodes of one of ``CLASSES`` hash classes have moved to the neighbouring community of largest gain."""
+    tot = lab.groupBy("part", "label").agg(F.sum("k").alias("tot"))
+    to = ways.join(lab.select("part", F.col("id").alias("dst"), F.col("label").alias("to")), ["part", "dst"]).groupBy("part", F.col("src").alias("id"), "to").agg(F.sum("weight").alias("w"))
+    x = to.join(lab, ["part", "id"]).join(tot.select("part", F.col("label").alias("to"), "tot"), ["part", "to"]).join(mass, "part")
+    own = F.col("to") == F.col("label")
+    gain = F.col("w") - gamma * F.col("k") * (F.col("tot") - F.when(own, F.col("k")).otherwise(0.0)) / (2 * F.col("m"))
+    best = x.withColumn("gain", gain).groupBy("part", "id").agg(
+        F.min_by(F.when(~own, F.col("to")), F.when(~own, F.struct(-F.col("gain"), F.col("to")))).alias("best"), F.max(F.when(~own, F.col("gain"))).alias("g"), F.max(F.when(own, F.col("w"))).alias("w_own"),
+    )
+    at = lab.join(tot, ["part", "label"]).join(best, ["part", "id"], "left").join(mass, "part")
+    stay = F.coalesce("w_own", F.lit(0.0)) - gamma * F.col("k") * (F.col("tot") - F.col("k")) / (2 * F.col("m"))
+    may = F.pmod(F.xxhash64("id", F.lit(turn // CLASSES)), F.lit(CLASSES)) == turn % CLASSES
+    return materialise(at.select("part", "id", "k", F.when(may & (F.col("g") > stay + 1e-12), F.col("best")).otherwise(F.col("label")).alias("label")), "lv-lab")
+
+
+def _local_moves(now: DataFrame, gamma: float) -> tuple[DataFrame, bool]:
+    """(part, id, label) after passes over all nodes, and whether any part got better. A pass that does not raise a part's modularity is
+    undone and ends that part, so each goes up to the end."""
+    loops = now.filter("src = dst")
+    plain = now.filter("src <> dst").select("part", "src", "dst", "weight")
+    ways = materialise(plain.union(plain.select("part", "dst", "src", "weight")), "lv-ways")
+    deg = ways.select("part", "src", "weight").union(loops.select("part", "src", 2 * F.col("weight"))).groupBy("part", F.col("src").alias("id")).agg(F.sum("weight").alias("k"))
+    mass = materialise(now.groupBy("part").agg(F.sum("weight").alias("m")), "lv-mass")
+    lab = materialise(deg.select("part", "id", "k", F.col("id").alias("label")), "lv-lab")
+    q = materialise(modularities(now, lab, gamma).select("part", "modularity"), "lv-q")
+    moved, turn = False, 0
+    while True:
+        active = q.select("part")
+        trial = lab.join(active, "part", "left_semi")
+        going = ways.join(active, "part", "left_semi")
+        for _ in range(CLASSES):
+            trial = _move_round(going, trial, mass, gamma, turn)
+            turn += 1
+        new = modularities(now.join(active, "part", "left_semi"), trial, gamma).select("part", F.col("modularity").alias("new"))
+        q = materialise(new.join(q, "part").filter(F.col("new") > F.col("modularity") + LEAST_GAIN).select("part", F.col("new").alias("modularity")), "lv-q")
+        if q.isEmpty():
+            return lab.select("part", "id", "label"), moved
+        moved = True
+        better = q.select("part")
+        lab = materialise(lab.join(better, "part", "left_anti").union(trial.join(better, "part", "left_semi").select(*lab.columns)), "lv-lab")
+
+
+def louvain_many(edges: DataFrame, gamma: float = 1.0) -> DataFrame:
+    """(part, id, label) of many graphs in one run (G9): synchronous local moves towards higher modularity, then contraction, until nothing gains.
+
+    edges: part, src, dst, weight. In a round only one of ``CLASSES`` hash classes of nodes may move, so that few neighbours move at once.
     """
-    now = materialise(edges.select("src", "dst", F.col("weight").cast("double").alias("weight")), "lv-edges")
-    member = materialise(vertices(edges).withColumn("label", F.col("id")), "lv-member")
-    total = now.agg(F.sum("weight")).first()[0] or 1.0
-    for _ in range(levels):
-        e = both_ways(now)
-        loops = now.filter("src = dst")
-        deg = materialise(e.select("src", "weight").union(loops.select("src", 2 * F.col("weight"))).groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("k")), "lv-deg")
-        lab = materialise(deg.select("id", "k", F.col("id").alias("label")), "lv-lab")
-        moved = busy = False
-        for r in range(rounds):
-            tot = lab.groupBy("label").agg(F.sum("k").alias("tot"))
-            to = e.join(lab.select(F.col("id").alias("dst"), F.col("label").alias("to")), "dst").groupBy(F.col("src").alias("id"), "to").agg(F.sum("weight").alias("w"))
-            x = to.join(lab, "id").join(tot.select(F.col("label").alias("to"), "tot"), "to")
-            own = F.col("to") == F.col("label")
-            gain = F.col("w") - gamma * F.col("k") * (F.col("tot") - F.when(own, F.col("k")).otherwise(0.0)) / (2 * total)
-            best = x.withColumn("gain", gain).filter(~own).groupBy("id").agg(F.min_by("to", F.struct(-F.col("gain"), F.col("to"))).alias("best"), F.max("gain").alias("g"))
-            kept = x.filter(own).select(F.col("id").alias("i2"), F.col("w").alias("w_own"))
-            at = lab.join(tot, "label").join(best, "id", "left").join(kept, F.col("id") == F.col("i2"), "left")
-            stay = F.coalesce("w_own", F.lit(0.0)) - gamma * F.col("k") * (F.col("tot") - F.col("k")) / (2 * total)
-            may = F.pmod(F.xxhash64("id", F.lit(r // CLASSES)), F.lit(CLASSES)) == r % CLASSES
-            new = at.select("id", "k", F.when(may & (F.col("g") > stay + 1e-12), F.col("best")).otherwise(F.col("label")).alias("label"), F.col("label").alias("was"))
-            new = materialise(new, "lv-lab")
-            changed = not new.filter("label <> was").isEmpty()
-            moved |= changed
-            busy |= changed
-            lab = new.select("id", "k", "label")
-            if r % CLASSES == CLASSES - 1:  # every node had its turn
-                if not busy:
-                    break
-                busy = False
+    w = F.col("weight").cast("double")
+    now = materialise(edges.groupBy("part", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.sum(w).alias("weight")), "lv-edges")
+    member = materialise(now.select("part", F.explode(F.array("src", "dst")).alias("id")).distinct().select("part", "id", F.col("id").alias("label")), "lv-member")
+    while True:
+        up, moved = _local_moves(now, gamma)
         if not moved:
-            break
-        member = materialise(member.join(lab.select(F.col("id").alias("label"), F.col("label").alias("up")), "label", "left").select("id", F.coalesce("up", "label").alias("label")), "lv-member")
-        up = lab.select("id", "label")
-        now = now.join(up.select(F.col("id").alias("src"), F.col("label").alias("s")), "src").join(up.select(F.col("id").alias("dst"), F.col("label").alias("d")), "dst")
-        now = materialise(now.groupBy(F.least("s", "d").alias("src"), F.greatest("s", "d").alias("dst")).agg(F.sum("weight").alias("weight")), "lv-edges")
-    return member
+            return member
+        member = materialise(member.join(up.select("part", F.col("id").alias("label"), F.col("label").alias("up")), ["part", "label"], "left").select("part", "id", F.coalesce("up", "label").alias("label")), "lv-member")
+        x = now.join(up.select("part", F.col("id").alias("src"), F.col("label").alias("s")), ["part", "src"]).join(up.select("part", F.col("id").alias("dst"), F.col("label").alias("d")), ["part", "dst"])
+        now = materialise(x.groupBy("part", F.least("s", "d").alias("src"), F.greatest("s", "d").alias("dst")).agg(F.sum("weight").alias("weight")), "lv-edges")
+
+
+def louvain(edges: DataFrame, gamma: float = 1.0) -> DataFrame:
+    """(id, label) of one graph (G9); see ``louvain_many``."""
+    return louvain_many(edges.select(F.lit(0).alias("part"), "src", "dst", "weight"), gamma).select("id", "label")
 
 
 def partition_quality(edges: DataFrame, labels: DataFrame) -> DataFrame:

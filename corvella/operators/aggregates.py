@@ -270,6 +270,18 @@ def narrative_themes(outcomes: DataFrame, n: int) -> DataFrame:
     return outcomes.groupBy("theme").agg(F.count(F.lit(1)).alias("studies"), e.alias("mean_effect"), sign.alias("direction")).orderBy(F.desc("studies"), "theme").limit(n)
 
 
+def theme_studies(outcomes: DataFrame, n: int) -> DataFrame:
+    """(theme, study, effect) of the ``n`` most frequent themes (A17): a row per study, not a list per theme. Input: theme, study, effect."""
+    return outcomes.join(F.broadcast(narrative_themes(outcomes, n).select("theme")), "theme").select("theme", "study", "effect")  # n rows
+
+
+def study_table(studies: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """(study, year, outcomes, mean_effect, direction) of every study, with none where it reports nothing (A17). Inputs: study, year; study, effect."""
+    g = outcomes.groupBy("study").agg(F.count("effect").alias("outcomes"), F.avg("effect").alias("mean_effect"))
+    x = studies.join(g, "study", "left").na.fill(0, ["outcomes"])
+    return x.withColumn("direction", F.when(F.col("mean_effect") > 0, "positive").when(F.col("mean_effect") < 0, "negative").otherwise("none")).select("study", "year", "outcomes", "mean_effect", "direction")
+
+
 def bias_distribution(judgements: DataFrame) -> DataFrame:
     """Number and share of each judgement over all studies and domains."""
     total = judgements.agg(F.count(F.lit(1)).alias("total"))

@@ -740,6 +740,16 @@ def property_in(column: str, values: list):
     return lambda graph: induced(graph[0].filter(F.col(column).isin(values)), graph)
 
 
+def equal_property(column: str, value):
+    """Nodes whose attribute is ``value``; a null value asks for those without one."""
+    return lambda graph: induced(graph[0].filter(F.col(column).eqNullSafe(F.lit(value))), graph)
+
+
+def edge_type(values: list, column: str = "type"):
+    """Edges of the given types; all nodes stay."""
+    return lambda graph: (graph[0], graph[1].filter(F.col(column).isin(values)))
+
+
 def giant_component(graph):
     c = components(graph[1])
     top = c.groupBy("component").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "component").limit(1)

@@ -135,6 +135,17 @@ def a17(v):
     return rounded(A.narrative_themes(v.effects.select(F.col("study_id").alias("theme"), (F.col("m1") - F.col("m2")).alias("effect")), 5))
 
 
+@R.add("a17_theme_studies", "effects", "WITH t AS (SELECT study_id, count(*) AS n FROM effects GROUP BY 1 ORDER BY n DESC, study_id LIMIT 5) SELECT study_id AS theme, meta_id AS study, round(m1 - m2, 6) AS effect FROM effects WHERE study_id IN (SELECT study_id FROM t)")
+def a17s(v):
+    return rounded(A.theme_studies(v.effects.select(F.col("study_id").alias("theme"), F.col("meta_id").alias("study"), (F.col("m1") - F.col("m2")).alias("effect")), 5))
+
+
+@R.add("a17_study_table", "effects", "SELECT meta_id AS study, max(year)::INT AS year, count(m1 - m2) AS outcomes, round(avg(m1 - m2), 6) AS mean_effect, CASE WHEN avg(m1 - m2) > 0 THEN 'positive' WHEN avg(m1 - m2) < 0 THEN 'negative' ELSE 'none' END AS direction FROM effects GROUP BY 1")
+def a17t(v):
+    x = v.effects.select(F.col("meta_id").alias("study"), "year", (F.col("m1") - F.col("m2")).alias("effect"))
+    return rounded(A.study_table(x.groupBy("study").agg(F.max("year").alias("year")), x))
+
+
 CASES = "WITH q AS (SELECT l_orderkey AS id, (sum(l_quantity) > 100)::INT AS big, (avg(l_discount) > 0.05)::INT AS cheap, (max(l_tax) > 0.06)::INT AS taxed, (count(*) > 3)::INT AS many FROM lineitem GROUP BY 1) "
 
 

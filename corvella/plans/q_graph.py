@@ -374,6 +374,23 @@ def g30(v):
     return G.between_groups("kind")(net(v))[1].select("src", "dst", "weight")
 
 
+@R.add("g30_partition", S, WHOLE + "SELECT src, dst, weight FROM s WHERE src % 3 IN (0, 2) AND dst % 3 IN (0, 2)")
+def g30p(v):
+    return G.property_in("kind", [0, 2])(net(v))[1].select("src", "dst", "weight")
+
+
+@R.add("g30_equal_property", S, WHOLE + "SELECT src, dst, weight FROM s WHERE src % 3 = 1 AND dst % 3 = 1")
+def g30q(v):
+    return G.equal_property("kind", 1)(net(v))[1].select("src", "dst", "weight")
+
+
+@R.add("g30_edge_type", "cites authorship", "SELECT src, dst, type FROM (SELECT src, dst, 'citation' AS type FROM cites UNION ALL SELECT paper_id, -1 - author, 'authorship' FROM authorship) WHERE type = 'citation'")
+def g30e(v):
+    """Of papers' citations and authorships, the citations."""
+    e = v.cites.withColumn("type", F.lit("citation")).union(v.authorship.select("paper_id", -1 - C("author"), F.lit("authorship")))
+    return G.edge_type(["citation"])((G.vertices(e), e))[1]
+
+
 @R.add("g31_time_range", "authorship papers", "SELECT x.author AS a, y.author AS b FROM authorship x JOIN authorship y ON x.paper_id = y.paper_id AND x.author < y.author JOIN papers ON papers.paper_id = x.paper_id WHERE year BETWEEN 1996 AND 1996 GROUP BY ALL")
 def g31(v):
     from corvella.plans.q_networks import temporal

@@ -29,9 +29,9 @@ def f3(v):
     return M.paged(v.papers.filter("source = 'O' AND year = 1997").select("paper_id", "year"), [C("paper_id")], 3, 20)
 
 
-@R.add("f4_suggest", "", "SELECT DISTINCT p_name FROM part WHERE len(list_filter(regexp_split_to_array(lower(p_name), '\\s+'), lambda w: starts_with(w, 'part#1'))) > 0 ORDER BY p_name LIMIT 25")
+@R.add("f4_suggest", "", "SELECT DISTINCT p_name FROM part WHERE len(list_filter(regexp_split_to_array(lower(p_name), '\\s+'), lambda w: starts_with(w, 'ri'))) > 0 ORDER BY p_name LIMIT 25")
 def f4(v):
-    return M.suggest(v.table("part"), "p_name", "some part#1", 25)
+    return M.suggest(v.table("part"), "p_name", "some ri", 25)
 
 
 @R.add("f5_bm25", "", r"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS t FROM documents), s AS (SELECT count(*) AS n, avg(len(t)) AS al FROM d), q AS (SELECT unnest(['the', 'and']) AS term), f AS (SELECT doc_id, len(t) AS l, term, len(list_filter(t, lambda w: w = term)) AS tf FROM d, q), g AS (SELECT * FROM f WHERE tf > 0), df AS (SELECT term, count(*) AS df FROM g GROUP BY 1)

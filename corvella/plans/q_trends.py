@@ -145,7 +145,7 @@ def b21(v):
     return rounded(X.bridge(e, pick(F.min), pick(F.max), 15))
 
 
-@R.add("b22_ndcg")
+@R.add("b22_ndcg", "", "WITH s AS (SELECT x.vec_id AS q, y.label = x.label AS same, round(list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 9) AS s, y.vec_id AS k FROM embeddings x JOIN embeddings y ON x.vec_id <> y.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, k) AS rank FROM s), f AS (SELECT q, min(rank) FILTER (same AND rank <= 10) AS first FROM r GROUP BY 1 HAVING bool_or(same)) SELECT round(avg(coalesce(1 / log2(first + 1), 0)), 6) AS ndcg, round(avg((first IS NOT NULL)::INT), 6) AS hit_rate FROM f")
 def b22(v):
     e = v.table("embeddings")
     same = e.select(C("vec_id").alias("query_id"), "label").join(e.select("vec_id", C("label").alias("l2")), C("label") == C("l2")).filter("query_id <> vec_id").select("query_id", "vec_id")
@@ -183,7 +183,7 @@ def b25(v):
     return rounded(X.research_gaps(v.keywords, "paper_id", "keyword", 40))
 
 
-@R.add("b26_gap_sentences")
+@R.add("b26_gap_sentences", "", r"WITH s AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), chr(10))) AS s FROM documents) SELECT doc_id, count(*) AS sentences FROM s WHERE trim(s) <> '' AND regexp_matches(lower(s), 'is of the|und der') GROUP BY 1")
 def b26(v):
     return X.gap_sentences(v.table("documents"), ["is of the", "und der"]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("sentences"))
 

@@ -49,12 +49,10 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int | None = None, t
     alike, so a round moves nothing but partial sums; ``JOINED_ROUNDS`` rounds are one job. Ends when all further terms together are below
     ``tol`` of the sum (L1), for certain after log(tol) / log(alpha) rounds; ``rounds``: end after so many at the latest, settled or not.
     """
-    spark = edges.sparkSession
     w = F.col("weight") if weighted else F.lit(1.0)
     e = materialise(edges.groupBy("src", "dst").agg(F.sum(w).cast("double").alias("w")), "pr-edges")
     out = e.groupBy("src").agg(F.sum("w").alias("out"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    steps = e.join(out, "src").select("src", "dst", (alpha * F.col("w") / F.col("out")).alias("p")).repartition(parts, "src").sortWithinPartitions("src").persist(StorageLevel.MEMORY_AND_DISK)
+    steps = _held(e.join(out, "src").select("src", "dst", (alpha * F.col("w") / F.col("out")).alias("p")), "src")
     v = materialise(vertices(e), "pr-vertices")
     base = v.select("id", F.lit(1.0 / max(v.count(), 1)).alias("x")) if personal is None else v.join(personal, "id").select("id", F.col("share").cast("double").alias("x"))
     base = materialise(base, "pr-restarts")
@@ -74,6 +72,12 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int | None = None, t
     return v.join(x, "id", "left").join(F.broadcast(whole)).select("id", (F.coalesce("x", F.lit(0.0)) / F.col("whole")).alias("rank"))  # one row
 
 
+def _held(edges: DataFrame, by: str) -> DataFrame:
+    """``edges`` partitioned and sorted by one end and kept, in memory or on disk, so that rounds do not shuffle them again."""
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return edges.repartition(parts, by).sortWithinPartitions(by).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def _settled(state: DataFrame, value: str, tol: float) -> bool:
     """Is the L1 change of ``value`` against ``was`` below ``tol`` of its L1 norm?"""
     change, norm = state.agg(F.sum(F.abs(F.col(value) - F.col("was"))), F.sum(F.abs(F.col(value)))).first()
@@ -84,17 +88,19 @@ def hits(edges: DataFrame, tol: float = 1e-7, most: int = MOST_ROUNDS) -> DataFr
     """(id, hub, authority), each summing to one (G3); until the L1 change of hubs is below ``tol`` of their sum, an error past ``most`` rounds."""
     e = materialise(edges.select("src", "dst").distinct(), "hits-edges")
     v = materialise(vertices(e), "hits-vertices")
+    out, back = _held(e, "src"), _held(e, "dst")
     n = max(v.count(), 1)
     s = v.select("id", F.lit(1.0 / n).alias("hub"), F.lit(0.0).alias("authority"))
     for k in range(most):
-        a = e.join(s, e.src == s.id).groupBy(F.col("dst").alias("id")).agg(F.sum("hub").alias("a"))
-        h = e.join(a, e.dst == a.id).groupBy(F.col("src").alias("i2")).agg(F.sum("a").alias("h"))
+        a = out.join(s, out.src == s.id).groupBy(F.col("dst").alias("id")).agg(F.sum("hub").alias("a"))
+        h = back.join(a, back.dst == a.id).groupBy(F.col("src").alias("i2")).agg(F.sum("a").alias("h"))
         j = s.select("id", F.col("hub").alias("was")).join(a, "id", "left").join(h, F.col("id") == F.col("i2"), "left").select("id", "was", F.coalesce("h", F.lit(0.0)).alias("h"), F.coalesce("a", F.lit(0.0)).alias("a"))
         t = j.agg(F.sum("h").alias("th"), F.sum("a").alias("ta"))
         s = j.join(F.broadcast(t)).select("id", "was", (F.col("h") / F.col("th")).alias("hub"), (F.col("a") / F.col("ta")).alias("authority"))  # one row
         if k % CUT_EVERY == CUT_EVERY - 1:
             s = materialise(s, "hits")
             if _settled(s, "hub", tol):
+                out.unpersist(), back.unpersist()
                 return s.select("id", "hub", "authority")
     raise RuntimeError("hubs did not settle")
 
@@ -103,13 +109,15 @@ def katz(edges: DataFrame, alpha: float = 0.005, beta: float = 1.0, tol: float =
     """x = alpha * A x + beta over the edges of an undirected graph (G4), until the L1 change is below ``tol`` of the L1 norm; an error past ``most`` rounds,
     as for an ``alpha`` above one over the largest eigenvalue."""
     e = materialise(both_ways(edges.select("src", "dst")), "katz-edges")
-    x = materialise(vertices(e), "katz-vertices").withColumn("x", F.lit(beta))
+    x, e = materialise(vertices(e), "katz-vertices"), _held(e, "src")
+    x = x.withColumn("x", F.lit(beta))
     for k in range(most):
         g = e.join(x, e.src == x.id).groupBy("dst").agg(F.sum("x").alias("g"))
         x = x.join(g, x.id == g.dst, "left").select("id", F.col("x").alias("was"), (alpha * F.coalesce("g", F.lit(0.0)) + beta).alias("x"))
         if k % CUT_EVERY == CUT_EVERY - 1:
             x = materialise(x, "katz")
             if _settled(x, "x", tol):
+                e.unpersist()
                 return x.select("id", "x")
         x = x.select("id", "x")
     raise RuntimeError("values did not settle")
@@ -118,7 +126,8 @@ def katz(edges: DataFrame, alpha: float = 0.005, beta: float = 1.0, tol: float =
 def eigenvector(edges: DataFrame, tol: float = 1e-6, most: int = MOST_ROUNDS) -> DataFrame:
     """Power iteration of x + A x with unit norm (G4), until the L1 change is below ``tol`` of the L1 norm; an error past ``most`` rounds."""
     e = materialise(both_ways(edges.select("src", "dst")), "eigen-edges")
-    x = materialise(vertices(e), "eigen-vertices").withColumn("x", F.lit(1.0))
+    x, e = materialise(vertices(e), "eigen-vertices"), _held(e, "src")
+    x = x.withColumn("x", F.lit(1.0))
     for k in range(most):
         g = e.join(x, e.src == x.id).groupBy("dst").agg(F.sum("x").alias("g"))
         y = x.join(g, x.id == g.dst, "left").select("id", F.col("x").alias("was"), (F.col("x") + F.coalesce("g", F.lit(0.0))).alias("x"))
@@ -127,6 +136,7 @@ def eigenvector(edges: DataFrame, tol: float = 1e-6, most: int = MOST_ROUNDS) ->
         if k % CUT_EVERY == CUT_EVERY - 1:
             x = materialise(x, "eigen")
             if _settled(x, "x", tol):
+                e.unpersist()
                 return x.select("id", "x")
         x = x.select("id", "x")
     raise RuntimeError("values did not settle")

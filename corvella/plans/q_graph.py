@@ -80,13 +80,13 @@ def g3(v):
 
 @R.add("g4_katz", "cites", CITED + ", x0 AS (SELECT id, 1.0::DOUBLE AS x FROM v), " + ", ".join(f"g{i} AS (SELECT dst AS id, sum(x) AS g FROM u JOIN x{i} ON x{i}.id = u.src GROUP BY 1), x{i + 1} AS (SELECT v.id, 0.005::DOUBLE * coalesce(g, 0) + 1 AS x FROM v LEFT JOIN g{i} USING (id))" for i in range(10)) + " SELECT id, round(x, 6) AS x FROM x10")
 def g4(v):
-    return rounded(G.katz(cites(v)))
+    return rounded(G.katz(cites(v), tol=1e-10))
 
 
 @R.add("g4_eigenvector", S, WHOLE + ", x0 AS (SELECT id, 1.0::DOUBLE AS x FROM v), " + ", ".join(f"g{i} AS (SELECT dst AS id, sum(x) AS g FROM u JOIN x{i} ON x{i}.id = u.src GROUP BY 1), y{i} AS (SELECT x{i}.id, x + coalesce(g, 0) AS x FROM x{i} LEFT JOIN g{i} USING (id)), x{i + 1} AS (SELECT id, x / (SELECT sqrt(sum(x * x)) FROM y{i}) AS x FROM y{i})" for i in range(16)) + " SELECT id, round(x, 5) AS x FROM x16")
 def g4e(v):
     """To convergence; the SQL goes on for more rounds than that takes."""
-    return G.eigenvector(coauthors(v)).select("id", F.round("x", 5).alias("x"))
+    return G.eigenvector(coauthors(v), tol=1e-9).select("id", F.round("x", 5).alias("x"))
 
 
 BFS = WHOLE.replace("WITH s", "WITH RECURSIVE s") + ", w AS (SELECT id AS source, id, 0 AS dist FROM v UNION SELECT w.source, u.dst, w.dist + 1 FROM w JOIN u ON u.src = w.id WHERE w.dist < 4), d AS (SELECT source, id, min(dist) AS dist FROM w GROUP BY ALL) "

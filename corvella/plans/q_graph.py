@@ -128,6 +128,13 @@ def g6(v):
     return rounded(G.betweenness(coauthors(v), G.vertices(coauthors(v))))
 
 
+@R.add("g6_weighted_betweenness")
+def g6w(v):
+    """Co-authors are the nearer the more they wrote together."""
+    e = coauthors(v).withColumn("cost", F.expr("1000 div weight"))
+    return rounded(P.weighted_betweenness(e, G.vertices(e), "cost"))
+
+
 @R.add("g6_sampled_betweenness", S, WHOLE + COUNTED + ", " + PIVOTS + ", " + PASSED.format(" AND x.s IN (SELECT id FROM p)") + ", n AS (SELECT count(*) AS n FROM v) SELECT id, round(coalesce(b, 0) * n / least(16, n) / ((n - 1) * (n - 2) / 2), 6)::DOUBLE AS betweenness FROM v LEFT JOIN b USING (id), n")
 def g6s(v):
     """From 16 pivots, normalised."""
@@ -258,6 +265,9 @@ def g17w(v):
     return P.shortest_paths(e, G.vertices(e), "cost").select("source", "id", "dist", F.array_join("path", "-").alias("path"))
 
 
+# Numbers of cheapest ways, by the number of steps they take, and the shares of those that pass a vertex.
+WAYS = COSTS.split(", parent AS")[0] + ", step AS (SELECT y.source, src, y.id FROM best y JOIN c ON c.dst = y.id JOIN best x ON x.source = y.source AND x.id = src WHERE y.id <> y.source AND x.dist + w = y.dist), n AS (SELECT 0 AS k, id AS source, id, 1::DOUBLE AS n FROM v UNION ALL SELECT k + 1, n.source, step.id, sum(n) FROM n JOIN step ON step.source = n.source AND step.src = n.id GROUP BY k, n.source, step.id), d AS (SELECT source AS s, id AS t, any_value(dist) AS d, sum(n) AS n FROM n JOIN best USING (source, id) WHERE source <> id GROUP BY ALL)"
+R.ORACLES["g6_weighted_betweenness"] = _recursive_over(S, WHOLE + WAYS + ", " + PASSED.format("") + " SELECT id, round(coalesce(b, 0), 6) AS betweenness FROM v LEFT JOIN b USING (id)")
 R.ORACLES["g17_weighted_paths"] = _recursive_over(S, WHOLE + COSTS + " SELECT source, id, dist, path FROM way JOIN best USING (source, id) WHERE here = source")
 
 

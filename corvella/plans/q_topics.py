@@ -83,7 +83,8 @@ def yearly_regions(v):
     return FR._mean_vectors(x, ["year", "region"])
 
 
-R.add("b5_topic_bursts")(lambda v: rounded(FR.topic_bursts(T.lda(tokens(v), 5)[0], doc_years(v))))
+# Years that fill up faster and faster, as in a growing field: a year's share of documents is the difference of two cubes.
+R.add("b5_topic_bursts")(lambda v: rounded(FR.topic_bursts(T.lda(tokens(v), 5)[0], v.table("documents").select("doc_id", (1990 + F.floor(F.cbrt(C("doc_id") % 1000))).cast("int").alias("year")))))
 R.add("b16_sparse_regions")(lambda v: rounded(FR.sparse_regions(v.table("embeddings"), vec_years(v)).drop("centroid"), 4))
 R.add("b17_boundary_topics")(lambda v: rounded(FR.boundary_topics(T.lda(tokens(v), 20)[0], doc_years(v)), 4))
 CENTRES = "WITH m AS (SELECT 1990 + vec_id % 10 AS year, label AS region, generate_subscripts(embedding, 1) AS i, unnest(embedding::DOUBLE[]) AS x FROM embeddings), a AS (SELECT year, region, i, avg(x) AS x FROM m GROUP BY ALL), c AS (SELECT year, region, list(x ORDER BY i) AS c FROM a GROUP BY ALL)"

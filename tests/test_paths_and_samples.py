@@ -169,3 +169,20 @@ def test_communities_of_many_graphs_at_once(spark):
     assert len({settled[i] for i in range(4)}) == 1 and len({settled[i] for i in range(6, 10)}) == 1
     two = spark.createDataFrame([(1, 2, 3.0)], "src long, dst long, weight double")
     assert graph.label_propagation(two).count() == 2  # labels that change places end it
+
+
+@pytest.mark.parametrize("directed", [False, True])
+def test_weighted_betweenness_against_brute_force(spark, directed):
+    rows = random_graph(9, 15, 4)
+    e, near = edges_of(spark, rows), adjacency(rows, directed)
+    want = dict.fromkeys(near, 0.0)
+    for s in near:
+        dist = dijkstra(near, s)
+        for t in dist:
+            if t != s:
+                every = ways(near, dist, s, t)
+                for path in every:
+                    for x in path[1:-1]:
+                        want[x] += 1 / len(every) / (1 if directed else 2)
+    got = {r.id: r.betweenness for r in paths.weighted_betweenness(e, graph.vertices(e), directed=directed).collect()}
+    assert got == pytest.approx(want)

@@ -107,7 +107,9 @@ def e15(v):
 
 R.add("e15_egger")(lambda v: rounded(E.egger(effects(v), KEY)))
 R.add("e15_harbord")(lambda v: rounded(E.harbord(v.effects, KEY)))
-R.add("e16_peters")(lambda v: rounded(E.peters(v.effects, KEY)))
+@R.add("e16_peters", "effects", "WITH x AS (SELECT meta_id, ln((a + .5) * (n2 - c + .5) / ((n1 - a + .5) * (c + .5)))::DOUBLE AS y, 1 / (1 / (a + c + 1.0::DOUBLE) + 1 / (n1 - a + n2 - c + 1.0::DOUBLE)) AS w, 1 / (n1 + n2)::DOUBLE AS z FROM effects), s AS (SELECT meta_id, count(*) AS n, sum(w) AS s, sum(w * z) / sum(w) AS mz, sum(w * y) / sum(w) AS my FROM x GROUP BY 1), d AS (SELECT meta_id, n, any_value(s) AS s, any_value(mz) AS mz, any_value(my) AS my, sum(w * (z - mz) * (z - mz)) AS szz, sum(w * (z - mz) * (y - my)) AS szy, sum(w * (y - my) * (y - my)) AS syy FROM x JOIN s USING (meta_id) GROUP BY meta_id, n), r AS (SELECT *, szy / szz AS slope, greatest(syy - szy * szy / szz, 0) / (n - 2) AS s2 FROM d WHERE n >= 3) SELECT meta_id, n, round(my - slope * mz, 3) AS intercept, round((my - slope * mz) / sqrt(s2 * (1 / s + mz * mz / szz)), 3) AS t, round(slope, 3) AS slope, round(slope / sqrt(s2 / szz), 3) AS t_slope FROM r")
+def e16(v):
+    return rounded(E.peters(v.effects, KEY), 3)
 
 
 @R.add("e17_begg", "effects", OR + "SELECT x.meta_id, round(sum(sign(x.y - y.y) * sign(x.v - y.v)) / sqrt(count(*) FILTER (x.y <> y.y) * count(*) FILTER (x.v <> y.v)), 6) AS tau FROM e x JOIN e y ON x.meta_id = y.meta_id AND x.study_id < y.study_id GROUP BY 1")

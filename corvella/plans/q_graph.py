@@ -426,9 +426,19 @@ def g33(v):
     d = G.distances(e, s)
     life = v.authorship.join(v.papers.select("paper_id", "year"), "paper_id").groupBy(C("author").alias("id")).agg(F.count_distinct("paper_id").alias("papers"), F.min("year").alias("first_year"), F.max("year").alias("last_year"))
     x = G.degrees(e).join(G.closeness(d, s.count()), "id").join(G.triangle_counts(e).select("id", "clustering"), "id")
-    return rounded(x.join(G.betweenness(e, s), "id").join(G.eigenvector(e).select("id", C("x").alias("eigenvector")), "id").join(life, "id", "left"))
+    return rounded(x.join(G.betweenness(e, s), "id").join(G.eigenvector(e, tol=1e-9).select("id", F.round("x", 5).alias("eigenvector")), "id").join(life, "id", "left"))
 
 
+def _over(views: str, body: str) -> str:
+    from corvella.plans.views import sql
+
+    return sql(views, body)
+
+
+LOCAL = _over(S, TRI.replace(CITED, WHOLE) + "SELECT id, round(CASE WHEN k > 1 THEN 2 * coalesce(triangles, 0) / (k * (k - 1)) ELSE 0 END, 6)::DOUBLE AS clustering FROM k LEFT JOIN t USING (id)")
+LIVES = _over("authorship papers", "SELECT author AS id, count(DISTINCT paper_id) AS papers, min(year) AS first_year, max(year) AS last_year FROM authorship JOIN papers USING (paper_id) GROUP BY 1")
+R.ORACLES["g33_all_centralities"] = f"SELECT g.*, c.closeness, c.harmonic, l.clustering, b.betweenness, e.x AS eigenvector, papers, first_year, last_year FROM ({R.ORACLES['g1_degrees']}) g JOIN ({R.ORACLES['g5_closeness']}) c USING (id) JOIN ({LOCAL}) l USING (id) JOIN ({R.ORACLES['g6_betweenness']}) b USING (id) JOIN ({R.ORACLES['g4_eigenvector']}) e USING (id) LEFT JOIN ({LIVES}) y USING (id)"
+
 R.add("g34_spectral_groups")(lambda v: G.spectral_groups(coauthors(v), 3))
 
 

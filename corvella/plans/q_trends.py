@@ -107,6 +107,8 @@ def history(v):
 R.add("b20_user_profiles")(lambda v: X.user_profile(history(v), v.table("embeddings")).select("user_id", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding")))
 PROFILES = USERS + ", x AS (SELECT user_id, vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM h JOIN embeddings USING (vec_id)), m AS (SELECT user_id, i, avg(x) AS x FROM x GROUP BY ALL), p AS (SELECT user_id, list(x ORDER BY i) AS e FROM m GROUP BY 1) "
 
+R.ORACLES["b20_user_profiles"] = PROFILES + "SELECT user_id, list_transform(e, lambda x: round(x, 6)) AS embedding FROM p"
+
 
 @R.add("b20_for_users", "", PROFILES + ", s AS (SELECT user_id, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], e), 9) AS score FROM p, embeddings WHERE (user_id, vec_id) NOT IN (SELECT (user_id, vec_id) FROM h)), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, vec_id)::INT AS rank FROM s) SELECT user_id, vec_id, rank, round(score, 6) AS score FROM r WHERE rank <= 5")
 def b20u(v):

@@ -38,7 +38,7 @@ def run(df: DataFrame, mode: str, label: str) -> DataFrame:
 
     q = df.writeStream.outputMode(mode).option("checkpointLocation", fresh_path(spark, f"{label}-state")).trigger(availableNow=True).foreachBatch(write).start()
     q.awaitTermination()
-    return spark.read.schema(schema).parquet(out)
+    return spark.read.schema(schema).parquet(out).select(*schema.names)
 
 
 def replay(table: DataFrame, order: str | None = None, batches: int = 1) -> DataFrame:

@@ -69,6 +69,8 @@ def test_against_sql(spark, name):
     for t in ("events", "labels"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     want = con.sql(catalog.oracle_sql()[name])
-    got = catalog.queries()[name](spark, DATA).select(*want.columns)
+    got = catalog.queries()[name](spark, DATA)
+    assert sorted(got.columns) == sorted(want.columns)
+    got = got.select(*want.columns)
     mine, theirs = sorted(map(str, (tuple(r) for r in got.collect()))), sorted(map(str, want.fetchall()))
     assert mine == theirs and mine

@@ -311,7 +311,7 @@ def label_propagation(edges: DataFrame, rounds: int | None = None, most: int = M
     return lab.select("id", "label")
 
 
-LEAST_GAIN = 1e-9
+LEAST_GAIN = 1e-6  # of modularity, by a pass over all nodes
 
 
 def _move_round(ways: DataFrame, lab: DataFrame, mass: DataFrame, gamma: float, turn: int) -> DataFrame:
@@ -340,21 +340,25 @@ def _local_moves(now: DataFrame, gamma: float) -> tuple[DataFrame, bool]:
     mass = materialise(now.groupBy("part").agg(F.sum("weight").alias("m")), "lv-mass")
     lab = materialise(deg.select("part", "id", "k", F.col("id").alias("label")), "lv-lab")
     q = materialise(modularities(now, lab, gamma).select("part", "modularity"), "lv-q")
-    moved, turn = False, 0
+    total = parts = before = q.count()
+    turn, trial, going = 0, lab, ways
     while True:
         active = q.select("part")
-        trial = lab.join(active, "part", "left_semi")
-        going = ways.join(active, "part", "left_semi")
+        if parts < before:  # some have ended
+            trial, going = lab.join(active, "part", "left_semi"), materialise(ways.join(active, "part", "left_semi"), "lv-ways")
         for _ in range(CLASSES):
             trial = _move_round(going, trial, mass, gamma, turn)
             turn += 1
         new = modularities(now.join(active, "part", "left_semi"), trial, gamma).select("part", F.col("modularity").alias("new"))
         q = materialise(new.join(q, "part").filter(F.col("new") > F.col("modularity") + LEAST_GAIN).select("part", F.col("new").alias("modularity")), "lv-q")
-        if q.isEmpty():
-            return lab.select("part", "id", "label"), moved
-        moved = True
-        better = q.select("part")
-        lab = materialise(lab.join(better, "part", "left_anti").union(trial.join(better, "part", "left_semi").select(*lab.columns)), "lv-lab")
+        before, parts = parts, q.count()
+        if not parts:
+            return lab.select("part", "id", "label"), turn > CLASSES
+        if parts == total:  # none has ended
+            lab = trial
+        else:
+            better = q.select("part")
+            lab = materialise(lab.join(better, "part", "left_anti").union(trial.join(better, "part", "left_semi").select(*lab.columns)), "lv-lab")
 
 
 def louvain_many(edges: DataFrame, gamma: float = 1.0) -> DataFrame:

@@ -157,13 +157,13 @@ def test_communities_of_many_graphs_at_once(spark):
     clique = lambda part, ids: [(part, a, b, 1) for a, b in itertools.combinations(ids, 2)]
     rows = clique(0, range(5)) + clique(0, range(5, 10)) + [(0, 4, 5, 1)] + clique(1, range(4)) + clique(1, range(4, 8)) + clique(1, range(8, 12)) + [(1, 3, 4, 1), (1, 7, 8, 1), (1, 11, 0, 1)] + [(2, 1, 2, 1)]
     e = spark.createDataFrame(rows, "part int, src long, dst long, weight long")
-    got = {}
-    for r in graph.louvain_many(e).collect():
+    got, found = {}, graph.louvain_many(e)
+    for r in found.collect():
         got.setdefault((r.part, r.label), set()).add(r.id)
     assert {(p, frozenset(v)) for (p, _), v in got.items()} == {(0, frozenset(range(5))), (0, frozenset(range(5, 10))), *((1, frozenset(range(i, i + 4))) for i in (0, 4, 8)), (2, frozenset({1, 2}))}
     one = e.filter("part = 0").drop("part")
-    labels = graph.louvain(one)
-    assert graph.modularity(one, labels).first().modularity == pytest.approx(graph.modularities(e, graph.louvain_many(e)).filter("part = 0").first().modularity)
+    mine = found.filter("part = 0").drop("part")
+    assert graph.modularity(one, mine).first().modularity == pytest.approx(graph.modularities(e, found).filter("part = 0").first().modularity)
     assert graph.louvain(one.limit(0)).count() == 0
     settled = {r.id: r.label for r in graph.label_propagation(one.withColumn("weight", F.lit(1.0))).collect()}
     assert len({settled[i] for i in range(4)}) == 1 and len({settled[i] for i in range(6, 10)}) == 1

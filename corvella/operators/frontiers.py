@@ -121,11 +121,11 @@ def coupling(references: DataFrame) -> DataFrame:
     return pair_counts(references, "ref", "paper_id").select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight")
 
 
-def structural_variation(references: DataFrame, years: DataFrame, width: int = 3) -> DataFrame:
+def structural_variation(references: DataFrame, years: DataFrame, width: int = 3, passes: int | None = None, levels: int | None = None) -> DataFrame:
     """(bin, papers, communities, modularity, change) of the coupling graph of each bin of years (N11), all bins in one run.
 
     A bin is split by moves towards higher modularity where its graph is connected, else by components; communities are
-    scored without weights.
+    scored without weights. ``passes`` and ``levels`` bound the moves (``graph.louvain_many``); without them they go on to the end.
     """
     b = (F.floor(F.col("year") / width) * width).cast("int")
     rows = references.join(years.select("paper_id", b.alias("bin")), "paper_id").select(F.struct("bin", "ref").alias("of"), F.struct("bin", "paper_id").alias("paper"))
@@ -133,7 +133,7 @@ def structural_variation(references: DataFrame, years: DataFrame, width: int = 3
     c = materialise(components(pairs, "a", "b").select(F.col("id.bin").alias("part"), F.col("id.paper_id").alias("id"), F.col("component.paper_id").alias("label")), "bin-components")
     flat = pairs.select(F.col("a.bin").alias("part"), F.col("a.paper_id").alias("src"), F.col("b.paper_id").alias("dst"), F.lit(1).alias("weight"))
     whole = c.groupBy("part").agg(F.count_distinct("label").alias("n")).filter("n = 1").select("part")
-    labels = G.louvain_many(flat.join(whole, "part", "left_semi")).unionByName(c.join(whole, "part", "left_anti"))
+    labels = G.louvain_many(flat.join(whole, "part", "left_semi"), passes=passes, levels=levels).unionByName(c.join(whole, "part", "left_anti"))
     q = G.modularities(flat, labels).join(c.groupBy("part").agg(F.count(F.lit(1)).alias("papers")), "part")
     t = q.select(F.col("part").alias("bin"), "papers", "communities", "modularity")
     return t.withColumn("change", F.col("modularity") - F.lag("modularity").over(Window.orderBy("bin")))  # one row per bin

@@ -330,7 +330,7 @@ def _move_round(ways: DataFrame, lab: DataFrame, mass: DataFrame, gamma: float,
     return materialise(at.select("part", "id", "k", F.when(may & (F.col("g") > stay + 1e-12), F.col("best")).otherwise(F.col("label")).alias("label")), "lv-lab")
 
 
-def _local_moves(now: DataFrame, gamma: float) -> tuple[DataFrame, bool]:
+def _local_moves(now: DataFrame, gamma: float, passes: int | None) -> tuple[DataFrame, bool]:
     """(part, id, label) after passes over all nodes, and whether any part got better. A pass that does not raise a part's modularity is
     undone and ends that part, so each goes up to the end."""
     loops = now.filter("src = dst")
@@ -359,23 +359,29 @@ def _local_moves(now: DataFrame, gamma: float) -> tuple[DataFrame, bool]:
         else:
             better = q.select("part")
             lab = materialise(lab.join(better, "part", "left_anti").union(trial.join(better, "part", "left_semi").select(*lab.columns)), "lv-lab")
+        if passes is not None and turn >= passes * CLASSES:
+            return lab.select("part", "id", "label"), True
 
 
-def louvain_many(edges: DataFrame, gamma: float = 1.0) -> DataFrame:
+def louvain_many(edges: DataFrame, gamma: float = 1.0, passes: int | None = None, levels: int | None = None) -> DataFrame:
     """(part, id, label) of many graphs in one run (G9): synchronous local moves towards higher modularity, then contraction, until nothing gains.
 
     edges: part, src, dst, weight. In a round only one of ``CLASSES`` hash classes of nodes may move, so that few neighbours move at once.
+    ``passes`` and ``levels``: that many passes a level and levels at the most, for a rougher partition in less time.
     """
     w = F.col("weight").cast("double")
     now = materialise(edges.groupBy("part", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.sum(w).alias("weight")), "lv-edges")
     member = materialise(now.select("part", F.explode(F.array("src", "dst")).alias("id")).distinct().select("part", "id", F.col("id").alias("label")), "lv-member")
-    while True:
-        up, moved = _local_moves(now, gamma)
+    done = 0
+    while levels is None or done < levels:
+        up, moved = _local_moves(now, gamma, passes)
+        done += 1
         if not moved:
             return member
         member = materialise(member.join(up.select("part", F.col("id").alias("label"), F.col("label").alias("up")), ["part", "label"], "left").select("part", "id", F.coalesce("up", "label").alias("label")), "lv-member")
         x = now.join(up.select("part", F.col("id").alias("src"), F.col("label").alias("s")), ["part", "src"]).join(up.select("part", F.col("id").alias("dst"), F.col("label").alias("d")), ["part", "dst"])
         now = materialise(x.groupBy("part", F.least("s", "d").alias("src"), F.greatest("s", "d").alias("dst")).agg(F.sum("weight").alias("weight")), "lv-edges")
+    return member
 
 
 def louvain(edges: DataFrame, gamma: float = 1.0) -> DataFrame:

@@ -100,7 +100,7 @@ def b19f(v):
     return FR.fading_regions(yearly_regions(v))
 
 
-R.add("n11_structural_variation")(lambda v: rounded(FR.structural_variation(v.references, v.papers.select("paper_id", "year")), 4))
+R.add("n11_structural_variation")(lambda v: rounded(FR.structural_variation(v.references, v.papers.select("paper_id", "year"), passes=2, levels=2), 4))
 
 
 @R.add("n12_research_fronts")

@@ -33,7 +33,7 @@ def h_index(papers: DataFrame, keys: list[str], value: Column | None = None, tie
     v = F.coalesce(F.col("citations"), F.lit(0)) if value is None else value
     r = ranked(papers, keys, v, list(tie))
     return r.groupBy(*keys).agg(
-        _h().alias("h_index"), F.coalesce(F.max(F.when(F.col("running") >= F.col("rank") * F.col("rank"), F.col("rank"))), F.lit(0)).alias("g_index"),
+        _h().alias("h_index"), F.coalesce(F.max(F.when(F.col("running") >= F.col("rank").cast("long") * F.col("rank"), F.col("rank"))), F.lit(0)).alias("g_index"),
         F.count_if(F.col("value") >= 10).alias("i10_index"),
     )
 
@@ -94,7 +94,7 @@ def compute_all(papers: DataFrame, keys: list[str], current_year: int, tie: tupl
     span = F.greatest(F.lit(current_year) - first + 1, F.lit(1))
     return r.groupBy(*keys).agg(
         F.max("h").alias("h_index"),
-        F.coalesce(F.max(F.when(F.col("running") >= F.col("rank") * F.col("rank"), F.col("rank"))), F.lit(0)).alias("g_index"),
+        F.coalesce(F.max(F.when(F.col("running") >= F.col("rank").cast("long") * F.col("rank"), F.col("rank"))), F.lit(0)).alias("g_index"),
         F.count_if(F.col("value") >= 10).alias("i10_index"),
         F.sqrt(F.coalesce(F.sum(F.when(core, F.col("value") - F.col("h"))), F.lit(0)).cast("double")).alias("e_index"),
         F.count_if(F.col("value") >= 2 * F.col("h")).alias("q2_index"),

@@ -104,7 +104,8 @@ def history(v):
     return v.table("events").filter("event_type = 'purchase'").join(F.broadcast(n)).select("user_id", (C("event_id") % C("n")).alias("vec_id")).distinct()  # one row
 
 
-R.add("b20_user_profiles")(lambda v: X.user_profile(history(v), v.table("embeddings")).select("user_id", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding")))
+# a small negative mean rounds to -0.0, as in SQL
+R.add("b20_user_profiles")(lambda v: X.user_profile(history(v), v.table("embeddings")).select("user_id", F.transform("embedding", lambda x: F.signum(x) * F.round(F.abs(x), 6)).alias("embedding")))
 PROFILES = USERS + ", x AS (SELECT user_id, vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM h JOIN embeddings USING (vec_id)), m AS (SELECT user_id, i, avg(x) AS x FROM x GROUP BY ALL), p AS (SELECT user_id, list(x ORDER BY i) AS e FROM m GROUP BY 1) "
 
 R.ORACLES["b20_user_profiles"] = PROFILES + "SELECT user_id, list_transform(e, lambda x: round(x, 6)) AS embedding FROM p"

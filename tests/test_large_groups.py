@@ -1,7 +1,9 @@
 """What only shows in large groups or tables."""
 
+import duckdb
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from corvella.operators import indices
 
 
@@ -10,3 +12,13 @@ def test_squares_of_ranks_do_not_overflow(spark):
     p = spark.range(n).select(F.lit("j").alias("journal"), F.col("id").alias("paper_id"), F.lit(50_000).alias("citations"), F.lit(2000).alias("year"))
     assert indices.h_index(p, ["journal"], tie=("paper_id",)).first()[1:] == (n, n, n)
     assert indices.compute_all(p, ["journal"], 2002, ("paper_id",)).select("h_index", "g_index").first() == (n, n)
+
+
+def test_profiles_keep_the_sign_of_a_mean_that_rounds_to_zero(spark, tmp_path):
+    con = duckdb.connect()
+    con.sql("CREATE TABLE embeddings AS SELECT * FROM (VALUES (0::BIGINT, [-1e-7, 0.25, 1e-7, 0.0]::FLOAT[], 1), (1, [-2e-7, -0.5, 0.0, 0.0]::FLOAT[], 2)) t(vec_id, embedding, label)")
+    con.sql("CREATE TABLE events AS SELECT i::BIGINT AS event_id, (i // 2)::BIGINT AS user_id, 'purchase' AS event_type FROM range(4) t(i)")
+    for name in ("embeddings", "events"):
+        con.sql(f"COPY {name} TO '{tmp_path}/{name}.parquet'")
+    mine = sorted((r.user_id, repr(r.embedding)) for r in entry.queries()["b20_user_profiles"](spark, str(tmp_path)).collect())
+    assert mine == sorted((u, repr(e)) for u, e in con.sql(entry.oracle_sql()["b20_user_profiles"]).fetchall())

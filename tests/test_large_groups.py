@@ -4,7 +4,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from corvella.operators import indices
+from corvella.operators import indices, networks
 
 
 def test_squares_of_ranks_do_not_overflow(spark):
@@ -22,3 +22,13 @@ def test_profiles_keep_the_sign_of_a_mean_that_rounds_to_zero(spark, tmp_path):
         con.sql(f"COPY {name} TO '{tmp_path}/{name}.parquet'")
     mine = sorted((r.user_id, repr(r.embedding)) for r in entry.queries()["b20_user_profiles"](spark, str(tmp_path)).collect())
     assert mine == sorted((u, repr(e)) for u, e in con.sql(entry.oracle_sql()["b20_user_profiles"]).fetchall())
+
+
+def test_projection_by_counts_equals_that_by_arrays(spark):
+    rows = [(p, a) for p in range(30) for a in range(9) if (p * 7 + a * a) % 4 == 0]
+    m = spark.createDataFrame([*rows, *rows[:5], (None, 3)], "g long, i long")
+    size = lambda x, y: F.size(F.array_intersect(x, y)) / (F.size(x) + F.size(y)) * 2
+    want = {tuple(r) for r in networks.generic_projection(m, "g", "i", size).collect()}
+    found = networks.generic_projection(m, "g", "i", lambda s, x, y: s / (x + y) * 2, counts=True)
+    assert {tuple(r) for r in found.collect()} == want and len(want) > 10
+    assert "collect_set" not in found._jdf.queryExecution().toString()

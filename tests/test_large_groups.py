@@ -1,10 +1,12 @@
 """What only shows in large groups or tables."""
 
 import duckdb
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from corvella.operators import indices, networks
+from corvella.operators import indices, networks, similarity, trends
 
 
 def test_squares_of_ranks_do_not_overflow(spark):
@@ -32,3 +34,38 @@ def test_projection_by_counts_equals_that_by_arrays(spark):
     found = networks.generic_projection(m, "g", "i", lambda s, x, y: s / (x + y) * 2, counts=True)
     assert {tuple(r) for r in found.collect()} == want and len(want) > 10
     assert "collect_set" not in found._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("keep_self", [False, True])
+def test_top_by_cosine_equals_a_plain_search(keep_self):
+    r = np.random.default_rng(3)
+    x = np.round(r.normal(size=(9_000, 6)), 1)  # many ties
+    x[5] = 0
+    xid = r.permutation(20_000)[: len(x)]
+    pick = r.integers(0, len(x), 1_100)
+    q, qid = x[pick], xid[pick]
+    unit = lambda g: g / np.where((n := np.linalg.norm(g, axis=1, keepdims=True)) > 0, n, 1.0)
+    for k in (1, 7, 9_500):
+        few = slice(None) if k < 100 else slice(0, 3)
+        got = similarity.top_by_cosine(q[few], x, qid[few], xid, k, keep_self)
+        want = similarity._top_plainly(unit(q[few]), unit(x), qid[few], xid, k, keep_self)
+        assert all(np.array_equal(a, b) for a, b in zip(got[:2], want[:2], strict=True)) and np.allclose(got[2], want[2], atol=1.1e-9, rtol=0)
+
+
+def test_an_exact_search_copies_rows_few_times(spark, monkeypatch):
+    e = spark.range(20_000).select(F.col("id").alias("vec_id"), F.array(F.sin("id").cast("float"), F.cos("id").cast("float")).alias("embedding"))
+    dealt, run = [], similarity.best_of_cells
+    monkeypatch.setattr(similarity, "best_of_cells", lambda q, x, *rest: dealt.append((q, x)) or run(q, x, *rest))
+    trends.nearest(e, e, 3)
+    assert [(df.count(), df.schema["v"].dataType.simpleString()) for df in dealt[0]] == [(160_000, "array<float>")] * 2
+
+
+def test_candidates_are_scored_in_their_buckets(spark, monkeypatch):
+    """Copies of one vector make large buckets; vectors travel per bucket, not per pair."""
+    r = np.random.default_rng(5)
+    rows = [(i, [float(z) for z in (r.normal(size=5) if i % 3 else np.ones(5))]) for i in range(600)]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {(x.query_id, x.vec_id, x.rank) for x in similarity.nearest(e, e, 4, bits=3).collect()}
+    monkeypatch.setattr(similarity, "HOT_ROWS", 40)
+    assert {(x.query_id, x.vec_id, x.rank) for x in similarity.nearest(e, e, 4, bits=3).collect()} == whole
+    assert {(x.query_id, x.vec_id, x.rank) for x in trends.nearest(e, e, 4).collect()} == {(x.query_id, x.vec_id, x.rank) for x in similarity.nearest(e, e, 4, bits=0).collect()}

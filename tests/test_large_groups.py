@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from corvella.operators import indices, networks, similarity, trends
+from corvella.operators import graph, indices, networks, similarity, trends
 
 
 def test_squares_of_ranks_do_not_overflow(spark):
@@ -69,3 +69,28 @@ def test_candidates_are_scored_in_their_buckets(spark, monkeypatch):
     monkeypatch.setattr(similarity, "HOT_ROWS", 40)
     assert {(x.query_id, x.vec_id, x.rank) for x in similarity.nearest(e, e, 4, bits=3).collect()} == whole
     assert {(x.query_id, x.vec_id, x.rank) for x in trends.nearest(e, e, 4).collect()} == {(x.query_id, x.vec_id, x.rank) for x in similarity.nearest(e, e, 4, bits=0).collect()}
+
+
+def test_peeling_writes_edges_seldom_and_looks_at_what_can_change(spark, monkeypatch):
+    r = np.random.default_rng(9)
+    rows = {tuple(sorted(p)) for p in r.integers(0, 60, (170, 2)).tolist() if p[0] != p[1]} | {(i, i + 1) for i in range(60, 84)}  # and a chain
+    near = {}
+    for a, b in rows:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    left, layers, cores, core, layer = {v: set(n) for v, n in near.items()}, {}, {}, 1, 0
+    while left:
+        layer, core = layer + 1, max(core, min(map(len, left.values())))
+        go = [v for v, n in left.items() if len(n) <= core]
+        for v in go:
+            layers[v], cores[v] = layer, core
+            for u in left.pop(v):
+                if u in left:
+                    left[u].discard(v)
+    written, write = [], graph.materialise
+    monkeypatch.setattr(graph, "materialise", lambda df, label: written.append(label) or write(df, label))
+    e = spark.createDataFrame(sorted(rows), "src long, dst long")
+    assert dict(graph.onion_layers(e).collect()) == layers and layer > 8
+    assert written.count("onion-edges") < layer / 2
+    assert dict(graph.core_numbers(e).collect()) == cores
+    assert "core-hit" in written

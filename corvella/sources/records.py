@@ -264,8 +264,9 @@ def adjacency_lines(edges: DataFrame) -> DataFrame:
 
 
 def read_adjacency_lines(lines: DataFrame) -> DataFrame:
-    p = F.split(F.trim("value"), r"\s+")
-    return lines.select(p[0].alias("src"), F.explode(F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0)))).alias("dst"))
+    """Edges src, dst. A line is split once, and neither it nor its parts are carried along with every neighbour."""
+    p = lines.select(F.split(F.trim("value"), r"\s+").alias("p"))
+    return p.select(F.col("p")[0].alias("src"), F.slice("p", 2, F.greatest(F.size("p") - 1, F.lit(0))).alias("n")).select("src", F.explode("n").alias("dst"))
 
 
 def json_links(edges: DataFrame) -> DataFrame:

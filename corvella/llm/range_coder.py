@@ -32,6 +32,7 @@ BITS = 48  # doubles hold all values exactly
 WHOLE, BOTTOM = np.uint64((1 << BITS) - 1), np.uint64(1 << (BITS - 16))
 UNDER = BOTTOM - np.uint64(1)
 S16, TOP, OVER, SW, SC = (np.uint64(k) for k in (16, BITS - 16, BITS, WEIGHT_BITS, CURVE_BITS))
+LOW16, MOD_WEIGHTS = np.uint64(0xFFFF), np.uint64((1 << WEIGHT_BITS) - 1)
 HEAD_WORDS = BITS // 16
 
 
@@ -46,6 +47,8 @@ def fixed_curve(alphabet: int) -> np.ndarray:
 # Steps of a 32nd of the way, rounded down, never bring two of them closer than 16.
 # Four 16-bit weights travel as one 64-bit number, so that a lane's are read and written at once.
 _GOALS = np.array([[16 * k + ((1 << WEIGHT_BITS) - 64) * (k > e) for k in range(4)] for e in range(4)], dtype=np.int16).view(np.uint64).ravel()
+_SURER = np.array([1, 2, 3, 3], dtype=np.uint32) << 16  # a right prediction's next confidence
+_SPREAD1, _SPREAD2, _ONE, _TO_SLOT = (np.uint32(k) for k in (2654435761, 2246822519, 1, 32 - SLOT_BITS))
 _START = np.array([k << (WEIGHT_BITS - 2) for k in range(4)], dtype=np.int16).view(np.uint64)
 
 
@@ -69,13 +72,14 @@ class Model:
             self._snapshot()
         n = self.active
         k1 = self.key1[:n]
-        self.at1 = (k1 >> np.uint32(32 - SLOT_BITS)) + self.slots[:n]
-        self.at2 = ((k1 ^ self.key2[:n]) >> np.uint32(32 - SLOT_BITS)) + self.slots[:n]
+        self.at1 = (k1 >> _TO_SLOT) + self.slots[:n]
+        self.at2 = ((k1 ^ self.key2[:n]) >> _TO_SLOT) + self.slots[:n]
         e1, e2 = self.order1.take(self.at1), self.order2.take(self.at2)
         self.id1, self.id2 = e1 & 0xFFFF, e2 & 0xFFFF
         self.conf1, self.conf2 = e1 >> 16, e2 >> 16
         self.context = (self.conf2 << 3) + (self.conf1 << 1) + (self.id1 == self.id2) + self.contexts[:n]
-        self.w = self.weights.take(self.context).view(np.int16).reshape(-1, 4)
+        self.packed = self.weights.take(self.context)
+        self.w = self.packed.view(np.int16).reshape(-1, 4)  # the same memory
 
     def _snapshot(self) -> None:
         self.width = self.seen
@@ -86,19 +90,17 @@ class Model:
         """``ids`` are uint32."""
         n = self.active
         self.w += (_GOALS.take(event).view(np.int16).reshape(-1, 4) - self.w) >> ADAPT
-        self.weights[self.context] = self.w.view(np.uint64).ravel()  # lanes are distinct rows
-        self.order1[self.at1] = ids | ((np.minimum(self.conf1 + 1, 3) << 16) * (self.id1 == ids))
-        self.order2[self.at2] = ids | ((np.minimum(self.conf2 + 1, 3) << 16) * (self.id2 == ids))
-        self.key2[:n] = self.key1[:n] * np.uint32(2246822519) + np.uint32(1)
-        self.key1[:n] = (ids + np.uint32(1)) * np.uint32(2654435761)
+        self.weights[self.context] = self.packed  # lanes are distinct rows
+        self.order1[self.at1] = ids | (_SURER.take(self.conf1) * (self.id1 == ids))
+        self.order2[self.at2] = ids | (_SURER.take(self.conf2) * (self.id2 == ids))
+        self.key2[:n] = self.key1[:n] * _SPREAD2 + _ONE
+        self.key1[:n] = (ids + _ONE) * _SPREAD1
         self.seen += 1
 
     def interval(self, event: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Cumulative weight and weight of each lane's event."""
-        flat = (self.row[: self.active] << 2) + event
-        low = self.w.reshape(-1).take(flat).astype(np.uint64)
-        high = self.w.reshape(-1).take(np.minimum(flat + 1, (self.row[: self.active] << 2) + 3)).astype(np.uint64)
-        return low, np.where(event == 3, np.uint64(1 << WEIGHT_BITS), high) - low
+        part = self.packed >> (event << 4).astype(np.uint64)  # the event's cumulative weight comes first, the next event's after it
+        return part & LOW16, ((part >> S16) - part) & MOD_WEIGHTS  # after the last there is 0, which is all of the weight by that modulus
 
 
 class DecoderModel(Model):
@@ -164,11 +166,11 @@ class _Out:
 
     def put(self, n: int, low: np.ndarray, rng: np.ndarray) -> None:
         """New state of the first ``n`` lanes; ``low`` may have run over, and up to two words are due."""
-        over = np.flatnonzero(low > WHOLE)
+        over = (low > WHOLE).nonzero()[0]
         if len(over):
             self.flat[self.at[over] - 1] += 1
             low &= WHOLE
-        who = np.flatnonzero(rng < BOTTOM)
+        who = (rng < BOTTOM).nonzero()[0]
         while len(who):
             part, to = low[who], self.at[who]
             self.flat[to] = part >> TOP
@@ -214,7 +216,7 @@ def encode_blocks(blocks: list[np.ndarray], alphabet: int) -> list[bytes]:
         model.active, ids = n, grid[t, :n]
         model.predict()
         event = np.where(model.id2 == ids, 0, np.where(model.id1 == ids, 1, 3))
-        miss = np.flatnonzero(event == 3)
+        miss = (event == 3).nonzero()[0]
         first, count = model.places(miss)
         found = count > 0
         old, new = miss[found], miss[~found]
@@ -272,7 +274,7 @@ def decode_blocks(blocks: list[bytes], alphabet: int) -> list[np.ndarray]:
         cum, freq = model.interval(event)
         code, rng = code_all[:n] - r * cum, r * freq
         ids = np.where(event == 0, model.id2, model.id1)
-        old, new = np.flatnonzero(event == 2), np.flatnonzero(event == 3)
+        old, new = (event == 2).nonzero()[0], (event == 3).nonzero()[0]
         if len(old):
             part, r = code[old], rng[old] // np.uint64(model.width)
             place = np.minimum(_quotient(part, r), model.width - 1).astype(np.int64) + old * model.width
@@ -286,7 +288,7 @@ def decode_blocks(blocks: list[bytes], alphabet: int) -> list[np.ndarray]:
             code[new] = part - r * lo
             rng[new] = r * (curve[found + 1] - lo)
             ids[new] = found
-        who = np.flatnonzero(rng < BOTTOM)
+        who = (rng < BOTTOM).nonzero()[0]
         while len(who):
             to = at[who]
             code[who] = (code[who] << S16) | flat[to]
@@ -306,5 +308,5 @@ def decode_blocks(blocks: list[bytes], alphabet: int) -> list[np.ndarray]:
 
 
 def _quotient(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """floor(a / b) below 2 ** 21 for integers below 2 ** 48: doubles are exact enough, and faster than integer division."""
-    return np.floor(a.astype(np.float64) / np.maximum(b, 1).astype(np.float64))
+    """floor(a / b) below 2 ** 21 for integers below 2 ** 48 (b above 0, as ranges never fall below ``BOTTOM``): doubles are exact enough, and faster than integer division."""
+    return np.floor(a.astype(np.float64) / b.astype(np.float64))

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+import pickle
+from collections.abc import Callable, Iterator
+from typing import TypeVar
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+Model = TypeVar("Model")
+
 
 def fold(doc_id: str, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo ``modulus``; a null id counts as empty text."""
@@ -33,14 +41,25 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, used: Column,
     return sample if share == 1 else sample.filter(F.pmod(F.xxhash64("text"), F.lit(BUCKETS)) < int(BUCKETS * share))
 
 
-def gathered(rows: DataFrame, lists: str) -> tuple[list[np.ndarray], np.ndarray]:
-    """The distinct arrays and labels (column y) of a bounded sample, on the driver, in an order fixed by their contents."""
-    table = rows.select(lists, "y").toArrow()
-    column = table.column(lists).combine_chunks()
-    column = column.chunk(0) if hasattr(column, "chunk") else column
-    values, cuts = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-    got = [values[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-    y = table.column("y").to_numpy().astype(np.float64)
-    once = {(y[i], got[i].tobytes()): i for i in range(len(got))}
-    order = sorted(once.values(), key=lambda i: (y[i], len(got[i]), got[i][:8].tobytes()))
-    return [got[i] for i in order], y[order]
+def _distinct(columns: Iterator[tuple[pa.Array, pa.Array]]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct arrays and labels of (lists, labels), in an order fixed by their contents."""
+    once = {}
+    for lists, labels in columns:
+        values, cuts = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+        for a, b, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), labels.to_pylist(), strict=True):
+            own = values[a:b].copy()
+            once.setdefault((y, b - a, own[:8].tobytes(), hashlib.blake2b(own.tobytes(), digest_size=16).digest()), own)
+    order = sorted(once)
+    return [once[k] for k in order], np.array([k[0] for k in order], dtype=np.float64)
+
+
+def fitted(rows: DataFrame, lists: str, fit: Callable[[list[np.ndarray], np.ndarray], Model]) -> Model:
+    """What ``fit`` makes of the distinct arrays (column ``lists``) and labels (column y) of a bounded sample. It runs in one task, so that the driver holds the
+    model alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = fit(*_distinct((b.column(lists), b.column("y")) for b in batches))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    made = rows.select(lists, "y").repartition(1).mapInArrow(run, "model binary").first()
+    return fit([], np.zeros(0)) if made is None else pickle.loads(made.model)

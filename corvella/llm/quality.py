@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvella.llm.labelled import gathered, training_rows
+from corvella.llm.labelled import fitted, training_rows
 
 TOKENS = re.compile(r"\w+|[^\w\s]+")
 BUCKETS = 1 << 16
@@ -38,7 +38,7 @@ HIDDEN = 32
 FIT_ROWS = 8_000
 EPOCHS = 60
 REPEAT, CAPITALS = 0, 1
-CACHE_TOKENS = 500_000
+CACHE_TOKENS = 100_000  # some 150 bytes each, in every worker
 
 
 class TokenBuckets(dict):
@@ -178,14 +178,14 @@ def fit(texts: list[np.ndarray], y: np.ndarray, seed: int = 5) -> QualityModel:
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, used: Column, label: str = "quality", rows: int = FIT_ROWS) -> QualityModel:
-    """Fit on about ``rows`` labelled documents; their buckets are gathered here, made on executors."""
+    """Fit on about ``rows`` labelled documents; their buckets meet in one task."""
 
     def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = TokenBuckets()
         for f in frames:
             yield pd.DataFrame({"t": [buckets(t, known) for t in f["text"]], "y": f["y"]})
 
-    return fit(*gathered(training_rows(docs, labels, label, used, rows).mapInPandas(split, "t array<int>, y int"), "t"))
+    return fitted(training_rows(docs, labels, label, used, rows).mapInPandas(split, "t array<int>, y int"), "t", fit)
 
 
 def score(docs: DataFrame, model: QualityModel) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvella.llm.labelled import gathered, training_rows
+from corvella.llm.labelled import fitted, training_rows
 
 WORDS = re.compile(r"[^\W\d_]+")
 #: Terms are hashed into this many, which bounds the model; words that share a hash share a weight.
@@ -33,6 +33,8 @@ SPACE = 1 << 20
 #: Fitting reads about this many labelled rows, whatever the size of the corpus.
 FIT_ROWS = 16_000
 FACTORS = 4
+#: Words a worker keeps the slots of; each takes some 150 bytes in every worker.
+CACHE_WORDS = 100_000
 EPOCHS, SECOND_EPOCHS = 10, 60
 BATCH = 256
 WEIGHT_STEP, VECTOR_STEP = 0.3, 0.05
@@ -136,13 +138,13 @@ def _descend(m: FactorizationMachine, hashes: list[np.ndarray], y: np.ndarray, r
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, used: Column, label: str = "toxic", rows: int = FIT_ROWS) -> FactorizationMachine:
-    """Fit on about ``rows`` labelled documents; their term hashes are gathered here, made on executors."""
+    """Fit on about ``rows`` labelled documents; their term hashes meet in one task."""
 
     def hashed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame({"h": [np.sort(np.array(term_hashes(t), dtype=np.int64)) for t in f["text"]], "y": f["y"]})
+            yield pd.DataFrame({"h": [np.sort(np.array(term_hashes(t), dtype=np.int32)) for t in f["text"]], "y": f["y"]})
 
-    return fit(*gathered(training_rows(docs, labels, label, used, rows).mapInPandas(hashed, "h array<long>, y int"), "h"))
+    return fitted(training_rows(docs, labels, label, used, rows).mapInPandas(hashed, "h array<int>, y int"), "h", fit)
 
 
 class _TermSlots(dict):
@@ -154,7 +156,7 @@ class _TermSlots(dict):
 
     def __missing__(self, word: str) -> int:
         at = self.known.get(term_hash(word), -1)
-        if len(self) < 500_000:
+        if len(self) < CACHE_WORDS:
             self[word] = at
         return at
 

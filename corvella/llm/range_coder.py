@@ -20,12 +20,12 @@ import zlib
 
 import numpy as np
 
-BLOCK = 2048
+BLOCK = 1024
 LANES = 4096
 SLOT_BITS = 10
 WEIGHT_BITS = 12
 ADAPT = 5
-SNAPSHOTS = (16, 32, 64, 128, 256, 512, 1024, 1536)  # then each half as many again
+SNAPSHOTS = (16, 32, 64, 128, 256, 512)  # then each half as many again
 CURVE_BITS = 20
 HEADER = struct.Struct("<III")  # ids, payload bytes, crc32 of the ids as little-endian unsigned 32-bit integers
 BITS = 48  # doubles hold all values exactly

@@ -1,4 +1,4 @@
-"""Fitting stays off the driver, and does not depend on the order of rows."""
+"""Fitting stays off the driver, and does not depend on the order of rows; the coder works in wide steps."""
 
 import os
 
@@ -35,3 +35,16 @@ def test_word_caches_are_small():
     for k in range(150_000):
         slots[f"w{k}"]
     assert max(len(words), len(slots)) <= 100_000
+
+
+def test_coder_takes_few_steps_for_many_ids(monkeypatch):
+    """A step costs the same for few lanes as for many, so 200,000 ids are many short blocks, not few long ones."""
+    from corvella.llm import range_coder
+
+    steps = []
+    monkeypatch.setattr(range_coder.EncoderModel, "update", lambda self, ids, event, whole=range_coder.EncoderModel.update: (steps.append(self.active), whole(self, ids, event)))
+    ids = (np.random.default_rng(3).zipf(1.3, 200_000) % 50_000).astype(np.uint32)
+    blocks = [ids[lo : lo + range_coder.BLOCK] for lo in range(0, len(ids), range_coder.BLOCK)]
+    made = range_coder.encode_blocks(blocks, 1 << 16)
+    assert len(steps) <= 1024 and sum(steps) == len(ids)
+    assert all((a == b).all() for a, b in zip(blocks, range_coder.decode_blocks(made, 1 << 16), strict=True))

@@ -48,3 +48,13 @@ def test_triangles_are_counted_without_a_list(spark, some_edges, monkeypatch, si
         near.setdefault(a, set()).add(b), near.setdefault(b, set()).add(a)
     got = {r.id: (r.triangles, r.k) for r in graph.triangle_counts(spark.createDataFrame(some_edges, "src long, dst long")).collect()}
     assert got == {a: (sum(y in near[x] for x, y in itertools.combinations(n, 2)), len(n)) for a, n in near.items()}
+
+
+def test_betweenness_and_distances_share_one_search(spark, monkeypatch):
+    runs = []
+    monkeypatch.setattr(graph, "_hops", lambda *a, hops=graph._hops: (runs.append(1), hops(*a))[1])
+    e = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (2, 4)], "src long, dst long")
+    found = graph.searched(e, graph.vertices(e))
+    got = {r.id: r.betweenness for r in graph.betweenness(e, graph.vertices(e), found=found).collect()}
+    assert got == {1: 0.0, 2: 2.0, 3: 0.0, 4: 0.0} and len(runs) == 1
+    assert {(r.source, r.id): r.dist for r in graph.searched_distances(found).collect()}[1, 4] == 2

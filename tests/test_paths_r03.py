@@ -1,11 +1,10 @@
-import itertools
 import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from corvella.operators import graph, paths
+from corvella.operators import blocks, graph, paths
 
 
 @pytest.mark.parametrize("directed, cutoff", [(True, 2), (True, 4), (False, 3), (False, 2.5), (True, 0), (True, math.inf)])
@@ -35,3 +34,45 @@ def test_paths_of_few_steps_grow_forwards(spark, monkeypatch, directed, cutoff):
     if cutoff == 2:  # nothing but the edges is written, and who counts the paths does not make them
         assert written == ["path-edges"]
         assert "concat" not in got.groupBy("source", "dist").agg(F.count(F.lit(1)))._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("dense, directed", [(1, False), (5, True), (10**6, False)])
+def test_weighted_paths_by_blocks_and_rows(spark, monkeypatch, dense, directed):
+    monkeypatch.setattr(blocks, "BLOCK", 4)
+    monkeypatch.setattr(blocks, "DENSE", dense)
+    r = random.Random(dense)
+    edges = {tuple(sorted(r.sample(range(10), 2))): r.choice([1.0, 2.0, 3.0, 0.5]) for _ in range(30)} | {(20, 21): 1.0, (21, 22): 2.0, (22, 10): 1.0}
+    near = {}
+    for (a, b), w in edges.items():
+        near.setdefault(a, {})[b] = w
+        near.setdefault(b, {}).update({} if directed else {a: w})
+    dist = {s: {s: 0.0} for s in near}
+    for _ in near:
+        for s in near:
+            for u, d in list(dist[s].items()):
+                for x, w in near[u].items():
+                    dist[s][x] = min(dist[s].get(x, math.inf), d + w)
+    before = lambda s, t: sorted(u for u in near if u in dist[s] and dist[s][u] + near[u].get(t, math.inf) == dist[s][t])
+    every = lambda s, t: [(s,)] if s == t else [(*p, t) for u in before(s, t) for p in every(s, u)]
+    first = lambda s, t: (s,) if s == t else (*first(s, before(s, t)[0]), t)
+    e = spark.createDataFrame([(f"v{a:02}", f"v{b:02}", w) for (a, b), w in edges.items()], "src string, dst string, weight double")
+    of = lambda rows: sorted((x.source, x.id, x.dist, tuple(x.path)) for x in rows.collect())
+    name = lambda p: tuple(f"v{x:02}" for x in p)
+    pairs = [(s, t) for s in dist for t in dist[s]]
+    assert of(paths.shortest_paths(e, graph.vertices(e), directed=directed)) == sorted((*name((s, t)), dist[s][t], name(first(s, t))) for s, t in pairs)
+    assert of(paths.all_shortest_paths(e, graph.vertices(e), 3, "weight", directed)) == sorted((*name((s, t)), dist[s][t], name(p)) for s, t in pairs if dist[s][t] <= 3 for p in every(s, t))
+    want = dict.fromkeys(near, 0.0)
+    for s, t in pairs:
+        for p in every(s, t):
+            for x in p[1:-1]:
+                want[x] += 1 / len(every(s, t)) / (1 if directed else 2)
+    got = {x.id: x.betweenness for x in paths.weighted_betweenness(e, graph.vertices(e), directed=directed).collect()}
+    assert set(got) == {f"v{x:02}" for x in near} and all(math.isclose(got[f"v{x:02}"], b, abs_tol=1e-9) for x, b in want.items())
+
+
+def test_weighted_edges_of_a_dense_graph_are_one_block(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "DENSE", 100)
+    e = spark.createDataFrame([(i, j, 1.0) for i in range(40) for j in range(i + 1, 40)], "src long, dst long, weight double")
+    _, costs, best = paths._nearest(e, graph.vertices(e), "weight", False, None)
+    assert costs.rows is None and costs.blocks.count() == 1
+    assert {(x.dist, x.parent == x.s) for x in best.collect() if x.s != x.v} == {(1.0, True)}

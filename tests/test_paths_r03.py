@@ -76,3 +76,29 @@ def test_weighted_edges_of_a_dense_graph_are_one_block(spark, monkeypatch):
     _, costs, best = paths._nearest(e, graph.vertices(e), "weight", False, None)
     assert costs.rows is None and costs.blocks.count() == 1
     assert {(x.dist, x.parent == x.s) for x in best.collect() if x.s != x.v} == {(1.0, True)}
+
+
+def test_community_scores_pair_ends_within_their_community_only(spark, monkeypatch):
+    r = random.Random(9)
+    edges = {tuple(sorted(r.sample(range(14), 2))) for _ in range(36)}
+    label = {i: [None, 0, 1, 2][i % 4] for i in range(14)}
+    near = {i: {b if a == i else a for a, b in edges if i in (a, b)} for i in range(14)}
+    e = spark.createDataFrame([*edges], "src long, dst long")
+    lab = spark.createDataFrame([*label.items()], "id long, label int")
+    made, kept = [], graph.wedges
+    monkeypatch.setattr(graph, "wedges", lambda *x: made.append(kept(*x)) or made[-1])
+    scores, shares, inter = {}, {}, {}
+    for a in near:
+        for b in near:
+            both = near[a] & near[b] if a < b and b not in near[a] and label[a] is not None and label[a] == label[b] else set()
+            own = [m for m in both if label[m] == label[a]]
+            if both:
+                scores[a, b] = len(both) + len(own)
+            if own:
+                shares[a, b], inter[a, b] = sum(1 / len(near[m]) for m in own), len(own) / (len(both) - len(own) + 0.001)
+    of = lambda rows: {(x.a, x.b): round(x.score, 9) for x in rows.collect()}
+    assert of(graph.community_link_scores(e, lab)) == scores
+    assert of(graph.community_allocation(e, lab)) == {k: round(x, 9) for k, x in shares.items()}
+    assert of(graph.within_inter_scores(e, lab)) == {k: round(x, 9) for k, x in inter.items()}
+    for pairs in made:  # before anything is filtered
+        assert all(label[x.a] == label[x.b] for x in pairs.collect())
